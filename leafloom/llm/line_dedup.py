@@ -87,7 +87,7 @@ WITH l AS (
   SELECT list(line) AS lines FROM (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES})
 ), d AS (
   SELECT doc_id, string_split(text, chr(10)) AS lines,
-         list_filter(string_split(text, chr(10)), x -> NOT list_contains(gone, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)))) AS kept
+         list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(gone, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)))) AS kept
   FROM documents, (SELECT coalesce((SELECT lines FROM b), []) AS gone)
 )
 SELECT doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(len(lines) - len(kept), 0) AS n_removed, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM d
