@@ -34,8 +34,10 @@ from .common import slices, table, texts
 #: Widths of the matrices; longer matches go to the heap.
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64, 96, 128)
 LONG = WIDTHS[-1]
-CACHE = 150_000
+CACHE = 300_000
 NONE = np.int32(2**31 - 1)
+#: Rows of a matrix; small enough for a core's own cache.
+ROWS = 2048
 
 SPACE = r"\p{White_Space}"
 BETWEEN = regex.compile(rf"(?<=[^{SPACE}]) (?=[^{SPACE}])")
@@ -105,6 +107,7 @@ class BPE:
         self.tokens: list[bytes] = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.names = [str(i) for i in range(len(self.tokens))]
         self.table = PairTable(self.ranks)
         self.byte_ids = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         self.pattern = regex.compile(pattern.replace(r"[^\s", "[^" + SPACE).replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
@@ -124,9 +127,10 @@ class BPE:
             else:
                 groups.setdefault(next(w for w in WIDTHS if w >= len(p)), []).append(k)
         for width, members in groups.items():
-            rows = self._by_matrix([pieces[k] for k in members], width)
-            for k, ids in zip(members, rows):
-                out[k] = ids
+            for at in range(0, len(members), ROWS):
+                part = members[at : at + ROWS]
+                for k, ids in zip(part, self._by_matrix([pieces[k] for k in part], width)):
+                    out[k] = ids
         return out
 
     def _by_matrix(self, pieces: list[bytes], width: int) -> list[list[int]]:
@@ -205,16 +209,32 @@ class Encoder:
         return found
 
     def learn(self, fresh: set[str]) -> None:
-        """fresh: runs with the space before them."""
-        cut = {x: self.bpe.pattern.findall(x) for x in fresh}
+        """fresh: runs that have a space before them."""
+        letters = {x for x in fresh if x.isalpha()}
+        marked = [x for x in fresh if x[-1] in ",." and x[:-1].isalpha()]  # letters are one match, what follows them another
+        letters.update(x[:-1] for x in marked if x[:-1] not in self.ids)
+        cut = {x: self.bpe.pattern.findall(f" {x}") for x in fresh.difference(letters, marked)}
         if len(self.pieces) > CACHE:
             self.pieces.clear()
         new = list({p for ps in cut.values() for p in ps}.difference(self.pieces))
-        self.pieces.update(zip(new, self.bpe.encode_pieces([p.encode() for p in new])))
+        plain = list(letters)
+        found = self.bpe.encode_pieces([p.encode() for p in new] + [f" {x}".encode() for x in plain])
+        self.pieces.update(zip(new, found))
+        names, tokens = self.bpe.names.__getitem__, self.bpe.tokens.__getitem__
+        for x, ids in zip(plain, found[len(new) :]):
+            self.ids[x] = ",".join(map(names, ids))
+            self.raw[x] = b"".join(map(tokens, ids))
         for x, ps in cut.items():
             ids = [i for p in ps for i in self.pieces[p]]
-            self.ids[x[1:]] = ",".join(map(str, ids))
-            self.raw[x[1:]] = self.bpe.decode(ids)
+            self.ids[x] = ",".join(map(names, ids))
+            self.raw[x] = b"".join(map(tokens, ids))
+        for mark in ",.":
+            [ids] = self.bpe.encode_pieces([mark.encode()])
+            after, raw = "," + ",".join(map(names, ids)), self.bpe.decode(ids)
+            for x in marked:
+                if x[-1] == mark:
+                    self.ids[x] = self.ids[x[:-1]] + after
+                    self.raw[x] = self.raw[x[:-1]] + raw
 
     def alone(self, text: str) -> list[int]:
         return [i for ids in self.bpe.encode_pieces([p.encode() for p in self.bpe.pattern.findall(text)]) for i in ids]
@@ -226,7 +246,8 @@ class Encoder:
             self.raw.clear()
         cut = [self.parts(t) for t in batch_texts]
         fresh = {x for ps in cut for x in ps[1:]}.difference(self.ids)
-        self.learn({f" {x}" for x in fresh})
+        if fresh:
+            self.learn(fresh)
         out = []
         for ps in cut:
             if not ps:

@@ -1,11 +1,15 @@
 """The registered queries of this subpackage, and the SQL that says the same."""
 
-from . import exact_dedup, line_dedup, simhash
+from . import byte_bpe, exact_dedup, fingerprint, language_id, line_dedup, simhash, toxicity
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_byte_bpe": byte_bpe.op3_byte_bpe,
+    "op4_language_id": language_id.op4_language_id,
+    "op5_fingerprints": fingerprint.op5_fingerprints,
     "op8_simhash": simhash.op8_simhash,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
