@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,25 @@ from pyspark.sql import functions as F
 PASS_BYTES = 4 << 20
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that they needn't have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="leafloom-")) / "leafloom_shipped.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f"{top.name}/{f.relative_to(top)}")
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,11 +74,6 @@ def wide_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def is_space(c: str) -> str:
-    """The white space of the word contracts, as a SQL-ready regex class."""
-    return r"[\x20\x09-\x0D]" if not c else c
-
-
 def slices(batch: pa.RecordBatch, text: int, most: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most `most` bytes of text each (a longer text stands alone)."""
     n = batch.num_rows

@@ -1,18 +1,21 @@
 """The registered queries of this subpackage, and the SQL that says the same."""
 
-from . import byte_bpe, exact_dedup, fingerprint, language_id, line_dedup, simhash, toxicity
+from . import byte_bpe, exact_dedup, fingerprint, language_id, line_dedup, packing, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_language_id": language_id.op4_language_id,
     "op5_fingerprints": fingerprint.op5_fingerprints,
+    "op6_packing": packing.op6_packing,
     "op8_simhash": simhash.op8_simhash,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
+    "op1_warc": warc.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
