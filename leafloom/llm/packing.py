@@ -165,6 +165,20 @@ def best_pattern(values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(best[room]), pattern
 
 
+def inverted(a: np.ndarray) -> np.ndarray:
+    """By Gauss-Jordan elimination in one thread; a library's threads would compete with the tasks of a busy machine."""
+    n = len(a)
+    both = np.hstack([a, np.eye(n)])
+    for k in range(n):
+        best = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, best]] = both[[best, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= np.outer(factor, both[k])
+    return both[:, n:]
+
+
 def column_generation(demand: np.ndarray, room: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows) and how often each is used (not whole numbers) to meet demand for sizes 1 .. len(demand)."""
     sizes = np.flatnonzero(demand) + 1
@@ -204,7 +218,7 @@ def column_generation(demand: np.ndarray, room: int, gap: float = GAP) -> tuple[
         use = np.maximum(use - ratio[leave] * move, 0)
         use[leave] = ratio[leave]
         if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
+            inverse = inverted(basis)
             use = np.maximum(inverse @ needed, 0)
     out = np.zeros((m, len(demand)), np.int64)
     out[:, sizes - 1] = np.rint(basis.T).astype(np.int64)
