@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and the SQL that says the same."""
 
-from . import byte_bpe, exact_dedup, fingerprint, language_id, line_dedup, packing, simhash, toxicity, warc
+from . import byte_bpe, exact_dedup, fingerprint, language_id, line_dedup, packing, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_language_id": language_id.op4_language_id,
     "op5_fingerprints": fingerprint.op5_fingerprints,
     "op6_packing": packing.op6_packing,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_simhash": simhash.op8_simhash,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_warc": warc.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
+    "op7_substring_dedup": substring_dedup.OP7_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
