@@ -118,17 +118,17 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     return Model(langs, {x: k for k, x in enumerate(names)}, np.array(logs + [np.full(len(langs), FLOOR)]))
 
 
-def _predict(shared):
+def _predict(shared, text: str, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         n_langs = max(1, len(model.langs))
         logs = model.logs if model.langs else np.zeros((1, 1))
         parts: dict[str, tuple[int, ...]] = {}
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, whole.schema.get_field_index(text)):
                 sums, none = np.zeros((batch.num_rows, n_langs)), np.ones(batch.num_rows, bool)
-                for d, text in enumerate(texts(batch.column(1))):
-                    ws = letter_runs(text) if model.langs else []
+                for d, body in enumerate(texts(batch.column(text))):
+                    ws = letter_runs(body) if model.langs else []
                     for part in (ws[a : a + CACHE] for a in range(0, len(ws), CACHE)):
                         none[d] = False
                         if len(parts) > CACHE:
@@ -139,19 +139,21 @@ def _predict(shared):
                 best = sums.argmax(axis=1)
                 share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
                 langs = [UNKNOWN if e else model.langs[b] for e, b in zip(none.tolist(), best.tolist())]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:1], pa.array(langs, pa.string()), pa.array(np.where(none, 0.0, share))], names=["key", "lang_pred", "score"])
+                rest = [x for x in batch.schema.names if keep_text or x != text]
+                yield pa.RecordBatch.from_arrays([*map(batch.column, rest), pa.array(langs, pa.string()), pa.array(np.where(none, 0.0, share))], names=[*rest, "lang_pred", "score"])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score for each row of docs."""
+def predict(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs (without text, if not wanted) with lang_pred and score beside; columns of those names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(_predict(shared), "key long, lang_pred string, score double")
-    return out.withColumnRenamed("key", doc_id)
+    plain = docs.drop("lang_pred", "score")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema.fields if keep_text or f.name != text)
+    return plain.mapInArrow(_predict(shared, text, keep_text), schema + "lang_pred string, score double")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = predict(docs, fit(docs.where(learn())))
+    found = predict(docs.select("doc_id", "text"), fit(docs.where(learn())), keep_text=False)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
