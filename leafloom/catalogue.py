@@ -1,19 +1,428 @@
-"""The registered queries of the engine's own operators, and the SQL that says the same."""
+"""The registered queries of the engine's own operators, and the SQL that says the same.
+
+Each query reads whole tables from sf_dir and applies an operator of this
+package. Where the driver's prose has nothing for a detector to find, sentences
+are made from typed columns, alike on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import logs, match, platform, text, tree, windows
+from .plans.ship import ship
 
-def leaves_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text")
-    lines = docs.select("lang", F.explode(F.split("text", "\n", -1)).alias("line")).where(F.trim("line") != "")
-    return lines.groupBy("lang").agg(F.count(F.lit(1)).alias("n_leaves"), F.sum(F.length("line")).alias("n_chars"))
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "leaves_by_lang"
 
 
-FLAGSHIP = "leaves_by_lang"
-QUERIES = {"leaves_by_lang": leaves_by_lang}
-ORACLE_SQL = {
-    "leaves_by_lang": "SELECT lang, count(*) AS n_leaves, sum(length(line)) AS n_chars FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY lang",
-}
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    ship(spark)
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*columns) if columns else df
+
+
+def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as leaves: doc_id, lang, source, ord, line."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "lang", "source", "text")
+    return docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n", -1)).alias("ord", "line")).where(F.trim("line") != "")
+
+
+LEAVES = """leaves AS (
+  SELECT doc_id, lang, source, i - 1 AS ord, ls[i] AS line FROM (
+    SELECT *, unnest(generate_series(1, len(ls))) AS i FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS ls FROM documents)
+  ) WHERE trim(ls[i]) <> ''
+)"""
+
+
+# --- scans and leaves
+
+
+@query(f"WITH {LEAVES} SELECT lang, count(*) AS n_leaves, sum(length(line)) AS n_chars FROM leaves GROUP BY lang")
+def leaves_by_lang(spark, sf_dir):
+    return leaves(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n_leaves"), F.sum(F.length("line")).alias("n_chars"))
+
+
+@query(f"WITH {LEAVES} SELECT source, count(*) AS n_leaves, sum(len(regexp_extract_all(line, '{text.NUMBER}', 1))) AS n_numbers FROM leaves GROUP BY source")
+def numeric_candidates(spark, sf_dir):
+    return leaves(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n_leaves"), F.sum(F.size(text.extract_all(F.col("line"), text.NUMBER))).alias("n_numbers"))
+
+
+@query(f"WITH {LEAVES} SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all(line, '{text.ACRONYM}', 1)) AS term FROM leaves WHERE lang = 'en') GROUP BY term")
+def acronym_terms(spark, sf_dir):
+    found = leaves(spark, sf_dir).where("lang = 'en'").select("doc_id", F.explode(text.extract_all(F.col("line"), text.ACRONYM)).alias("term"))
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+@query(f"""WITH {LEAVES}, r AS (SELECT source, line, count(DISTINCT doc_id) AS n_docs FROM leaves GROUP BY source, line HAVING count(DISTINCT doc_id) >= 3)
+SELECT l.source, count(*) AS n_kept FROM leaves l ANTI JOIN r ON l.source = r.source AND l.line = r.line GROUP BY l.source""")
+def running_header_strip(spark, sf_dir):
+    lines = leaves(spark, sf_dir)
+    repeated = lines.groupBy("source", "line").agg(F.count_distinct("doc_id").alias("n_docs")).where("n_docs >= 3")
+    return lines.join(repeated, ["source", "line"], "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n_kept"))
+
+
+@query(f"""WITH {LEAVES}, p AS (SELECT doc_id, line, lead(line) OVER (PARTITION BY doc_id ORDER BY ord) AS following FROM leaves)
+SELECT doc_id, count(*) AS n_broken FROM p WHERE regexp_matches(line, '[a-z,]\\s*$') AND regexp_matches(following, '^\\s*[a-z]') GROUP BY doc_id""")
+def broken_pairs(spark, sf_dir):
+    following = F.lead("line").over(windows.Window.partitionBy("doc_id").orderBy("ord"))
+    pairs = leaves(spark, sf_dir).withColumn("following", following)
+    return pairs.where(F.col("line").rlike(r"[a-z,]\s*$") & F.col("following").rlike(r"^\s*[a-z]")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_broken"))
+
+
+# --- detectors over made sentences
+
+FUNDING_SQL = """sentences AS (
+  SELECT o_orderkey AS id, c_name || ' Foundation awarded $' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || ' million to Relief Works on ' || strftime(o_orderdate, '%B %-d, %Y') || '.' AS s
+  FROM orders JOIN customer ON o_custkey = c_custkey
+)"""
+
+
+def funding_sentences(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    named = orders.join(read(spark, sf_dir, "customer", "c_custkey", "c_name"), orders.o_custkey == F.col("c_custkey"))
+    return named.select(F.col("o_orderkey").alias("id"), F.concat(F.col("c_name"), F.lit(" Foundation awarded $"), F.floor("o_totalprice").cast("bigint").cast("string"), F.lit(" million to Relief Works on "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(".")).alias("s"))
+
+
+@query(f"WITH {FUNDING_SQL} SELECT id, regexp_extract(s, '{text.MONEY.replace(chr(39), chr(39) * 2)}', 1) AS amount, regexp_extract(s, '{text.DATE}', 1) AS at, regexp_extract(s, ' to ([A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)+)', 1) AS recipient FROM sentences WHERE regexp_matches(s, '{text.FUNDING}')")
+def funding_events(spark, sf_dir):
+    s = F.col("s")
+    return funding_sentences(spark, sf_dir).where(s.rlike(text.FUNDING)).select("id", F.regexp_extract(s, text.MONEY, 1).alias("amount"), F.regexp_extract(s, text.DATE, 1).alias("at"), F.regexp_extract(s, " to ([A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)+)", 1).alias("recipient"))
+
+
+@query(f"WITH {FUNDING_SQL} SELECT regexp_extract(regexp_extract(s, '{text.DATE}', 1), '^([A-Za-z]+)', 1) AS month, count(*) AS n FROM sentences GROUP BY 1")
+def date_periods(spark, sf_dir):
+    month = F.regexp_extract(F.regexp_extract("s", text.DATE, 1), "^([A-Za-z]+)", 1)
+    return funding_sentences(spark, sf_dir).groupBy(month.alias("month")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'H.R. ' || CAST(l_partkey AS VARCHAR) WHEN 1 THEN '42 U.S.C. ' || CAST(l_suppkey AS VARCHAR) WHEN 2 THEN 'Section ' || CAST(l_linenumber AS VARCHAR) ELSE 'Section 5(a)' END AS ref FROM lineitem)
+SELECT CASE WHEN regexp_matches(ref, '^(H\\.R\\.|S\\.) ?[0-9]+') THEN 'bill' WHEN regexp_matches(ref, 'U\\.?S\\.?C') THEN 'statute' WHEN regexp_matches(ref, '\\([a-z0-9]\\)$') THEN 'subsection' WHEN regexp_matches(ref, '^(§|Section)') THEN 'section' ELSE 'other' END AS kind, count(*) AS n FROM r GROUP BY 1""")
+def legal_references(spark, sf_dir):
+    n = F.col("l_linenumber") % 4
+    ref = F.when(n == 0, F.concat(F.lit("H.R. "), F.col("l_partkey").cast("string"))).when(n == 1, F.concat(F.lit("42 U.S.C. "), F.col("l_suppkey").cast("string"))).when(n == 2, F.concat(F.lit("Section "), F.col("l_linenumber").cast("string"))).otherwise("Section 5(a)")
+    return read(spark, sf_dir, "lineitem", "l_linenumber", "l_partkey", "l_suppkey").groupBy(text.legal_kind(ref).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT CASE WHEN regexp_matches(lower(s), 'need|lack') THEN 'need' WHEN regexp_matches(lower(s), 'award|grant|invest') THEN 'funding_summary' WHEN regexp_matches(lower(s), 'complet|serv|reach') THEN 'accomplishment' ELSE 'impact' END AS kind, count(*) AS n
+FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'We served ' WHEN 'O' THEN 'Families need ' ELSE 'Change for ' END || o_orderpriority AS s FROM orders) GROUP BY 1""")
+def impact_types(spark, sf_dir):
+    lead = F.when(F.col("o_orderstatus") == "F", "We served ").when(F.col("o_orderstatus") == "O", "Families need ").otherwise("Change for ")
+    return read(spark, sf_dir, "orders", "o_orderstatus", "o_orderpriority").groupBy(text.impact_kind(F.concat(lead, F.col("o_orderpriority"))).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT s_suppkey, regexp_extract(t, '{text.LABEL_VALUE}', 1) AS label, regexp_extract(t, '{text.LABEL_VALUE}', 2) AS value FROM (SELECT s_suppkey, 'Account balance: ' || CAST(CAST(floor(s_acctbal) AS BIGINT) AS VARCHAR) AS t FROM supplier)")
+def label_values(spark, sf_dir):
+    t = F.concat(F.lit("Account balance: "), F.floor("s_acctbal").cast("bigint").cast("string"))
+    return read(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal").select("s_suppkey", F.regexp_extract(t, text.LABEL_VALUE, 1).alias("label"), F.regexp_extract(t, text.LABEL_VALUE, 2).alias("value"))
+
+
+@query("SELECT role, count(*) AS n_turns, count(*) FILTER (WHERE regexp_matches(s, '\\?\\s*$')) AS n_questions FROM (SELECT role, text || CASE WHEN turn % 3 = 0 THEN '?' ELSE '.' END AS s FROM conversations) GROUP BY role")
+def questions(spark, sf_dir):
+    s = F.concat("text", F.when(F.col("turn") % 3 == 0, "?").otherwise("."))
+    return read(spark, sf_dir, "conversations", "role", "turn", "text").groupBy("role").agg(F.count(F.lit(1)).alias("n_turns"), F.count_if(s.rlike(text.QUESTION)).alias("n_questions"))
+
+
+@query(f"WITH {FUNDING_SQL} SELECT entity, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(s, '{text.CAPITALISED}', 1))[1:6]) AS entity FROM sentences) GROUP BY entity")
+def entity_candidates(spark, sf_dir):
+    return funding_sentences(spark, sf_dir).select(F.explode(text.entities(F.col("s"))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- logs
+
+EVENT_LOG_SQL = "log AS (SELECT event_id, ts, user_id, event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)"
+
+
+def event_log(spark, sf_dir):
+    return read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint")).drop("props")
+
+
+@query(f"WITH {EVENT_LOG_SQL} SELECT user_id, k, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY ts DESC, event_id DESC) AS rn FROM log WHERE user_id IS NOT NULL AND k IS NOT NULL) WHERE rn = 1")
+def latest_decision(spark, sf_dir):
+    return logs.latest(event_log(spark, sf_dir), ["user_id", "k"], "ts", "event_id").select("user_id", "k", "event_id", "event_type")
+
+
+@query(f"WITH {EVENT_LOG_SQL} SELECT user_id, k, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS decisions, arg_max(event_type, (ts, event_id)) AS latest, count(*) AS n_rows FROM log GROUP BY user_id, k HAVING count(DISTINCT event_type) > 1")
+def decision_conflicts(spark, sf_dir):
+    found = logs.conflicts(event_log(spark, sf_dir), ["user_id", "k"], "event_type", "ts", "event_id")
+    return found.withColumn("decisions", F.concat_ws(",", "decisions"))
+
+
+@query("SELECT lang, count(*) AS reviewed, count(*) FILTER (WHERE quality = 1) AS accepted, count(*) FILTER (WHERE quality = 0) AS rejected, round(count(*) FILTER (WHERE quality = 1) / nullif(count(*) FILTER (WHERE quality IN (0, 1)), 0), 3) AS acceptance_rate FROM labels JOIN documents USING (doc_id) GROUP BY lang")
+def type_quality(spark, sf_dir):
+    log = read(spark, sf_dir, "labels", "doc_id", "quality").join(read(spark, sf_dir, "documents", "doc_id", "lang"), "doc_id")
+    return logs.quality(log, "lang", F.col("quality") == 1, F.col("quality") == 0)
+
+
+@query("SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ROLLUP (event_type, user_id)")
+def decision_rollup(spark, sf_dir):
+    return logs.rollup_counts(read(spark, sf_dir, "events", "event_type", "user_id"), "event_type", "user_id")
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 30")
+def recent_findings(spark, sf_dir):
+    return logs.recent(read(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts"), "ts", "event_id", 30).drop("ts")
+
+
+@query("SELECT l.doc_id, quality FROM labels l ANTI JOIN (SELECT doc_id FROM documents WHERE lang = 'en') d ON l.doc_id = d.doc_id")
+def stale_reviews(spark, sf_dir):
+    current = read(spark, sf_dir, "documents", "doc_id", "lang").where("lang = 'en'")
+    return logs.stale(read(spark, sf_dir, "labels", "doc_id", "quality"), current, ["doc_id"])
+
+
+@query(f"WITH {EVENT_LOG_SQL} SELECT value, count(*) AS n FROM (SELECT unnest([event_type, 'k' || CAST(k AS VARCHAR)]) AS value FROM log) WHERE value IS NOT NULL GROUP BY value ORDER BY n DESC, value LIMIT 20")
+def reason_topk(spark, sf_dir):
+    reasons = F.filter(F.array("event_type", F.concat(F.lit("k"), F.col("k").cast("string"))), lambda x: x.isNotNull())
+    return logs.top_values(event_log(spark, sf_dir), reasons, 20)
+
+
+@query("SELECT user_id, coalesce(c.total, h.total) AS total FROM (SELECT user_id, count(*) AS total FROM events GROUP BY user_id) h FULL JOIN (SELECT user_id, -1 AS total FROM events WHERE event_type = 'purchase' GROUP BY user_id) c USING (user_id)")
+def feedback_upsert(spark, sf_dir):
+    events = read(spark, sf_dir, "events", "user_id", "event_type")
+    held = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
+    changes = events.where("event_type = 'purchase'").select("user_id").distinct().withColumn("total", F.lit(-1).cast("long"))
+    return logs.upsert(held, changes, "user_id")
+
+
+# --- matching
+
+TOKENS_SQL = "list_distinct(list_filter(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), lambda x: length(x) > 2))"
+
+
+@query(f"""WITH a AS (SELECT item_id, unnest(t) AS t, len(t) AS n FROM (SELECT item_id, {TOKENS_SQL} AS t FROM benchmark)),
+b AS (SELECT doc_id, unnest(t) AS t, len(t) AS n FROM (SELECT doc_id, {TOKENS_SQL} AS t FROM documents)),
+s AS (SELECT item_id, doc_id, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS score FROM a JOIN b ON a.t = b.t GROUP BY item_id, doc_id)
+SELECT item_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM s) WHERE rn = 1""")
+def best_overlap(spark, sf_dir):
+    return match.best_overlap(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents", "doc_id", "text"), "item_id", "doc_id")
+
+
+@query("SELECT coalesce(o_orderkey, l_orderkey) AS orderkey, CASE WHEN l_orderkey IS NULL THEN 'left_only' WHEN o_orderkey IS NULL THEN 'right_only' ELSE 'both' END AS status FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderstatus = 'F') FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ON o_orderkey = l_orderkey")
+def reconcile_full(spark, sf_dir):
+    left = read(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("orderkey"))
+    right = read(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("orderkey"))
+    return match.reconcile(left, right, "orderkey")
+
+
+@query("""SELECT e.event_id, (SELECT arg_max(p.value, (p.ts, p.event_id)) FROM events p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND p.ts <= e.ts) AS nearest FROM events e WHERE e.event_type = 'click'""")
+def nearest_prior_event(spark, sf_dir):
+    events = read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
+    left = events.where("event_type = 'click'").select("event_id", "ts", "user_id")
+    right = events.where("event_type = 'purchase'").select("event_id", "ts", "user_id", "value")
+    return match.nearest_before(left, right, "user_id", "ts", "value", "event_id").select("event_id", "nearest")
+
+
+@query()
+def fuzzy_remap(spark, sf_dir):
+    parts = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    old = parts.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "old_id")
+    new = parts.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "new_id")
+    return match.fuzzy_remap(old, new, ["p_brand", "p_type", "p_size"], "old_id", "new_id", "p_name")
+
+
+# --- aggregates
+
+@query("SELECT event_type, coalesce(sum(n) FILTER (WHERE wd = 1), 0) AS d1, coalesce(sum(n) FILTER (WHERE wd = 2), 0) AS d2, coalesce(sum(n) FILTER (WHERE wd = 3), 0) AS d3, sum(n) FILTER (WHERE wd IN (1, 2, 3)) AS total FROM (SELECT event_type, day(ts) AS wd, count(*) AS n FROM events GROUP BY 1, 2) WHERE wd IN (1, 2, 3) GROUP BY event_type")
+def pattern_matrix(spark, sf_dir):
+    days = read(spark, sf_dir, "events", "event_type", "ts").select("event_type", F.dayofmonth("ts").alias("d")).where("d IN (1, 2, 3)")
+    wide = days.groupBy("event_type").pivot("d", [1, 2, 3]).count().na.fill(0).toDF("event_type", "d1", "d2", "d3")
+    return wide.withColumn("total", F.col("d1") + F.col("d2") + F.col("d3"))
+
+
+@query(f"WITH {FUNDING_SQL} SELECT 'funding_event' AS pattern_type, count(*) AS n FROM sentences UNION ALL SELECT 'date_time_period', count(*) FROM sentences WHERE regexp_matches(s, '{text.DATE}') UNION ALL SELECT 'statistic', CAST(sum(len(regexp_extract_all(s, '{text.NUMBER}', 1))) AS BIGINT) FROM sentences")
+def pattern_inventory(spark, sf_dir):
+    s = F.col("s")
+    counted = funding_sentences(spark, sf_dir).agg(F.count(F.lit(1)).alias("a"), F.count_if(s.rlike(text.DATE)).alias("b"), F.sum(F.size(text.extract_all(s, text.NUMBER))).alias("c"))
+    return counted.select(F.expr("stack(3, 'funding_event', a, 'date_time_period', b, 'statistic', c) AS (pattern_type, n)"))
+
+
+@query("""SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS n_in, coalesce(b.n, 0) AS n_out, greatest(0, coalesce(a.n, 0) - coalesce(b.n, 0)) AS lost
+FROM (SELECT o_orderkey % 100 AS k, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT l_orderkey % 100 AS k, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY 1) b ON a.k = b.k""")
+def audit_ledger(spark, sf_dir):
+    a = read(spark, sf_dir, "orders", "o_orderkey").groupBy((F.col("o_orderkey") % 100).alias("k")).agg(F.count(F.lit(1)).alias("n_in"))
+    b = read(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity").where("l_quantity > 10").groupBy((F.col("l_orderkey") % 100).alias("k")).agg(F.count_distinct("l_orderkey").alias("n_out"))
+    both = a.join(b, "k", "full").na.fill(0, ["n_in", "n_out"])
+    return both.withColumn("lost", F.greatest(F.lit(0), F.col("n_in") - F.col("n_out")))
+
+
+TRIAGE_SQL = "triage AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS n_err, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1, 2), classed AS (SELECT *, CASE WHEN n_err >= 1 OR n >= 6 THEN 'hard' WHEN kinds >= 3 THEN 'moderate' ELSE 'easy' END AS class FROM triage)"
+
+
+def triage(spark, sf_dir):
+    days = read(spark, sf_dir, "events", "user_id", "ts", "event_type").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("n_err"), F.count_distinct("event_type").alias("kinds"))
+    return days.withColumn("class", F.when((F.col("n_err") >= 1) | (F.col("n") >= 6), "hard").when(F.col("kinds") >= 3, "moderate").otherwise("easy"))
+
+
+@query(f"WITH {TRIAGE_SQL} SELECT class, count(*) AS n_pages, sum(n) AS n_events FROM classed GROUP BY class")
+def triage_class(spark, sf_dir):
+    return triage(spark, sf_dir).groupBy("class").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n").alias("n_events"))
+
+
+@query(f"WITH {TRIAGE_SQL} SELECT n_err, kinds, least(n, 5) AS bucket, count(*) AS n_pages, min(user_id) AS first_user FROM classed WHERE class = 'hard' GROUP BY 1, 2, 3")
+def triage_clusters(spark, sf_dir):
+    hard = triage(spark, sf_dir).where("class = 'hard'")
+    return hard.groupBy("n_err", "kinds", F.least("n", F.lit(5)).alias("bucket")).agg(F.count(F.lit(1)).alias("n_pages"), F.min("user_id").alias("first_user"))
+
+
+@query("""SELECT d.source, count(*) AS n_pages, count(l.doc_id) AS n_reviewed, count(*) FILTER (WHERE l.quality = 1) AS green, count(*) FILTER (WHERE l.quality = 0) AS red, count(*) FILTER (WHERE l.toxic = 1) AS flagged,
+CASE WHEN count(l.doc_id) = 0 THEN 'open' WHEN count(*) FILTER (WHERE l.quality = 0) > 0 THEN 'failing' ELSE 'passing' END AS ring FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.source""")
+def scoreboard(spark, sf_dir):
+    board = read(spark, sf_dir, "documents", "doc_id", "source").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    reviewed, red = F.count("quality"), F.count_if(F.col("quality") == 0)
+    ring = F.when(reviewed == 0, "open").when(red > 0, "failing").otherwise("passing")
+    return board.groupBy("source").agg(F.count(F.lit(1)).alias("n_pages"), reviewed.alias("n_reviewed"), F.count_if(F.col("quality") == 1).alias("green"), red.alias("red"), F.count_if(F.col("toxic") == 1).alias("flagged"), ring.alias("ring"))
+
+
+# --- windows
+
+@query("WITH s AS (SELECT l_returnflag, l_quantity, sum(l_linenumber) AS w FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, l_quantity, w AS weight FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY w DESC, l_quantity) AS rn FROM s) WHERE rn = 1")
+def weighted_mode(spark, sf_dir):
+    return windows.weighted_mode(read(spark, sf_dir, "lineitem", "l_returnflag", "l_quantity", "l_linenumber"), "l_returnflag", "l_quantity", "l_linenumber")
+
+
+@query("WITH s AS (SELECT l_shipmode, l_linenumber, sum(l_partkey) AS w FROM (SELECT l_linestatus || l_returnflag AS l_shipmode, l_linenumber, l_partkey FROM lineitem) GROUP BY 1, 2), t AS (SELECT *, w / sum(w) OVER (PARTITION BY l_shipmode) AS share FROM s) SELECT l_shipmode AS k, coalesce(min(l_linenumber) FILTER (WHERE share >= 0.15), min(l_linenumber)) AS l_linenumber FROM t GROUP BY 1")
+def share_threshold_min(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem", "l_linestatus", "l_returnflag", "l_linenumber", "l_partkey").withColumn("k", F.concat("l_linestatus", "l_returnflag"))
+    return windows.least_of_share(lines, "k", "l_linenumber", "l_partkey", 0.15)
+
+
+@query("SELECT p_size, least(6, dense_rank() OVER (ORDER BY p_size DESC)) AS level FROM (SELECT DISTINCT p_size FROM part WHERE p_size > 20)")
+def size_levels(spark, sf_dir):
+    return windows.levels(read(spark, sf_dir, "part", "p_size"), "p_size", 20)
+
+
+INTERVAL_SQL = "i AS (SELECT user_id, epoch_us(ts) // 1000000 AS lo, epoch_us(ts) // 1000000 + 21600 AS hi FROM events), f AS (SELECT *, CASE WHEN max(hi) OVER w IS NULL OR lo > max(hi) OVER w THEN 1 ELSE 0 END AS fresh FROM i WINDOW w AS (PARTITION BY user_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM f), m AS (SELECT user_id, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM g GROUP BY user_id, island)"
+
+
+def sittings(spark, sf_dir):
+    start = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")
+    return read(spark, sf_dir, "events", "user_id", "ts").select("user_id", start.alias("lo"), (start + 21600).alias("hi"))
+
+
+@query(f"WITH {INTERVAL_SQL} SELECT user_id, lo, hi, n FROM m")
+def interval_merge(spark, sf_dir):
+    return windows.merged_intervals(sittings(spark, sf_dir), "user_id", "lo", "hi")
+
+
+@query(f"WITH {INTERVAL_SQL} SELECT * FROM (SELECT user_id, hi AS gap_lo, lead(lo) OVER (PARTITION BY user_id ORDER BY lo) AS gap_hi FROM m) WHERE gap_hi IS NOT NULL")
+def interior_gaps(spark, sf_dir):
+    return windows.interior_gaps(sittings(spark, sf_dir), "user_id", "lo", "hi")
+
+
+@query("SELECT p_brand, p_retailprice, coalesce(sum(j) OVER (PARTITION BY p_brand ORDER BY p_retailprice), 0) AS cluster FROM (SELECT p_brand, p_retailprice, CASE WHEN p_retailprice - lag(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_retailprice) > 8 THEN 1 ELSE 0 END AS j FROM part)")
+def gaps_islands(spark, sf_dir):
+    return windows.chains(read(spark, sf_dir, "part", "p_brand", "p_retailprice"), "p_brand", "p_retailprice", 8)
+
+
+@query("WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), i AS (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS g FROM d), r AS (SELECT l_orderkey, min(l_linenumber) AS a, max(l_linenumber) AS b FROM i GROUP BY l_orderkey, g) SELECT l_orderkey, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a) AS runs FROM r GROUP BY l_orderkey")
+def run_compress(spark, sf_dir):
+    return windows.compressed_runs(read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT conv_id, turn, used FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM conversations) WHERE used <= 600")
+def excerpt_budget(spark, sf_dir):
+    return windows.within_budget(read(spark, sf_dir, "conversations", "conv_id", "turn", "text"), "conv_id", "turn", F.length("text"), 600).drop("text")
+
+
+@query("SELECT conv_id, turn, last_value(h IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section, first_value(h IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_section FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN turn END AS h FROM conversations)")
+def section_bounds(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations", "conv_id", "turn", "role")
+    return windows.sections(turns, "conv_id", "turn", F.col("role") == "user").drop("role")
+
+
+@query("WITH p AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN o_orderkey END AS pin FROM orders), b AS (SELECT *, coalesce(last_value(pin IGNORE NULLS) OVER w, 0) AS rank_base, count(pin) OVER w AS block FROM p WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT o_custkey, o_orderkey, rank_base, row_number() OVER (PARTITION BY o_custkey, block ORDER BY o_orderkey) - 1 AS rank_step FROM b")
+def interpolated_order(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_orderpriority")
+    return windows.interpolated(orders, "o_custkey", "o_orderkey", F.when(F.col("o_orderpriority").startswith("1"), F.col("o_orderkey"))).drop("o_orderpriority")
+
+
+# --- trees and graphs
+
+GEO_SQL = "geo AS (SELECT 'r' || r_regionkey AS nid, CAST(NULL AS VARCHAR) AS parent, r_name AS label FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name FROM supplier)"
+
+
+def geography(spark, sf_dir):
+    key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    region = read(spark, sf_dir, "region").select(key("r", "r_regionkey").alias("nid"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("label"))
+    nation = read(spark, sf_dir, "nation").select(key("n", "n_nationkey").alias("nid"), key("r", "n_regionkey").alias("parent"), F.col("n_name").alias("label"))
+    supplier = read(spark, sf_dir, "supplier").select(key("s", "s_suppkey").alias("nid"), key("n", "s_nationkey").alias("parent"), F.col("s_name").alias("label"))
+    return region.unionByName(nation).unionByName(supplier)
+
+
+@query(f"WITH RECURSIVE {GEO_SQL}, t AS (SELECT nid, nid AS path, 0 AS depth FROM geo WHERE parent IS NULL UNION ALL SELECT g.nid, t.path || '/' || g.nid, t.depth + 1 FROM geo g JOIN t ON g.parent = t.nid) SELECT nid, path, depth FROM t")
+def tree_paths(spark, sf_dir):
+    return tree.with_paths(geography(spark, sf_dir)).select("nid", F.array_join("path", "/").alias("path"), "depth")
+
+
+@query(f"WITH RECURSIVE {GEO_SQL}, t AS (SELECT nid, label, [nid] AS path FROM geo WHERE parent IS NULL UNION ALL SELECT g.nid, g.label, list_append(t.path, g.nid) FROM geo g JOIN t ON g.parent = t.nid), u AS (SELECT unnest(path) AS a, path, label FROM t) SELECT a AS nid, count(*) AS n, sum(length(label)) + count(*) - 1 AS n_chars FROM u GROUP BY a")
+def subtree_text(spark, sf_dir):
+    return tree.subtree(tree.with_paths(geography(spark, sf_dir)), "label").select("nid", "n", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("SELECT 'customer:' || c_mktsegment AS id, 'segment' AS kind, count(*) AS mentions, count(DISTINCT c_nationkey) AS n_documents FROM customer GROUP BY c_mktsegment UNION ALL SELECT 'nation:' || n_name, 'nation', count(*), count(DISTINCT c_nationkey) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def graph_nodes(spark, sf_dir):
+    mentions = read(spark, sf_dir, "customer", "c_nationkey", "c_mktsegment").join(read(spark, sf_dir, "nation", "n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    both = F.filter(F.array(F.struct(F.concat(F.lit("customer:"), F.col("c_mktsegment")).alias("id"), F.lit("segment").alias("kind")), F.struct(F.concat(F.lit("nation:"), F.col("n_name")).alias("id"), F.lit("nation").alias("kind"))), lambda x: x["id"].isNotNull())
+    return mentions.select(F.explode(both).alias("m"), "c_nationkey").groupBy("m.id", "m.kind").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("c_nationkey").alias("n_documents"))
+
+
+@query("SELECT c_mktsegment AS source, n_name AS target, 'located_in' AS predicate, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
+def graph_edges(spark, sf_dir):
+    mentions = read(spark, sf_dir, "customer", "c_nationkey", "c_mktsegment").join(read(spark, sf_dir, "nation", "n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return mentions.groupBy(F.col("c_mktsegment").alias("source"), F.col("n_name").alias("target"), F.lit("located_in").alias("predicate")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- platform
+
+@query("SELECT c_mktsegment, o_orderpriority AS feature, CASE WHEN bool_or(o_orderstatus = 'P') THEN NULL ELSE max(o_custkey) END AS \"limit\" FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2")
+def entitlement_max(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders", "o_custkey", "o_orderpriority", "o_orderstatus").join(read(spark, sf_dir, "customer", "c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    grants = orders.select("c_mktsegment", F.col("o_orderpriority").alias("feature"), F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("allowed"))
+    return platform.entitlements(grants, "c_mktsegment", "feature", "allowed")
+
+
+@query("SELECT o_orderpriority, o_orderkey FROM (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS rn FROM orders WHERE o_orderstatus = 'O') WHERE rn = 1")
+def job_claim(spark, sf_dir):
+    jobs = read(spark, sf_dir, "orders", "o_orderpriority", "o_orderkey", "o_orderdate", "o_orderstatus")
+    return platform.next_jobs(jobs, "o_orderpriority", [F.col("o_orderdate"), F.col("o_orderkey")], F.col("o_orderstatus") == "O").select("o_orderpriority", "o_orderkey")
+
+
+@query("SELECT event_id, attempt, CAST(30 * pow(2, attempt - 1) AS BIGINT) AS wait_s FROM (SELECT event_id, event_id % 3 + 1 AS attempt FROM events)")
+def retry_backoff(spark, sf_dir):
+    jobs = read(spark, sf_dir, "events", "event_id").withColumn("attempt", F.col("event_id") % 3 + 1)
+    return jobs.select("event_id", "attempt", platform.retry_after(F.col("attempt")).alias("wait_s"))
+
+
+@query("SELECT l_returnflag, sum(CASE l_returnflag WHEN 'A' THEN l_partkey / 1e6 * 3.0 + l_suppkey / 1e6 * 15.0 WHEN 'N' THEN l_partkey / 1e6 * 0.5 + l_suppkey / 1e6 * 2.5 END) AS cost, bool_and(l_returnflag IN ('A', 'N')) AS complete FROM lineitem GROUP BY 1")
+def usage_cost(spark, sf_dir):
+    usage = read(spark, sf_dir, "lineitem", "l_returnflag", "l_partkey", "l_suppkey").toDF("l_returnflag", "input_tokens", "output_tokens")
+    rates = spark.createDataFrame([("A", 3.0, 15.0), ("N", 0.5, 2.5)], "l_returnflag string, input_rate double, output_rate double")
+    return platform.usage_cost(usage, rates, "l_returnflag").groupBy("l_returnflag").agg(F.sum("cost").alias("cost"), F.bool_and(F.col("cost").isNotNull()).alias("complete"))
+
+
+# --- HTML and tables
+
+@query("SELECT lower(h) AS header, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM (SELECT page_id, trim(unnest(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1))) AS h FROM pages) GROUP BY 1")
+def html_headers(spark, sf_dir):
+    heads = read(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.explode(text.extract_all(F.col("html"), "(?s)<h1[^>]*>(.*?)</h1>")).alias("h"))
+    return heads.groupBy(F.lower(F.trim("h")).alias("header")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("n_pages"))
+
+
+@query("SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%1%' OR lower(p_brand) LIKE '%1%' OR lower(p_type) LIKE '%1%'")
+def any_column_search(spark, sf_dir):
+    parts = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type")
+    return parts.where(F.exists(F.array("p_name", "p_brand", "p_type"), lambda x: F.lower(x).contains("1"))).select("p_partkey")

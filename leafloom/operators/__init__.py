@@ -1 +1 @@
-"""See the package README."""
+"""Operators as functions from DataFrames to DataFrames, and as Column expressions."""
