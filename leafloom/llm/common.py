@@ -10,9 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,27 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
+
 #: Bytes of text that one numpy pass takes at a time; bounds a Python worker's memory.
 PASS_BYTES = 4 << 20
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, so that they needn't have it installed."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="leafloom-")) / "leafloom_shipped.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f"{top.name}/{f.relative_to(top)}")
-    spark.sparkContext.addPyFile(str(path))
-    _shipped.add(app)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
