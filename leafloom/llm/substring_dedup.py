@@ -6,8 +6,8 @@ smaller id. Windows are judged on the input.
 
 Every window of a document holds `WINDOW - GRAM + 1` runs of `GRAM` words; the run
 with the least hash is its seed, so equal windows have equal seeds. Seeds that
-only one document has are dropped. Each other seed is a shard: the text around
-its occurrences (no further than a window can reach) comes in order of ids; an
+only one document has are dropped. Each other seed is a shard: the windows that
+have it, as one stretch of text for each occurrence, come in order of ids; an
 occurrence is streamed through the suffix automaton of the words before it, all
 of smaller ids, and where the matching statistics reach the window's length the
 words are covered; then its own words join the automaton. A surrounding that has
@@ -49,11 +49,11 @@ def _slide(a: np.ndarray, n: int, of) -> np.ndarray:
     return out
 
 
-def seeds(w: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions (words), hashes and documents of the seeds of a batch."""
+def seeds(w: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Of the seeds of a batch: hashes, documents, and the first and last word + 1 of the windows that each is the seed of."""
     none = np.zeros(0, np.int64)
     if len(w.start) < window:
-        return none, none, none
+        return none, none, none, none
     h = xxh64(w.data, w.start, w.end)
     n, reach = len(h) - gram + 1, window - gram + 1
     mixed = np.zeros(n, np.uint64)
@@ -68,23 +68,27 @@ def seeds(w: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray,
     least = np.where(doc[: len(least)] == doc[window - 1 : window - 1 + len(least)], least, np.uint64(0))
     wide = np.concatenate([np.zeros(reach - 1, np.uint64), least, np.zeros(reach - 1, np.uint64)])
     chosen = np.flatnonzero((_slide(wide, reach, np.maximum) == mixed) & (mixed != 0))
-    return chosen, mixed[chosen].view(np.int64), doc[chosen]
+    # wide[at + k] is the least of the window that begins reach - 1 - k words before the seed
+    its = np.stack([wide[chosen + k] == mixed[chosen] for k in range(reach)])
+    first = chosen - (reach - 1) + its.argmax(axis=0)
+    last = chosen - its[::-1].argmax(axis=0) + window
+    return mixed[chosen].view(np.int64), doc[chosen], first, last
 
 
 def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, 1):
-            _, h, doc = seeds(words(*buffer(batch.column(1))))
+            h, doc, _, _ = seeds(words(*buffer(batch.column(1))))
             yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(pa.array(doc))], names=["seed", "doc_id"])
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(seed, doc_id, rid, start, words): what stands around each shared seed of a document, `start` its first word's place."""
     for whole in batches:
-        for batch in slices(whole, 1):
-            w = words(*buffer(batch.column(1)))
-            at, h, doc = seeds(w)
-            shared = batch.column(3)
+        for batch in slices(whole, whole.schema.get_field_index(TEXT)):
+            w = words(*buffer(batch.column(TEXT)))
+            h, doc, first, last = seeds(w)
+            shared = batch.column(SEEDS)
             values = shared.flatten().to_numpy(zero_copy_only=False)
             counts = np.diff(shared.offsets.to_numpy()) if len(shared) else np.zeros(0, np.int64)
             owner = np.repeat(np.arange(batch.num_rows), counts)
@@ -92,16 +96,14 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             key = lambda d, s: s ^ (d * np.int64(0x5851F42D4C957F2D))
             with np.errstate(over="ignore"):
                 own = np.isin(key(doc, h), key(owner.astype(np.int64), values.astype(np.int64)))
-            at, h, doc = at[own], h[own], doc[own]
-            first = np.maximum(at - (WINDOW - GRAM), w.first[doc])
-            last = np.minimum(at + WINDOW, w.first[doc + 1])
+            h, doc, first, last = h[own], doc[own], first[own], last[own]
             a, b = w.start[first], w.end[last - 1]
             size = b - a
             offsets = np.concatenate([[0], np.cumsum(size)])
             index = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size) + np.repeat(a, size)
             text = pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(w.data[index].tobytes())]).cast(pa.binary())
             take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(take), batch.column(2).take(take), pa.array((first - w.first[doc]).astype(np.int32)), text], names=["seed", "doc_id", "rid", "start", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(ID).take(take), batch.column(ROW).take(take), pa.array((first - w.first[doc]).astype(np.int32)), text], names=["seed", "doc_id", "rid", "start", "words"])
 
 
 class SuffixAutomaton:
@@ -220,12 +222,12 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], names=["doc_id", "rid", "a", "b"])
 
 
-def _cut(keep_text: bool):
+def _cut(text: str, digest_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1):
-                w = words(*buffer(batch.column(1)))
-                rids, spans = batch.column(2).to_pylist(), batch.column(3)
+            for batch in slices(whole, whole.schema.get_field_index(TEXT)):
+                w = words(*buffer(batch.column(TEXT)))
+                rids, spans = batch.column(ROW).to_pylist(), batch.column(SPANS)
                 gone = np.zeros(len(w.start) + 1, np.int64)
                 for d, found in enumerate(spans.to_pylist()):
                     base = int(w.first[d])
@@ -234,7 +236,6 @@ def _cut(keep_text: bool):
                             gone[base + s["a"]] += 1
                             gone[base + s["b"]] -= 1
                 removed = np.cumsum(gone[:-1]) > 0
-                n = w.count
                 cut = np.concatenate([[0], np.cumsum(removed)])
                 n_removed = cut[w.first[1:]] - cut[w.first[:-1]]
                 stays = ~np.repeat(removed, w.end - w.start + 1)  # each word with the space behind it
@@ -244,34 +245,59 @@ def _cut(keep_text: bool):
                 for d in range(batch.num_rows):
                     a, b = ends[places[w.first[d]]], ends[places[w.first[d + 1]]]
                     out.append(kept[a : b - 1].tobytes() if b > a else b"")
-                last = pa.array([x.decode() for x in out], pa.string()) if keep_text else pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(n_removed.astype(np.int64)), last], names=["doc_id", "rid", "n_words", "n_removed", "kept"])
+                counts = [pa.array(w.count.astype(np.int64)), pa.array(n_removed.astype(np.int64))]
+                if digest_only:
+                    yield pa.RecordBatch.from_arrays([batch.column(ID), *counts, pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+                else:
+                    old = batch.column(TEXT).to_pylist()
+                    new = pa.array([x.decode() if n else y for x, y, n in zip(out, old, n_removed.tolist())], pa.string())
+                    names = [x for x in batch.schema.names if x not in OWN]
+                    yield pa.RecordBatch.from_arrays([new if x == text else batch.column(x) for x in names] + counts, names=[*names, "n_words", "n_removed"])
 
     return run
 
 
-def repeated_spans(rows: DataFrame) -> DataFrame:
-    """(doc_id, spans): word spans [a, b) to remove, of the rows (doc_id, text, rid) with that rid."""
-    n = wide_shuffle(rows.sparkSession)
-    found = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(_seed_rows, "seed long, doc_id long")
+#: Columns of this operator's own, beside the input's.
+ID, TEXT, ROW, SEEDS, SPANS = OWN = ("_doc_id", "_text", "_row", "_seeds", "_spans")
+
+
+def repeated_spans(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(_doc_id, _spans): word spans [a, b) to remove from the rows of that id, each with the row (hash of the text) it belongs to.
+
+    docs: (doc_id, text). rows: all columns, dealt by _doc_id; the caller joins the
+    result to the same rows, so that Spark shuffles them once.
+    """
+    n = wide_shuffle(docs.sparkSession)
+    found = docs.where(F.col("doc_id").isNotNull()).mapInArrow(_seed_rows, "seed long, doc_id long")
     by_seed = Window.partitionBy("seed")
     shared = found.withColumns({"lo": F.min("doc_id").over(by_seed), "hi": F.max("doc_id").over(by_seed)}).where("lo < hi")
-    mine = shared.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
-    around = rows.join(mine, "doc_id").select("doc_id", "text", "rid", "seeds").mapInArrow(_surroundings, "seed long, doc_id long, rid long, start int, words binary")
+    mine = shared.groupBy(F.col("doc_id").alias(ID)).agg(F.collect_set("seed").alias(SEEDS))
+    around = rows.join(mine, ID, "left").mapInArrow(_surroundings, "seed long, doc_id long, rid long, start int, words binary")
     spans = around.repartition(n, "seed").sortWithinPartitions("seed", "doc_id").mapInArrow(_search, "doc_id long, rid long, a int, b int")
-    return spans.groupBy("doc_id").agg(F.collect_set(F.struct("rid", "a", "b")).alias("spans"))
+    return spans.groupBy(F.col("doc_id").alias(ID)).agg(F.collect_set(F.struct("rid", "a", "b")).alias(SPANS))
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
-    """doc_id, rid (xxhash64 of the text), n_words, n_removed, kept (the words that stay, joined by spaces; or their SHA-256)."""
-    n = wide_shuffle(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("rid", F.xxhash64("text")).repartition(n, "doc_id")
-    joined = rows.join(repeated_spans(rows), "doc_id", "left").select("doc_id", "text", "rid", "spans")
-    return joined.mapInArrow(_cut(keep_text), "doc_id long, rid long, n_words long, n_removed long, kept string")
+def _joined(docs: DataFrame, keep: list[str], doc_id: str, text: str) -> DataFrame:
+    own = {ID: F.col(doc_id).cast("long"), TEXT: F.col(text), ROW: F.xxhash64(F.col(text))}
+    rows = docs.select(*[f"`{c}`" for c in keep], *[v.alias(k) for k, v in own.items()]).repartition(wide_shuffle(docs.sparkSession), ID)
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.join(repeated_spans(plain, rows), ID, "left")
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with repeated words taken out of its text, and n_words, n_removed beside. Words that stay in a changed text are joined by single spaces."""
+    keep = [c for c in docs.columns if c not in ("n_words", "n_removed", *OWN)]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep)
+    return _joined(docs, keep, doc_id, text).mapInArrow(_cut(text, False), f"{schema}, n_words long, n_removed long")
+
+
+def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (of the words that stay, joined by single spaces)."""
+    return _joined(docs, [], doc_id, text).mapInArrow(_cut(text, True), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "documents"), keep_text=False).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+    return digests(table(spark, sf_dir, "documents"))
 
 
 OP7_SQL = f"""
