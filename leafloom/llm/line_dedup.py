@@ -65,14 +65,16 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text: str =
     share one entry and a repeated or null id does no harm.
     """
     common = written(boilerplate(docs, min_sites, text, site), "line-common")
-    keyed = docs.withColumn("_key", F.unhex(F.md5(F.col(text))))
-    gone = written(_each_line(keyed, text, "_key").join(common, "h").groupBy("_key").agg(F.collect_set("h").alias("_gone")), "line-gone")
-    all_lines = lines_of(F.col(text))
+    # the input's columns travel in a struct, whatever their names
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"), F.unhex(F.md5(F.col(text))).alias("_key"))
+    gone = written(_each_line(keyed, "_text", "_key").join(common, "h").groupBy("_key").agg(F.collect_set("h").alias("_gone")), "line-gone")
+    all_lines = lines_of(F.col("_row")[text])
     kept = F.filter(all_lines, lambda x: ~F.array_contains(F.col("_gone"), line_hash(x)))
-    n_lines = F.coalesce(F.size(all_lines), F.lit(0)).cast("long")
-    joined = keyed.join(gone, "_key", "left").withColumns({"_n": F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(n_lines), "_kept": F.when(F.col("_gone").isNotNull(), kept)})
-    own = [F.col(f"`{c}`") if c != text else F.coalesce(F.array_join("_kept", "\n"), F.col(text)).alias(text) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*own, F.col("_n").alias("n_lines"), F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("_n") - F.size("_kept")).alias("n_removed"))
+    n_lines = F.when(F.col("_row")[text].isNull(), 0).otherwise(F.size(all_lines)).cast("long")
+    joined = keyed.drop("_text").join(gone, "_key", "left").select("_row", "_gone", n_lines.alias("_n"), F.when(F.col("_gone").isNotNull(), kept).alias("_kept"))
+    own = [F.col("_row")[c].alias(c) if c != text else F.coalesce(F.array_join("_kept", "\n"), F.col("_row")[text]).alias(text) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    n_removed = F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("_n") - F.size("_kept"))
+    return joined.select(*own, F.col("_n").alias("n_lines"), n_removed.alias("n_removed"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
