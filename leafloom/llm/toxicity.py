@@ -42,7 +42,8 @@ THRESHOLD = 0.3
 #: The largest word ratios of a text that count.
 TOP = 4
 FEATURES = 3
-CACHE = 200_000
+CACHE = 400_000
+GRAM_CACHE = 1_000_000
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -90,6 +91,9 @@ class KneserNey:
 
     def gram(self, gram: str) -> float:
         """Log ratio of toxic to ordinary probability of an n-gram's last character after the others."""
+        near = gram[-SHARED - 1 : -1]
+        if len(gram) <= SHARED or near not in self.contexts[0] and near not in self.contexts[1]:
+            return 0.0  # both classes have the shared counts alone
         p = 1 / self.alphabet
         table, context = self.tables[2], self.contexts[2]
         for size in range(1, min(SHARED, len(gram)) + 1):
@@ -111,15 +115,15 @@ class KneserNey:
     def word(self, word: str, known: dict[str, float]) -> tuple[float, int]:
         """Toxic over ordinary log-likelihood, and the number of characters it is of. known: n-grams' ratios so far."""
         marked, ratio = f"<{word}>", 0.0
-        for i in range(SHARED, len(marked)):
-            gram = marked[max(0, i - ORDER + 1) : i + 1]
+        n = len(marked)
+        for gram in [marked[: i + 1] for i in range(SHARED, min(n, ORDER))] + [marked[i : i + ORDER] for i in range(1, n - ORDER + 1)]:
             value = known.get(gram)
             if value is None:
-                if len(known) > CACHE:
+                if len(known) > GRAM_CACHE:
                     known.clear()
                 value = known[gram] = self.gram(gram)
             ratio += value
-        return ratio, len(marked) - 1
+        return ratio, n - 1
 
 
 class Scratch:
@@ -146,10 +150,9 @@ class Model:
         for part in (every[a : a + CACHE // 2] for a in range(0, len(every), CACHE // 2)):
             if len(row) > CACHE // 2:
                 row.clear()
-            for w in part:
-                if w not in row:
-                    values[len(row)] = self.ratios.word(w, scratch.grams)
-                    row[w] = len(row)
+            for w in set(part).difference(row):
+                values[len(row)] = self.ratios.word(w, scratch.grams)
+                row[w] = len(row)
             found = values[np.fromiter(map(row.__getitem__, part), np.int64, len(part))]
             total += found[:, 0].sum()
             length += found[:, 1].sum()
