@@ -8,8 +8,6 @@ untouched (see each operator).
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship
+from ..plans.storage import new_folder
 
 #: Bytes of text that one numpy pass takes at a time; bounds a Python worker's memory.
 PASS_BYTES = 4 << 20
@@ -29,23 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder the cluster names; where it names none (tests), a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        where = tempfile.mkdtemp(prefix="leafloom-")
-        spark.sparkContext.setCheckpointDir(where)
-        where = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return where
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{scratch(spark)}/leafloom/{what}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     path = new_folder(df.sparkSession, what)
