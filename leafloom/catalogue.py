@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import logs, match, platform, text, tree, windows
+from . import functions, streaming
+from .operators import checks, detectors, geometry, logs, match, platform, sequence, text, tree, windows
 from .plans.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -426,3 +427,149 @@ def html_headers(spark, sf_dir):
 def any_column_search(spark, sf_dir):
     parts = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type")
     return parts.where(F.exists(F.array("p_name", "p_brand", "p_type"), lambda x: F.lower(x).contains("1"))).select("p_partkey")
+
+
+# --- candidates
+
+CANDIDATE_SQL = f"""{FUNDING_SQL}, found AS (
+  SELECT id AS document_id, 'funding_event' AS pattern_type, unnest(list_distinct(regexp_extract_all(s, '{text.MONEY}', 1))) AS value FROM sentences WHERE regexp_matches(s, '{text.FUNDING}')
+  UNION ALL SELECT id, 'date_time_period', unnest(list_distinct(regexp_extract_all(s, '{text.DATE}', 1))) FROM sentences
+  UNION ALL SELECT id, 'named_entity', unnest(list_distinct(regexp_extract_all(s, '{text.CAPITALISED}', 1))[1:6]) FROM sentences
+)"""
+
+
+def found_candidates(spark, sf_dir):
+    return detectors.candidates(funding_sentences(spark, sf_dir).withColumn("ord", F.lit(0)), "id", "ord", "s", ("funding_event", "date_time_period", "named_entity"))
+
+
+@query(f"WITH {CANDIDATE_SQL} SELECT document_id, pattern_type, value, 'c_' || substr(sha1('[\"' || document_id || '\",\"' || pattern_type || '\",\"' || value || '\"]'), 1, 12) AS pattern_id FROM found")
+def candidates(spark, sf_dir):
+    return found_candidates(spark, sf_dir).select("document_id", "pattern_type", "value", "pattern_id")
+
+
+@query(f"WITH {CANDIDATE_SQL} SELECT pattern_type, count(*) AS n, count(DISTINCT document_id) AS n_documents FROM found GROUP BY pattern_type")
+def candidate_inventory(spark, sf_dir):
+    return detectors.inventory(found_candidates(spark, sf_dir))
+
+
+@query(f"WITH {CANDIDATE_SQL} SELECT document_id % 50 AS page, count(*) FILTER (WHERE pattern_type = 'funding_event') AS funding, count(*) FILTER (WHERE pattern_type = 'named_entity') AS entities FROM found GROUP BY 1")
+def page_inventory(spark, sf_dir):
+    pages = detectors.page_inventory(found_candidates(spark, sf_dir), F.col("document_id") % 50)
+    return pages.select("page", F.coalesce(F.col("types")["funding_event"], F.lit(0)).alias("funding"), F.coalesce(F.col("types")["named_entity"], F.lit(0)).alias("entities"))
+
+
+@query(f"""WITH {CANDIDATE_SQL}, c AS (SELECT *, CASE pattern_type WHEN 'funding_event' THEN 0.76 WHEN 'date_time_period' THEN 0.78 ELSE 0.66 END AS confidence, 'c_' || substr(sha1('["' || document_id || '","' || pattern_type || '","' || value || '"]'), 1, 12) AS pattern_id FROM found),
+r AS (SELECT *, row_number() OVER (PARTITION BY pattern_type ORDER BY confidence DESC, document_id, pattern_id) AS rn, count(*) OVER (PARTITION BY pattern_type) AS n FROM c)
+SELECT pattern_type, any_value(n) AS n, string_agg(pattern_id, ',' ORDER BY rn) AS best FROM r WHERE rn <= 3 GROUP BY pattern_type""")
+def review_focus(spark, sf_dir):
+    return detectors.review_focus(found_candidates(spark, sf_dir)).withColumn("best", F.array_join("best", ","))
+
+
+@query("""WITH c AS (SELECT doc_id * 10 + k AS check_id, doc_id, k, text FROM documents, (SELECT unnest([0, 1]) AS k) WHERE length(text) BETWEEN 40 AND 400),
+l AS (SELECT doc_id, regexp_replace(lower(unnest(string_split(text, chr(10)))), '[^a-z0-9]+', '', 'g') AS t FROM documents)
+SELECT check_id, CASE k WHEN 0 THEN 'in_flow' ELSE 'absent' END AS kind, CASE k WHEN 0 THEN coalesce(bool_or(contains(l.t, regexp_replace(lower(c.text[1:12]), '[^a-z0-9]+', '', 'g'))), false) ELSE NOT coalesce(bool_or(contains(l.t, 'nosuchtext')), false) END AS passed
+FROM c LEFT JOIN l USING (doc_id) GROUP BY check_id, k""")
+def assertion_results(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    asked = docs.where(F.length("text").between(40, 400)).select("doc_id", "text", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    asked = asked.select((F.col("doc_id") * 10 + F.col("k")).alias("check_id"), "doc_id", F.when(F.col("k") == 0, "in_flow").otherwise("absent").alias("kind"), F.array(F.when(F.col("k") == 0, F.substring("text", 1, 12)).otherwise("no such text")).alias("args"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ord", "line")).withColumn("leaf", F.lit("paragraph"))
+    return checks.results(asked, lines, "doc_id", "ord", "line", "leaf")
+
+
+# --- sequence and layout
+
+@query(f"""WITH {LEAVES}, f AS (SELECT *, CASE WHEN coalesce(regexp_matches(line, '^[a-z]'), false) AND lag(line) OVER w IS NOT NULL THEN 0 ELSE 1 END AS fresh FROM leaves WINDOW w AS (PARTITION BY doc_id ORDER BY ord)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM f)
+SELECT doc_id, min(ord) AS ord, count(*) AS n, length(string_agg(line, ' ' ORDER BY ord)) AS n_chars FROM g GROUP BY doc_id, part""")
+def joined_paragraphs(spark, sf_dir):
+    before = F.lag("line").over(windows.Window.partitionBy("doc_id").orderBy("ord"))
+    lines = leaves(spark, sf_dir).select("doc_id", "ord", "line").withColumn("before", before)
+    return sequence.joined(lines, "doc_id", "ord", "line", F.col("before").isNotNull() & F.col("line").rlike("^[a-z]")).select("doc_id", "ord", "n", F.length("text").alias("n_chars"))
+
+
+BOX_SQL = "boxes AS (SELECT l_orderkey AS page, l_partkey * 10 + l_linenumber AS block, l_quantity AS l, l_partkey % 97 AS b, l_quantity + 5 + l_suppkey % 20 AS r, l_partkey % 97 + 12 AS t FROM lineitem WHERE l_linenumber <= 4), regions AS (SELECT l_orderkey AS page, l_returnflag AS role, l_quantity - 5 AS r_l, l_partkey % 89 AS r_b, l_quantity + 25 AS r_r, l_partkey % 89 + 40 AS r_t FROM lineitem WHERE l_linenumber > 4)"
+
+
+def boxes(spark, sf_dir):
+    d = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey", "l_returnflag")
+    x, y = F.col("l_quantity"), F.col("l_partkey") % 97
+    held = d.where("l_linenumber <= 4").select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("block"), x.alias("l"), y.cast("double").alias("b"), (x + 5 + F.col("l_suppkey") % 20).alias("r"), (y + 12).cast("double").alias("t"))
+    y = F.col("l_partkey") % 89
+    over = d.where("l_linenumber > 4").select(F.col("l_orderkey").alias("page"), F.col("l_returnflag").alias("role"), (x - 5).alias("r_l"), y.cast("double").alias("r_b"), (x + 25).alias("r_r"), (y + 40).cast("double").alias("r_t"))
+    return held, over
+
+
+@query(f"""WITH {BOX_SQL}, v AS (SELECT page, block, role, sum(greatest(0, least(r, r_r) - greatest(l, r_l)) * greatest(0, least(t, r_t) - greatest(b, r_b))) AS a, min((r - l) * (t - b)) AS own FROM (SELECT DISTINCT * FROM boxes) JOIN regions USING (page) WHERE greatest(0, least(r, r_r) - greatest(l, r_l)) * greatest(0, least(t, r_t) - greatest(b, r_b)) > 0 GROUP BY page, block, role)
+SELECT page, block, arg_max(role, (a, -ascii(role))) AS role, round(least(1.0, sum(a) / any_value(own)), 6) AS coverage FROM v GROUP BY page, block""")
+def block_roles(spark, sf_dir):
+    held, over = boxes(spark, sf_dir)
+    unique = held.distinct()
+    return geometry.region_votes(unique, over, "page", "block", "role").withColumn("coverage", F.round("coverage", 6))
+
+
+@query()
+def reading_order(spark, sf_dir):
+    held, _ = boxes(spark, sf_dir)
+    return geometry.reading_order(held, ["page"], "block")
+
+
+@query()
+def note_numbers(spark, sf_dir):
+    notes = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey").withColumn("marker", F.when(F.col("l_partkey") % 11 == 0, F.lit(None).cast("int")).when(F.col("l_partkey") % 13 == 0, 97).otherwise(F.col("l_linenumber")))
+    return sequence.note_numbers(notes, "l_orderkey", "l_linenumber", "marker")
+
+
+@query()
+def cover_selection(spark, sf_dir):
+    pages = read(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars").withColumns({"signature": F.concat_ws("-", "lang", F.least(F.lit(3), F.floor(F.log10(F.col("n_chars") + 1))).cast("string")), "features": F.array("lang")})
+    return sequence.covering_pages(pages, "source", "doc_id", "n_chars", "signature", "features")
+
+
+# --- HTML
+
+@query()
+def html_blocks(spark, sf_dir):
+    found = read(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.explode(functions.html_blocks("html")).alias("x"))
+    return found.groupBy(F.col("x.tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("n_pages"))
+
+
+@query()
+def find_spans(spark, sf_dir):
+    functions.register(spark)
+    read(spark, sf_dir, "documents", "doc_id", "text").createOrReplaceTempView("leafloom_documents")
+    return spark.sql("SELECT doc_id, n, start, end, value FROM leafloom_documents, LATERAL find_spans(text, '[0-9]+(?:[.,][0-9]+)*')")
+
+
+# --- live logs
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_counts(spark, sf_dir):
+    live = streaming.event_stream(spark, f"{sf_dir}/event[s].parquet")
+    return streaming.drained(streaming.windowed_counts(live, "event_type")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def stream_latest(spark, sf_dir):
+    live = streaming.event_stream(spark, f"{sf_dir}/event[s].parquet")
+    return streaming.drained(streaming.latest(live, ["user_id"], "event_id", ["event_type", "event_id"]))
+
+
+@query("SELECT count(DISTINCT (user_id, event_type)) AS n FROM events")
+def stream_dedupe(spark, sf_dir):
+    live = streaming.event_stream(spark, f"{sf_dir}/event[s].parquet").select("user_id", "event_type", "ts")
+    found = streaming.drained(streaming.deduplicated(live, ["user_id", "event_type"]), "append")
+    return found.agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- tables
+
+@query("SELECT p_partkey, p_name, row_number() OVER (ORDER BY regexp_extract(p_brand, '^([^0-9]*)', 1), CAST(nullif(regexp_extract(p_brand, '([0-9]+)', 1), '') AS BIGINT), p_partkey) AS place FROM part ORDER BY place LIMIT 50")
+def natural_sort(spark, sf_dir):
+    first = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand").orderBy(text.natural_key(F.col("p_brand")), "p_partkey").limit(50)
+    return first.withColumn("place", F.row_number().over(windows.Window.orderBy(text.natural_key(F.col("p_brand")), "p_partkey"))).drop("p_brand")
+
+
+@query("SELECT l_suppkey, sum(l_quantity) AS quantity FROM lineitem WHERE l_quantity > 20 GROUP BY l_suppkey HAVING count(*) > 5 EXCEPT SELECT s_suppkey, 0 FROM supplier WHERE s_acctbal < 0")
+def set_difference(spark, sf_dir):
+    big = read(spark, sf_dir, "lineitem", "l_suppkey", "l_quantity").where("l_quantity > 20").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("n")).where("n > 5").drop("n")
+    return big.subtract(read(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal").where("s_acctbal < 0").select("s_suppkey", F.lit(0.0)))

@@ -1 +1,39 @@
-"""See the package README."""
+"""Sources and sinks: append-only JSON-lines logs, document listings, sidecar files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """A folder of JSON-lines files as (rows, errors).
+
+    Rows carry file and line order (position in the file's read); a missing
+    document_id becomes the file's stem. Blank lines are skipped; a line that
+    isn't JSON of the schema is an error row with its file and text, not a failure.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    parsed = lines.where(F.trim("value") != "").withColumn("row", F.from_json("value", schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    bad = F.col("row").isNull() | F.col("row._corrupt").isNotNull()
+    stem = F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    names = [x.strip().split()[0] for x in schema.split(",")]
+    rows = parsed.where(~bad).select(*[F.coalesce("row.document_id", stem).alias(n) if n == "document_id" else F.col("row")[n].alias(n) for n in names], "file", "block", "line")
+    return rows, parsed.where(bad).select("file", "line", F.col("value").alias("text"))
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Adds rows to a folder of JSON lines; files there are never rewritten."""
+    rows.write.mode("append").json(path)
+
+
+def slug(name):
+    """Lower-case key with single hyphens."""
+    return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
+def list_documents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Files below a folder as documents: slug, name, path, bytes, modified. Contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return found.select(slug(name).alias("slug"), name.alias("name"), "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
