@@ -48,21 +48,26 @@ SHARD_MEAN = 4096
 SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """A fingerprint for each document of a batch."""
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every shingle of a batch, and how many each document has."""
     n = len(offsets) - 1
     w = words(data, offsets, lower=True)
     count = w.count
     shingles = np.where(count >= shingle, count - shingle + 1, (count > 0).astype(np.int64))
     first = np.concatenate([[0], np.cumsum(shingles)])
-    total = int(first[-1])
-    out = np.zeros(n, np.uint64)
-    if not total:
-        return out
     doc = np.repeat(np.arange(n), shingles)
-    at = np.arange(total) - first[doc] + w.first[doc]
+    at = np.arange(first[-1]) - first[doc] + w.first[doc]
     last = np.minimum(at + shingle - 1, w.first[doc + 1] - 1)
-    h = xxh64(w.data, w.start[at], w.end[last], seed)
+    return xxh64(w.data, w.start[at], w.end[last], seed), shingles
+
+
+def majority(h: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """A fingerprint for each document: bits set in over half of its hashes."""
+    n = len(shingles)
+    out = np.zeros(n, np.uint64)
+    if not len(h):
+        return out
+    first = np.concatenate([[0], np.cumsum(shingles)])
     # sums over runs of at most 255 shingles of one document, eight lanes at a time
     runs = (shingles + 254) // 255
     run_doc = np.repeat(np.arange(n), runs)
@@ -79,6 +84,11 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE,
     return out
 
 
+def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """A fingerprint for each document of a batch."""
+    return majority(*shingle_hashes(data, offsets, shingle, seed))
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, 1):
@@ -92,57 +102,80 @@ def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 class BKTree:
-    """Fingerprints by Hamming distance; a node is [value, {distance: child}]."""
+    """Fingerprints by Hamming distance; a node is [value, {distance: child}, member].
 
-    def __init__(self, value: int):
-        self.root: list = [value, {}]
+    `member` is some fingerprint of the node's subtree while all of them are known
+    to be of one component, else None. A search for a fingerprint passes over
+    subtrees that are of its own component already, so a large group of near
+    copies is not compared pair by pair.
+    """
+
+    def __init__(self, find):
+        self.root: list | None = None
+        self.find = find
 
     def add(self, value: int) -> None:
-        node = self.root
+        """To be called when value's links to what is in the tree have been joined."""
+        if self.root is None:
+            self.root = [value, {}, value]
+            return
+        node, own = self.root, self.find(value)
         while True:
+            if node[2] is not None and self.find(node[2]) != own:
+                node[2] = None
             d = (node[0] ^ value).bit_count()
             if d == 0:
                 return
             child = node[1].get(d)
             if child is None:
-                node[1][d] = [value, {}]
+                node[1][d] = [value, {}, value]
                 return
             node = child
 
-    def within(self, value: int, radius: int) -> list[int]:
-        found, todo = [], [self.root]
+    def within(self, value: int, radius: int) -> Iterator[int]:
+        """Fingerprints within the radius that are not of value's component yet; the caller may join them on the way."""
+        todo = [self.root] if self.root else []
         while todo:
-            node, children = todo.pop()
-            d = (node ^ value).bit_count()
-            if d <= radius:
-                found.append(node)
-            if children:
+            node = todo.pop()
+            if node[2] is not None and self.find(node[2]) == self.find(value):
+                continue
+            d = (node[0] ^ value).bit_count()
+            if d <= radius and self.find(node[0]) != self.find(value):
+                yield node[0]
+            if node[1]:
                 for k in range(d - radius, d + radius + 1):
-                    child = children.get(k)
+                    child = node[1].get(k)
                     if child is not None:
                         todo.append(child)
-        return found
 
 
-def shard_edges(fps: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Spanning edges of the links among the fingerprints of one shard (unsigned, distinct)."""
-    if len(fps) < 2:
-        return []
-    parent: dict[int, int] = {}
+class Components:
+    """Union-find."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
-    def find(x: int) -> int:
+    def find(self, x: int) -> int:
+        parent = self.parent
         while (up := parent.get(x, x)) != x:
             parent[x] = parent.get(up, up)
             x = up
         return x
 
-    edges, tree = [], BKTree(fps[0])
-    for x in fps[1:]:
+    def join(self, a: int, b: int) -> None:
+        self.parent[self.find(a)] = self.find(b)
+
+
+def shard_edges(fps: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Spanning edges of the links among the fingerprints of one shard (unsigned, distinct)."""
+    if len(fps) < 2:
+        return []
+    parts = Components()
+    edges, tree = [], BKTree(parts.find)
+    for x in fps:
         for y in tree.within(x, radius):
-            a, b = find(x), find(y)
-            if a != b:
-                parent[a] = b
-                edges.append((x, y))
+            parts.join(x, y)
+            edges.append((x, y))
         tree.add(x)
     return edges
 
@@ -161,48 +194,51 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _search(radius: int):
-    def edges_of(fps: np.ndarray) -> list[tuple[int, int]]:
-        return shard_edges(np.unique(fps.view(np.uint64)).tolist(), radius)
+def by_shard(edges_of, names: list[str]):
+    """Runs edges_of on each shard's rows (columns after the two of its key). Rows come sorted by shard; only the open one is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by shard; only the open shard is held
-        held_key, held = None, []
-        out: list[tuple[int, int]] = []
+        key, held, out = None, [], []
 
         def ready():
-            a = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(a[:, 0].copy()), pa.array(a[:, 1].copy())], names=["a", "b"])
+            a = np.array(out, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(a[:, 0].copy()), pa.array(a[:, 1].copy())], names=names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            nth, part, fp = (batch.column(k).to_numpy() for k in range(3))
-            new = np.flatnonzero((np.diff(nth) != 0) | (np.diff(part) != 0)) + 1
-            starts = np.concatenate([[0], new, [len(fp)]])
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                key = (int(nth[a]), int(part[a]))
-                if key != held_key:
-                    if sum(map(len, held)) > 1:
-                        out += edges_of(np.concatenate(held))
-                    held_key, held = key, []
-                held.append(fp[a:b])
+            nth, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero((np.diff(nth) != 0) | (np.diff(part) != 0)) + 1, [len(part)]]).tolist()
+            for a, b in zip(starts, starts[1:]):
+                if (nth[a], part[a]) != key:
+                    if sum(x.num_rows for x in held) > 1:
+                        out += edges_of(held)
+                    key, held = (nth[a], part[a]), []
+                held.append(batch.slice(a, b - a))
             if len(out) > 50_000:
                 yield ready()
                 out = []
-        if sum(map(len, held)) > 1:
-            out += edges_of(np.concatenate(held))
+        if sum(x.num_rows for x in held) > 1:
+            out += edges_of(held)
         yield ready()
 
     return run
 
 
+def _signed_edges(radius: int):
+    def edges_of(held: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        fps = np.unique(np.concatenate([x.column(2).to_numpy() for x in held]).view(np.uint64)).tolist()
+        return [(_signed(a), _signed(b)) for a, b in shard_edges(fps, radius)]
+
+    return edges_of
+
+
 def links(nodes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints fp that span every component."""
     masks = [_signed(m) for m in block_choices(n, radius)]
     filed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("nth", "part")).select("nth", "part", "fp")
     dealt = filed.repartition(wide_shuffle(nodes.sparkSession), "nth", "part").sortWithinPartitions("nth", "part")
-    return dealt.mapInArrow(_search(radius), "a long, b long").distinct()
+    return dealt.mapInArrow(by_shard(_signed_edges(radius), ["a", "b"]), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -238,6 +274,132 @@ def near_components(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id
     return fps.join(owners, "fp").select("doc_id", "fp", "component_id")
 
 
+# --- components by similarity of five-word shingles
+
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+#: Bits in which fingerprints of that similarity differ, with few exceptions.
+SIMILAR_RADIUS = 18
+#: Least shingle hashes, each under its own mixing; two documents of the similarity share none with odds of 0.2^8.
+BANDS = 8
+#: Bins of the sketch that similarity is judged by (standard error 0.025 at the threshold; fewer shingles are nearer to exact).
+BINS = 256
+MIX = [int(x) for x in np.random.default_rng(11).integers(1, 2**63, BANDS) * 2 + 1]
+
+
+def sketches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each document: fingerprint, BANDS least hashes, BINS one-byte bins (0: empty)."""
+    h, shingles = shingle_hashes(data, offsets, SIMILAR_SHINGLE, SEED)
+    n, full = len(shingles), np.flatnonzero(shingles)
+    fp = majority(h, shingles)
+    bands = np.full((n, BANDS), -1, np.int64)
+    least = np.full(n * BINS, np.iinfo(np.uint64).max, np.uint64)
+    if len(h):
+        heads = np.concatenate([[0], np.cumsum(shingles)])[full]
+        with np.errstate(over="ignore"):
+            for k, m in enumerate(MIX):
+                mixed = h * np.uint64(m % 2**64)
+                mixed ^= mixed >> np.uint64(32)
+                bands[full, k] = np.minimum.reduceat(mixed, heads).view(np.int64)
+        np.minimum.at(least, np.repeat(np.arange(n), shingles) * BINS + (h >> np.uint64(56)).astype(np.int64), h)
+    bins = np.where(least == np.iinfo(np.uint64).max, 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8).reshape(n, BINS)
+    return fp, bands, bins
+
+
+def estimated(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two documents' shingles from their bins."""
+    either = (a != 0) | (b != 0)
+    n = int(either.sum())
+    return 1.0 if not n else max(0.0, (int(((a == b) & either).sum()) / n - 1 / 255) / (1 - 1 / 255))
+
+
+def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, 1):
+            fp, bands, bins = sketches(*buffer(batch.column(1)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), lists, pa.array([x.tobytes() for x in bins], pa.binary())], names=["doc_id", "fp", "bands", "bins"])
+
+
+def _similar_edges(radius: int, similarity: float):
+    def edges_of(held: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        rows = [(i, f & (2**64 - 1), np.frombuffer(s, np.uint8)) for x in held for i, f, s in zip(*(x.column(k).to_pylist() for k in (2, 3, 4)))]
+        rows.sort(key=lambda r: r[0])
+        parts, edges = Components(), []
+        bins = {i: s for i, _, s in rows}
+        tree = SimilarTree(parts.find)
+        for i, f, s in rows:
+            for j in tree.within(f, i, radius):
+                if estimated(s, bins[j]) >= similarity:
+                    parts.join(i, j)
+                    edges.append((i, j))
+            tree.add(f, i)
+        return edges
+
+    return edges_of
+
+
+class SimilarTree:
+    """As BKTree, but its nodes hold documents by fingerprint: [fingerprint, {distance: child}, member, [documents]]."""
+
+    def __init__(self, find):
+        self.root: list | None = None
+        self.find = find
+
+    def add(self, fp: int, doc: int) -> None:
+        if self.root is None:
+            self.root = [fp, {}, doc, [doc]]
+            return
+        node, own = self.root, self.find(doc)
+        while True:
+            if node[2] is not None and self.find(node[2]) != own:
+                node[2] = None
+            d = (node[0] ^ fp).bit_count()
+            if d == 0:
+                node[3].append(doc)
+                return
+            child = node[1].get(d)
+            if child is None:
+                node[1][d] = [fp, {}, doc, [doc]]
+                return
+            node = child
+
+    def within(self, fp: int, doc: int, radius: int) -> Iterator[int]:
+        todo = [self.root] if self.root else []
+        while todo:
+            node = todo.pop()
+            if node[2] is not None and self.find(node[2]) == self.find(doc):
+                continue
+            d = (node[0] ^ fp).bit_count()
+            if d <= radius:
+                for other in node[3]:
+                    if self.find(other) != self.find(doc):
+                        yield other
+            if node[1]:
+                for k in range(d - radius, d + radius + 1):
+                    child = node[1].get(k)
+                    if child is not None:
+                        todo.append(child)
+
+
+def similar_components(docs: DataFrame, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id) of the documents that belong to a component of two or more.
+
+    Documents link if their five-word shingles are at least `similarity` alike. A
+    shard holds the documents that share a least shingle hash; its BK-tree of
+    fingerprints gives the candidates, their sketches decide. Documents without
+    words are alike. Rows that repeat an id are one node, rows without an id none.
+    """
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    found = written(rows.mapInArrow(_sketch_batches, "doc_id long, fp long, bands array<long>, bins binary"), "sketches")
+    nodes = found.groupBy("fp", "bands", "bins").agg(F.min("doc_id").alias("rep"))
+    same = found.join(nodes, ["fp", "bands", "bins"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    filed = nodes.select(F.posexplode("bands").alias("nth", "part"), F.col("rep"), "fp", "bins")
+    dealt = filed.repartition(wide_shuffle(docs.sparkSession), "nth", "part").sortWithinPartitions("nth", "part")
+    edges = dealt.mapInArrow(by_shard(_similar_edges(radius, similarity), ["a", "b"]), "a long, b long")
+    return components(same.unionByName(edges).distinct()).select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
