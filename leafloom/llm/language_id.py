@@ -34,7 +34,7 @@ from .common import held_out, learn, slices, table, texts
 
 #: Bounds of what is learned from and of what is learned.
 MAX_TRAIN_DOCS = 8000
-MAX_WORDS = 60_000
+MAX_WORDS = 40_000
 MAX_GRAMS = 60_000
 LONGEST_GRAM = 4
 #: Distinct words whose parts a worker keeps.
@@ -97,23 +97,22 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     if chosen is None:
         return Model([], {}, np.zeros((1, 0)))
     counted = usable.where(F.xxhash64("i") <= F.lit(chosen)).select("t", "l").mapInArrow(_counts, "lang string, word string, n long")
-    rows = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word", "lang").limit(8 * MAX_WORDS).toPandas()
-    langs = sorted(rows["lang"].unique().tolist())
+    rows = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word", "lang").limit(4 * MAX_WORDS).collect()
+    langs = sorted({r["lang"] for r in rows})
     at = {x: k for k, x in enumerate(langs)}
-    words: dict[str, np.ndarray] = {}
-    by_gram: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST_GRAM + 1)]
-    totals = np.zeros(len(langs))
-    for lang_, w, n in zip(rows["lang"], rows["word"], rows["n"]):
+    words: dict[str, list[int]] = {}
+    by_gram: list[dict[str, list[int]]] = [{} for _ in range(LONGEST_GRAM + 1)]
+    for lang_, w, n in rows:
         k = at[lang_]
-        totals[k] += n
-        words.setdefault(w, np.zeros(len(langs)))[k] += n
+        words.setdefault(w, [0] * len(langs))[k] += n
         for size in range(1, LONGEST_GRAM + 1):
             for g in set(grams(w, size)):
-                by_gram[size].setdefault(g, np.zeros(len(langs)))[k] += n
-    kept = sorted((w for w in words if words[w].sum() > 1), key=lambda w: (-words[w].sum(), w))[:MAX_WORDS]
-    sums = [np.sum(list(x.values()), axis=0) if x else np.zeros(len(langs)) for x in by_gram]
-    often = sorted(((-c.sum(), g, size) for size in range(1, LONGEST_GRAM + 1) for g, c in by_gram[size].items() if size == 1 or c.sum() > 2))[:MAX_GRAMS]
-    logs = [np.log((words[w] + 0.1) / (totals + 1)) for w in kept] + [np.log((by_gram[size][g] + 0.1) / (sums[size] + 1)) for _, g, size in often]
+                by_gram[size].setdefault(g, [0] * len(langs))[k] += n
+    total = lambda counted_: np.array([sum(c[k] for c in counted_.values()) for k in range(len(langs))], float)
+    kept = sorted((w for w in words if sum(words[w]) > 1), key=lambda w: (-sum(words[w]), w))[:MAX_WORDS]
+    totals, sums = total(words), [total(x) for x in by_gram]
+    often = sorted((-sum(c), g, size) for size in range(1, LONGEST_GRAM + 1) for g, c in by_gram[size].items() if size == 1 or sum(c) > 2)[:MAX_GRAMS]
+    logs = [np.log((np.array(words[w]) + 0.1) / (totals + 1)) for w in kept] + [np.log((np.array(by_gram[size][g]) + 0.1) / (sums[size] + 1)) for _, g, size in often]
     names = kept + ["\0" + g for _, g, _ in often]
     return Model(langs, {x: k for k, x in enumerate(names)}, np.array(logs + [np.full(len(langs), FLOOR)]))
 

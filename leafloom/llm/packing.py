@@ -44,7 +44,7 @@ SMOOTH = 0.8
 #: Pieces of a class that one task ranks, on average.
 RANK_GROUP = 50_000
 #: Runs between white space whose ids a worker keeps.
-CACHE = 700_000
+CACHE = 400_000
 
 #: White space to str.split but not to the tokenizer.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
