@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import functions, streaming
-from .operators import checks, detectors, geometry, logs, match, platform, sequence, text, tree, windows
+from .operators import checks, detectors, geometry, graph, logs, match, platform, runs, sequence, text, toc, tree, validate, windows
 from .plans.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -573,3 +573,85 @@ def natural_sort(spark, sf_dir):
 def set_difference(spark, sf_dir):
     big = read(spark, sf_dir, "lineitem", "l_suppkey", "l_quantity").where("l_quantity > 20").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("n")).where("n > 5").drop("n")
     return big.subtract(read(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal").where("s_acctbal < 0").select("s_suppkey", F.lit(0.0)))
+
+
+# --- more on leaves, graphs, lists and validity
+
+@query(f"WITH {FUNDING_SQL}, e AS (SELECT id, list_sort(list_distinct(regexp_extract_all(s, '{text.CAPITALISED}', 1)[1:6])) AS x FROM sentences), i AS (SELECT id, x, unnest(generate_series(1, len(x))) AS a FROM e), p AS (SELECT id, x[a] AS source, x[b] AS target FROM (SELECT *, unnest(generate_series(a + 1, len(x))) AS b FROM i)) SELECT source, target, count(*) AS n, count(DISTINCT id) AS n_documents FROM p GROUP BY 1, 2")
+def graph_comentions(spark, sf_dir):
+    return graph.comentions(funding_sentences(spark, sf_dir), text.entities(F.col("s")), "id")
+
+
+@query(f"WITH {LEAVES}, p AS (SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS p, regexp_matches(line, '^[A-Z][a-z]*[ ,]') AS m FROM leaves), g AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM p WHERE m) SELECT doc_id, min(ord) AS first, count(*) AS n FROM g GROUP BY doc_id, g HAVING count(*) >= 3")
+def marked_lists(spark, sf_dir):
+    return sequence.marked_lists(leaves(spark, sf_dir).select("doc_id", "ord", "line"), "doc_id", "ord", F.col("line").rlike("^[A-Z][a-z]*[ ,]"))
+
+
+@query("WITH p AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS p, CASE WHEN l_partkey % 5 < 4 THEN l_linenumber END AS n FROM (SELECT l_orderkey, l_partkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1, 2)), d AS (SELECT *, n - p AS d FROM p WHERE n IS NOT NULL), g AS (SELECT *, p - row_number() OVER (PARTITION BY l_orderkey, d ORDER BY p) AS g FROM d) SELECT l_orderkey, min(l_partkey) AS first, min(n) AS start, count(*) AS n FROM g GROUP BY l_orderkey, d, g HAVING count(*) >= 2")
+def ordinal_lists(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("l_linenumber"))
+    return sequence.ordinal_lists(rows, "l_orderkey", "l_partkey", F.when(F.col("l_partkey") % 5 < 4, F.col("l_linenumber")))
+
+
+@query(f"WITH RECURSIVE {GEO_SQL}, t AS (SELECT nid, label, [nid] AS path FROM geo WHERE parent IS NULL UNION ALL SELECT g.nid, g.label, list_append(t.path, g.nid) FROM geo g JOIN t ON g.parent = t.nid) SELECT nid FROM t WHERE NOT list_has_any(path, (SELECT list(nid) FROM geo WHERE label LIKE 'A%'))")
+def tree_walk(spark, sf_dir):
+    marked = geography(spark, sf_dir).withColumn("kind", F.when(F.col("label").startswith("A"), "skipped").otherwise("kept"))
+    return tree.walked(tree.with_paths(marked), "kind", skip=("skipped",)).select("nid")
+
+
+@query(f"WITH RECURSIVE {GEO_SQL}, t AS (SELECT nid, label, [nid] AS path FROM geo WHERE parent IS NULL UNION ALL SELECT g.nid, g.label, list_append(t.path, g.nid) FROM geo g JOIN t ON g.parent = t.nid), u AS (SELECT unnest(path) AS a, path, label FROM t WHERE label LIKE '%1%') SELECT a AS nid, arg_min(label, path) AS text FROM u GROUP BY a")
+def tree_first_text(spark, sf_dir):
+    marked = tree.with_paths(geography(spark, sf_dir)).withColumn("t", F.when(F.col("label").contains("1"), F.col("label")))
+    return tree.first_text(marked, "t")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS subject, 'unknown kind' AS error FROM orders WHERE o_orderpriority LIKE '1%' UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'confidence outside 0 to 1' FROM orders WHERE o_totalprice / 300000 > 1")
+def validate_report(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_totalprice").withColumn("confidence", F.col("o_totalprice") / 300000)
+    registry = orders.select(F.col("o_orderpriority").alias("id")).distinct().where(~F.col("id").startswith("1"))
+    return validate.report_errors(orders, registry, "o_orderkey", "o_orderpriority", "confidence")
+
+
+@query(f"WITH {GEO_SQL} SELECT nid AS subject, 'parent not there' AS error FROM geo WHERE parent IN (SELECT nid FROM geo WHERE label LIKE 'A%')")
+def validate_tree(spark, sf_dir):
+    return validate.tree_errors(geography(spark, sf_dir).where(~F.col("label").startswith("A")))
+
+
+@query("SELECT state, next, count(*) AS n FROM (SELECT CASE o_orderstatus WHEN 'O' THEN 'running' ELSE 'queued' END AS state, CASE WHEN o_orderstatus <> 'O' THEN 'queued' WHEN NOT o_totalprice > 200000 THEN 'succeeded' WHEN o_orderkey % 4 < 3 THEN 'queued' ELSE 'failed' END AS next FROM orders) GROUP BY 1, 2")
+def job_states(spark, sf_dir):
+    jobs = read(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_totalprice").withColumn("state", F.when(F.col("o_orderstatus") == "O", "running").otherwise("queued"))
+    following = platform.finished(F.col("state"), F.col("o_totalprice") > 200000, F.col("o_orderkey") % 4, F.lit(3))
+    return jobs.groupBy("state", following.alias("next")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id, event_type, arg_min(event_id, event_id) AS event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE ts < TIMESTAMP '2024-01-15') GROUP BY 1, 2")
+def idempotent_append(spark, sf_dir):
+    events = read(spark, sf_dir, "events", "user_id", "event_type", "event_id", "ts")
+    edge = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    return platform.fresh_only(events.where(F.col("ts") >= edge).drop("ts"), events.where(F.col("ts") < edge), ["user_id", "event_type"], "event_id")
+
+
+@query(f"WITH {FUNDING_SQL} SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(s, '{text.PROPER_NAME}', 1)) AS name FROM sentences) GROUP BY name")
+def proper_names(spark, sf_dir):
+    return funding_sentences(spark, sf_dir).select(F.explode(text.extract_all(F.col("s"), text.PROPER_NAME)).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey, list_transform([least(greatest(p_size, 5), 30) - 5, least(p_size + 10, 30) - 5], lambda x: CAST(x AS INTEGER))[1] AS s, least(p_size + 10, 30) - 5 AS e FROM part WHERE greatest(p_size, 5) < least(p_size + 10, 30)")
+def run_slices(spark, sf_dir):
+    held = F.array(runs.run(F.col("p_size"), F.col("p_size") + 10, F.col("p_brand")))
+    cut = read(spark, sf_dir, "part", "p_partkey", "p_size", "p_brand").select("p_partkey", F.explode(runs.sliced(held, F.lit(5), F.lit(30))).alias("r"))
+    return cut.select("p_partkey", "r.s", "r.e")
+
+
+@query()
+def box_clusters(spark, sf_dir):
+    held, _ = boxes(spark, sf_dir)
+    return geometry.clusters(held, ["page"], "block")
+
+
+@query()
+def toc_reconcile(spark, sf_dir):
+    docs = leaves(spark, sf_dir).where(F.length("line") < 60)
+    headings = docs.select("doc_id", "ord", F.col("line").alias("title"), (F.col("ord") + 3).alias("page"), F.lit(1).alias("level"))
+    entries = docs.where("ord % 3 <> 1").select("doc_id", "ord", F.concat_ws(" ", (F.col("ord") + 1).cast("string"), "line", F.col("ord").cast("string")).alias("title"), F.col("ord").alias("page"), F.lit(1).alias("level"))
+    return toc.reconcile(entries, headings, "doc_id")

@@ -73,3 +73,36 @@ def reading_order(blocks: DataFrame, page: list[str], block: str, gap: float = 8
         return [(*group[k][:n], place) for place, k in enumerate(cut([g[n:] for g in group], gap))]
 
     return grouped(rows, page, [block, "l", "b", "r", "t"], work, schema)
+
+
+def near_groups(boxes: list[tuple], gap: float) -> list[int]:
+    """The group of each box: boxes within gap of each other, and what that reaches. Groups are numbered by their first box.
+
+    One sweep from left to right: a box is held against those still open.
+    """
+    parent = list(range(len(boxes)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    open_: list[int] = []
+    for k in sorted(range(len(boxes)), key=lambda k: (boxes[k][0], k)):
+        left, low, _, high = boxes[k]
+        open_ = [j for j in open_ if boxes[j][2] + gap >= left]
+        for j in open_:
+            if boxes[j][1] <= high + gap and low <= boxes[j][3] + gap:
+                a, b = find(j), find(k)
+                parent[max(a, b)] = min(a, b)
+        open_.append(k)
+    return [find(k) for k in range(len(boxes))]
+
+
+def clusters(boxes: DataFrame, page: list[str], box: str, gap: float = 8.0) -> DataFrame:
+    """page columns, box, cluster (from 0 in each page)."""
+    rows = boxes.select(*page, box, "l", "b", "r", "t")
+    n = len(page) + 1
+    schema = T.StructType([*rows.schema.fields[:n], T.StructField("cluster", T.LongType())])
+    return grouped(rows, page, [box, "l", "b", "r", "t"], lambda g: [(*r[:n], c) for r, c in zip(g, near_groups([x[n:] for x in g], gap))], schema)

@@ -26,3 +26,21 @@ def retry_after(attempt: Column, base_seconds: int = 30) -> Column:
 def usage_cost(usage: DataFrame, rates: DataFrame, key: str) -> DataFrame:
     """usage with cost; null where no rate is known. Rates are a small dimension and Spark sees their size."""
     return usage.join(rates, key, "left").withColumn("cost", F.col("input_tokens") / 1e6 * F.col("input_rate") + F.col("output_tokens") / 1e6 * F.col("output_rate"))
+
+
+def finished(state: Column, failed: Column, attempts: Column, most: Column) -> Column:
+    """A job's next state: done, queued again while attempts are left, else failed. Only running jobs change."""
+    return F.when(state != "running", state).when(~failed, "succeeded").when(attempts < most, "queued").otherwise("failed")
+
+
+def fresh_only(found: DataFrame, held: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """What is not in held already, each key once (the first by order): an append that may be repeated."""
+    rest = [c for c in found.columns if c not in keys]
+    once = found.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
+    return once.join(held.select(*keys).distinct(), keys, "left_anti")
+
+
+def stale_stages(expected: DataFrame, stored: DataFrame, keys: list[str], print_: str) -> DataFrame:
+    """Stages whose stored fingerprint is not the expected one, or is not there."""
+    was = stored.select(*keys, F.col(print_).alias("_was"))
+    return expected.join(was, keys, "left").where(~F.col(print_).eqNullSafe(F.col("_was"))).drop("_was")

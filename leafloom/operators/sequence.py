@@ -76,3 +76,20 @@ def covering_pages(pages: DataFrame, key: str, page: str, weight: str, signature
         return [(group[0][0], p, k) for k, p in enumerate(cover(listed, cap), 1)]
 
     return grouped(rows, [key], [page], work, schema)
+
+
+def ordinal_lists(leaves: DataFrame, key: str, order: str, number: Column, least: int = 2) -> DataFrame:
+    """Leaves whose numbers count up by one from leaf to leaf: key, first (order), start (number), n; at least `least` of them."""
+    w = Window.partitionBy(key).orderBy(order)
+    placed = leaves.withColumns({"_n": number, "_p": F.row_number().over(w)}).where("_n IS NOT NULL")
+    # leaf place and number go up together inside a list
+    islands = placed.withColumn("_d", F.col("_n") - F.col("_p")).withColumn("_g", F.col("_p") - F.row_number().over(Window.partitionBy(key, "_d").orderBy("_p")))
+    return islands.groupBy(key, "_d", "_g").agg(F.min(order).alias("first"), F.min("_n").alias("start"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("_d", "_g")
+
+
+def marked_lists(leaves: DataFrame, key: str, order: str, marked: Column, least: int = 3) -> DataFrame:
+    """Unbroken stretches of marked leaves: key, first, n; at least `least` of them."""
+    w = Window.partitionBy(key).orderBy(order)
+    placed = leaves.withColumns({"_m": F.coalesce(marked, F.lit(False)), "_p": F.row_number().over(w)}).where("_m")
+    islands = placed.withColumn("_g", F.col("_p") - F.row_number().over(Window.partitionBy(key).orderBy("_p")))
+    return islands.groupBy(key, "_g").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("_g")

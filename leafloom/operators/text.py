@@ -70,3 +70,26 @@ def impact_kind(text: Column) -> Column:
 def natural_key(text: Column) -> Column:
     """Sorts numbers inside text by value: each is padded to 12 digits (longer ones keep their length)."""
     return F.regexp_replace(F.regexp_replace(text, "([0-9]+)", "000000000000$1"), "0*([0-9]{12,})", "$1")
+
+
+PROPER_NAME = r"([A-Z][a-z]+(?: (?:(?:of|the|and|for) )?[A-Z][a-z]+)+)"
+MIXED_CASE = r"\b([A-Z][a-z]+[A-Z][A-Za-z]*|[a-z]+[A-Z][A-Za-z]*)\b"
+
+
+def word_salad(text: Column) -> Column:
+    """Whether a text is mostly fragments: at least 5, or 40 % of its sentences, of two words or fewer."""
+    parts = F.filter(F.split(text, r"[.!?]+"), lambda x: F.trim(x) != "")
+    short = F.size(F.filter(parts, lambda x: F.size(F.split(F.trim(x), r"\s+")) <= 2))
+    return (short >= 5) | (short >= 0.4 * F.size(parts))
+
+
+def luminance(hex_color: Column) -> Column:
+    """0 to 255 of a #rrggbb colour."""
+    part = lambda k: F.conv(F.substring(hex_color, k, 2), 16, 10).cast("int")
+    return part(2) * 0.299 + part(4) * 0.587 + part(6) * 0.114
+
+
+def sentence_case(text: Column) -> Column:
+    """First letter upper, the rest lower, acronyms kept."""
+    words = F.transform(F.split(text, " "), lambda w, i: F.when(w.rlike("^[A-Z]{2,}$"), w).when(i == 0, F.initcap(w)).otherwise(F.lower(w)))
+    return F.array_join(words, " ")

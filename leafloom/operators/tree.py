@@ -23,3 +23,26 @@ def subtree(paths: DataFrame, value: str, nid: str = "nid") -> DataFrame:
     """For each node, the values of all nodes below and itself, joined in order: nid, n, text."""
     up = paths.select(F.explode("path").alias("_a"), "path", value).where(F.col(value).isNotNull())
     return up.groupBy(F.col("_a").alias(nid)).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(F.col("path"), F.col(value)))).alias("_v")).select(nid, "n", F.concat_ws(" ", F.transform("_v", lambda x: x[value])).alias("text"))
+
+
+def walked(paths: DataFrame, kind: str, skip: tuple[str, ...] = (), prune: tuple[str, ...] = (), nid: str = "nid") -> DataFrame:
+    """Nodes without the subtrees of `skip` kinds and without what is inside `prune` kinds (those nodes themselves stay)."""
+    out = paths
+    if skip:
+        gone = paths.where(F.col(kind).isin(*skip)).select(F.col(nid).alias("_x"))
+        out = _outside(out, gone, F.col("path"), nid)
+    if prune:
+        gone = paths.where(F.col(kind).isin(*prune)).select(F.col(nid).alias("_x"))
+        out = _outside(out, gone, F.slice("path", 1, F.greatest(F.lit(0), F.size("path") - 1)), nid)
+    return out
+
+
+def _outside(nodes: DataFrame, gone: DataFrame, ancestors, nid: str) -> DataFrame:
+    hit = nodes.select(F.col(nid).alias("_n"), F.explode(ancestors).alias("_x")).join(gone, "_x", "left_semi").select("_n").distinct()
+    return nodes.join(hit, nodes[nid] == hit["_n"], "left_anti")
+
+
+def first_text(paths: DataFrame, value: str, nid: str = "nid") -> DataFrame:
+    """For each node the first text of its subtree, in document order."""
+    up = paths.select(F.explode("path").alias("_a"), "path", value).where(F.col(value).isNotNull())
+    return up.groupBy(F.col("_a").alias(nid)).agg(F.min_by(value, "path").alias("text"))
