@@ -44,3 +44,40 @@ def results(checks: DataFrame, leaves: DataFrame, doc_id: str, order: str, text:
         .when(F.col("kind") == "freeze", F.col("same"))
     )
     return found.select("check_id", "kind", F.coalesce(passed, F.lit(False)).alias("passed"))
+
+
+def container_results(checks: DataFrame, leaves: DataFrame) -> DataFrame:
+    """check_id, kind, passed, for checks about what stands inside what.
+
+    leaves: doc_id, ord, text, path (ids from the root down to the leaf) and
+    kinds (of those nodes). in_figure: all texts stand below one figure;
+    not_in_figure: all are there, none below a figure; list: all stand in one
+    list, in the order given; not_list: all are there, none in a list; nested:
+    the second text stands in a list below the list item of the first.
+    """
+    asked = checks.select("check_id", "doc_id", "kind", F.size("args").alias("_n"), F.posexplode("args").alias("_i", "_arg"))
+    found = asked.join(leaves, "doc_id").where(key_text(F.col("text")).contains(key_text(F.col("_arg"))))
+    want = F.when(F.col("kind").isin("in_figure", "not_in_figure"), "figure").otherwise("list")
+    pairs = F.arrays_zip(F.col("path").alias("id"), F.col("kinds").alias("of"))
+    inside = F.filter(pairs, lambda p: p["of"] == F.col("_want"))
+    held = found.withColumn("_want", want).select("check_id", "kind", "_n", "_i", "ord", "path", "kinds", F.transform(inside, lambda p: p["id"]).alias("_in"))
+    there = held.groupBy("check_id").agg(F.count_distinct("_i").alias("_there"), F.max(F.size("_in")).alias("_deep"))
+    # one row for each container that has any of the texts
+    by_box = held.select("check_id", "_n", "_i", "ord", F.explode("_in").alias("_box")).groupBy("check_id", "_box", "_n", "_i").agg(F.min("ord").alias("_o"))
+    whole = by_box.groupBy("check_id", "_box", "_n").agg(F.array_sort(F.collect_list(F.struct("_i", "_o"))).alias("_at")).where(F.size("_at") == F.col("_n"))
+    places = F.transform("_at", lambda x: x["_o"])
+    rising = F.forall(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(places) - 1)), lambda k: (F.size(places) < 2) | (F.try_element_at(places, k) < F.try_element_at(places, k + 1))), lambda x: x)
+    together = whole.groupBy("check_id").agg(F.lit(True).alias("_one"), F.bool_or(rising).alias("_order"))
+    item = F.transform(F.filter(pairs, lambda p: p["of"] == "item"), lambda p: p["id"])
+    own = held.where("kind = 'nested'").select("check_id", "_i", "path", "kinds", item.alias("_items"), F.size("_in").alias("_lists"))
+    first = own.where("_i = 0").select("check_id", F.try_element_at("_items", F.lit(-1)).alias("_item"), F.col("_lists").alias("_outer"))
+    nested = own.where("_i = 1").join(first, "check_id").where(F.array_contains("_items", F.col("_item")) & (F.col("_lists") > F.col("_outer"))).select("check_id", F.lit(True).alias("_nested")).distinct()
+    all_ = checks.select("check_id", "kind", F.size("args").alias("_n")).join(there, "check_id", "left").join(together, "check_id", "left").join(nested, "check_id", "left")
+    every, yes = F.coalesce(F.col("_there") == F.col("_n"), F.lit(False)), lambda c: F.coalesce(F.col(c), F.lit(False))
+    passed = (
+        F.when(F.col("kind") == "in_figure", yes("_one"))
+        .when(F.col("kind") == "list", yes("_order"))
+        .when(F.col("kind").isin("not_in_figure", "not_list"), every & (F.coalesce(F.col("_deep"), F.lit(0)) == 0))
+        .when(F.col("kind") == "nested", yes("_nested"))
+    )
+    return all_.select("check_id", "kind", F.coalesce(passed, F.lit(False)).alias("passed"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,19 @@ def top_values(log: DataFrame, values: Column, most: int) -> DataFrame:
 def upsert(held: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """held with the rows of changes put in place of those of the same key, or added."""
     return held.join(changes.select(key).distinct(), key, "left_anti").unionByName(changes, allowMissingColumns=True)
+
+
+def term_stats(terms: DataFrame, term: str, page: str, example: str, most: int = 3) -> DataFrame:
+    """Per term, whatever its case: n, its most frequent spelling, number of pages, the first few distinct examples."""
+    key = F.lower(term).alias("key")
+    spellings = terms.groupBy(key, term).agg(F.count(F.lit(1)).alias("_n"))
+    best = spellings.groupBy("key").agg(F.sum("_n").alias("n"), F.min_by(F.col(term), F.struct((-F.col("_n")).alias("a"), F.col(term))).alias("spelling"))
+    pages = terms.groupBy(key).agg(F.count_distinct(page).alias("n_pages"))
+    w = Window.partitionBy("key").orderBy(example)
+    few = terms.select(key, example).distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).groupBy("key").agg(F.array_sort(F.collect_list(example)).alias("examples"))
+    return best.join(pages, "key").join(few, "key")
+
+
+def usage_summary(calls: DataFrame, kind: str, tokens: str, cost: str) -> DataFrame:
+    """Per kind: calls, tokens, the cost that is known, and whether all of it is."""
+    return calls.groupBy(kind).agg(F.count(F.lit(1)).alias("calls"), F.sum(tokens).alias("tokens"), F.round(F.sum(cost), 2).alias("cost"), F.bool_and(F.col(cost).isNotNull()).alias("complete"))

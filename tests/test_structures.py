@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from leafloom.operators import geometry, graph, platform, runs, sequence, text, toc, tree, validate
+from leafloom.operators import checks, geometry, graph, logs, platform, runs, sequence, text, toc, tree, validate
 
 
 def test_runs(spark):
@@ -88,3 +88,31 @@ def test_more_text(spark):
         text.sentence_case(F.lit("THE Annual NASA report")).alias("d"),
     ).first()
     assert tuple(row) == (True, False, 255.0, "THE annual NASA report")
+
+
+def test_container_checks(spark):
+    leaves = spark.createDataFrame(
+        [
+            ("d", 0, "Alpha", ["r", "f", "x0"], ["doc", "figure", "paragraph"]),
+            ("d", 1, "Beta", ["r", "f", "x1"], ["doc", "figure", "caption"]),
+            ("d", 2, "Gamma", ["r", "x2"], ["doc", "paragraph"]),
+            ("d", 3, "One", ["r", "l", "i1", "x3"], ["doc", "list", "item", "paragraph"]),
+            ("d", 4, "Inner", ["r", "l", "i1", "m", "j1", "x4"], ["doc", "list", "item", "list", "item", "paragraph"]),
+            ("d", 5, "Two", ["r", "l", "i2", "x5"], ["doc", "list", "item", "paragraph"]),
+        ],
+        "doc_id string, ord int, text string, path array<string>, kinds array<string>",
+    )
+    asked = [
+        ("in_figure", ["alpha", "beta"], True), ("in_figure", ["alpha", "gamma"], False), ("not_in_figure", ["gamma"], True), ("not_in_figure", ["beta"], False), ("not_in_figure", ["nowhere"], False),
+        ("list", ["One", "Inner", "Two"], True), ("list", ["Two", "One"], False), ("list", ["One"], True), ("not_list", ["Gamma"], True), ("not_list", ["Two"], False),
+        ("nested", ["One", "Inner"], True), ("nested", ["Two", "Inner"], False),
+    ]
+    df = spark.createDataFrame([(k, "d", kind, args) for k, (kind, args, _) in enumerate(asked)], "check_id int, doc_id string, kind string, args array<string>")
+    assert {r.check_id: r.passed for r in checks.container_results(df, leaves).collect()} == {k: ok for k, (_, _, ok) in enumerate(asked)}
+
+
+def test_terms_and_usage(spark):
+    terms = spark.createDataFrame([("NASA", 1, "b"), ("NASA", 2, "a"), ("Nasa", 2, "c"), ("nasa", 3, "d")], "term string, page int, example string")
+    assert tuple(logs.term_stats(terms, "term", "page", "example").first()) == ("nasa", 4, "NASA", 3, ["a", "b", "c"])
+    calls = spark.createDataFrame([("x", 5, 0.5), ("x", 7, None), ("y", 1, 0.25)], "kind string, tokens int, cost double")
+    assert sorted(map(tuple, logs.usage_summary(calls, "kind", "tokens", "cost").collect())) == [("x", 2, 12, 0.5, False), ("y", 1, 1, 0.25, True)]
