@@ -44,7 +44,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ha
     )
     several = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep")).where("copies > 1").select("h", "rep")
     members = hashed.join(several, "h").select("doc_id", "h", "rep").distinct()
-    fetched = rows.join(members, "doc_id").where(hash_of(F.col("norm")) == F.col("h")).select("doc_id", "h", "rep", "norm")
+    # text is fetched once, for these rows alone
+    fetched = written(rows.join(members, "doc_id").where(hash_of(F.col("norm")) == F.col("h")).select("doc_id", "h", "rep", "norm"), "exact-fetched")
     # a repeated id may have several texts of one hash: then the least of them stands for the group
     first = fetched.where("doc_id = rep").groupBy("h").agg(F.min("norm").alias("first"))
     unlike = fetched.join(first, "h").where(F.col("norm") != F.col("first")).select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256"), F.col("norm").alias("bytes")).distinct()
