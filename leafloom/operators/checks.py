@@ -81,3 +81,21 @@ def container_results(checks: DataFrame, leaves: DataFrame) -> DataFrame:
         .when(F.col("kind") == "nested", yes("_nested"))
     )
     return all_.select("check_id", "kind", F.coalesce(passed, F.lit(False)).alias("passed"))
+
+
+def attribute_results(checks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """check_id, passed: some node that the anchor names (its id, or the beginning of its text) has all the wanted attributes (float, colour, header, columns ...).
+
+    checks: check_id, doc_id, anchor, wanted map<string,string>. nodes: doc_id, nid, text, attrs map<string,string>.
+    """
+    named = (F.col("nid") == F.col("anchor")) | F.startswith(F.col("text"), F.col("anchor"))
+    held = F.forall(F.map_keys("wanted"), lambda k: F.col("attrs")[k].eqNullSafe(F.col("wanted")[k]))
+    met = checks.join(nodes, "doc_id").where(named & held).select("check_id").distinct().withColumn("_yes", F.lit(True))
+    return checks.select("check_id").join(met, "check_id", "left").select("check_id", F.coalesce("_yes", F.lit(False)).alias("passed"))
+
+
+def cell_results(checks: DataFrame, rows: DataFrame) -> DataFrame:
+    """check_id, passed: some table row's first cells begin with the given texts. rows: doc_id, cells array<string>."""
+    fits = (F.size("cells") >= F.size("args")) & F.forall(F.arrays_zip(F.col("args").alias("a"), F.slice("cells", 1, F.size("args")).alias("c")), lambda p: F.coalesce(F.startswith(p["c"], p["a"]), F.lit(False)))
+    met = checks.join(rows, "doc_id").where(fits).select("check_id").distinct().withColumn("_yes", F.lit(True))
+    return checks.select("check_id").join(met, "check_id", "left").select("check_id", F.coalesce("_yes", F.lit(False)).alias("passed"))

@@ -116,3 +116,12 @@ def test_terms_and_usage(spark):
     assert tuple(logs.term_stats(terms, "term", "page", "example").first()) == ("nasa", 4, "NASA", 3, ["a", "b", "c"])
     calls = spark.createDataFrame([("x", 5, 0.5), ("x", 7, None), ("y", 1, 0.25)], "kind string, tokens int, cost double")
     assert sorted(map(tuple, logs.usage_summary(calls, "kind", "tokens", "cost").collect())) == [("x", 2, 12, 0.5, False), ("y", 1, 1, 0.25, True)]
+
+
+def test_attribute_and_cell_checks(spark):
+    nodes = spark.createDataFrame([("d", "n1", "Figure one", {"float": "left", "cols": "3"}), ("d", "n2", None, {"float": "right"})], "doc_id string, nid string, text string, attrs map<string,string>")
+    asked = spark.createDataFrame([(1, "d", "n2", {"float": "right"}), (2, "d", "Figure", {"float": "left", "cols": "3"}), (3, "d", "Figure", {"float": "right"}), (4, "e", "n1", {"float": "left"})], "check_id int, doc_id string, anchor string, wanted map<string,string>")
+    assert {r.check_id: r.passed for r in checks.attribute_results(asked, nodes).collect()} == {1: True, 2: True, 3: False, 4: False}
+    rows = spark.createDataFrame([("d", ["Year 2020", "10", None]), ("d", [])], "doc_id string, cells array<string>")
+    asked = spark.createDataFrame([(1, "d", ["Year", "10"]), (2, "d", ["10"]), (3, "d", ["Year", "10", "x"])], "check_id int, doc_id string, args array<string>")
+    assert {r.check_id: r.passed for r in checks.cell_results(asked, rows).collect()} == {1: True, 2: False, 3: False}
