@@ -8,6 +8,7 @@ untouched (see each operator).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,22 @@ from ..plans.storage import new_folder
 PASS_BYTES = 4 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Bytes of an Arrow batch, where the session allows more: long documents then can't add up to a worker's memory.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """What every operator needs of a session: the package on the executors, and bounded Arrow batches."""
     ship(spark)
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", spark.conf.get(BATCH_SETTING).lower()).groups()
+    held = int(number) << (10 * " kmgtp".index(unit or " "))
+    if held <= 0 or held > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
