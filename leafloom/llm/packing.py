@@ -138,6 +138,7 @@ def _pieces(path: str, size: int, end_id: int):
                     n = len(ids) // 4
                     rows += [(doc, a, min(size, n - a), zlib.crc32(ids[4 * a : 4 * (a + size)]), n) for a in range(0, n, size)]
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*rows)], names=[x.split()[0] for x in PIECES.split(", ")])
+        words.ids.clear()  # the worker lives on and serves other stages
 
     return run
 
