@@ -27,6 +27,7 @@ unless nothing else does. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer, slices, table, wide_shuffle, written
+from .common import PASS_BYTES, buffer, slices, table, wide_shuffle, written
 from .words import words, xxh64
 
 RADIUS = 3
@@ -282,122 +283,244 @@ SIMILARITY = 0.8
 SIMILAR_RADIUS = 18
 #: Least shingle hashes, each under its own mixing; two documents of the similarity share none with odds of 0.2^8.
 BANDS = 8
-#: Bins of the sketch that similarity is judged by (standard error 0.025 at the threshold; fewer shingles are nearer to exact).
+#: Bins of the sketch that sorts out the pairs far from the threshold (standard error 0.025 there).
 BINS = 256
+#: Standard errors from the threshold within which the sketch does not decide: those pairs are compared shingle by shingle.
+SKETCH_ERRORS = 6
+#: Documents that one numpy pass compares with another one, and bytes of a shard's shingles held in memory (more go to a file).
+PASS_ROWS, PASS_HELD = 8192, 32 << 20
 MIX = [int(x) for x in np.random.default_rng(11).integers(1, 2**63, BANDS) * 2 + 1]
 
 
-def sketches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each document: fingerprint, BANDS least hashes, BINS one-byte bins (0: empty)."""
+def distinct(h: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's distinct hashes in ascending order, and how many they are."""
+    doc = np.repeat(np.arange(len(shingles)), shingles)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[fresh], np.bincount(doc[fresh], minlength=len(shingles))
+
+
+def mixed(h: np.ndarray, m: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = h * np.uint64(m % 2**64)
+    return h ^ (h >> np.uint64(32))
+
+
+def sketches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each document: fingerprint, BANDS least hashes, BINS one-byte bins (0: empty), number of distinct shingles, and two sums that name their set."""
     h, shingles = shingle_hashes(data, offsets, SIMILAR_SHINGLE, SEED)
-    n, full = len(shingles), np.flatnonzero(shingles)
     fp = majority(h, shingles)
-    bands = np.full((n, BANDS), -1, np.int64)
+    h, sizes = distinct(h, shingles)
+    n, full = len(sizes), np.flatnonzero(sizes)
+    bands, sums = np.full((n, BANDS), -1, np.int64), np.zeros((n, 2), np.int64)
     least = np.full(n * BINS, np.iinfo(np.uint64).max, np.uint64)
     if len(h):
-        heads = np.concatenate([[0], np.cumsum(shingles)])[full]
-        with np.errstate(over="ignore"):
-            for k, m in enumerate(MIX):
-                mixed = h * np.uint64(m % 2**64)
-                mixed ^= mixed >> np.uint64(32)
-                bands[full, k] = np.minimum.reduceat(mixed, heads).view(np.int64)
-        np.minimum.at(least, np.repeat(np.arange(n), shingles) * BINS + (h >> np.uint64(56)).astype(np.int64), h)
+        heads = np.concatenate([[0], np.cumsum(sizes)])[full]
+        for k, m in enumerate(MIX):
+            bands[full, k] = np.minimum.reduceat(mixed(h, m), heads).view(np.int64)
+        sums[full, 0] = np.add.reduceat(h, heads).view(np.int64)
+        sums[full, 1] = np.add.reduceat(mixed(h, MIX[0]), heads).view(np.int64)
+        np.minimum.at(least, np.repeat(np.arange(n), sizes) * BINS + (h >> np.uint64(56)).astype(np.int64), h)
     bins = np.where(least == np.iinfo(np.uint64).max, 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8).reshape(n, BINS)
-    return fp, bands, bins
+    return fp, bands, bins, sizes, sums
 
 
-def estimated(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two documents' shingles from their bins."""
-    either = (a != 0) | (b != 0)
-    n = int(either.sum())
-    return 1.0 if not n else max(0.0, (int(((a == b) & either).sum()) / n - 1 / 255) / (1 - 1 / 255))
+SKETCH = "doc_id long, fp long, bands array<long>, bins binary, size long, sum_a long, sum_b long"
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, 1):
-            fp, bands, bins = sketches(*buffer(batch.column(1)))
+            fp, bands, bins, sizes, sums = sketches(*buffer(batch.column(1)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), lists, pa.array([x.tobytes() for x in bins], pa.binary())], names=["doc_id", "fp", "bands", "bins"])
+            columns = [batch.column(0), pa.array(fp.view(np.int64)), lists, pa.array([x.tobytes() for x in bins], pa.binary()), pa.array(sizes.astype(np.int64)), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "bands", "bins", "size", "sum_a", "sum_b"])
 
 
-def _similar_edges(radius: int, similarity: float):
-    def edges_of(held: list[pa.RecordBatch]) -> list[tuple[int, int]]:
-        rows = [(i, f & (2**64 - 1), np.frombuffer(s, np.uint8)) for x in held for i, f, s in zip(*(x.column(k).to_pylist() for k in (2, 3, 4)))]
-        rows.sort(key=lambda r: r[0])
-        parts, edges = Components(), []
-        bins = {i: s for i, _, s in rows}
-        tree = SimilarTree(parts.find)
-        for i, f, s in rows:
-            for j in tree.within(f, i, radius):
-                if estimated(s, bins[j]) >= similarity:
-                    parts.join(i, j)
-                    edges.append((i, j))
-            tree.add(f, i)
-        return edges
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, sum_a, hashes): each document's distinct shingle hashes, ascending."""
+    for whole in batches:
+        for batch in slices(whole, 1, PASS_BYTES // 8):
+            h, sizes = distinct(*shingle_hashes(*buffer(batch.column(1)), SIMILAR_SHINGLE, SEED))
+            sets = np.split(h, np.cumsum(sizes)[:-1])
+            sums = np.array([int(x.sum()) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "sum_a", "hashes"])
 
-    return edges_of
 
+def verdicts(bins: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
+    """What sketches and sizes say of document i and each of the others: 1 alike, -1 not alike, 0 too near the threshold to say."""
+    own = np.flatnonzero(bins[i])
+    theirs = bins[others]
+    either = np.count_nonzero(theirs, axis=1) + len(own) - np.count_nonzero(theirs[:, own], axis=1)
+    share = (np.count_nonzero(theirs[:, own] == bins[i, own], axis=1) / either - 1 / 255) / (1 - 1 / 255)
+    error = SKETCH_ERRORS * np.sqrt(similarity * (1 - similarity) / either)
+    far = (share < similarity - error) | (np.minimum(sizes[others], sizes[i]) / np.maximum(sizes[others], sizes[i]) < similarity)
+    return np.where(far, -1, np.where(share >= similarity + error, 1, 0))
 
-class SimilarTree:
-    """As BKTree, but its nodes hold documents by fingerprint: [fingerprint, {distance: child}, member, [documents]]."""
 
-    def __init__(self, find):
-        self.root: list | None = None
-        self.find = find
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (ascending) are that similar."""
+    both = len(a) + len(b) - len(np.union1d(a, b))
+    return both / (len(a) + len(b) - both) >= similarity
 
-    def add(self, fp: int, doc: int) -> None:
-        if self.root is None:
-            self.root = [fp, {}, doc, [doc]]
+
+def compared(bins: np.ndarray, sizes: np.ndarray, similarity: float, looks, doubt) -> list[tuple[int, int]]:
+    """Spanning edges (positions) of what is alike in one shard.
+
+    looks(i, label) gives, one after another, the earlier rows to compare row i
+    with; doubt(i, others, label, join) gets those that the sketches leave open.
+    Rows that are of row i's component already are passed over. label is the
+    first row of each row's component.
+    """
+    label, edges = np.arange(len(sizes)), []
+
+    def join(i: int, j: int) -> None:
+        old, new = max(label[i], label[j]), min(label[i], label[j])
+        if old == new:
             return
-        node, own = self.root, self.find(doc)
-        while True:
-            if node[2] is not None and self.find(node[2]) != own:
-                node[2] = None
-            d = (node[0] ^ fp).bit_count()
-            if d == 0:
-                node[3].append(doc)
-                return
-            child = node[1].get(d)
-            if child is None:
-                node[1][d] = [fp, {}, doc, [doc]]
-                return
-            node = child
+        if old == i:
+            label[i] = new
+        else:
+            upto = label[: i + 1]
+            upto[upto == old] = new
+        edges.append((i, j))
+
+    for i in range(1, len(sizes)):
+        left = []
+        for others in looks(i, label):
+            for k in range(0, len(others), PASS_ROWS):
+                some = others[k : k + PASS_ROWS]
+                some = some[label[some] != label[i]]
+                says = verdicts(bins, sizes, i, some, similarity)
+                sure = some[says == 1]
+                for j in sure[np.unique(label[sure], return_index=True)[1]].tolist():
+                    join(i, j)
+                left.append(some[says == 0])
+        left = np.concatenate(left) if left else np.zeros(0, np.int64)
+        left = left[label[left] != label[i]]
+        if len(left):
+            doubt(i, left, label, join)
+    return edges
 
-    def within(self, fp: int, doc: int, radius: int) -> Iterator[int]:
-        todo = [self.root] if self.root else []
-        while todo:
-            node = todo.pop()
-            if node[2] is not None and self.find(node[2]) == self.find(doc):
-                continue
-            d = (node[0] ^ fp).bit_count()
-            if d <= radius:
-                for other in node[3]:
-                    if self.find(other) != self.find(doc):
-                        yield other
-            if node[1]:
-                for k in range(d - radius, d + radius + 1):
-                    child = node[1].get(k)
-                    if child is not None:
-                        todo.append(child)
+
+def shards(batches: Iterator[pa.RecordBatch], sets: bool = False) -> Iterator[tuple[tuple[int, int], pa.Table, tuple | None]]:
+    """(key, rows, sets) of each shard of two rows or more. Rows come sorted by shard; only the open one is held, the last column's sets in a file if they are large."""
+    key, held, file, ends = None, [], None, []
+
+    def ready():
+        if sum(x.num_rows for x in held) > 1:
+            yield key, pa.Table.from_batches(held), (file, np.concatenate([[0], np.cumsum(np.concatenate(ends))])) if sets else None
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        nth, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero((np.diff(nth) != 0) | (np.diff(part) != 0)) + 1, [len(part)]]).tolist()
+        for a, b in zip(starts, starts[1:]):
+            if (nth[a], part[a]) != key:
+                yield from ready()
+                if file:
+                    file.close()
+                key, held, file, ends = (nth[a], part[a]), [], tempfile.SpooledTemporaryFile(PASS_HELD) if sets else None, []
+            rows = batch.slice(a, b - a)
+            if sets:
+                data, offsets = buffer(rows.column(rows.num_columns - 1))
+                file.write(data.tobytes())
+                ends.append(np.diff(offsets))
+                rows = rows.select(list(range(rows.num_columns - 1)))
+            held.append(rows)
+    yield from ready()
+
+
+def _bins(rows: pa.Table) -> np.ndarray:
+    return buffer(rows.column("bins"))[0].reshape(-1, BINS)
+
+
+FOUND = "a long, b long, nth int, part long, sum_a long, size long, bins binary"
+
+
+def _sketched(radius: int, similarity: float):
+    """Edges (a, b) that sketches are sure of; and, with b null, the shard's rows a that are of a pair left open and not also together in an earlier shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (nth, part), rows, _ in shards(batches):
+            rep, fps, sums, sizes = (rows.column(c).to_numpy() for c in ("rep", "fp", "sum_a", "size"))
+            fps = fps.view(np.uint64)
+            bins, bands = _bins(rows), rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)[:, :nth]
+            unsure = np.zeros(len(rep), bool)
+
+            def looks(i, label):
+                yield np.flatnonzero((np.bitwise_count(fps[:i] ^ fps[i]) <= radius) & (label[:i] != label[i]))
+
+            def doubt(i, others, label, join):
+                new = others[~(bands[others] == bands[i]).any(axis=1)]
+                unsure[new] = True
+                unsure[i] |= len(new) > 0
+
+            edges = np.array(compared(bins, sizes, similarity, looks, doubt), np.int64).reshape(-1, 2)
+            n, kept = len(edges), np.flatnonzero(unsure)
+            a, none = np.concatenate([rep[edges[:, 0]], rep[kept]]), [None] * n
+            rest = [pa.array(none + [x] * len(kept), t) for x, t in ((int(nth), pa.int32()), (int(part), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a), pa.array(rep[edges[:, 1]].tolist() + [None] * len(kept), pa.int64()), *rest, pa.array(none + sums[kept].tolist(), pa.int64()), pa.array(none + sizes[kept].tolist(), pa.int64()), pa.array(none + [x.tobytes() for x in bins[kept]], pa.binary())],
+                names=["a", "b", "nth", "part", "sum_a", "size", "bins"],
+            )
+
+    return run
+
+
+def _exact(similarity: float):
+    """Edges (a, b) among the rows that sketches left open: pairs near the threshold by their shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows, (file, at) in shards(batches, sets=True):
+            rep, sizes = rows.column("a").to_numpy(), rows.column("size").to_numpy()
+
+            def held(i):
+                file.seek(int(at[i]))
+                return np.frombuffer(file.read(int(at[i + 1] - at[i])), np.uint64)
+
+            def looks(i, label):
+                yield np.arange(i)
+
+            def doubt(i, others, label, join):
+                own = held(i)
+                for j in others.tolist():
+                    if label[j] != label[i] and alike(own, held(j), similarity):
+                        join(i, j)
+
+            edges = np.array(compared(_bins(rows), sizes, similarity, looks, doubt), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[edges[:, 0]]), pa.array(rep[edges[:, 1]])], names=["a", "b"])
+
+    return run
 
 
 def similar_components(docs: DataFrame, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id) of the documents that belong to a component of two or more.
 
     Documents link if their five-word shingles are at least `similarity` alike. A
-    shard holds the documents that share a least shingle hash; its BK-tree of
-    fingerprints gives the candidates, their sketches decide. Documents without
-    words are alike. Rows that repeat an id are one node, rows without an id none.
+    shard holds the documents that share a least shingle hash; those within the
+    radius are compared. Sketches decide far from the threshold; documents of a
+    pair near it fetch their shingle hashes and are compared exactly. Documents
+    without words are alike. Rows that repeat an id are one node, rows without an
+    id none.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = written(rows.mapInArrow(_sketch_batches, "doc_id long, fp long, bands array<long>, bins binary"), "sketches")
-    nodes = found.groupBy("fp", "bands", "bins").agg(F.min("doc_id").alias("rep"))
-    same = found.join(nodes, ["fp", "bands", "bins"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    filed = nodes.select(F.posexplode("bands").alias("nth", "part"), F.col("rep"), "fp", "bins")
+    named = ["size", "sum_a", "sum_b"]
+    found = written(rows.mapInArrow(_sketch_batches, SKETCH), "sketches")
+    nodes = found.groupBy(*named, "fp").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bins").alias("bins"))
+    same = found.join(nodes.select(*named, "fp", "rep"), [*named, "fp"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    filed = nodes.select(F.posexplode("bands").alias("nth", "part"), "rep", "fp", "sum_a", "size", "bands", "bins")
     dealt = filed.repartition(wide_shuffle(docs.sparkSession), "nth", "part").sortWithinPartitions("nth", "part")
-    edges = dealt.mapInArrow(by_shard(_similar_edges(radius, similarity), ["a", "b"]), "a long, b long")
-    return components(same.unionByName(edges).distinct()).select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))
+    judged = written(dealt.mapInArrow(_sketched(radius, similarity), FOUND), "similar")
+    sure, unsure = judged.where("b IS NOT NULL").select("a", "b"), judged.where("b IS NULL").drop("b")
+    asked = unsure.select(F.col("a").alias("doc_id")).distinct()
+    sets = rows.join(asked, "doc_id", "left_semi").mapInArrow(_set_batches, "doc_id long, sum_a long, hashes binary").dropDuplicates(["doc_id", "sum_a"])
+    fetched = unsure.join(sets.withColumnsRenamed({"doc_id": "a"}), ["a", "sum_a"]).select("nth", "part", "a", "size", "bins", "hashes")
+    near = fetched.repartition(wide_shuffle(docs.sparkSession), "nth", "part").sortWithinPartitions("nth", "part").mapInArrow(_exact(similarity), "a long, b long")
+    return components(same.unionByName(sure).unionByName(near).distinct()).select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
