@@ -279,7 +279,7 @@ def near_components(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id
 
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
-#: Bits in which fingerprints of that similarity differ, with few exceptions.
+#: Bits in which fingerprints of that similarity mostly differ at the most: those within are looked at first.
 SIMILAR_RADIUS = 18
 #: Least shingle hashes, each under its own mixing; two documents of the similarity share none with odds of 0.2^8.
 BANDS = 8
@@ -309,10 +309,10 @@ def mixed(h: np.ndarray, m: int) -> np.ndarray:
 
 
 def sketches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of each document: fingerprint, BANDS least hashes, BINS one-byte bins (0: empty), number of distinct shingles, and two sums that name their set."""
+    """Of each document: fingerprint of its distinct shingles, BANDS least hashes, BINS one-byte bins (0: empty), number of distinct shingles, and two sums that name their set."""
     h, shingles = shingle_hashes(data, offsets, SIMILAR_SHINGLE, SEED)
-    fp = majority(h, shingles)
     h, sizes = distinct(h, shingles)
+    fp = majority(h, sizes)
     n, full = len(sizes), np.flatnonzero(sizes)
     bands, sums = np.full((n, BANDS), -1, np.int64), np.zeros((n, 2), np.int64)
     least = np.full(n * BINS, np.iinfo(np.uint64).max, np.uint64)
@@ -449,10 +449,16 @@ def _sketched(radius: int, similarity: float):
             rep, fps, sums, sizes = (rows.column(c).to_numpy() for c in ("rep", "fp", "sum_a", "size"))
             fps = fps.view(np.uint64)
             bins, bands = _bins(rows), rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)[:, :nth]
-            unsure = np.zeros(len(rep), bool)
+            unsure, at = np.zeros(len(rep), bool), np.arange(len(rep))
 
             def looks(i, label):
-                yield np.flatnonzero((np.bitwise_count(fps[:i] ^ fps[i]) <= radius) & (label[:i] != label[i]))
+                # one of each component nearby, so that a large group of copies is not compared pair by pair; then all the rest
+                heads = np.flatnonzero(label[:i] == at[:i])
+                near = heads[np.bitwise_count(fps[heads] ^ fps[i]) <= radius]
+                yield near
+                rest = label[:i] != label[i]
+                rest[near] = False
+                yield np.flatnonzero(rest)
 
             def doubt(i, others, label, join):
                 new = others[~(bands[others] == bands[i]).any(axis=1)]
@@ -501,17 +507,17 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, radius:
     """(doc_id, component_id) of the documents that belong to a component of two or more.
 
     Documents link if their five-word shingles are at least `similarity` alike. A
-    shard holds the documents that share a least shingle hash; those within the
-    radius are compared. Sketches decide far from the threshold; documents of a
-    pair near it fetch their shingle hashes and are compared exactly. Documents
-    without words are alike. Rows that repeat an id are one node, rows without an
-    id none.
+    shard holds the documents that share a least shingle hash, and all that are
+    not joined yet are compared, those within the radius first. Sketches decide
+    far from the threshold; documents of a pair near it fetch their shingle
+    hashes and are compared exactly. Documents without words are alike. Rows that
+    repeat an id are one node, rows without an id none.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     named = ["size", "sum_a", "sum_b"]
     found = written(rows.mapInArrow(_sketch_batches, SKETCH), "sketches")
-    nodes = found.groupBy(*named, "fp").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bins").alias("bins"))
-    same = found.join(nodes.select(*named, "fp", "rep"), [*named, "fp"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    nodes = found.groupBy(*named).agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("bins").alias("bins"))
+    same = found.join(nodes.select(*named, "rep"), named).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     filed = nodes.select(F.posexplode("bands").alias("nth", "part"), "rep", "fp", "sum_a", "size", "bands", "bins")
     dealt = filed.repartition(wide_shuffle(docs.sparkSession), "nth", "part").sortWithinPartitions("nth", "part")
     judged = written(dealt.mapInArrow(_sketched(radius, similarity), FOUND), "similar")

@@ -43,3 +43,18 @@ def test_pairs_near_the_threshold_are_decided_exactly(spark):
     rnd = random.Random(3)
     rows = pairs(rnd, 60, 400, 0.78, 0.82) + [(10_000 + i, *r) for i, *r in pairs(rnd, 60, 8, 0.6, 1.0)]
     assert components(spark, rows, radius=64) == brute(rows)
+
+
+def test_fingerprints_far_apart_do_not_part_what_is_alike(spark):
+    rnd = random.Random(4)
+    rows = pairs(rnd, 60, 400, 0.78, 0.82) + [(10_000 + i, *r) for i, *r in pairs(rnd, 60, 8, 0.6, 1.0)]
+    for g in range(20):
+        words = [f"r{g}w{k}" for k in range(404)]
+        rows += [(20_000 + 10 * g, " ".join(words), "en", "a", 0), (20_001 + 10 * g, " ".join(words + words[:34] * 40), "en", "a", 0)]
+    want = brute(rows)
+    assert components(spark, rows) == want and sum(i >= 20_000 for i, _ in want) == 40
+
+
+def test_rows_of_one_set_are_one_node(spark):
+    rows = [(1, "a b c d e a b c d e", "en", "a", 0), (2, "a b c d e a b c d e a b c d e", "en", "a", 0), (3, "", "en", "a", 0), (4, None, "en", "a", 0), (5, "a b", "en", "a", 0)]
+    assert components(spark, rows) == {(1, 1), (2, 1), (3, 3), (4, 3)}
