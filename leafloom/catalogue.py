@@ -477,6 +477,19 @@ def assertion_results(spark, sf_dir):
     return checks.results(asked, lines, "doc_id", "ord", "line", "leaf")
 
 
+@query()
+def assertion_checks(spark, sf_dir):
+    """Every kind of check, of every document: its first and last leaf, whole; the document's first line is its heading."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    held = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
+    first, last = F.try_element_at(held, F.lit(1)), F.try_element_at(held, F.lit(-1))
+    asked = [("in_flow", first), ("absent", F.lit("no such text")), ("order", first, last), ("merge", first, last), ("split", first, last), ("role", first, F.lit("heading")), ("freeze", last)]
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), F.array(*args).alias("args")) for k, (kind, *args) in enumerate(asked)])
+    rows = docs.select("doc_id", F.explode(each).alias("c")).select((F.col("doc_id") * 10 + F.col("c.k")).alias("check_id"), "doc_id", "c.kind", "c.args")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ord", "line")).where(F.trim("line") != "")
+    return checks.results(rows, lines.withColumn("leaf", F.when(F.col("ord") == 0, "heading").otherwise("paragraph")), "doc_id", "ord", "line", "leaf")
+
+
 # --- sequence and layout
 
 @query(f"""WITH {LEAVES}, f AS (SELECT *, CASE WHEN coalesce(regexp_matches(line, '^[a-z]'), false) AND lag(line) OVER w IS NOT NULL THEN 0 ELSE 1 END AS fresh FROM leaves WINDOW w AS (PARTITION BY doc_id ORDER BY ord)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM f)
