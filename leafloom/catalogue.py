@@ -69,6 +69,13 @@ def acronym_terms(spark, sf_dir):
     return found.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
+# all documents; for DuckDB each separator is doubled, as its patterns can't look around
+@query(f"WITH {LEAVES} SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all('  ' || regexp_replace(line, '[^\\p{{L}}\\p{{N}}_]', '  ', 'g') || '  ', ' ([A-Z]{{2,6}}) ', 1)) AS term FROM leaves) GROUP BY term")
+def acronym_terms_all(spark, sf_dir):
+    found = leaves(spark, sf_dir).select("doc_id", F.explode(text.extract_all(F.col("line"), text.ACRONYM_ANY)).alias("term"))
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
 @query(f"""WITH {LEAVES}, r AS (SELECT source, line, count(DISTINCT doc_id) AS n_docs FROM leaves GROUP BY source, line HAVING count(DISTINCT doc_id) >= 3)
 SELECT l.source, count(*) AS n_kept FROM leaves l ANTI JOIN r ON l.source = r.source AND l.line = r.line GROUP BY l.source""")
 def running_header_strip(spark, sf_dir):

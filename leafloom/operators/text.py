@@ -10,6 +10,8 @@ DATE = rf"\b((?:{MONTHS}) [0-9]{{1,2}}, [0-9]{{4}}|(?:{MONTHS}) [0-9]{{4}})\b"
 MONEY = r"(\$[0-9][0-9,]*(?:\.[0-9]+)?(?: (?:thousand|million|billion))?)"
 NUMBER = r"([0-9][0-9,]*(?:\.[0-9]+)?)"
 ACRONYM = r"\b([A-Z]{2,6})\b"
+#: The same between letters and digits of any script, whatever the engine takes for a word's edge.
+ACRONYM_ANY = r"(?<![\p{L}\p{N}_])([A-Z]{2,6})(?![\p{L}\p{N}_])"
 FUNDING = r"(?i)\b(award|grant|fund|invest|donat)[a-z]*\b"
 LABEL_VALUE = r"^([A-Z][A-Za-z ]{1,40}): +(.+)$"
 QUESTION = r"\?\s*$"

@@ -25,3 +25,9 @@ def test_checks_are_asked_of_every_document(spark, tmp_path):
         want |= {(10 * i + k, kind, p) for k, (kind, p) in enumerate(zip("in_flow absent order merge split role freeze".split(), passed))}
     found = catalogue.assertion_checks(spark, documents(spark, tmp_path, rows)).collect()
     assert {(r.check_id, r.kind, r.passed) for r in found} == want and len(found) == 7 * len(rows)
+
+
+def test_acronyms_of_documents_in_any_language(spark, tmp_path):
+    rows = [(1, "de", "a", "Die EU, UNO und die NATO EU"), (2, None, "a", "WHO (EU)\nÉEU EUÉ A TOOLONGX EU_ x9EU"), (3, "en", "a", "EU"), (4, "fr", "a", "l'OTAN—UE")]
+    found = catalogue.acronym_terms_all(spark, documents(spark, tmp_path, rows)).collect()
+    assert {(r.term, r.n, r.n_docs) for r in found} == {("EU", 4, 3), ("UNO", 1, 1), ("NATO", 1, 1), ("WHO", 1, 1), ("OTAN", 1, 1), ("UE", 1, 1)}
