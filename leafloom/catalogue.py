@@ -589,6 +589,12 @@ def natural_sort(spark, sf_dir):
     return first.withColumn("place", F.row_number().over(windows.Window.orderBy(text.natural_key(F.col("p_brand")), "p_partkey"))).drop("p_brand")
 
 
+@query("SELECT p_partkey, p_name, row_number() OVER (ORDER BY regexp_extract(p_brand, '^([^0-9]*)', 1), CAST(nullif(regexp_extract(p_brand, '([0-9]+)', 1), '') AS BIGINT), p_partkey) AS place FROM part")
+def natural_order(spark, sf_dir):
+    parts = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
+    return windows.placed(parts, text.natural_key(F.col("p_brand")), F.col("p_partkey")).drop("p_brand")
+
+
 @query("SELECT l_suppkey, sum(l_quantity) AS quantity FROM lineitem WHERE l_quantity > 20 GROUP BY l_suppkey HAVING count(*) > 5 EXCEPT SELECT s_suppkey, 0 FROM supplier WHERE s_acctbal < 0")
 def set_difference(spark, sf_dir):
     big = read(spark, sf_dir, "lineitem", "l_suppkey", "l_quantity").where("l_quantity > 20").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("n")).where("n > 5").drop("n")

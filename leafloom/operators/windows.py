@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import new_folder
+
 
 def merged_intervals(df: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
     """Overlapping or touching intervals of a key become one: key, lo, hi, n."""
@@ -74,3 +76,14 @@ def least_of_share(df: DataFrame, key: str, value: str, weight: str, share: floa
     sums = df.groupBy(key, value).agg(F.sum(weight).alias("_w"))
     shares = sums.withColumn("_s", F.col("_w") / F.sum("_w").over(Window.partitionBy(key)))
     return shares.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("_s") >= share, F.col(value))), F.min(value)).alias(value))
+
+
+def placed(df: DataFrame, *order: Column) -> DataFrame:
+    """df with place, the row's number in the order. Ranges are sorted and counted each by a task; only their counts meet."""
+    path = new_folder(df.sparkSession, "placed")
+    df.sort(*order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumn("_range", F.shiftright("_id", 33))
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_range", before.alias("_before"))
+    return rows.join(F.broadcast(starts), "_range").withColumn("place", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_range", "_id", "_before")

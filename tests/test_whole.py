@@ -31,3 +31,11 @@ def test_acronyms_of_documents_in_any_language(spark, tmp_path):
     rows = [(1, "de", "a", "Die EU, UNO und die NATO EU"), (2, None, "a", "WHO (EU)\nÉEU EUÉ A TOOLONGX EU_ x9EU"), (3, "en", "a", "EU"), (4, "fr", "a", "l'OTAN—UE")]
     found = catalogue.acronym_terms_all(spark, documents(spark, tmp_path, rows)).collect()
     assert {(r.term, r.n, r.n_docs) for r in found} == {("EU", 4, 3), ("UNO", 1, 1), ("NATO", 1, 1), ("WHO", 1, 1), ("OTAN", 1, 1), ("UE", 1, 1)}
+
+
+def test_natural_order_places_every_row(spark, tmp_path):
+    rows = [(k, f"part {k}", f"Brand#{k * 7 % 120}") for k in range(600)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string").repartition(5).write.parquet(f"{tmp_path}/part.parquet")
+    want = {(k, name, n + 1) for n, (k, name, _) in enumerate(sorted(rows, key=lambda r: (int(r[2][6:]), r[0])))}
+    found = catalogue.natural_order(spark, str(tmp_path)).collect()
+    assert {(r.p_partkey, r.p_name, r.place) for r in found} == want and len(found) == 600
