@@ -251,6 +251,12 @@ def pattern_matrix(spark, sf_dir):
     return wide.withColumn("total", F.col("d1") + F.col("d2") + F.col("d3"))
 
 
+@query(f"SELECT event_type, {', '.join(f'count(*) FILTER (WHERE day(ts) = {k}) AS d{k}' for k in range(1, 32))}, count(*) AS total FROM events GROUP BY event_type")
+def pattern_matrix_days(spark, sf_dir):
+    events = read(spark, sf_dir, "events", "event_type", "ts").select("event_type", F.dayofmonth("ts").alias("d"))
+    return events.groupBy("event_type").agg(*[F.count_if(F.col("d") == k).alias(f"d{k}") for k in range(1, 32)], F.count(F.lit(1)).alias("total"))
+
+
 @query(f"WITH {FUNDING_SQL} SELECT 'funding_event' AS pattern_type, count(*) AS n FROM sentences UNION ALL SELECT 'date_time_period', count(*) FROM sentences WHERE regexp_matches(s, '{text.DATE}') UNION ALL SELECT 'statistic', CAST(sum(len(regexp_extract_all(s, '{text.NUMBER}', 1))) AS BIGINT) FROM sentences")
 def pattern_inventory(spark, sf_dir):
     s = F.col("s")

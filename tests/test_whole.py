@@ -39,3 +39,11 @@ def test_natural_order_places_every_row(spark, tmp_path):
     want = {(k, name, n + 1) for n, (k, name, _) in enumerate(sorted(rows, key=lambda r: (int(r[2][6:]), r[0])))}
     found = catalogue.natural_order(spark, str(tmp_path)).collect()
     assert {(r.p_partkey, r.p_name, r.place) for r in found} == want and len(found) == 600
+
+
+def test_matrix_counts_every_day(spark, tmp_path):
+    rows = [("a", datetime.datetime(2024, 1, d)) for d in range(1, 32)] + [("b", datetime.datetime(2024, 2, 29)), ("b", datetime.datetime(2024, 3, 29)), ("b", None)]
+    spark.createDataFrame(rows, "event_type string, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    found = {r.event_type: r for r in catalogue.pattern_matrix_days(spark, str(tmp_path)).collect()}
+    assert [found["a"][f"d{k}"] for k in range(1, 32)] == [1] * 31 and found["a"].total == 31
+    assert (found["b"].d29, found["b"].d1, found["b"].total) == (2, 0, 3)
