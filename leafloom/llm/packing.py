@@ -27,6 +27,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,11 @@ def _byte_letters() -> dict[int, str]:
 BYTE_LETTERS = _byte_letters()
 
 
+def only_letters(word: str) -> bool:
+    """Whether the tokenizer sees letters alone, which it encodes apart from a mark behind them: its normal form and lower case may part a letter (İ) into a letter and a combining mark, which joins the next mark."""
+    return word.isalpha() and (word.isascii() or normalize("NFC", word).lower().isalpha())
+
+
 class WordIds:
     """Ids of whole texts by a tokenizer that never joins what white space parts.
 
@@ -76,7 +82,7 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, fresh: list[str]) -> None:
-        marked = [x for x in fresh if x[-1] in ",." and x[:-1].isalpha()]  # letters are encoded apart from what follows
+        marked = [x for x in fresh if x[-1] in ",." and only_letters(x[:-1])]
         plain = set(fresh).difference(marked)
         plain.update(x[:-1] for x in marked if x[:-1] not in self.ids)
         # Latin-1 letters are one lower-case word to the tokenizer, which its model takes as it stands

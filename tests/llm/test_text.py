@@ -51,6 +51,17 @@ def test_word_ids_as_tokenizers():
             assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_word_ids_of_random_letters_and_marks():
+    """Capitals that lower case parts into a letter and a mark, combining marks, and punctuation behind them."""
+    words, rnd = packing.WordIds(packing.vocabulary()), random.Random(8)
+    bits = ["İ", "I", "ı", "ŞİRKETİ", "BELEDİYESİ", "a", "É", "é", "e\u0301", "\u0307", "\u0958", "क", "़", "ñ", "n\u0303", "Σ", "ς", "ß", "ẞ", "ﬁ", "가", "한", "Ⅳ", "ª", "µ", "1", "²", ",", ".", ",.", "'s", "'", "’s", " ", " ", " ", "\n", "\u00a0", "<|endoftext|>", "-"]
+    texts = ["ANKARA BELEDİYESİ, 2020", "ŞİRKETİ.", " İLİ. x"] + ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 30))) for _ in range(6000)]
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        for t, ids in zip(part, words.batch(part)):
+            assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_packing_places_every_id_once(spark):
     df = documents(spark)
     words = packing.WordIds(packing.vocabulary())
