@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship
-from ..plans.storage import new_folder
+from ..plans.storage import new_folder, remove
 
 #: Bytes of text that one numpy pass takes at a time; bounds a Python worker's memory.
 PASS_BYTES = 4 << 20
@@ -47,7 +47,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     path = new_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table made by `written` that nothing reads any more."""
+    remove(df.sparkSession, df.scratch_path)
 
 
 def wide_shuffle(spark: SparkSession) -> int:

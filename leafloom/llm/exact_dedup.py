@@ -9,7 +9,10 @@ empty table gives an empty result.
 
 Only 16-byte hashes are shuffled for all rows. Text moves only for rows whose
 hash occurs twice or more, and each of them is compared with its group's first
-row, so no group is ever gathered in one place.
+row. A group's size and best row are partial aggregates. Where a group's rows
+are joined with what holds for the group, both sides are plain tables, so that
+Spark can split a hash that many rows have; a row whose hash is its own joins
+nothing.
 """
 
 from __future__ import annotations
@@ -42,17 +45,23 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ha
         rows.select("doc_id", hash_of(F.col("norm")).alias("h"), F.sha2("norm", 256).alias("text_sha256"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n")),
         "exact-hashed",
     )
-    several = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep")).where("copies > 1").select("h", "rep")
+    several = written(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep")).where("copies > 1").select("h", "rep"), "exact-several")
     members = hashed.join(several, "h").select("doc_id", "h", "rep").distinct()
     # text is fetched once, for these rows alone
     fetched = written(rows.join(members, "doc_id").where(hash_of(F.col("norm")) == F.col("h")).select("doc_id", "h", "rep", "norm"), "exact-fetched")
     # a repeated id may have several texts of one hash: then the least of them stands for the group
-    first = fetched.where("doc_id = rep").groupBy("h").agg(F.min("norm").alias("first"))
-    unlike = fetched.join(first, "h").where(F.col("norm") != F.col("first")).select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256"), F.col("norm").alias("bytes")).distinct()
-    own = hashed.join(unlike, ["doc_id", "h", "text_sha256"], "left").withColumns({"other": F.col("bytes").isNotNull(), "bytes": F.coalesce("bytes", F.lit(""))})
-    best = own.groupBy("h", "other", "bytes").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("n", (-F.col("doc_id")).alias("back"))).alias("top"))
+    first = written(fetched.where("doc_id = rep").groupBy("h").agg(F.min("norm").alias("first")), "exact-first")
+    unlike = written(
+        fetched.join(first, "h").where(F.col("norm") != F.col("first")).select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256"), F.col("norm").alias("bytes")).distinct(), "exact-unlike"
+    )
+    # rows of hashes that occur twice, each with the bytes that tell it from others of its hash
+    shared = hashed.join(several.select("h"), "h")
+    own = written(shared.join(unlike, ["doc_id", "h", "text_sha256"], "left").withColumns({"other": F.col("bytes").isNotNull(), "bytes": F.coalesce("bytes", F.lit(""))}), "exact-own")
+    best = written(own.groupBy("h", "other", "bytes").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("n", (-F.col("doc_id")).alias("back"))).alias("top")), "exact-best")
     kept = (F.col("n") == F.col("top.n")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return own.join(best, ["h", "other", "bytes"]).withColumn("keep_id", -F.col("top.back")).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    copies = own.join(best, ["h", "other", "bytes"]).withColumn("keep_id", -F.col("top.back")).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    alone = hashed.join(several.select("h"), "h", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    return alone.unionByName(copies)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

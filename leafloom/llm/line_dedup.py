@@ -9,7 +9,8 @@ a spread of at least `min_sites` is removed wherever it stands.
 
 Null text has no lines and stays null. A null site is a site of its own. Rows
 that repeat an id are treated each by its own text. All columns of the input
-are kept. An empty table gives an empty result.
+are kept, but for n_lines and n_removed in any case, which the operator's own
+replace. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text: str =
     kept = F.filter(all_lines, lambda x: ~F.array_contains(F.col("_gone"), line_hash(x)))
     n_lines = F.when(F.col("_row")[text].isNull(), 0).otherwise(F.size(all_lines)).cast("long")
     joined = keyed.drop("_text").join(gone, "_key", "left").select("_row", "_gone", n_lines.alias("_n"), F.when(F.col("_gone").isNotNull(), kept).alias("_kept"))
-    own = [F.col("_row")[c].alias(c) if c != text else F.coalesce(F.array_join("_kept", "\n"), F.col("_row")[text]).alias(text) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    own = [F.col("_row")[c].alias(c) if c.lower() != text.lower() else F.coalesce(F.array_join("_kept", "\n"), F.col("_row")[text]).alias(text) for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     n_removed = F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("_n") - F.size("_kept"))
     return joined.select(*own, F.col("_n").alias("n_lines"), n_removed.alias("n_removed"))
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PASS_BYTES, buffer, slices, table, wide_shuffle, written
+from .common import PASS_BYTES, buffer, discard, slices, table, wide_shuffle, written
 from .words import words, xxh64
 
 RADIUS = 3
@@ -247,21 +247,27 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every node to the least label among its neighbours' labels
     and then follows that label's own label, which halves the depth of the
-    forest; rounds are written to the shared folder.
+    forest. Rounds are written to the shared folder, the one before is removed.
+    Joins on a hub's or a root's id read plain tables on both sides, so that
+    Spark can split a key that many rows have.
     """
+    spark = edges.sparkSession
     both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "cc-edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "cc-labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("to"))
+        hooked = written(labels.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("to")), "cc-hooked")
         # a root follows the least label offered to any of its members
-        offers = hooked.groupBy("label").agg(F.min("to").alias("offer")).select(F.col("label").alias("node"), "offer")
-        moved = hooked.join(offers, "node", "left").select("node", "label", F.least("to", F.coalesce("offer", "to")).alias("to"))
+        offers = written(hooked.groupBy("label").agg(F.min("to").alias("offer")).where("offer < label").select("label", "offer"), "cc-offers")
+        moved = written(hooked.join(offers, hooked.node == offers.label, "left").select("node", hooked.label, F.least("to", F.coalesce("offer", "to")).alias("to")), "cc-moved")
         up = moved.select(F.col("node").alias("to"), F.col("to").alias("root"))
         after = written(moved.join(up, "to").select("node", F.col("root").alias("label"), (F.col("root") != F.col("label")).alias("changed")), "cc-labels")
-        labels = after.select("node", "label")
+        for old in (labels, hooked, offers, moved):
+            discard(old)
+        labels = after
         if after.where("changed").isEmpty():
-            return labels
+            discard(both)
+            return labels.select("node", "label")
 
 
 def near_components(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -516,8 +522,7 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, radius:
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     named = ["size", "sum_a", "sum_b"]
     found = written(rows.mapInArrow(_sketch_batches, SKETCH), "sketches")
-    nodes = found.groupBy(*named).agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("bins").alias("bins"))
-    same = found.join(nodes.select(*named, "rep"), named).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    nodes = written(found.groupBy(*named).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("bins").alias("bins")), "sketch-sets")
     filed = nodes.select(F.posexplode("bands").alias("nth", "part"), "rep", "fp", "sum_a", "size", "bands", "bins")
     dealt = filed.repartition(wide_shuffle(docs.sparkSession), "nth", "part").sortWithinPartitions("nth", "part")
     judged = written(dealt.mapInArrow(_sketched(radius, similarity), FOUND), "similar")
@@ -526,7 +531,10 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, radius:
     sets = rows.join(asked, "doc_id", "left_semi").mapInArrow(_set_batches, "doc_id long, sum_a long, hashes binary").dropDuplicates(["doc_id", "sum_a"])
     fetched = unsure.join(sets.withColumnsRenamed({"doc_id": "a"}), ["a", "sum_a"]).select("nth", "part", "a", "size", "bins", "hashes")
     near = fetched.repartition(wide_shuffle(docs.sparkSession), "nth", "part").sortWithinPartitions("nth", "part").mapInArrow(_exact(similarity), "a long, b long")
-    return components(same.unionByName(sure).unionByName(near).distinct()).select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))
+    joined = components(sure.unionByName(near).distinct())
+    # what all documents of one set of shingles share; alone of its set and not joined means no component
+    several = nodes.join(joined, nodes.rep == joined.node, "left").where("rep < last OR label IS NOT NULL").select(*named, F.coalesce("label", "rep").alias("component_id"))
+    return found.select("doc_id", *named).join(written(several, "similar-sets"), named).select("doc_id", "component_id").distinct()
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
