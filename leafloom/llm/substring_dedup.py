@@ -17,6 +17,14 @@ A shard's automaton goes to the task that holds the shard's occurrences and to
 no other: sending all automata to all tasks would compare all with all. The task
 holds the shard's distinct surroundings only, whatever their number of copies.
 
+A run of `GRAM` words that a great many documents have would make a shard that
+one task can't hold. Such runs are looked for in a sample of documents (it sets
+how rows are dealt, never what is found; at most the mean number of seeds of a
+document over `HOT_SHARE` can be that frequent, whatever the input's size).
+Windows with such a seed are shards of their own, named by all their words: the
+reference is the one window of the smallest id, taken by partial aggregation,
+and each other occurrence is streamed through its automaton wherever it stands.
+
 Null text has no words. Rows without an id are neither reference nor cut. Rows
 that repeat an id are cut each on its own and are no reference for each other.
 An empty table gives an empty result.
@@ -32,11 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buffer, slices, table, wide_shuffle
+from .common import PASS_BYTES, buffer, slices, table, wide_shuffle, written
 from .words import Words, words, xxh64
 
 WINDOW = 13
 GRAM = 6
+#: A seed that this share of the sampled documents has, and HOT_LEAST of them, is dealt by its windows.
+HOT_SHARE, HOT_LEAST = 0.005, 25
+#: Documents of that sample, about.
+HOT_SAMPLE = 20_000
 
 
 def _slide(a: np.ndarray, n: int, of) -> np.ndarray:
@@ -49,61 +61,115 @@ def _slide(a: np.ndarray, n: int, of) -> np.ndarray:
     return out
 
 
-def seeds(w: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of the seeds of a batch: hashes, documents, and the first and last word + 1 of the windows that each is the seed of."""
+def mixed(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n words on end, from the words' own hashes; never 0."""
+    out = np.zeros(len(h) - n + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)]
+            out ^= out >> np.uint64(29)
+        out = out * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(32)
+    return np.maximum(out, np.uint64(1))
+
+
+def least_grams(w: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of words and of grams; and by window (its first word), its document and its least gram, 0 where it would run into the next document."""
+    h = xxh64(w.data, w.start, w.end)
+    grams = mixed(h, gram)
+    doc = np.searchsorted(w.first, np.arange(len(h)), "right") - 1
+    least = _slide(grams, window - gram + 1, np.minimum)
+    return h, grams, doc, np.where(doc[: len(least)] == doc[window - 1 : window - 1 + len(least)], least, np.uint64(0))
+
+
+def is_hot(least: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """hot: ascending."""
+    if not len(hot):
+        return np.zeros(len(least), bool)
+    return hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least
+
+
+def seeds(w: Words, window: int = WINDOW, gram: int = GRAM, hot: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, ...]:
+    """Of the seeds of a batch that are not hot: hashes, documents, and the first and last word + 1 of the windows that each is the seed of."""
     none = np.zeros(0, np.int64)
     if len(w.start) < window:
         return none, none, none, none
-    h = xxh64(w.data, w.start, w.end)
-    n, reach = len(h) - gram + 1, window - gram + 1
-    mixed = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(gram):
-            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-            mixed ^= mixed >> np.uint64(29)
-        mixed = mixed * np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-    doc = np.searchsorted(w.first, np.arange(len(h)), "right") - 1
-    least = _slide(mixed, reach, np.minimum)  # by the window's first word
-    least = np.where(doc[: len(least)] == doc[window - 1 : window - 1 + len(least)], least, np.uint64(0))
+    reach = window - gram + 1
+    _, grams, doc, least = least_grams(w, window, gram)
+    least[is_hot(least, hot)] = 0
     wide = np.concatenate([np.zeros(reach - 1, np.uint64), least, np.zeros(reach - 1, np.uint64)])
-    chosen = np.flatnonzero((_slide(wide, reach, np.maximum) == mixed) & (mixed != 0))
+    chosen = np.flatnonzero(_slide(wide, reach, np.maximum) == grams)
     # wide[at + k] is the least of the window that begins reach - 1 - k words before the seed
-    its = np.stack([wide[chosen + k] == mixed[chosen] for k in range(reach)])
+    its = np.stack([wide[chosen + k] == grams[chosen] for k in range(reach)])
     first = chosen - (reach - 1) + its.argmax(axis=0)
     last = chosen - its[::-1].argmax(axis=0) + window
-    return mixed[chosen].view(np.int64), doc[chosen], first, last
+    return grams[chosen].view(np.int64), doc[chosen], first, last
 
 
-def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, 1):
-            h, doc, _, _ = seeds(words(*buffer(batch.column(1))))
-            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(pa.array(doc))], names=["seed", "doc_id"])
+def hot_windows(w: Words, hot: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Windows whose seed is hot: hashes of all their words, documents, first and last word + 1."""
+    none = np.zeros(0, np.int64)
+    if len(w.start) < window or not len(hot):
+        return none, none, none, none
+    h, _, doc, least = least_grams(w, window, gram)
+    first = np.flatnonzero(is_hot(least, hot))
+    return mixed(h, window)[first].view(np.int64), doc[first], first, first + window
+
+
+def _seed_rows(hot: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1):
+                h, doc, _, _ = seeds(words(*buffer(batch.column(1))), hot=hot)
+                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(pa.array(doc))], names=["seed", "doc_id"])
 
+    return run
+
+
+def _stretches(w: Words, first: np.ndarray, last: np.ndarray) -> pa.Array:
+    """The text from each first word to each last one."""
+    a, b = w.start[first], w.end[last - 1]
+    size = b - a
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    index = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size) + np.repeat(a, size)
+    return pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(w.data[index].tobytes())]).cast(pa.binary())
 
-def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _hot_rows(hot: np.ndarray):
+    """(seed, doc_id, rid, start, words) of each window whose seed is hot; the seed is the whole window's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1, PASS_BYTES // 8):
+                w = words(*buffer(batch.column(1)))
+                h, doc, first, last = hot_windows(w, hot)
+                take = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(take), batch.column(2).take(take), pa.array((first - w.first[doc]).astype(np.int32)), _stretches(w, first, last)], names=["seed", "doc_id", "rid", "start", "words"])
+
+    return run
+
+
+def _surroundings(hot: np.ndarray):
     """(seed, doc_id, rid, start, words): what stands around each shared seed of a document, `start` its first word's place."""
-    for whole in batches:
-        for batch in slices(whole, whole.schema.get_field_index(TEXT)):
-            w = words(*buffer(batch.column(TEXT)))
-            h, doc, first, last = seeds(w)
-            shared = batch.column(SEEDS)
-            values = shared.flatten().to_numpy(zero_copy_only=False)
-            counts = np.diff(shared.offsets.to_numpy()) if len(shared) else np.zeros(0, np.int64)
-            owner = np.repeat(np.arange(batch.num_rows), counts)
-            # pairs (document, seed) as one number each: a collision only looks at a seed in vain
-            key = lambda d, s: s ^ (d * np.int64(0x5851F42D4C957F2D))
-            with np.errstate(over="ignore"):
-                own = np.isin(key(doc, h), key(owner.astype(np.int64), values.astype(np.int64)))
-            h, doc, first, last = h[own], doc[own], first[own], last[own]
-            a, b = w.start[first], w.end[last - 1]
-            size = b - a
-            offsets = np.concatenate([[0], np.cumsum(size)])
-            index = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size) + np.repeat(a, size)
-            text = pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(w.data[index].tobytes())]).cast(pa.binary())
-            take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(ID).take(take), batch.column(ROW).take(take), pa.array((first - w.first[doc]).astype(np.int32)), text], names=["seed", "doc_id", "rid", "start", "words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, whole.schema.get_field_index(TEXT)):
+                w = words(*buffer(batch.column(TEXT)))
+                h, doc, first, last = seeds(w, hot=hot)
+                shared = batch.column(SEEDS)
+                values = shared.flatten().to_numpy(zero_copy_only=False)
+                counts = np.diff(shared.offsets.to_numpy()) if len(shared) else np.zeros(0, np.int64)
+                owner = np.repeat(np.arange(batch.num_rows), counts)
+                # pairs (document, seed) as one number each: a collision only looks at a seed in vain
+                key = lambda d, s: s ^ (d * np.int64(0x5851F42D4C957F2D))
+                with np.errstate(over="ignore"):
+                    own = np.isin(key(doc, h), key(owner.astype(np.int64), values.astype(np.int64)))
+                h, doc, first, last = h[own], doc[own], first[own], last[own]
+                take = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(ID).take(take), batch.column(ROW).take(take), pa.array((first - w.first[doc]).astype(np.int32)), _stretches(w, first, last)], names=["seed", "doc_id", "rid", "start", "words"])
+
+    return run
 
 
 class SuffixAutomaton:
@@ -222,7 +288,24 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], names=["doc_id", "rid", "a", "b"])
 
 
-def _cut(text: str, digest_only: bool):
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows have an occurrence and the one window before it to look for; out come the covered words."""
+    at, automaton = None, SuffixAutomaton()
+    for batch in batches:
+        out: list[tuple[int, int, int, int]] = []
+        for doc, rid, start, text, reference in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            if reference != at:
+                at, automaton = reference, SuffixAutomaton()
+                automaton.add(reference.split(b" "))
+            for a, b in covered(automaton.matching(text.split(b" "))):
+                out.append((doc, rid, start + a, start + b))
+        columns = list(zip(*out)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], names=["doc_id", "rid", "a", "b"])
+
+
+def _cut(text: str, names: list[str] | None):
+    """names: the input's columns, to be given back with the text cut; None for digests only."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, whole.schema.get_field_index(TEXT)):
@@ -246,54 +329,76 @@ def _cut(text: str, digest_only: bool):
                     a, b = ends[places[w.first[d]]], ends[places[w.first[d + 1]]]
                     out.append(kept[a : b - 1].tobytes() if b > a else b"")
                 counts = [pa.array(w.count.astype(np.int64)), pa.array(n_removed.astype(np.int64))]
-                if digest_only:
+                if names is None:
                     yield pa.RecordBatch.from_arrays([batch.column(ID), *counts, pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
                 else:
-                    old = batch.column(TEXT).to_pylist()
-                    new = pa.array([x.decode() if n else y for x, y, n in zip(out, old, n_removed.tolist())], pa.string())
-                    names = [x for x in batch.schema.names if x not in OWN]
-                    yield pa.RecordBatch.from_arrays([new if x == text else batch.column(x) for x in names] + counts, names=[*names, "n_words", "n_removed"])
+                    new = pa.array([x.decode() if n else y for x, y, n in zip(out, batch.column(TEXT).to_pylist(), n_removed.tolist())], pa.string())
+                    rest = iter(batch.column(REST).flatten()) if REST in batch.schema.names else iter(())
+                    yield pa.RecordBatch.from_arrays([new if x == text else next(rest) for x in names] + counts, names=[*names, "n_words", "n_removed"])
 
     return run
 
 
-#: Columns of this operator's own, beside the input's.
-ID, TEXT, ROW, SEEDS, SPANS = OWN = ("_doc_id", "_text", "_row", "_seeds", "_spans")
+#: Columns of this operator's own; the input's travel in a struct, whatever their names.
+ID, TEXT, ROW, SEEDS, SPANS, REST = "_doc_id", "_text", "_row", "_seeds", "_spans", "_rest"
+
+
+def hot_seeds(docs: DataFrame, share: float = HOT_SHARE, least: int = HOT_LEAST, sample: int = HOT_SAMPLE) -> np.ndarray:
+    """Seeds that at least `share` of the sampled documents have, ascending; docs: (doc_id, text). Their number is bounded by the mean number of seeds of a document over `share`."""
+    every = max(1, docs.count() // sample)
+    some = docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(every)) == 0))
+    by_seed = some.mapInArrow(_seed_rows(np.zeros(0, np.uint64)), "seed long, doc_id long").distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    n = some.agg(F.count_distinct("doc_id")).first()[0]
+    found = [r["seed"] for r in by_seed.where(F.col("n") >= share * n).select("seed").collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def hot_spans(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Covered words of windows whose seed is hot; no task needs to see all occurrences of any of them."""
+    found = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("rid")).mapInArrow(_hot_rows(hot), "seed long, doc_id long, rid long, start int, words binary")
+    held = written(found, "hot-windows")
+    lasts = held.groupBy("seed", "words").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    # a plain table: Spark can then split a window that many documents have
+    reference = written(lasts.select("seed", F.col("words").alias("reference"), "lo"), "hot-references")
+    return held.join(reference, "seed").where("doc_id > lo").select("doc_id", "rid", "start", "words", "reference").mapInArrow(_match, "doc_id long, rid long, a int, b int")
 
 
-def repeated_spans(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, rows: DataFrame, hot: np.ndarray) -> DataFrame:
     """(_doc_id, _spans): word spans [a, b) to remove from the rows of that id, each with the row (hash of the text) it belongs to.
 
     docs: (doc_id, text). rows: all columns, dealt by _doc_id; the caller joins the
     result to the same rows, so that Spark shuffles them once.
     """
     n = wide_shuffle(docs.sparkSession)
-    found = docs.where(F.col("doc_id").isNotNull()).mapInArrow(_seed_rows, "seed long, doc_id long")
+    found = docs.where(F.col("doc_id").isNotNull()).mapInArrow(_seed_rows(hot), "seed long, doc_id long")
     by_seed = Window.partitionBy("seed")
     shared = found.withColumns({"lo": F.min("doc_id").over(by_seed), "hi": F.max("doc_id").over(by_seed)}).where("lo < hi")
     mine = shared.groupBy(F.col("doc_id").alias(ID)).agg(F.collect_set("seed").alias(SEEDS))
-    around = rows.join(mine, ID, "left").mapInArrow(_surroundings, "seed long, doc_id long, rid long, start int, words binary")
+    around = rows.join(mine, ID).mapInArrow(_surroundings(hot), "seed long, doc_id long, rid long, start int, words binary")
     spans = around.repartition(n, "seed").sortWithinPartitions("seed", "doc_id").mapInArrow(_search, "doc_id long, rid long, a int, b int")
+    if len(hot):
+        spans = spans.unionByName(hot_spans(docs, hot))
     return spans.groupBy(F.col("doc_id").alias(ID)).agg(F.collect_set(F.struct("rid", "a", "b")).alias(SPANS))
 
 
-def _joined(docs: DataFrame, keep: list[str], doc_id: str, text: str) -> DataFrame:
-    own = {ID: F.col(doc_id).cast("long"), TEXT: F.col(text), ROW: F.xxhash64(F.col(text))}
-    rows = docs.select(*[f"`{c}`" for c in keep], *[v.alias(k) for k, v in own.items()]).repartition(wide_shuffle(docs.sparkSession), ID)
+def _joined(docs: DataFrame, keep: list[str], doc_id: str, text: str, **hot_bounds) -> DataFrame:
+    rest = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias(REST)] if keep else []
+    rows = docs.select(*rest, F.col(doc_id).cast("long").alias(ID), F.col(text).alias(TEXT), F.xxhash64(F.col(text)).alias(ROW)).repartition(wide_shuffle(docs.sparkSession), ID)
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.join(repeated_spans(plain, rows), ID, "left")
+    return rows.join(repeated_spans(plain, rows, hot_seeds(plain, **hot_bounds)), ID, "left")
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with repeated words taken out of its text, and n_words, n_removed beside. Words that stay in a changed text are joined by single spaces."""
-    keep = [c for c in docs.columns if c not in ("n_words", "n_removed", *OWN)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep)
-    return _joined(docs, keep, doc_id, text).mapInArrow(_cut(text, False), f"{schema}, n_words long, n_removed long")
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **hot_bounds) -> DataFrame:
+    """docs with repeated words taken out of its text, and n_words, n_removed beside (they replace columns of these names, in any case). Words that stay in a changed text are joined by single spaces."""
+    kept = [f for f in docs.schema.fields if f.name.lower() not in ("n_words", "n_removed")]
+    own = next(f.name for f in kept if f.name.lower() == text.lower())
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return _joined(docs, [f.name for f in kept if f.name != own], doc_id, text, **hot_bounds).mapInArrow(_cut(own, [f.name for f in kept]), f"{schema}, n_words long, n_removed long")
 
 
-def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **hot_bounds) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the words that stay, joined by single spaces)."""
-    return _joined(docs, [], doc_id, text).mapInArrow(_cut(text, True), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _joined(docs, [], doc_id, text, **hot_bounds).mapInArrow(_cut(text, None), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

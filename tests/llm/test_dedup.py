@@ -178,12 +178,24 @@ def test_substrings_against_brute_force(spark):
     rows += [(230, "again " + pool[0]), (None, pool[1])]
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCUMENTS)
     assert sorted(map(tuple, substring_dedup.digests(df).collect()), key=repr) == brute_cut(rows)
+    for share, least in ((0.0, 2), (0.1, 2), (0.2, 10)):  # with all shared seeds dealt by windows, with some of them
+        assert sorted(map(tuple, substring_dedup.digests(df, share=share, least=least).collect()), key=repr) == brute_cut(rows)
     full = substring_dedup.deduplicated(clashing(df))
     assert full.columns[:5] == df.columns and full.count() == len(rows)
     by = {(r.doc_id, r.text): r for r in full.collect()}
     assert by[(1, ROWS[0][1])].n_removed == 0
 
 
+def test_own_columns_replace_the_input_s_in_any_case(spark):
+    df = documents(spark).select("*", F.lit(7).alias("N_WORDS"), F.lit(8).alias("N_Removed"), F.lit("x").alias("_TEXT"))
+    out = substring_dedup.deduplicated(df)
+    assert out.columns == [*df.columns[:5], "_TEXT", "n_words", "n_removed"]
+    assert sorted((r.n_words, r._TEXT) for r in out.collect()) == sorted((len(words(t)), "x") for _, t, *_ in ROWS)
+    df = documents(spark).select("*", F.lit(7).alias("N_LINES"), F.lit(8).alias("N_Removed"))
+    out = line_dedup.without_boilerplate(df)
+    assert out.columns == [*df.columns[:5], "n_lines", "n_removed"] and out.agg(F.sum("n_lines")).first()[0] == sum(len(t.split("\n")) for _, t, *_ in ROWS if t is not None)
+
+
 def test_suffix_automaton_matching_statistics():
     import random
 
