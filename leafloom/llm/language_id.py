@@ -5,12 +5,17 @@ log relative frequency in each language. An unseen word falls back to its
 character n-grams (word edges marked): the longest that the model knows at each
 place, shorter and shorter, down to single characters and then to a uniform
 floor. A text's score for a language is the sum over its words; the best
-language is the prediction and its share under all languages' scores is `score`.
+language is the prediction. `score` is that language's share of the likelihood
+of the text's average word, so it does not run to 1 with the text's length.
 
 Learned: word and n-gram counts per language, over a sample of at most
-`max_train_docs` rows taken by hash from those that may be learned from, and of
-the most frequent `max_words` words and `max_grams` n-grams. The sample's bound,
-not the corpus, sets the model's size, so it can go to every task.
+`max_train_docs` rows taken by hash from those that may be learned from. Each
+language has an equal share of the sample (what a rare one leaves goes to the
+others), so that every language with a row to learn from is learned, however
+rare. Words and n-grams are counted, and totals taken, in tasks and over the
+whole sample; then each language keeps its most frequent ones, up to its share
+of `max_words` and `max_grams`, and the rest is scored as unseen. The sample's
+bound, not the corpus, sets the model's size, so it can go to every task.
 
 Null text, or text without letters: `und`, score 0. With nothing to learn from,
 every text is `und`. Ties go to the language that sorts first. Input columns
@@ -27,14 +32,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, learn, slices, table, texts
+from .common import held_out, learn, slices, table, texts, written
 
 #: Bounds of what is learned from and of what is learned.
 MAX_TRAIN_DOCS = 8000
-MAX_WORDS = 40_000
+MAX_WORDS = 160_000
 MAX_GRAMS = 60_000
 LONGEST_GRAM = 4
 #: Distinct words whose parts a worker keeps.
@@ -81,40 +86,75 @@ class Model:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts per language, added up within a task."""
+    """Words (size 0) and n-grams (their size) with their counts per language, added up within a task."""
     held: dict[str, Counter] = {}
     for batch in batches:
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             held.setdefault(lang, Counter()).update(letter_runs(text or ""))
     for lang, c in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
+        yield _counted(lang, 0, c)
+        for size in range(1, LONGEST_GRAM + 1):
+            parts: Counter = Counter()
+            for w, n in c.items():
+                for g in set(grams(w, size)):
+                    parts[g] += n
+            yield _counted(lang, size, parts)
+
+
+COUNTS = "lang string, size int, part string, n long"
+
+
+def _counted(lang: str, size: int, c: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array([size] * len(c), pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "size", "part", "n"])
+
+
+def shares(held: dict[str, int], most: int) -> dict[str, int]:
+    """Equal shares of `most` to each key; what one can't fill goes to the others. Each has 1 at least."""
+    out, left = {}, most
+    for k, (name, n) in enumerate(sorted(held.items(), key=lambda x: (x[1], x[0]))):
+        out[name] = max(1, min(n, left // (len(held) - k)))
+        left -= out[name]
+    return out
+
+
+def sampled(usable: DataFrame, max_train_docs: int) -> DataFrame:
+    """(t, l): of each language (l) its share of rows, those of least hash of their id (i)."""
+    counts = {r["l"]: r["n"] for r in usable.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    most = shares(counts, max_train_docs)
+    # about that many rows have a hash below the bound, with room for chance; ranking then sees those alone
+    bounds = [x for name, k in most.items() for x in (F.lit(name), F.lit(min(2**63 - 1, int((k + 8 * k**0.5 + 8) / counts[name] * 2**63))))]
+    order = F.xxhash64("i").bitwiseAND(F.lit(2**63 - 1))
+    few = usable.withColumn("o", order).where(F.col("o") <= F.create_map(*bounds)[F.col("l")]) if most else usable.withColumn("o", order)
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("o", "i", F.xxhash64("t")))
+    limit = F.create_map(*[x for name, k in most.items() for x in (F.lit(name), F.lit(k))])[F.col("l")] if most else F.lit(0)
+    return few.withColumn("k", rank).where(F.col("k") <= limit).select("t", "l")
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_train_docs: int = MAX_TRAIN_DOCS) -> Model:
-    """Learn from at most max_train_docs rows of docs with a language and text."""
+    """Learn from at most max_train_docs rows of docs with a language and text (a row for each language at least)."""
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
-    chosen = usable.select("i", F.xxhash64("i").alias("o")).orderBy("o", "i").limit(max_train_docs).agg(F.max("o").alias("most")).first()[0]
-    if chosen is None:
+    counted = written(sampled(usable, max_train_docs).mapInArrow(_counts, COUNTS).groupBy("lang", "size", "part").agg(F.sum("n").alias("n")), "language-counts")
+    totals = {(r["lang"], r["size"]): float(r["n"]) for r in counted.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
+    langs = sorted({name for name, _ in totals})
+    if not langs:
         return Model([], {}, np.zeros((1, 0)))
-    counted = usable.where(F.xxhash64("i") <= F.lit(chosen)).select("t", "l").mapInArrow(_counts, "lang string, word string, n long")
-    rows = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word", "lang").limit(4 * MAX_WORDS).collect()
-    langs = sorted({r["lang"] for r in rows})
     at = {x: k for k, x in enumerate(langs)}
-    words: dict[str, list[int]] = {}
-    by_gram: list[dict[str, list[int]]] = [{} for _ in range(LONGEST_GRAM + 1)]
-    for lang_, w, n in rows:
-        k = at[lang_]
-        words.setdefault(w, [0] * len(langs))[k] += n
-        for size in range(1, LONGEST_GRAM + 1):
-            for g in set(grams(w, size)):
-                by_gram[size].setdefault(g, [0] * len(langs))[k] += n
-    total = lambda counted_: np.array([sum(c[k] for c in counted_.values()) for k in range(len(langs))], float)
-    kept = sorted((w for w in words if sum(words[w]) > 1), key=lambda w: (-sum(words[w]), w))[:MAX_WORDS]
-    totals, sums = total(words), [total(x) for x in by_gram]
-    often = sorted((-sum(c), g, size) for size in range(1, LONGEST_GRAM + 1) for g, c in by_gram[size].items() if size == 1 or sum(c) > 2)[:MAX_GRAMS]
-    logs = [np.log((np.array(words[w]) + 0.1) / (totals + 1)) for w in kept] + [np.log((np.array(by_gram[size][g]) + 0.1) / (sums[size] + 1)) for _, g, size in often]
-    names = kept + ["\0" + g for _, g, _ in often]
-    return Model(langs, {x: k for k, x in enumerate(names)}, np.array(logs + [np.full(len(langs), FLOOR)]))
+    per = Window.partitionBy("lang", F.col("size") == 0).orderBy(F.desc("n"), "size", "part")
+    most = F.when(F.col("size") == 0, MAX_WORDS // len(langs)).otherwise(MAX_GRAMS // len(langs))
+    often = counted.where("size = 1 OR n > IF(size = 0, 1, 2)").withColumn("k", F.row_number().over(per)).where(F.col("k") <= most)
+    kept = counted.join(often.select("size", "part").distinct(), ["size", "part"], "left_semi")
+    names: dict[tuple[int, str], int] = {}
+    rows: list[tuple[int, int, int]] = []
+    for lang_, size, part, n in kept.select("lang", "size", "part", "n").toLocalIterator():  # bounded by MAX_WORDS and MAX_GRAMS
+        rows.append((names.setdefault((size, part), len(names)), at[lang_], n))
+    counts = np.zeros((len(names) + 1, len(langs)))
+    for row, k, n in rows:
+        counts[row, k] = n
+    size_of = np.array([size for size, _ in names] + [0])
+    all_of = np.array([[totals.get((name, size), 0.0) for name in langs] for size in range(LONGEST_GRAM + 1)])
+    logs = np.log((counts + 0.1) / (all_of[size_of] + 1))
+    logs[-1] = FLOOR
+    return Model(langs, {part if size == 0 else "\0" + part: row for (size, part), row in names.items()}, logs)
 
 
 def _predict(shared, text: str, keep_text: bool):
@@ -126,8 +166,10 @@ def _predict(shared, text: str, keep_text: bool):
         for whole in batches:
             for batch in slices(whole, whole.schema.get_field_index(text)):
                 sums, none = np.zeros((batch.num_rows, n_langs)), np.ones(batch.num_rows, bool)
+                n_words = np.ones(batch.num_rows)
                 for d, body in enumerate(texts(batch.column(text))):
                     ws = letter_runs(body) if model.langs else []
+                    n_words[d] = max(1, len(ws))
                     for part in (ws[a : a + CACHE] for a in range(0, len(ws), CACHE)):
                         none[d] = False
                         if len(parts) > CACHE:
@@ -136,7 +178,7 @@ def _predict(shared, text: str, keep_text: bool):
                             parts[w] = model.parts(w)
                         sums[d] += logs[np.fromiter(chain.from_iterable(map(parts.__getitem__, part)), np.int64)].sum(axis=0)
                 best = sums.argmax(axis=1)
-                share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+                share = 1 / np.exp((sums - sums.max(axis=1, keepdims=True)) / n_words[:, None]).sum(axis=1)
                 langs = [UNKNOWN if e else model.langs[b] for e, b in zip(none.tolist(), best.tolist())]
                 rest = [x for x in batch.schema.names if keep_text or x != text]
                 yield pa.RecordBatch.from_arrays([*map(batch.column, rest), pa.array(langs, pa.string()), pa.array(np.where(none, 0.0, share))], names=[*rest, "lang_pred", "score"])

@@ -138,6 +138,57 @@ def test_language_id(spark):
     assert language_id.predict(documents(spark, []), model).count() == 0
 
 
+def test_a_rare_language_is_learned_whole(spark):
+    rows = [(k, f"word{k % 700} other{k % 300} the of and", "en", "a", 0) for k in range(20_000)] + [(50_000 + k, "quelques mots rares seulement ici", "fr", "a", 0) for k in range(5)]
+    model = language_id.fit(documents(spark, rows), max_train_docs=400)
+    assert model.langs == ["en", "fr"] and "seulement" in model.rows
+    got = language_id.predict(documents(spark, [(1, "quelques mots rares", None, None, 0), (2, "the word7", None, None, 0)]), model).collect()
+    assert [r.lang_pred for r in sorted(got)] == ["fr", "en"]
+    assert language_id.shares({"a": 5, "b": 1000, "c": 3}, 100) == {"c": 3, "a": 5, "b": 92}
+
+
+def test_language_scores_against_brute_force(spark):
+    """The same scores from counts and backoff written out over plain dictionaries."""
+    import math
+    import re
+    from collections import Counter
+
+    rnd = random.Random(3)
+    vocab = {"en": "the of house water river".split(), "fr": "le la maison eau rive".split()}
+    rows = [(k, " ".join(rnd.choices(vocab[lang], k=8)), lang, "a", 0) for k in range(60) for lang in [rnd.choice(sorted(vocab))]]
+    model = language_id.fit(documents(spark, rows))
+    runs = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    counts = {lang: [Counter() for _ in range(5)] for lang in vocab}
+    for _, t, lang, *_ in rows:
+        for w in runs(t):
+            counts[lang][0][w] += 1
+            for n in range(1, 5):
+                m = f"<{w}>" if n > 1 else w
+                for g in {m[i : i + n] for i in range(len(m) - n + 1)}:
+                    counts[lang][n][g] += 1
+    known = {(n, g) for lang in vocab for n in range(5) for g, c in counts[lang][n].items() if n == 1 or c > (1 if n == 0 else 2)}
+
+    def log(lang, n, g):
+        return math.log((counts[lang][n][g] + 0.1) / (sum(counts[lang][n].values()) + 1))
+
+    def word(lang, w):
+        if (0, w) in known:
+            return log(lang, 0, w)
+        m, at, out = f"<{w}>", 0, 0.0
+        while at < len(m):
+            n = next((n for n in range(min(4, len(m) - at), 0, -1) if (n, m[at : at + n]) in known), 0)
+            out += log(lang, n, m[at : at + n]) if n else language_id.FLOOR
+            at += n or 1
+        return out
+
+    tests = [(k, t, None, None, 0) for k, t in enumerate(["the house", "la rive du fleuve", "riverside maisonette", "xyz", "Watery HOUSES 12 le"])]
+    for r in language_id.predict(documents(spark, tests), model).collect():
+        ws = runs(tests[r.doc_id][1])
+        sums = {lang: sum(word(lang, w) for w in ws) / len(ws) for lang in vocab}
+        best = max(sorted(sums), key=lambda x: sums[x])
+        assert r.lang_pred == best and abs(r.score - 1 / sum(math.exp(v - sums[best]) for v in sums.values())) < 1e-9
+
+
 def test_toxicity_held_out(spark):
     rnd = random.Random(8)
     plain = ["".join(rnd.choices("aeioutnrs", k=rnd.randint(2, 7))) for _ in range(400)]
