@@ -7,8 +7,8 @@ the writer a chunk at a time; neither holds a whole record. An empty payload is
 one empty chunk, so every record has a last chunk, whose size and digest are the
 payload's.
 
-Writers put one gzip member per record into files of their own, named by
-partition and attempt, and report the files they finished. Only reported files
+Writers put one gzip member per record, a warcinfo record first, into files of
+their own, named by partition and attempt, and report the files they finished. Only reported files
 are read, so a task that ran twice, or died half way, leaves no trace in the
 result. Archives lie in the shared folder, through a file system that pyarrow
 opens by the folder's URI.
@@ -16,6 +16,16 @@ opens by the folder's URI.
 Of records with equal payloads of at least `min_revisit` bytes, the one with the
 smallest id holds the payload (`response`); the others (`revisit`) name it, with
 the payload's digest and size in their headers. Null payload counts as empty.
+Record ids are name-based UUIDs; the row's own id stands in a field `Record-Key`
+beside. Characters that a URI can't hold are percent-encoded and stay so when
+read; a missing URI is `about:blank`, which reads as empty.
+
+The reader takes archives of other writers as well: plain or gzip, field names
+in any case, folded lines, bare line feeds. Responses, revisits and resources
+give rows, other records none. A digest is checked if it is SHA-256 or SHA-1, in
+hexadecimal or base 32, and the record is not marked as truncated. HTTP bodies
+are payloads as they stand, transfer and content codings included. A record
+without `Record-Key` is named by its record id.
 Rows that repeat an id become records of their own, of which equal ones can't be
 told apart. Rows without an id are never referred to. An empty table gives an
 empty archive and an empty result.
@@ -23,10 +33,13 @@ empty archive and an empty result.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
+import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -42,7 +55,11 @@ READ = 1 << 16
 MIN_REVISIT = 100
 #: A writer begins a new file beyond this.
 FILE_BYTES = 64 << 20
-DATE = "2024-01-01T00:00:00Z"
+#: The fields before a record's block may be this long at the most.
+HEAD_BYTES = 1 << 20
+NO_URI = "about:blank"
+#: Characters that may stand in a URI as they are.
+URI_SAFE = "%/:?#[]@!$&'()*+,;=-._~"
 
 CHUNKS = "record_id string, uri string, record_type string, refers_to string, chunk_no long, data binary, n_bytes long, payload_bytes long, payload_digest string, last boolean"
 
@@ -65,35 +82,51 @@ def chunked(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return rows.select("record_id", "uri", "record_type", "refers_to", "digest", "size", "chunk_no", (F.col("chunk_no") == F.col("last_no")).alias("last"), part.alias("data"))
 
 
+def urn(key: str) -> str:
+    """The record id of a row's own id; rows without one are all different."""
+    return f"<{(uuid.uuid5(uuid.NAMESPACE_URL, f'record:{key}') if key else uuid.uuid4()).urn}>"
+
+
 class ArchiveWriter:
     """Writes records chunk by chunk, each as a gzip member."""
 
-    def __init__(self, folder: str, name: str):
+    def __init__(self, folder: str, name: str, date: str):
         self.fs, self.root = open_fs(folder)
         self.fs.create_dir(self.root, recursive=True)
-        self.name, self.n, self.out, self.records, self.done = name, 0, None, 0, []
+        self.name, self.n, self.out, self.records, self.done, self.date = name, 0, None, 0, [], date
+
+    def _open(self):
+        name = f"{self.name}-{self.n:05d}.warc.gz"
+        self.path = f"{self.root}/{name}"
+        self.out, self.bytes, self.records = self.fs.open_output_stream(self.path, compression=None), 0, 0
+        self.n += 1
+        info = b"software: leafloom\r\nformat: WARC File Format 1.1\r\n"
+        self._begin(["WARC-Type: warcinfo", f"WARC-Record-ID: <{uuid.uuid4().urn}>", f"WARC-Date: {self.date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(info)}"])
+        self._put(info)
+        self._finish()
+
+    def _begin(self, fields: list[str]):
+        self.zip = zlib.compressobj(1, zlib.DEFLATED, 31)
+        self._put("\r\n".join(["WARC/1.1", *fields, "", ""]).encode())
 
     def begin(self, record_id, uri, record_type, refers_to, digest, size):
         if self.out is None:
-            self.path = f"{self.root}/{self.name}-{self.n:05d}.warc.gz"
-            self.out, self.bytes, self.records = self.fs.open_output_stream(self.path, compression=None), 0, 0
-            self.n += 1
+            self._open()
         http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() if record_type == "response" else b""
         block = len(http) + (size if record_type == "response" else 0)
-        head = [
-            "WARC/1.1",
+        fields = [
             f"WARC-Type: {record_type}",
-            f"WARC-Record-ID: <urn:record:{quote(record_id, safe='')}>",
-            f"WARC-Date: {DATE}",
-            f"WARC-Target-URI: {quote(uri, safe='') if uri else ''}",
+            f"WARC-Record-ID: {urn(record_id)}",
+            f"WARC-Date: {self.date}",
+            f"WARC-Target-URI: {quote(uri, safe=URI_SAFE) if uri else NO_URI}",
             f"WARC-Payload-Digest: sha256:{digest}",
             f"WARC-Payload-Length: {size}",
+            f"Record-Key: {quote(record_id, safe='')}",
         ]
         if record_type == "revisit":
-            head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:record:{quote(refers_to, safe='')}>"]
-        head += [f"Content-Type: application/http{'; msgtype=response' if record_type == 'response' else ''}", f"Content-Length: {block}", "", ""]
-        self.zip = zlib.compressobj(1, zlib.DEFLATED, 31)
-        self._put("\r\n".join(head).encode() + http)
+            fields += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(refers_to)}", f"Refers-To-Key: {quote(refers_to, safe='')}"]
+        self._begin(fields + ["Content-Type: application/http; msgtype=response", f"Content-Length: {block}"])
+        self._put(http)
 
     def _put(self, data: bytes):
         self._raw(self.zip.compress(data))
@@ -106,9 +139,12 @@ class ArchiveWriter:
     def payload(self, data: bytes):
         self._put(data)
 
-    def end(self):
+    def _finish(self):
         self._put(b"\r\n\r\n")
         self._raw(self.zip.flush())
+
+    def end(self):
+        self._finish()
         self.records += 1
         if self.bytes >= FILE_BYTES:
             self.close()
@@ -120,10 +156,10 @@ class ArchiveWriter:
             self.out = None
 
 
-def _write(folder: str):
+def _write(folder: str, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        writer = ArchiveWriter(folder, f"part-{task.partitionId():06d}-{task.taskAttemptId():08d}-{os.getpid()}")
+        writer = ArchiveWriter(folder, f"part-{task.partitionId():06d}-{task.taskAttemptId():08d}-{os.getpid()}", date)
         for batch in batches:
             columns = [batch.column(k) for k in range(8)]
             rows = zip(*(c.to_pylist() for c in columns))
@@ -144,42 +180,65 @@ def _write(folder: str):
 
 def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
     """Writes chunk rows to archives in folder; the manifest: path, n_records, n_bytes."""
-    made = chunks.mapInArrow(_write(_folder(folder)), "path string, n_records long, n_bytes long")
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    made = chunks.mapInArrow(_write(_folder(folder), date), "path string, n_records long, n_bytes long")
     return written(made, "warc-manifest")
 
 
 class Members:
-    """The bytes of a file of gzip members, decompressed as they are asked for."""
+    """The bytes of a file, plain or of gzip members, decompressed as they are asked for."""
 
     def __init__(self, stream):
         self.stream, self.zip, self.held, self.ended = stream, zlib.decompressobj(31), bytearray(), False
+        self.first = stream.read(READ)
+        self.plain = self.first[:2] != b"\x1f\x8b"
+
+    def _raw(self) -> bytes:
+        raw, self.first = self.first, b""
+        return raw or self.stream.read(READ)
 
     def more(self) -> bool:
         """Decompresses some more; False at the end of the file."""
         while not self.ended:
+            if self.plain:
+                raw = self._raw()
+                self.held += raw
+                self.ended = not raw
+                return bool(raw)
             raw = self.zip.unconsumed_tail or (self.zip.unused_data if self.zip.eof else b"")
             if self.zip.eof:
                 self.zip = zlib.decompressobj(31)
+            raw = raw or self._raw()
             if not raw:
-                raw = self.stream.read(READ)
-                if not raw:
-                    self.ended = True
-                    return False
+                self.ended = True
+                return False
             out = self.zip.decompress(raw, READ)
             if out:
                 self.held += out
                 return True
         return False
 
-    def until(self, mark: bytes) -> bytes | None:
+    def line(self) -> bytes | None:
+        """Up to and without the next line feed and a carriage return before it; None at the end of the file."""
         at = 0
-        while (found := self.held.find(mark, max(0, at - len(mark)))) < 0:
+        while (found := self.held.find(b"\n", at)) < 0:
             at = len(self.held)
+            if at > HEAD_BYTES:
+                raise ValueError("no end of line")
             if not self.more():
                 return None
         out = bytes(self.held[:found])
-        del self.held[: found + len(mark)]
-        return out
+        del self.held[: found + 1]
+        return out.removesuffix(b"\r")
+
+    def take_line(self, most: int) -> bytes:
+        """The next line with its line feed, or `most` bytes of it."""
+        at = 0
+        while (found := self.held.find(b"\n", at)) < 0 and len(self.held) < most:
+            at = len(self.held)
+            if not self.more():
+                break
+        return self.take(min(most, found + 1 if found >= 0 else len(self.held)))
 
     def take(self, n: int) -> bytes:
         while len(self.held) < n and self.more():
@@ -188,36 +247,92 @@ class Members:
         del self.held[:n]
         return out
 
+    def skip(self, n: int) -> None:
+        while n > 0:
+            gone = len(self.take(min(n, READ)))
+            if not gone:
+                return
+            n -= gone
+
+
+def read_fields(members: Members) -> dict[str, str] | None:
+    """The fields of the next record, names in lower case; None at the end of the file."""
+    version = members.line()
+    while version is not None and not version.strip():
+        version = members.line()
+    if version is None:
+        return None
+    if not version.lstrip().upper().startswith(b"WARC/"):
+        raise ValueError(f"not a WARC record: {version[:40]!r}")
+    fields, last, size = {}, None, 0
+    while line := members.line():
+        size += len(line)
+        if size > HEAD_BYTES:
+            raise ValueError("the fields of a record do not end")
+        text = line.decode("utf-8", "replace")
+        if text[0] in " \t" and last:
+            fields[last] += " " + text.strip()
+        else:
+            name, _, value = text.partition(":")
+            last = name.strip().lower()
+            fields[last] = value.strip()
+    return fields
+
+
+def digest_of(field: str | None):
+    """(hash, digest in hexadecimal) of a digest field that can be checked, else None."""
+    kind, _, value = (field or "").partition(":")
+    kind, value = kind.strip().lower().replace("-", ""), value.strip()
+    if kind not in ("sha1", "sha256"):
+        return None
+    size = hashlib.new(kind).digest_size
+    if len(value) == 2 * size:
+        return hashlib.new(kind), value.lower()
+    try:
+        found = base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except ValueError:
+        return None
+    return (hashlib.new(kind), found.hex()) if len(found) == size else None
+
 
 def read_records(stream, chunk: int = CHUNK) -> Iterator[tuple]:
     """Chunk rows (as CHUNKS) of an archive; the digest is worked out from the payload as it passes."""
     members = Members(stream)
-    while (head := members.until(b"\r\n\r\n")) is not None:
-        fields = dict(line.split(": ", 1) for line in head.decode().lstrip().split("\r\n")[1:])
-        name = lambda x: unquote(x[len("<urn:record:") : -1]) if x else None
-        record_id, kind, uri = name(fields["WARC-Record-ID"]), fields["WARC-Type"], unquote(fields.get("WARC-Target-URI", ""))
-        left = int(fields["Content-Length"])
+    while (fields := read_fields(members)) is not None:
+        named = lambda own, other: unquote(fields[own]) if own in fields else fields.get(other, "").strip("<>") or None
+        record_id, kind, uri = named("record-key", "warc-record-id"), fields.get("warc-type", "").lower(), fields.get("warc-target-uri", "").strip("<>")
+        uri, left = "" if uri == NO_URI else uri, int(fields["content-length"])
         if kind == "revisit":
-            members.take(left + 4)
-            yield record_id, uri, kind, name(fields.get("WARC-Refers-To")), 0, b"", 0, int(fields["WARC-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:"), True
+            members.skip(left)
+            known, size = digest_of(fields.get("warc-payload-digest")), fields.get("warc-payload-length")
+            yield record_id, uri, kind, named("refers-to-key", "warc-refers-to"), 0, b"", 0, int(size) if size else None, known[1] if known else None, True
+            continue
+        if kind not in ("response", "resource"):
+            members.skip(left)
             continue
-        http = members.until(b"\r\n\r\n")
-        left -= len(http) + 4
-        digest, size, no = hashlib.sha256(), 0, 0
+        if fields.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+            # the HTTP head ends with an empty line; what follows, up to the block's end, is the payload
+            while left > 0:
+                line = members.take_line(left)
+                left -= len(line)
+                if not line.rstrip(b"\r\n"):
+                    break
+        own, check, size, no = hashlib.sha256(), None if "warc-truncated" in fields else digest_of(fields.get("warc-payload-digest")), 0, 0
         while True:
             data = members.take(min(chunk, left))
             if len(data) < min(chunk, left):
                 raise ValueError(f"record {record_id} is cut short")
-            digest.update(data)
+            own.update(data)
+            if check:
+                check[0].update(data)
             left -= len(data)
             size += len(data)
-            yield record_id, uri, kind, None, no, data, len(data), size, digest.hexdigest(), left == 0
+            yield record_id, uri, kind, None, no, data, len(data), size, own.hexdigest(), left == 0
             no += 1
             if not left:
                 break
-        if fields.get("WARC-Payload-Digest", "").removeprefix("sha256:") not in ("", digest.hexdigest()):
+        if check and check[0].hexdigest() != check[1]:
             raise ValueError(f"record {record_id} does not have its digest")
-        members.take(4)
 
 
 def _read(scheme: str, keep: bool):
@@ -255,7 +370,9 @@ def with_revisits(records: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFra
     """records (record_id long, uri, payload) with digest, size, record_type, refers_to (long)."""
     sized = records.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
     keys = written(sized.select("record_id", "digest", "size"), "warc-keys")
+    # a plain table: Spark can then split a digest that many rows have
     first = keys.where((F.col("size") >= min_revisit) & F.col("record_id").isNotNull()).groupBy("digest").agg(F.min("record_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "refers_to")
+    first = written(first, "warc-first")
     revisits = written(keys.join(first, "digest").where(F.col("record_id") > F.col("refers_to")).select("record_id", "digest", "refers_to").distinct(), "warc-revisits")
     # the payload is shuffled only if the revisits are too many to broadcast
     return sized.join(revisits, ["record_id", "digest"], "left").withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
