@@ -108,11 +108,14 @@ class BPE:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.names = [str(i) for i in range(len(self.tokens))]
+        self.by_name = dict(zip(self.names, self.tokens))
         self.table = PairTable(self.ranks)
         self.byte_ids = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         self.pattern = regex.compile(pattern.replace(r"[^\s", "[^" + SPACE).replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
 
     def decode(self, ids) -> bytes:
+        if min(ids, default=0) < 0:
+            raise ValueError("a negative id")
         return b"".join(map(self.tokens.__getitem__, ids))
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
@@ -197,7 +200,6 @@ class Encoder:
         self.bpe = bpe
         self.pieces: dict[str, list[int]] = {}
         self.ids: dict[str, str] = {}  # decimal ids, joined by commas
-        self.raw: dict[str, bytes] = {}  # what those ids decode to
 
     def parts(self, text: str) -> list[str]:
         """Runs that encode independently; all but the first have a space before them."""
@@ -220,21 +222,18 @@ class Encoder:
         plain = list(letters)
         found = self.bpe.encode_pieces([p.encode() for p in new] + [f" {x}".encode() for x in plain])
         self.pieces.update(zip(new, found))
-        names, tokens = self.bpe.names.__getitem__, self.bpe.tokens.__getitem__
+        names = self.bpe.names.__getitem__
         for x, ids in zip(plain, found[len(new) :]):
             self.ids[x] = ",".join(map(names, ids))
-            self.raw[x] = b"".join(map(tokens, ids))
         for x, ps in cut.items():
             ids = [i for p in ps for i in self.pieces[p]]
             self.ids[x] = ",".join(map(names, ids))
-            self.raw[x] = b"".join(map(tokens, ids))
         for mark in ",.":
             [ids] = self.bpe.encode_pieces([mark.encode()])
-            after, raw = "," + ",".join(map(names, ids)), self.bpe.decode(ids)
+            after = "," + ",".join(map(names, ids))
             for x in marked:
                 if x[-1] == mark:
                     self.ids[x] = self.ids[x[:-1]] + after
-                    self.raw[x] = self.raw[x[:-1]] + raw
 
     def alone(self, text: str) -> list[int]:
         return [i for ids in self.bpe.encode_pieces([p.encode() for p in self.bpe.pattern.findall(text)]) for i in ids]
@@ -243,7 +242,6 @@ class Encoder:
         """For each text: number of ids, the ids as decimal text, and what they decode to."""
         if len(self.ids) > CACHE:
             self.ids.clear()
-            self.raw.clear()
         cut = [self.parts(t) for t in batch_texts]
         fresh = {x for ps in cut for x in ps[1:]}.difference(self.ids)
         if fresh:
@@ -255,7 +253,8 @@ class Encoder:
                 continue
             head = self.alone(ps[0])
             joined = ",".join([*map(str, head), *map(self.ids.__getitem__, ps[1:])])
-            out.append((joined.count(",") + 1, joined, self.bpe.decode(head) + b"".join(map(self.raw.__getitem__, ps[1:]))))
+            ids = joined.split(",")
+            out.append((len(ids), joined, b"".join(map(self.bpe.by_name.__getitem__, ids))))
         return out
 
 
@@ -286,6 +285,22 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     return out.toDF(doc_id, "n_tokens", "ids", "decoded")
 
 
+def _decode(path: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _bpe(path, pattern)
+        for batch in batches:
+            raw = [None if ids is None else bpe.decode(ids) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["key", "decoded"])
+
+    return run
+
+
+def decode(encoded: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """doc_id, decoded (binary) of a column of ids, wherever they come from. Null stays null; an id that is no token is an error."""
+    out = encoded.select(F.col(doc_id).cast("long").alias("key"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(_decode(path, pattern), "key long, decoded binary")
+    return out.toDF(doc_id, "decoded")
+
+
 def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The same, with SHA-256 digests in place of the ids and the decoded bytes."""
     out = docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(_encode(path, pattern, False), "key long, n_tokens long, a string, b string")

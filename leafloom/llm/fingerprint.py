@@ -20,6 +20,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,6 +119,28 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting = rows[-1]
 
 
+def range_of(cuts: np.ndarray):
+    """The range of an id, by binary search, so that the number of ranges costs next to nothing. cuts: ascending first ids of the ranges but the first."""
+
+    @F.pandas_udf("int")
+    def range_(i: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, i.to_numpy(np.int64), "right").astype(np.int32))
+
+    return range_
+
+
+def places_of(cuts: np.ndarray, heads: np.ndarray, before: np.ndarray):
+    """Where a row goes: `own`, its range, and as its range's first row (head) also `back`, the range before, else -1. Rows without an id are in the first range and may be its first row."""
+
+    @F.pandas_udf("own int, back int")
+    def places(i: pd.Series, null: pd.Series) -> pd.DataFrame:
+        ids, null = i.to_numpy(np.int64), null.to_numpy(bool)
+        own = np.where(null, 0, np.searchsorted(cuts, ids, "right"))
+        return pd.DataFrame({"own": own.astype(np.int32), "back": np.where(null | (ids == heads[own]), before[own], -1).astype(np.int32)})
+
+    return places
+
+
 def with_followers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs dealt by ranges of ids in order, each range with the next one's first row behind it (ghost 1).
 
@@ -126,25 +149,23 @@ def with_followers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"))
     parts = wide_shuffle(spark)
-    least = rows.agg(F.min("i"), F.count_if(F.col("i").isNull()), F.count(F.lit(1))).first()
-    cuts = sorted(set(rows.select("i").approxQuantile("i", [k / parts for k in range(1, parts)], 1 / (20 * parts)))) if least[0] is not None and parts > 1 else []
+    least, nulls = rows.agg(F.min("i"), F.count_if(F.col("i").isNull())).first()
+    quantiles = rows.select("i").approxQuantile("i", [k / parts for k in range(1, parts)], 1 / (20 * parts)) if least is not None and parts > 1 else []
     # quantiles come as doubles; the ids themselves may need more digits, so the first id at or after each is taken
-    cuts = [int(c) for c in cuts if int(c) > least[0]]
-    bounds = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in bounds]), lambda c: c <= F.col("i"))) if bounds else F.lit(0)
-    ranged = rows.withColumn("b", F.when(F.col("i").isNull(), 0).otherwise(bucket).cast("int"))
-    heads = {r["b"]: r["i"] for r in ranged.groupBy("b").agg(F.when(F.count_if(F.col("i").isNull()) == 0, F.min("i")).alias("i")).collect()}
-    order = sorted(heads)
-    before = {b: order[k - 1] for k, b in enumerate(order)}
-    is_head = F.lit(False)
-    known = [(b, i) for b, i in heads.items() if i is not None]
-    if known:
-        is_head = F.col("i").isin([i for _, i in known])
-    if None in heads.values():
-        is_head = is_head | F.col("i").isNull()
-    to = F.create_map(*[F.lit(x) for b in order for x in (b, before[b])]) if order else F.create_map(F.lit(0), F.lit(0))
-    places = F.when(F.coalesce(is_head, F.lit(True)), F.array(F.struct(F.col("b").alias("to"), F.lit(0).alias("ghost")), F.struct(to[F.col("b")].alias("to"), F.lit(1).alias("ghost")))).otherwise(F.array(F.struct(F.col("b").alias("to"), F.lit(0).alias("ghost"))))
-    dealt = ranged.select("i", "t", F.explode(places).alias("p")).select("i", "t", "p.ghost", "p.to", F.xxhash64("t").alias("h"))
+    cuts = np.array(sorted({int(c) for c in quantiles if int(c) > least}), np.int64)
+    bucket = range_of(cuts)
+    held = {r["b"]: r["i"] for r in rows.where("i IS NOT NULL").groupBy(bucket("i").alias("b")).agg(F.min("i").alias("i")).collect()}
+    used = sorted(set(held) | ({0} if nulls else set()))
+    heads, before = np.full(len(cuts) + 1, np.iinfo(np.int64).min), np.zeros(len(cuts) + 1, np.int64)
+    for k, b in enumerate(used):
+        before[b] = used[k - 1]
+        heads[b] = held.get(b, heads[b])
+    if nulls:  # rows without an id come first of all
+        heads[0] = np.iinfo(np.int64).min
+    at = rows.withColumn("at", places_of(cuts, heads, before)(F.coalesce("i", F.lit(0)), F.col("i").isNull()))  # nulls among numbers would make them doubles
+    place = lambda to, ghost: F.struct(F.col(to).alias("to"), F.lit(ghost).alias("ghost"))
+    both = F.when(F.col("at.back") >= 0, F.array(place("at.own", 0), place("at.back", 1))).otherwise(F.array(place("at.own", 0)))
+    dealt = at.select("i", "t", F.explode(both).alias("p")).select("i", "t", "p.ghost", "p.to", F.xxhash64("t").alias("h"))
     return dealt.repartitionById(parts, F.col("to")).sortWithinPartitions("ghost", F.asc_nulls_first("i"), "h", F.asc_nulls_first("t")).select("i", "t", "ghost")
 
 

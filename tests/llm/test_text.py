@@ -35,6 +35,13 @@ def test_bpe_as_tiktoken(spark):
     assert digest.ids_sha256 == hashlib.sha256(",".join(map(str, library.encode_ordinary("a"))).encode()).hexdigest()
 
 
+def test_bpe_decodes_any_column_of_ids(spark):
+    ids = byte_bpe.encode(documents(spark), BPE, public_tokenizers.PATTERN).select("doc_id", "ids").union(spark.createDataFrame([(99, None), (98, [])], "doc_id long, ids array<int>"))
+    got = sorted((r.doc_id or 0, bytes(r.decoded)) for r in byte_bpe.decode(ids, BPE, public_tokenizers.PATTERN).where("decoded IS NOT NULL").collect())
+    assert got == sorted([(i or 0, (t or "").encode()) for i, t, *_ in ROWS] + [(98, b"")])
+    assert byte_bpe.decode(ids.where("doc_id = 99"), BPE, public_tokenizers.PATTERN).first().decoded is None
+
+
 def test_bpe_heap_and_matrix_agree():
     bpe = byte_bpe.BPE(BPE, public_tokenizers.PATTERN)
     rnd = random.Random(4)
@@ -116,6 +123,15 @@ def test_fingerprints_against_brute_force(spark):
         assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_followers_of_ids_beyond_doubles(spark):
+    rows = [(2**60 + k, f"text {k}", "en", "a", 0) for k in range(50)] + [(None, "none", "en", "a", 0)]
+    got = {r.doc_id: r.edited_sha256 for r in fingerprint.edited_likeness(documents(spark, rows).repartition(5)).collect()}
+    order = [rows[-1], *rows[:-1]]
+    for k, (i, t, *_) in enumerate(order):
+        cut = len(t) // 4
+        assert got[i] == hashlib.sha256((t[: len(t) - cut] + order[(k + 1) % len(order)][1][:cut]).encode()).hexdigest()
+
+
 def test_fingerprint_likeness_bounds(spark):
     rows = fingerprint.edited_likeness(documents(spark)).collect()
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
