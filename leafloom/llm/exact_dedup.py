@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, wide_shuffle, written
 
 #: What is deleted before texts are compared.
 SPACE = " \t\n\x0b\x0c\r"
@@ -46,13 +46,14 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ha
         "exact-hashed",
     )
     several = written(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep")).where("copies > 1").select("h", "rep"), "exact-several")
-    members = hashed.join(several, "h").select("doc_id", "h", "rep").distinct()
+    n = wide_shuffle(docs.sparkSession)  # rows are told apart where they lie by id, not by hash
+    members = hashed.join(several, "h").select("doc_id", "h", "rep").repartition(n, "doc_id").distinct()
     # text is fetched once, for these rows alone
     fetched = written(rows.join(members, "doc_id").where(hash_of(F.col("norm")) == F.col("h")).select("doc_id", "h", "rep", "norm"), "exact-fetched")
     # a repeated id may have several texts of one hash: then the least of them stands for the group
     first = written(fetched.where("doc_id = rep").groupBy("h").agg(F.min("norm").alias("first")), "exact-first")
     unlike = written(
-        fetched.join(first, "h").where(F.col("norm") != F.col("first")).select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256"), F.col("norm").alias("bytes")).distinct(), "exact-unlike"
+        fetched.join(first, "h").where(F.col("norm") != F.col("first")).select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256"), F.col("norm").alias("bytes")).repartition(n, "doc_id").distinct(), "exact-unlike"
     )
     # rows of hashes that occur twice, each with the bytes that tell it from others of its hash
     shared = hashed.join(several.select("h"), "h")

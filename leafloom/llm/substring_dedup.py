@@ -23,7 +23,8 @@ how rows are dealt, never what is found; at most the mean number of seeds of a
 document over `HOT_SHARE` can be that frequent, whatever the input's size).
 Windows with such a seed are shards of their own, named by all their words: the
 reference is the one window of the smallest id, taken by partial aggregation,
-and each other occurrence is streamed through its automaton wherever it stands.
+and the others are streamed through its automaton wherever they stand, equal ones
+of a task together.
 
 Null text has no words. Rows without an id are neither reference nor cut. Rows
 that repeat an id are cut each on its own and are no reference for each other.
@@ -46,9 +47,11 @@ from .words import Words, words, xxh64
 WINDOW = 13
 GRAM = 6
 #: A seed that this share of the sampled documents has, and HOT_LEAST of them, is dealt by its windows.
-HOT_SHARE, HOT_LEAST = 0.005, 25
+HOT_SHARE, HOT_LEAST = 0.02, 25
 #: Documents of that sample, about.
-HOT_SAMPLE = 20_000
+HOT_SAMPLE = 5_000
+#: References of windows (short texts) that are sent to every task; beyond, they are joined by shuffling.
+FEW = 300_000
 
 
 def _slide(a: np.ndarray, n: int, of) -> np.ndarray:
@@ -107,13 +110,13 @@ def seeds(w: Words, window: int = WINDOW, gram: int = GRAM, hot: np.ndarray = np
 
 
 def hot_windows(w: Words, hot: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Windows whose seed is hot: hashes of all their words, documents, first and last word + 1."""
+    """Windows whose seed is hot: two hashes of all their words, documents, first and last word + 1."""
     none = np.zeros(0, np.int64)
     if len(w.start) < window or not len(hot):
-        return none, none, none, none
+        return none, none, none, none, none
     h, _, doc, least = least_grams(w, window, gram)
     first = np.flatnonzero(is_hot(least, hot))
-    return mixed(h, window)[first].view(np.int64), doc[first], first, first + window
+    return mixed(h, window)[first].view(np.int64), mixed(h[::-1], window)[::-1][first].view(np.int64), doc[first], first, first + window
 
 
 def _seed_rows(hot: np.ndarray):
@@ -135,16 +138,25 @@ def _stretches(w: Words, first: np.ndarray, last: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(w.data[index].tobytes())]).cast(pa.binary())
 
 
+HOT = "seed long, words binary, docs array<long>, rids array<long>, starts array<int>"
+
+
 def _hot_rows(hot: np.ndarray):
-    """(seed, doc_id, rid, start, words) of each window whose seed is hot; the seed is the whole window's."""
+    """Each distinct window of a pass whose seed is hot, with where it stands: documents, rows, places of its first word. The seed is the whole window's; windows are told apart by 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1, PASS_BYTES // 8):
+            for batch in slices(whole, 1):
                 w = words(*buffer(batch.column(1)))
-                h, doc, first, last = hot_windows(w, hot)
-                take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(take), batch.column(2).take(take), pa.array((first - w.first[doc]).astype(np.int32)), _stretches(w, first, last)], names=["seed", "doc_id", "rid", "start", "words"])
+                h, other, doc, first, last = hot_windows(w, hot)
+                order = np.lexsort((first, other, h))
+                h, other, doc, first, last = (x[order] for x in (h, other, doc, first, last))
+                fresh = np.ones(len(h), bool)
+                fresh[1:] = (h[1:] != h[:-1]) | (other[1:] != other[:-1])
+                heads, take = np.flatnonzero(fresh), pa.array(doc)
+                ends = pa.array(np.append(heads, len(h)).astype(np.int32))
+                places = [pa.ListArray.from_arrays(ends, x) for x in (batch.column(0).take(take), batch.column(2).take(take), pa.array((first - w.first[doc]).astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([pa.array(h[heads]), _stretches(w, first[heads], last[heads]), *places], names=["seed", "words", "docs", "rids", "starts"])
 
     return run
 
@@ -289,18 +301,27 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows have an occurrence and the one window before it to look for; out come the covered words."""
+    """Rows have a window, where it stands, and the first window of that seed with its document; out come the covered words of later documents, runs of them as one."""
     at, automaton = None, SuffixAutomaton()
     for batch in batches:
-        out: list[tuple[int, int, int, int]] = []
-        for doc, rid, start, text, reference in zip(*(batch.column(k).to_pylist() for k in range(5))):
+        found: list[np.ndarray] = []
+        docs, rids, starts, texts, references, los = (batch.column(k) for k in range(6))
+        for k, (text, reference, lo) in enumerate(zip(texts.to_pylist(), references.to_pylist(), los.to_pylist())):
             if reference != at:
                 at, automaton = reference, SuffixAutomaton()
                 automaton.add(reference.split(b" "))
-            for a, b in covered(automaton.matching(text.split(b" "))):
-                out.append((doc, rid, start + a, start + b))
-        columns = list(zip(*out)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], names=["doc_id", "rid", "a", "b"])
+            doc, rid, start = (x[k].values.to_numpy() for x in (docs, rids, starts))
+            later = doc > lo
+            for a, b in covered(automaton.matching(text.split(b" "))) if later.any() else ():
+                found.append(np.stack([doc[later], rid[later], start[later] + a, start[later] + b]))
+        doc, rid, a, b = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+        order = np.lexsort((b, a, rid, doc))
+        doc, rid, a, b = doc[order], rid[order], a[order], b[order]
+        fresh = np.ones(len(doc), bool)  # spans of one length, by their beginning: the last one ends last
+        fresh[1:] = (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1]) | (a[1:] > b[:-1])
+        heads = np.flatnonzero(fresh)
+        tails = np.append(heads[1:], len(doc))[: len(heads)] - 1
+        yield pa.RecordBatch.from_arrays([pa.array(doc[heads]), pa.array(rid[heads]), pa.array(a[heads].astype(np.int32)), pa.array(b[tails].astype(np.int32))], names=["doc_id", "rid", "a", "b"])
 
 
 def _cut(text: str, names: list[str] | None):
@@ -355,12 +376,13 @@ def hot_seeds(docs: DataFrame, share: float = HOT_SHARE, least: int = HOT_LEAST,
 
 def hot_spans(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """Covered words of windows whose seed is hot; no task needs to see all occurrences of any of them."""
-    found = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("rid")).mapInArrow(_hot_rows(hot), "seed long, doc_id long, rid long, start int, words binary")
-    held = written(found, "hot-windows")
-    lasts = held.groupBy("seed", "words").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    held = written(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("rid")).mapInArrow(_hot_rows(hot), HOT), "hot-windows")
+    ends = held.groupBy("seed", "words").agg(F.min(F.array_min("docs")).alias("lo"), F.max(F.array_max("docs")).alias("hi")).where("lo < hi")
     # a plain table: Spark can then split a window that many documents have
-    reference = written(lasts.select("seed", F.col("words").alias("reference"), "lo"), "hot-references")
-    return held.join(reference, "seed").where("doc_id > lo").select("doc_id", "rid", "start", "words", "reference").mapInArrow(_match, "doc_id long, rid long, a int, b int")
+    reference = written(ends.select("seed", F.col("words").alias("reference"), "lo"), "hot-references")
+    if reference.count() <= FEW:
+        reference = F.broadcast(reference)
+    return held.join(reference, "seed").select("docs", "rids", "starts", "words", "reference", "lo").mapInArrow(_match, "doc_id long, rid long, a int, b int")
 
 
 def repeated_spans(docs: DataFrame, rows: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -374,7 +396,7 @@ def repeated_spans(docs: DataFrame, rows: DataFrame, hot: np.ndarray) -> DataFra
     by_seed = Window.partitionBy("seed")
     shared = found.withColumns({"lo": F.min("doc_id").over(by_seed), "hi": F.max("doc_id").over(by_seed)}).where("lo < hi")
     mine = shared.groupBy(F.col("doc_id").alias(ID)).agg(F.collect_set("seed").alias(SEEDS))
-    around = rows.join(mine, ID).mapInArrow(_surroundings(hot), "seed long, doc_id long, rid long, start int, words binary")
+    around = rows.join(mine, ID, "left").mapInArrow(_surroundings(hot), "seed long, doc_id long, rid long, start int, words binary")
     spans = around.repartition(n, "seed").sortWithinPartitions("seed", "doc_id").mapInArrow(_search, "doc_id long, rid long, a int, b int")
     if len(hot):
         spans = spans.unionByName(hot_spans(docs, hot))
