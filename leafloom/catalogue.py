@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import functions, streaming
-from .operators import checks, detectors, geometry, graph, logs, match, platform, runs, sequence, text, toc, tree, validate, windows
+from .operators import checks, detectors, evidence, geometry, graph, logs, match, patterns, platform, runs, sequence, text, toc, tree, validate, windows
 from .plans.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,19 +118,26 @@ def date_periods(spark, sf_dir):
     return funding_sentences(spark, sf_dir).groupBy(month.alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'H.R. ' || CAST(l_partkey AS VARCHAR) WHEN 1 THEN '42 U.S.C. ' || CAST(l_suppkey AS VARCHAR) WHEN 2 THEN 'Section ' || CAST(l_linenumber AS VARCHAR) ELSE 'Section 5(a)' END AS ref FROM lineitem)
-SELECT CASE WHEN regexp_matches(ref, '^(H\\.R\\.|S\\.) ?[0-9]+') THEN 'bill' WHEN regexp_matches(ref, 'U\\.?S\\.?C') THEN 'statute' WHEN regexp_matches(ref, '\\([a-z0-9]\\)$') THEN 'subsection' WHEN regexp_matches(ref, '^(§|Section)') THEN 'section' ELSE 'other' END AS kind, count(*) AS n FROM r GROUP BY 1""")
+@query("""WITH r AS (SELECT CASE l_linenumber % 6 WHEN 0 THEN 'H.R. ' || CAST(l_partkey AS VARCHAR) WHEN 1 THEN '42 U.S.C. ' || CAST(l_suppkey AS VARCHAR) WHEN 2 THEN '§ ' || CAST(l_linenumber AS VARCHAR) WHEN 3 THEN '552(a)(' || CAST(l_linenumber AS VARCHAR) || ')' WHEN 4 THEN 'hb 12' ELSE 'Section 5(a)' END AS ref FROM lineitem)
+SELECT CASE WHEN regexp_matches(lower(ref), '^(hb|sb|hr|h\\.r\\.|s\\.)\\s*\\d+') THEN 'bill_number' WHEN contains(lower(ref), 'usc') OR contains(lower(ref), 'u.s.c') THEN 'statute' WHEN starts_with(ref, '§') THEN 'section' WHEN regexp_matches(ref, '^\\d{2,4}\\s*(?:\\([a-zA-Z0-9]+\\)){1,4}$') THEN 'legal_subsection' ELSE 'legal_reference' END AS kind, count(*) AS n FROM r GROUP BY 1""")
 def legal_references(spark, sf_dir):
-    n = F.col("l_linenumber") % 4
-    ref = F.when(n == 0, F.concat(F.lit("H.R. "), F.col("l_partkey").cast("string"))).when(n == 1, F.concat(F.lit("42 U.S.C. "), F.col("l_suppkey").cast("string"))).when(n == 2, F.concat(F.lit("Section "), F.col("l_linenumber").cast("string"))).otherwise("Section 5(a)")
-    return read(spark, sf_dir, "lineitem", "l_linenumber", "l_partkey", "l_suppkey").groupBy(text.legal_kind(ref).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""SELECT CASE WHEN regexp_matches(lower(s), 'need|lack') THEN 'need' WHEN regexp_matches(lower(s), 'award|grant|invest') THEN 'funding_summary' WHEN regexp_matches(lower(s), 'complet|serv|reach') THEN 'accomplishment' ELSE 'impact' END AS kind, count(*) AS n
-FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'We served ' WHEN 'O' THEN 'Families need ' ELSE 'Change for ' END || o_orderpriority AS s FROM orders) GROUP BY 1""")
+    n, text_of = F.col("l_linenumber") % 6, lambda c: F.col(c).cast("string")
+    ref = (
+        F.when(n == 0, F.concat(F.lit("H.R. "), text_of("l_partkey")))
+        .when(n == 1, F.concat(F.lit("42 U.S.C. "), text_of("l_suppkey")))
+        .when(n == 2, F.concat(F.lit("§ "), text_of("l_linenumber")))
+        .when(n == 3, F.concat(F.lit("552(a)("), text_of("l_linenumber"), F.lit(")")))
+        .when(n == 4, F.lit("hb 12"))
+        .otherwise("Section 5(a)")
+    )
+    return read(spark, sf_dir, "lineitem", "l_linenumber", "l_partkey", "l_suppkey").groupBy(evidence.legal_kind(ref).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT CASE WHEN regexp_matches(lower(s), 'backlog|need') THEN 'need' WHEN regexp_matches(lower(s), 'economic impact|touched|served|reached|helped|created|generated') THEN 'accomplishment' WHEN regexp_matches(lower(s), 'known funding|average grant|funding went|foundation funding') THEN 'funding_summary' ELSE 'impact' END AS kind, count(*) AS n
+FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'We served ' WHEN 'O' THEN 'Families need ' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'Known funding for ' ELSE 'Change for ' END END || o_orderpriority AS s FROM orders) GROUP BY 1""")
 def impact_types(spark, sf_dir):
-    lead = F.when(F.col("o_orderstatus") == "F", "We served ").when(F.col("o_orderstatus") == "O", "Families need ").otherwise("Change for ")
-    return read(spark, sf_dir, "orders", "o_orderstatus", "o_orderpriority").groupBy(text.impact_kind(F.concat(lead, F.col("o_orderpriority"))).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    lead = F.when(F.col("o_orderstatus") == "F", "We served ").when(F.col("o_orderstatus") == "O", "Families need ").when(F.col("o_orderkey") % 2 == 0, "Known funding for ").otherwise("Change for ")
+    return read(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority").groupBy(evidence.impact_kind(F.concat(lead, F.col("o_orderpriority"))).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT s_suppkey, regexp_extract(t, '{text.LABEL_VALUE}', 1) AS label, regexp_extract(t, '{text.LABEL_VALUE}', 2) AS value FROM (SELECT s_suppkey, 'Account balance: ' || CAST(CAST(floor(s_acctbal) AS BIGINT) AS VARCHAR) AS t FROM supplier)")
@@ -150,6 +157,193 @@ def entity_candidates(spark, sf_dir):
     return funding_sentences(spark, sf_dir).select(F.explode(text.entities(F.col("s"))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- evidence rules, over statements that meet them and statements that don't
+
+#: {n} is the part's number.
+STATEMENTS = [
+    "The program served {n} families in West Virginia, Ohio and New York.",
+    "We should increase the budget by {n} percent.",
+    "Smith et al. wrote of this in volume {n}(2), 11-19.",
+    "See p. 12/13 of the {n} filing.",
+    "Visit www.example.org/page{n} to learn more.",
+    "Have you met number {n}?",
+    "For example, number {n} took part.",
+    "Suppose {n} people came.",
+    "A grant is defined as support of {n} dollars.",
+    "Applicants need at least {n} points.",
+    "Survey respondents from {n} towns took part.",
+    "We asked {n} questions of everyone.",
+    "Annual Giving Report",
+    "Table {n} shows the methodology.",
+    "The sample size was n={n}.",
+    "Community Health Project",
+    "Policy in Action",
+    "Harbor Relief Foundation awarded ${n} million to Delta Health Network for shelters.",
+    "The total of ${n} was funding to projects.",
+    "A fee waiver for grant {n} was asked for.",
+    "This report was made possible by Harbor Relief Foundation and {n} donors.",
+    "Graphics and layout by Studio Works Company, number {n} in the work.",
+    "Data from generous data sharing by Metro Transit Agency, {n} files, for the project.",
+    "Our mission is to end the backlog of {n} cases because families wait, and the need to act is plain for children.",
+    "Why shelter number {n} matters so that children among us can sleep.",
+    "About two-thirds of the workforce left in month {n}.",
+    "It rained for half a day in {n}.",
+    "In the first half of {n} the share grew by one-third.",
+    "Civic Data Toolkit: a set of {n} tables.",
+    "They used the Rural Housing Resource Guide for {n} months.",
+    "Director of the Civic Data Toolkit, number {n}",
+    "Indicator: The term Housing Burden typically means costs above {n} percent of income.",
+    "This means that {n} people left.",
+    "Equity, which means fairness to {n} groups, is our aim.",
+    "Key finding: number {n} grew.",
+    "How families find shelter number {n}",
+    "Jane Q. Doe",
+    "Executive Director",
+    "J.D.",
+    "Plain words about number {n}.",
+]
+
+
+def statements(spark, sf_dir):
+    """id, kind (place in STATEMENTS) and s of every part."""
+    kind = (F.col("p_partkey") % len(STATEMENTS)).cast("int")
+    s = F.replace(F.element_at(F.array(*[F.lit(x) for x in STATEMENTS]), kind + 1), F.lit("{n}"), F.col("p_partkey").cast("string"))
+    return read(spark, sf_dir, "part", "p_partkey").select(F.col("p_partkey").alias("id"), kind.alias("kind"), s.alias("s"))
+
+
+def _sql(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _m(c: str, pattern: str) -> str:
+    return f"regexp_matches({c}, {_sql(pattern)})"
+
+
+def _x(c: str, pattern: str, group: int = 1) -> str:
+    return f"nullif(regexp_extract({c}, {_sql(pattern)}, {group}), '')"
+
+
+STATEMENTS_SQL = f"""st AS (SELECT id, kind, s, lower(s) AS low, regexp_extract(s, '^(.+?(?:[.!?](?:\\s|$)|$))', 1) AS f FROM (
+  SELECT p_partkey AS id, CAST(p_partkey % {len(STATEMENTS)} AS INTEGER) AS kind, replace([{", ".join(map(_sql, STATEMENTS))}][CAST(p_partkey % {len(STATEMENTS)} AS INTEGER) + 1], '{{n}}', CAST(p_partkey AS VARCHAR)) AS s FROM part))"""
+CLEAN_ENTITY = "trim({}, ' ,;:.')"
+CITED = f"({_m('low', patterns.CITATION_WORDS)} OR {_m('s', patterns.CITATION_VOLUME)} OR ({_m('low', patterns.CITATION_PAGE)} AND contains(s, '/')))"
+ASKED = f"(contains(s, '?') OR {_m('low', patterns.QUESTION_LEADS)} OR {_m('low', patterns.QUESTION_PHRASES)})"
+CHARTED = f"({_m('low', patterns.CHART_LEADS)} OR {_m('low', patterns.METHODOLOGY)})"
+METADATA = f"(length(s) >= 20 AND NOT {CITED} AND NOT {_m('s', patterns.URL_LIKE)} AND NOT {ASKED} AND {_m('s', patterns.REPORT_METADATA)})"
+GATES_SQL = {
+    "url": _m("s", patterns.URL_LIKE),
+    "asked": ASKED,
+    "example": f"({_m('low', patterns.EXAMPLE_LEADS)} OR {_m('low', patterns.EXAMPLE_PHRASES)})",
+    "rule": f"({_m('low', patterns.DEFINITIONAL)} OR {_m('low', patterns.THRESHOLDS)})",
+    "survey": f"({_m('low', patterns.SURVEY_SUBJECTS)} OR {_m('low', patterns.SURVEY_METHODS)})",
+    "title": f"(length(e) <= 120 AND (({_m('lower(e)', patterns.PUBLICATIONS)} AND NOT {_m('lower(e)', patterns.PUBLICATION_VERBS)}) OR (len(string_split(e, ' ')) <= 8 AND {_m('e', '[A-Z]')} AND NOT {_m('e', '(^|[^A-Za-z])[a-z]|[A-Za-z][A-Z]')} AND NOT {_m('e', '[.!?]')} AND {_m('e', patterns.RESOURCE_HINT)})))",
+    "chart": CHARTED,
+    "cited": CITED,
+    "impact_defined": _m("s", patterns.DEFINITION_LIKE_IMPACT),
+    "resource_name": _m("s", patterns.RESOURCE_HINT),
+    "resource_only": _m("s", patterns.RESOURCE_ONLY),
+    "callout": f"(list_contains([{', '.join(map(_sql, patterns.CALLOUT_LABELS))}], lower(e)) OR (len(string_split(e, ' ')) <= 5 AND {_m('lower(e)', patterns.CALLOUT_CUES)}))",
+    "recommended": f"(NOT contains(f, '?') AND {_m('f', patterns.RECOMMENDATION)})",
+    "action": f"({_m('s', patterns.ACTION_START)} OR {_m('s', patterns.RECOMMENDATION)})",
+    "finding": _m("s", patterns.KEY_FINDING),
+    "funding": f"({_m('s', patterns.FUNDING_CONTEXT)} AND NOT {_m('s', patterns.FUNDING_NEGATIVE)})",
+    "funding_event": f"(NOT {METADATA} AND NOT {_m('s', patterns.FUNDING_SUMMARY)} AND NOT {_m('s', patterns.FUNDING_ADVICE)} AND {_m('s', patterns.FUNDING_ACTION)})",
+    "metadata": METADATA,
+    "strong": _m("s", patterns.STRONG_METRIC),
+    "credential": _m("s", r"^(?:[A-Z]\.){1,4}$"),
+    "person": f"(len(string_split(s, ' ')) BETWEEN 2 AND 4 AND len(list_filter(string_split(s, ' '), lambda w: NOT regexp_matches(trim(w, '.'), '^[A-Z][A-Za-z.''’-]+$'))) = 0 AND NOT len(list_filter(string_split(low, ' '), lambda w: NOT list_contains([{', '.join(map(_sql, evidence.ROLES + evidence.ROLE_MODIFIERS))}], trim(w, '.,')))) = 0)",
+}
+GATES = {
+    "url": evidence.is_url_like, "asked": evidence.is_question, "example": evidence.is_example, "rule": evidence.is_rule_or_threshold, "survey": evidence.is_survey_admin, "title": evidence.is_publication_title, "chart": evidence.is_chart_or_methodology,
+    "cited": evidence.is_citation_like, "impact_defined": evidence.is_definition_like_impact, "resource_name": evidence.is_resource_name, "resource_only": evidence.is_resource_only_name, "callout": evidence.is_callout_label, "recommended": evidence.is_recommendation,
+    "action": evidence.is_action_item, "finding": evidence.is_key_finding, "funding": evidence.is_funding_context, "funding_event": evidence.is_funding_event, "metadata": lambda s: evidence.report_metadata(s).isNotNull(), "strong": evidence.is_strong_metric,
+    "credential": evidence.is_credential, "person": evidence.is_person,
+}
+
+
+@query(f"WITH {STATEMENTS_SQL}, g AS (SELECT *, {CLEAN_ENTITY.format('s')} AS e FROM st) SELECT kind, count(*) AS n, {', '.join(f'count(*) FILTER (WHERE {v}) AS {k}' for k, v in GATES_SQL.items())} FROM g GROUP BY kind")
+def evidence_gates(spark, sf_dir):
+    s = F.col("s")
+    return statements(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(f(s)).alias(k) for k, f in GATES.items()])
+
+
+@query(f"WITH {STATEMENTS_SQL}, g AS (SELECT *, {CLEAN_ENTITY.format('s')} AS e FROM st) SELECT id FROM g WHERE NOT ({' OR '.join(GATES_SQL[k] for k in ('url', 'asked', 'example', 'rule', 'survey', 'title', 'chart', 'cited'))})")
+def evidence_leaves(spark, sf_dir):
+    return statements(spark, sf_dir).where(evidence.is_evidence(F.col("s"))).select("id")
+
+
+@query(f"""WITH {STATEMENTS_SQL} SELECT id,
+  CASE WHEN {_m('low', 'writer:|contributors include|graphics and layout by')} THEN 'production_credit' WHEN {_m('low', 'data sharing|data collected by')} THEN 'data_or_research_support' WHEN {_m('low', 'support|supported by|made possible by')} THEN 'supporter' ELSE 'report_context' END AS metadata_type,
+  CASE WHEN contains(low, 'pro bono support') THEN 'pro_bono_supporter' WHEN {_m('low', 'data sharing|data collected by')} THEN 'data_provider' WHEN contains(low, 'graphics and layout') THEN 'designer' WHEN contains(low, 'writer:') THEN 'writer' WHEN contains(low, 'contributors include') THEN 'contributor' WHEN {_m('low', 'support|made possible')} THEN 'supporter' END AS role,
+  CASE WHEN contains(low, 'project') THEN 'project' WHEN contains(low, 'work') THEN 'work' ELSE 'report' END AS applies_to
+FROM st WHERE {METADATA}""")
+def report_credits(spark, sf_dir):
+    found = statements(spark, sf_dir).withColumn("m", evidence.report_metadata(F.col("s"))).where("m IS NOT NULL")
+    return found.select("id", "m.metadata_type", "m.role", "m.applies_to")
+
+
+@query(f"""WITH {STATEMENTS_SQL} SELECT id, f AS statement_text, trim({_x('f', patterns.PURPOSE_PROBLEM)}) AS problem, {_x('f', patterns.PURPOSE_STAKES)} AS stakes, {_x('f', patterns.BENEFICIARIES)} AS audience
+FROM st WHERE length(f) >= 40 AND NOT {CHARTED} AND NOT {CITED} AND {_m('f', patterns.PURPOSE)} AND NOT {_m('f', patterns.ADVICE)}""")
+def purpose_statements(spark, sf_dir):
+    found = statements(spark, sf_dir).withColumn("p", evidence.purpose_statement(F.col("s"))).where("p IS NOT NULL")
+    return found.select("id", "p.statement_text", "p.problem", "p.stakes", "p.audience")
+
+
+VALUED = f"({_m('f', patterns.NUMBER)} OR {_m('f', patterns.MONEY)} OR {_m('f', patterns.MAGNITUDE)})"
+
+
+@query(f"""WITH {STATEMENTS_SQL} SELECT id, CASE WHEN {_m('lower(f)', 'backlog|need')} THEN 'need' WHEN {_m('lower(f)', 'economic impact|touched|served|reached|helped|created|generated')} THEN 'accomplishment' WHEN {_m('lower(f)', 'known funding|average grant|funding went|foundation funding')} THEN 'funding_summary' ELSE 'impact' END AS impact_type,
+  coalesce({_x('f', patterns.MONEY)}, trim({_x('f', patterns.NUMBER)}), {_x('f', patterns.MAGNITUDE)}) AS value, {_x('f', patterns.BENEFICIARIES)} AS beneficiaries
+FROM st WHERE length(f) >= 30 AND NOT {CHARTED} AND NOT {_m('f', patterns.DEFINITION_LIKE_IMPACT)} AND {_m('f', patterns.IMPACT)} AND ({VALUED} OR (NOT (contains(f, ',') AND {_m('f', patterns.ROLE_HINT)}) AND {_m('f', patterns.IMPACT_NEED)}))""")
+def impact_statements(spark, sf_dir):
+    found = statements(spark, sf_dir).withColumn("i", evidence.impact_statement(F.col("s"))).where("i IS NOT NULL")
+    return found.select("id", "i.impact_type", "i.value", "i.beneficiaries")
+
+
+PLAUSIBLE = f"length(name) BETWEEN 5 AND 120 AND NOT {_m('lower(name)', patterns.RESOURCE_LEADS)} AND NOT {_m('lower(name)', patterns.RESOURCE_PEOPLE)} AND {_m('name', patterns.RESOURCE_HINT)}"
+
+
+@query(f"""WITH {STATEMENTS_SQL}, l AS (SELECT *, regexp_extract(s, {_sql(patterns.LABEL_VALUE)}, 1) AS label FROM st WHERE NOT {CITED}),
+n AS (SELECT *, {CLEAN_ENTITY.format("CASE WHEN " + _m("label", patterns.RESOURCE_HINT) + " THEN label ELSE regexp_extract(s, " + _sql(patterns.RESOURCE_PHRASE) + ", 1) END")} AS name FROM l)
+SELECT id, name AS resource_name, CASE {' '.join(f"WHEN contains(lower(name), '{k}') THEN '{'grant_program' if k == 'grant' else k}'" for k in patterns.RESOURCE_KINDS)} ELSE 'resource' END AS resource_type FROM n WHERE {PLAUSIBLE} AND NOT list_contains([{', '.join(map(_sql, patterns.CALLOUT_LABELS))}], lower(name))""")
+def resources_named(spark, sf_dir):
+    found = statements(spark, sf_dir).withColumn("r", evidence.resource(F.col("s"))).where("r IS NOT NULL")
+    return found.select("id", "r.resource_name", "r.resource_type")
+
+
+BARE_TERM = _x("s", patterns.WHICH_MEANS)
+TERM = f"coalesce({_x('s', patterns.WHICH_MEANS)}, {_x('s', patterns.DEFINITION)})"
+MEANS = f"CASE WHEN {_m('s', patterns.WHICH_MEANS)} THEN {_x('s', patterns.WHICH_MEANS, 2)} ELSE {_x('s', patterns.DEFINITION, 2)} END"
+
+
+@query(f"""WITH {STATEMENTS_SQL}, t AS (SELECT id, {CLEAN_ENTITY.format(TERM)} AS a, trim({MEANS}) AS definition FROM st),
+u AS (SELECT id, definition, {CLEAN_ENTITY.format(f"regexp_replace(regexp_replace(regexp_replace(a, {_sql(patterns.TERM_PREFIX)}, ''), '(?i)^(?:a|an|the)\\s+', ''), {_sql(patterns.TERM_QUALIFIER)}, '')")} AS term FROM t WHERE a IS NOT NULL)
+SELECT id, term, definition FROM u WHERE term <> '' AND NOT list_contains([{', '.join(map(_sql, patterns.TERM_PRONOUNS + patterns.TERM_GENERIC))}], lower(term)) AND NOT list_contains([{', '.join(map(_sql, patterns.TERM_PRONOUNS))}], string_split(lower(term), ' ')[1])
+  AND len(string_split(term, ' ')) <= 8 AND NOT (NOT {_m('term', '[A-Z]')} AND (len(string_split(term, ' ')) > 3 OR {_m('lower(term)', patterns.TERM_VERBS)})) AND NOT (upper(term) <> term AND {_m('lower(term)', patterns.TERM_VERBS_CASED)}) AND NOT {_m('lower(definition)', patterns.DEFINITION_SKIPS)}""")
+def definitions(spark, sf_dir):
+    found = statements(spark, sf_dir).withColumn("d", evidence.definition(F.col("s"))).where("d IS NOT NULL")
+    return found.select("id", "d.term", "d.definition")
+
+
+@query(f"WITH {STATEMENTS_SQL} SELECT place, count(*) AS n FROM (SELECT unnest(regexp_extract_all(s, {_sql(evidence.PLACES)}, 1)) AS place FROM st) GROUP BY place")
+def places_named(spark, sf_dir):
+    return statements(spark, sf_dir).select(F.explode(evidence.places(F.col("s"))).alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {STATEMENTS_SQL} SELECT id, v AS value FROM (SELECT id, unnest(list_transform(regexp_extract_all(s, {_sql(patterns.WORD_STAT)}, 1), lambda x: lower(x))) AS v FROM st WHERE {_m('s', patterns.WORD_STAT_CONTEXT)} AND NOT {_m('s', patterns.WORD_STAT_IDIOM)})")
+def worded_shares(spark, sf_dir):
+    return statements(spark, sf_dir).select("id", F.explode(evidence.word_stats(F.col("s"))).alias("value"))
+
+
+@query(f"""WITH {STATEMENTS_SQL}, e AS (SELECT id, {CLEAN_ENTITY.format('x')} AS entity FROM (SELECT id, unnest(regexp_extract_all(s, {_sql(patterns.ENTITY_PHRASE)}, 1)) AS x FROM st))
+SELECT id, entity, CASE WHEN {_m('lower(entity)', patterns.ENTITY_ORGANIZATION)} THEN 'organization' WHEN {_m('lower(entity)', patterns.ENTITY_LAW)} THEN 'law_or_policy' WHEN {_m('lower(entity)', patterns.ENTITY_PROGRAM)} THEN 'program_or_initiative' ELSE 'entity' END AS entity_type FROM (SELECT DISTINCT * FROM e)
+WHERE length(entity) BETWEEN 4 AND 90 AND NOT list_contains([{', '.join(map(_sql, patterns.ENTITY_STOPS))}], entity) AND NOT (upper(entity) = entity AND len(string_split(entity, ' ')) <= 3)
+  AND len(list_filter(string_split(entity, ' '), lambda w: list_contains([{', '.join(map(_sql, patterns.ENTITY_SUFFIXES))}], trim(w, '.,')))) > 0""")
+def entities_typed(spark, sf_dir):
+    entity = F.explode(evidence.entities(F.col("s"))).alias("entity")
+    return statements(spark, sf_dir).select("id", entity).select("id", "entity", evidence.entity_kind(F.col("entity")).alias("entity_type"))
+
+
 # --- logs
 
 EVENT_LOG_SQL = "log AS (SELECT event_id, ts, user_id, event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)"

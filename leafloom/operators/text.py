@@ -23,14 +23,10 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def clean_quote(text: Column, limit: int = 220) -> Column:
-    """Collapsed text, cut to limit characters with a mark of the cut."""
+def clean_quote(text: Column, limit: int = 240) -> Column:
+    """Collapsed text, cut behind limit - 1 characters with a mark of the cut."""
     one = collapsed(text)
-    return F.when(F.length(one) > limit, F.concat(F.rtrim(F.substring(one, 1, limit - 3)), F.lit("..."))).otherwise(one)
-
-
-def first_sentence(text: Column, limit: int = 220) -> Column:
-    return F.substring(F.regexp_extract(collapsed(text), r"^(.+?[.!?])(?: |$)", 1), 1, limit)
+    return F.when(F.length(one) > limit, F.concat(F.rtrim(F.substring(one, 1, limit - 1)), F.lit("..."))).otherwise(one)
 
 
 def tokens(text: Column) -> Column:
@@ -60,15 +56,6 @@ def first_of(value: Column, *cases: tuple[str, str], default: str) -> Column:
     return out.otherwise(default)
 
 
-def legal_kind(reference: Column) -> Column:
-    return first_of(reference, (r"^(H\.R\.|S\.) ?[0-9]+", "bill"), (r"U\.?S\.?C", "statute"), (r"\([a-z0-9]\)$", "subsection"), (r"^(§|Section)", "section"), default="other")
-
-
-def impact_kind(text: Column) -> Column:
-    low = F.lower(text)
-    return first_of(low, (r"need|lack", "need"), (r"award|grant|invest", "funding_summary"), (r"complet|serv|reach", "accomplishment"), default="impact")
-
-
 def natural_key(text: Column) -> Column:
     """Sorts numbers inside text by value: each is padded to 12 digits (longer ones keep their length)."""
     return F.regexp_replace(F.regexp_replace(text, "([0-9]+)", "000000000000$1"), "0*([0-9]{12,})", "$1")
