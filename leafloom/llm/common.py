@@ -21,11 +21,11 @@ from ..plans.ship import ship
 from ..plans.storage import new_folder, remove
 
 #: Bytes of text that one numpy pass takes at a time; bounds a Python worker's memory.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 2 << 20
 
 
 #: Bytes of an Arrow batch, where the session allows more: long documents then can't add up to a worker's memory.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -74,6 +74,7 @@ def slices(batch: pa.RecordBatch, text: int, most: int = PASS_BYTES) -> Iterator
         to = max(at + 1, int(np.searchsorted(end, before + most, "right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

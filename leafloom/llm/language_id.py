@@ -39,11 +39,11 @@ from .common import held_out, learn, slices, table, texts, written
 
 #: Bounds of what is learned from and of what is learned.
 MAX_TRAIN_DOCS = 8000
-MAX_WORDS = 160_000
+MAX_WORDS = 120_000
 MAX_GRAMS = 60_000
 LONGEST_GRAM = 4
 #: Distinct words whose parts a worker keeps.
-CACHE = 200_000
+CACHE = 100_000
 UNKNOWN = "und"
 #: Log score of a character that no text learned from has.
 FLOOR = -12.0
