@@ -12,8 +12,9 @@ class) are packed best-fit decreasing. Pieces are ranked within their class, and
 a rank's pattern, sequence and place follow by arithmetic.
 
 The driver sees one number for each class, whatever the input's size. Ranks are
-counted in salted groups, so a length that a third of all pieces share is ranked
-by many tasks.
+counted in salted groups: of n pieces of a class, the square root of n groups of
+as many pieces on average, so that neither the pieces of a group nor the groups
+of a class are many, however many pieces are of one length.
 
 A sequence whose pieces add up to a power of two needs no padding; all others are
 padded to the full length. Null text counts as empty: its piece is the end id
@@ -23,6 +24,7 @@ an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -42,8 +44,6 @@ CLASS_WIDTH = 8
 GAP = 1e-3
 #: Weight of the best prices so far.
 SMOOTH = 0.8
-#: Pieces of a class that one task ranks, on average.
-RANK_GROUP = 50_000
 #: Runs between white space whose ids a worker keeps.
 CACHE = 400_000
 
@@ -308,8 +308,8 @@ def pack(found: DataFrame, size: int = SEQUENCE, width: int = CLASS_WIDTH) -> Da
     for r in classed.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect():  # one row a class
         counts[r["kind"] - 1] = r["n"]
     shared = spark.sparkContext.broadcast(slots(plan(counts, room), room))
-    groups = int(counts.max(initial=0)) // RANK_GROUP + 1
-    salted = classed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int"))
+    groups = F.element_at(F.array(*[F.lit(math.isqrt(int(n)) + 1) for n in counts]), F.col("kind"))
+    salted = classed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), groups).cast("int"))
     # one row for each class and group of ranks
     sums = salted.groupBy("kind", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("kind").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).select("kind", "salt", "before")

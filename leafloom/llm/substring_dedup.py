@@ -124,6 +124,11 @@ def _seed_rows(hot: np.ndarray):
         for whole in batches:
             for batch in slices(whole, 1):
                 h, doc, _, _ = seeds(words(*buffer(batch.column(1))), hot=hot)
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                fresh = np.ones(len(h), bool)  # a text that repeats itself has a seed once
+                fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                h, doc = h[fresh], doc[fresh]
                 yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(pa.array(doc))], names=["seed", "doc_id"])
 
     return run
