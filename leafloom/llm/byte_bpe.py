@@ -34,7 +34,9 @@ from .common import slices, table, texts
 #: Widths of the matrices; longer matches go to the heap.
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64, 96, 128)
 LONG = WIDTHS[-1]
-CACHE = 300_000
+CACHE = 800_000
+#: Bytes of text encoded in one go; what several texts share is then encoded once.
+PASS_TEXT = 4 << 20
 NONE = np.int32(2**31 - 1)
 #: Rows of a matrix; small enough for a core's own cache.
 ROWS = 2048
@@ -267,7 +269,7 @@ def _encode(path: str, pattern: str, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(_bpe(path, pattern))
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, PASS_TEXT):
                 found = encoder.batch(texts(batch.column(1)))
                 out = [batch.column(0), pa.array([n for n, _, _ in found], pa.int64())]
                 if keep:
