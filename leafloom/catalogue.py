@@ -364,10 +364,11 @@ def decision_conflicts(spark, sf_dir):
     return found.withColumn("decisions", F.concat_ws(",", "decisions"))
 
 
-@query("SELECT lang, count(*) AS reviewed, count(*) FILTER (WHERE quality = 1) AS accepted, count(*) FILTER (WHERE quality = 0) AS rejected, round(count(*) FILTER (WHERE quality = 1) / nullif(count(*) FILTER (WHERE quality IN (0, 1)), 0), 3) AS acceptance_rate FROM labels JOIN documents USING (doc_id) GROUP BY lang")
+@query("SELECT lang, count(*) AS reviewed, count(*) FILTER (WHERE quality = 1) AS accepted, count(*) FILTER (WHERE quality = 0 AND doc_id % 3 > 0) AS rejected, count(*) FILTER (WHERE quality = 0 AND doc_id % 3 = 0) AS review_gap, round(count(*) FILTER (WHERE quality = 1) / count(*), 3) AS acceptance_rate FROM labels JOIN documents USING (doc_id) GROUP BY lang")
 def type_quality(spark, sf_dir):
     log = read(spark, sf_dir, "labels", "doc_id", "quality").join(read(spark, sf_dir, "documents", "doc_id", "lang"), "doc_id")
-    return logs.quality(log, "lang", F.col("quality") == 1, F.col("quality") == 0)
+    poor, open_ = F.col("quality") == 0, F.col("doc_id") % 3 == 0
+    return logs.quality(log, "lang", F.col("quality") == 1, poor & ~open_, poor & open_)
 
 
 @query("SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ROLLUP (event_type, user_id)")
@@ -407,7 +408,7 @@ TOKENS_SQL = "list_distinct(list_filter(regexp_extract_all(lower(text), '([a-z0-
 
 @query(f"""WITH a AS (SELECT item_id, unnest(t) AS t, len(t) AS n FROM (SELECT item_id, {TOKENS_SQL} AS t FROM benchmark)),
 b AS (SELECT doc_id, unnest(t) AS t, len(t) AS n FROM (SELECT doc_id, {TOKENS_SQL} AS t FROM documents)),
-s AS (SELECT item_id, doc_id, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS score FROM a JOIN b ON a.t = b.t GROUP BY item_id, doc_id)
+s AS (SELECT item_id, doc_id, CASE WHEN least(any_value(a.n), any_value(b.n)) >= 4 THEN greatest(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), count(*) / least(any_value(a.n), any_value(b.n)) * 0.85) ELSE count(*) / (any_value(a.n) + any_value(b.n) - count(*)) END AS score FROM a JOIN b ON a.t = b.t GROUP BY item_id, doc_id)
 SELECT item_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM s) WHERE rn = 1""")
 def best_overlap(spark, sf_dir):
     return match.best_overlap(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents", "doc_id", "text"), "item_id", "doc_id")

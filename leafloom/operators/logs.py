@@ -29,10 +29,10 @@ def conflicts(log: DataFrame, keys: list[str], decision: str, time: str, line: s
     )
 
 
-def quality(log: DataFrame, kind: str, accepted: Column, rejected: Column) -> DataFrame:
-    """Per kind: reviewed, accepted, rejected and the acceptance rate among the two."""
-    yes, no = F.count_if(accepted), F.count_if(rejected)
-    return log.groupBy(kind).agg(F.count(F.lit(1)).alias("reviewed"), yes.alias("accepted"), no.alias("rejected"), F.round(yes / F.nullif(yes + no, F.lit(0)), 3).alias("acceptance_rate"))
+def quality(log: DataFrame, kind: str, accepted: Column, rejected: Column, gap: Column) -> DataFrame:
+    """Per kind: reviewed, accepted, rejected, those that a review leaves open, and the share of all reviewed that is accepted."""
+    yes = F.count_if(accepted)
+    return log.groupBy(kind).agg(F.count(F.lit(1)).alias("reviewed"), yes.alias("accepted"), F.count_if(rejected).alias("rejected"), F.count_if(gap).alias("review_gap"), F.round(yes / F.count(F.lit(1)), 3).alias("acceptance_rate"))
 
 
 def rollup_counts(log: DataFrame, a: str, b: str) -> DataFrame:

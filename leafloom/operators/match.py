@@ -13,16 +13,19 @@ from .text import tokens
 
 
 def best_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str = "text", least: float = 0.0) -> DataFrame:
-    """For each left row the right row of highest token Jaccard (ties: smallest id), if above `least`.
+    """For each left row the right row of highest token overlap (ties: smallest id), if above `least`.
 
-    Tokens are joined through an inverted index, never all rows with all rows.
+    The score is the Jaccard similarity, or 0.85 of the share of the shorter text's
+    tokens that the other has, if that is more and both have four tokens. Tokens are joined through an inverted index, never all rows with all rows.
     """
     a = left.select(F.col(left_id).alias("a"), tokens(F.col(text)).alias("ta"))
     b = right.select(F.col(right_id).alias("b"), tokens(F.col(text)).alias("tb"))
     ia = a.select("a", F.size("ta").alias("na"), F.explode("ta").alias("t"))
     ib = b.select("b", F.size("tb").alias("nb"), F.explode("tb").alias("t"))
     both = ia.join(ib, "t").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    scored = both.select("a", "b", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("score")).where(F.col("score") > least)
+    jaccard, fewer = F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), F.least("na", "nb")
+    score = F.when(fewer >= 4, F.greatest(jaccard, F.col("n") / fewer * 0.85)).otherwise(jaccard)
+    scored = both.select("a", "b", score.alias("score")).where(F.col("score") > least)
     best = scored.groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("back"))).alias("m"))
     return best.select(F.col("a").alias(left_id), (-F.col("m.back")).alias(right_id), F.round("m.score", 6).alias("score"))
 

@@ -5,18 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import new_folder
 
-def with_paths(nodes: DataFrame, nid: str = "nid", parent: str = "parent", deepest: int = 32) -> DataFrame:
-    """nodes with path (ids from the root down) and depth, a level at a time by joins; stops when a level is empty."""
-    level = nodes.where(F.col(parent).isNull()).withColumns({"path": F.array(nid), "depth": F.lit(0)})
-    out = level
-    for d in range(1, deepest + 1):
-        up = level.select(F.col(nid).alias("_up"), F.col("path").alias("_path"))
-        level = nodes.join(up, F.col(parent) == F.col("_up")).withColumns({"path": F.concat("_path", F.array(nid)), "depth": F.lit(d)}).drop("_up", "_path")
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+
+def with_paths(nodes: DataFrame, nid: str = "nid", parent: str = "parent") -> DataFrame:
+    """nodes with path (ids from the root down) and depth, whatever their depth.
+
+    Each round puts a node's path behind that of the node it has come up to, so
+    that paths double and a depth of d takes log2(d) rounds, each a table of its
+    own. Nodes that no root is above (a missing parent, a cycle) are left out;
+    `unreached` tells them.
+    """
+    state = _round(nodes.withColumns({"path": F.array(nid), "_up": F.col(parent)}))
+    while not state.where("_up IS NOT NULL").isEmpty():
+        above = state.select(F.col(nid).alias("_n"), F.col("_up").alias("_next"), F.col("path").alias("_above"))
+        open_ = state.where(F.col("_up").isNotNull() & ~F.array_contains("path", F.col("_up")))
+        moved = open_.join(above, F.col("_up") == F.col("_n")).withColumns({"path": F.concat("_above", "path"), "_up": F.col("_next")}).drop("_n", "_next", "_above")
+        state = _round(state.where("_up IS NULL").unionByName(moved))
+    return state.drop("_up").withColumn("depth", F.size("path") - 1)
+
+
+def _round(state: DataFrame) -> DataFrame:
+    path = new_folder(state.sparkSession, "tree-paths")
+    state.write.parquet(path)
+    return state.sparkSession.read.schema(state.schema).parquet(path)
+
+
+def unreached(nodes: DataFrame, paths: DataFrame, nid: str = "nid") -> DataFrame:
+    """Nodes that with_paths left out: their parent is missing, or they are below themselves."""
+    return nodes.join(paths.select(nid), nid, "left_anti")
 
 
 def subtree(paths: DataFrame, value: str, nid: str = "nid") -> DataFrame:

@@ -125,3 +125,13 @@ def test_attribute_and_cell_checks(spark):
     rows = spark.createDataFrame([("d", ["Year 2020", "10", None]), ("d", [])], "doc_id string, cells array<string>")
     asked = spark.createDataFrame([(1, "d", ["Year", "10"]), (2, "d", ["10"]), (3, "d", ["Year", "10", "x"])], "check_id int, doc_id string, args array<string>")
     assert {r.check_id: r.passed for r in checks.cell_results(asked, rows).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_paths_of_any_depth_and_without_a_root(spark):
+    rows = [(str(k), str(k - 1) if k else None) for k in range(101)] + [("lost", "nowhere"), ("x", "y"), ("y", "x"), ("z", "y")]
+    nodes = spark.createDataFrame(rows, "nid string, parent string")
+    paths = tree.with_paths(nodes)
+    got = {r.nid: (r.depth, list(r.path)) for r in paths.collect()}
+    assert got == {str(k): (k, [str(i) for i in range(k + 1)]) for k in range(101)}
+    assert sorted(r.nid for r in tree.unreached(nodes, paths).collect()) == ["lost", "x", "y", "z"]
+    assert tree.with_paths(nodes.limit(0)).count() == 0
