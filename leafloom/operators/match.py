@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,9 +53,31 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def letter_bound(a: Column, b: Column) -> Column:
+    """What the similarity of two texts can be at most: twice the letters they share over all letters."""
+    shared = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.least(_count(a, x), _count(b, x)))
+    return F.lit(2.0) * shared(F.array_distinct(F.split(a, ""))) / F.nullif(F.length(a) + F.length(b), F.lit(0))
+
+
+def _count(text: Column, letter: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, letter, F.lit("")))
+
+
 def fuzzy_remap(old: DataFrame, new: DataFrame, block: list[str], old_id: str, new_id: str, text: str, least: float = 0.6) -> DataFrame:
-    """Each old row's best new row of the same block by similarity; equal texts first, ties by smallest id."""
-    pairs = old.select(*block, F.col(old_id), F.col(text).alias("_a")).join(new.select(*block, F.col(new_id), F.col(text).alias("_b")), block)
-    scored = pairs.withColumn("ratio", F.when(F.col("_a") == F.col("_b"), F.lit(1.0)).otherwise(similarity("_a", "_b"))).where(F.col("ratio") >= least)
-    best = scored.groupBy(old_id).agg(F.max(F.struct("ratio", (-F.col(new_id)).alias("back"))).alias("m"))
-    return best.select(old_id, (-F.col("m.back")).alias(new_id), F.round("m.ratio", 6).alias("ratio"))
+    """Each old row's best new row of the same block by similarity; equal texts first, ties by smallest id.
+
+    Equal texts meet by an equality join with one new row each, and their old rows
+    are done. The others are held against the distinct texts of their block: a pair
+    whose lengths, or then whose letters, can't reach `least` isn't compared. Each
+    different text of a block is compared once, however many rows have it.
+    """
+    texts = new.groupBy(*block, F.col(text).alias("_b")).agg(F.min(new_id).alias("_new")).where("_b IS NOT NULL")
+    asked = old.select(*block, F.col(old_id), F.col(text).alias("_a")).where("_a IS NOT NULL")
+    exact = asked.join(texts.withColumnRenamed("_b", "_a"), [*block, "_a"]).select(old_id, "_new", F.lit(1.0).alias("ratio"))
+    rest = asked.join(texts.select(*block, F.col("_b").alias("_a")), [*block, "_a"], "left_anti")
+    shorter, longer = F.least(F.length("_a"), F.length("_b")), F.greatest(F.length("_a"), F.length("_b"))
+    near = rest.select(*block, "_a").distinct().join(texts, block).where(2 * shorter >= least * (shorter + longer)).where(letter_bound(F.col("_a"), F.col("_b")) >= least - 1e-9)
+    scored = near.select(*block, "_a", "_new", similarity("_a", "_b").alias("ratio")).where(F.col("ratio") >= least)
+    best = scored.groupBy(*block, "_a").agg(F.max(F.struct("ratio", (-F.col("_new")).alias("back"))).alias("m")).select(*block, "_a", (-F.col("m.back")).alias("_new"), "m.ratio")
+    found = exact.unionByName(rest.join(best, [*block, "_a"]).select(old_id, "_new", "ratio"))
+    return found.groupBy(old_id).agg(F.max(F.struct("ratio", (-F.col("_new")).alias("back"))).alias("m")).select(old_id, (-F.col("m.back")).alias(new_id), F.round("m.ratio", 6).alias("ratio"))

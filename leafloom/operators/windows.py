@@ -87,3 +87,15 @@ def placed(df: DataFrame, *order: Column) -> DataFrame:
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_range", before.alias("_before"))
     return rows.join(F.broadcast(starts), "_range").withColumn("place", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_range", "_id", "_before")
+
+
+def placed_within(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """df with place, the row's number in its group's order; a group of any size is spread over tasks.
+
+    All rows are placed in the order of key, then `order`; a group's first place is taken off.
+    """
+    all_ = placed(df, *[F.col(k) for k in keys], *order)
+    first = all_.groupBy(*keys).agg(F.min("place").alias("_first"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    joined = all_.alias("a").join(first.alias("f"), same)
+    return joined.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a.place") - F.col("f._first") + 1).alias("place"))
