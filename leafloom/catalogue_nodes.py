@@ -145,10 +145,10 @@ def severity_counts(spark, sf_dir):
 
 
 @query(f"""WITH {NODES_SQL}, i AS (SELECT doc_id, ord, 'n' || substr(sha1(concat_ws('|', kind, CAST(page AS VARCHAR), substr(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]', '', 'g'), 1, 60))), 1, 10) AS base FROM nodes),
-k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id, ord) AS k FROM i) SELECT doc_id, ord, CASE WHEN k = 1 THEN base ELSE base || '-' || CAST(k AS VARCHAR) END AS node_id FROM k""")
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY ord) AS k FROM i) SELECT doc_id, ord, CASE WHEN k = 1 THEN base ELSE base || '-' || CAST(k AS VARCHAR) END AS node_id FROM k""")
 def node_ids(spark, sf_dir):
     base = outline.content_id(F.col("kind"), F.col("page"), F.col("text"))
-    return outline.with_ids(nodes(spark, sf_dir), base, ["doc_id", "ord"], []).select("doc_id", "ord", "node_id")
+    return outline.with_ids(nodes(spark, sf_dir), base, ["ord"], ["doc_id"]).select("doc_id", "ord", "node_id")
 
 
 @query(f"""WITH {LEAVES}, s AS (SELECT doc_id, ord, regexp_replace(substr(regexp_replace(regexp_replace(lower(line), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 60), '-$', '') AS s FROM leaves),
