@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import functions, streaming
-from .operators import checks, detectors, evidence, geometry, graph, logs, match, patterns, platform, runs, sequence, text, toc, tree, validate, windows
+from .operators import checks, detectors, evidence, geometry, graph, logs, match, pages, patterns, platform, runs, sequence, text, toc, tree, validate, windows
 from .plans.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,9 +79,7 @@ def acronym_terms_all(spark, sf_dir):
 @query(f"""WITH {LEAVES}, r AS (SELECT source, line, count(DISTINCT doc_id) AS n_docs FROM leaves GROUP BY source, line HAVING count(DISTINCT doc_id) >= 3)
 SELECT l.source, count(*) AS n_kept FROM leaves l ANTI JOIN r ON l.source = r.source AND l.line = r.line GROUP BY l.source""")
 def running_header_strip(spark, sf_dir):
-    lines = leaves(spark, sf_dir)
-    repeated = lines.groupBy("source", "line").agg(F.count_distinct("doc_id").alias("n_docs")).where("n_docs >= 3")
-    return lines.join(repeated, ["source", "line"], "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n_kept"))
+    return pages.without_repeated_lines(leaves(spark, sf_dir), "source", "line", "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n_kept"))
 
 
 @query(f"""WITH {LEAVES}, p AS (SELECT doc_id, line, lead(line) OVER (PARTITION BY doc_id ORDER BY ord) AS following FROM leaves)
@@ -462,10 +460,9 @@ def pattern_inventory(spark, sf_dir):
 @query("""SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS n_in, coalesce(b.n, 0) AS n_out, greatest(0, coalesce(a.n, 0) - coalesce(b.n, 0)) AS lost
 FROM (SELECT o_orderkey % 100 AS k, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT l_orderkey % 100 AS k, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY 1) b ON a.k = b.k""")
 def audit_ledger(spark, sf_dir):
-    a = read(spark, sf_dir, "orders", "o_orderkey").groupBy((F.col("o_orderkey") % 100).alias("k")).agg(F.count(F.lit(1)).alias("n_in"))
-    b = read(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity").where("l_quantity > 10").groupBy((F.col("l_orderkey") % 100).alias("k")).agg(F.count_distinct("l_orderkey").alias("n_out"))
-    both = a.join(b, "k", "full").na.fill(0, ["n_in", "n_out"])
-    return both.withColumn("lost", F.greatest(F.lit(0), F.col("n_in") - F.col("n_out")))
+    a = read(spark, sf_dir, "orders", "o_orderkey").groupBy((F.col("o_orderkey") % 100).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    b = read(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity").where("l_quantity > 10").groupBy((F.col("l_orderkey") % 100).alias("k")).agg(F.count_distinct("l_orderkey").alias("n"))
+    return pages.ledger(a, b, "k")
 
 
 TRIAGE_SQL = "triage AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS n_err, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1, 2), classed AS (SELECT *, CASE WHEN n_err >= 1 OR n >= 6 THEN 'hard' WHEN kinds >= 3 THEN 'moderate' ELSE 'easy' END AS class FROM triage)"
@@ -490,10 +487,7 @@ def triage_clusters(spark, sf_dir):
 @query("""SELECT d.source, count(*) AS n_pages, count(l.doc_id) AS n_reviewed, count(*) FILTER (WHERE l.quality = 1) AS green, count(*) FILTER (WHERE l.quality = 0) AS red, count(*) FILTER (WHERE l.toxic = 1) AS flagged,
 CASE WHEN count(l.doc_id) = 0 THEN 'open' WHEN count(*) FILTER (WHERE l.quality = 0) > 0 THEN 'failing' ELSE 'passing' END AS ring FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.source""")
 def scoreboard(spark, sf_dir):
-    board = read(spark, sf_dir, "documents", "doc_id", "source").join(read(spark, sf_dir, "labels"), "doc_id", "left")
-    reviewed, red = F.count("quality"), F.count_if(F.col("quality") == 0)
-    ring = F.when(reviewed == 0, "open").when(red > 0, "failing").otherwise("passing")
-    return board.groupBy("source").agg(F.count(F.lit(1)).alias("n_pages"), reviewed.alias("n_reviewed"), F.count_if(F.col("quality") == 1).alias("green"), red.alias("red"), F.count_if(F.col("toxic") == 1).alias("flagged"), ring.alias("ring"))
+    return pages.scoreboard(read(spark, sf_dir, "documents", "doc_id", "source"), read(spark, sf_dir, "labels"), "source", "doc_id", F.col("quality") == 1, F.col("quality") == 0, F.col("toxic") == 1)
 
 
 # --- windows

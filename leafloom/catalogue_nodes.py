@@ -6,11 +6,12 @@ is a heading, of a level that changes every six lines; every seventh is a figure
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import sources
 from .catalogue import LEAVES, leaves, query, read
-from .operators import gold, markers, outline, platform
+from .operators import gold, graph, markers, outline, pages, platform
 
 NODES_SQL = f"""{LEAVES}, nodes AS (SELECT doc_id, ord, CAST(ord // 4 AS INTEGER) AS page, CASE WHEN ord % 2 = 0 THEN 'heading' WHEN ord % 7 = 3 THEN 'figure' ELSE 'paragraph' END AS kind,
   CAST(1 + (ord // 6) % 3 AS INTEGER) AS level, CASE WHEN ord % 6 = 0 AND doc_id % 3 = 0 THEN 'Summary of ' || line ELSE line END AS text FROM leaves)"""
@@ -327,3 +328,48 @@ def overrides_judged(spark, sf_dir):
     key, who = F.col("o_orderkey"), F.col("o_custkey")
     asked = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(key.alias("line"), lever(key % 5).alias("lever"), F.when(key % 7 != 0, who % 3).alias("page"), (who % 40).alias("target"), (who % 2).cast("string").alias("value"), (key % 3).alias("from_page"))
     return platform.prescribed(held, asked, [f"lever{k}" for k in range(4)]).select("line", "outcome", "why")
+
+
+# --- pages
+
+_SIGNALS_SQL = """s AS (SELECT source AS doc_id, doc_id AS page, CASE WHEN doc_id % 31 = 0 THEN 1 ELSE 0 END AS hero, CASE WHEN doc_id % 11 = 0 THEN 1 END AS n_tables, doc_id % 5 // 3 AS n_callouts, n_chars % 6 AS n_figures, CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS n_asides, 1 + n_chars % 2 AS ncols, (n_chars % 10) / 10.0 AS colconf, n_chars % 3 // 2 AS fig_anatomy FROM documents)"""
+
+
+def _signals(spark, sf_dir):
+    i, n = F.col("doc_id"), F.col("n_chars")
+    none = [F.lit(0).alias(c) for c in ("label_soup", "assembled", "grown", "dissolve", "questions", "uncertain", "n_lists")]
+    made = [F.when(i % 31 == 0, 1).otherwise(0).alias("hero"), F.when(i % 11 == 0, 1).alias("n_tables"), F.floor(i % 5 / 3).alias("n_callouts"), (n % 6).alias("n_figures"), F.when(F.col("lang") == "de", 1).otherwise(0).alias("n_asides"), (1 + n % 2).alias("ncols"), (n % 10 / 10).alias("colconf"), F.floor(n % 3 / 2).alias("fig_anatomy")]
+    return read(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars").select(F.col("source").alias("doc_id"), i.alias("page"), *made, *none, (i % 9 == 0).alias("scanned"))
+
+
+@query(f"WITH {_SIGNALS_SQL} SELECT page, CASE WHEN hero > 0 OR coalesce(n_tables, 0) >= 1 OR n_callouts >= 2 OR n_figures > 4 OR (ncols >= 2 AND colconf < 0.55) THEN 'hard' WHEN n_figures >= 2 OR n_callouts >= 1 OR n_asides >= 1 OR (n_figures = 1 AND fig_anatomy > 0) THEN 'moderate' ELSE 'easy' END AS class FROM s")
+def page_classes(spark, sf_dir):
+    return _signals(spark, sf_dir).select("page", pages.page_class().alias("class"))
+
+
+@query()
+def pages_to_scan(spark, sf_dir):
+    return pages.pages_to_scan(_signals(spark, sf_dir))
+
+
+@query("SELECT o_orderpriority AS label, o_orderstatus AS kind, count(*) AS mentions, count(DISTINCT o_custkey) AS n_documents FROM orders GROUP BY 1, 2")
+def graph_mentions(spark, sf_dir):
+    mentions = read(spark, sf_dir, "orders", "o_orderpriority", "o_orderstatus", "o_custkey").select(F.col("o_orderstatus").alias("kind"), F.col("o_orderpriority").alias("label"), "o_custkey")
+    return graph.nodes(mentions, "kind", "label", "o_custkey").drop("id")
+
+
+@query()
+def figure_captions(spark, sf_dir):
+    d = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    x, y = F.col("l_quantity").cast("double"), (F.col("l_partkey") % 97).cast("double")
+    boxes = d.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("block"), x.alias("l"), y.alias("b"), (x + 20).alias("r"), (y + 10).alias("t"), F.when(F.col("l_partkey") % 3 == 0, "Figure 1: it").otherwise("text").alias("text"), F.when(F.col("l_partkey") % 2 == 0, 8.0).otherwise(10.0).alias("size"))
+    return pages.captions(boxes.where("block <= 3").withColumnRenamed("block", "figure"), boxes.where("block > 3"), 10.0)
+
+
+@query("""WITH n AS (SELECT o_custkey AS doc_id, o_orderkey AS ord, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, CASE WHEN o_orderkey % 5 = 0 THEN 'paragraph' ELSE 'list' END AS kind, CASE WHEN o_orderkey % 7 = 0 THEN 1.0 ELSE 0.1 END AS b, CASE WHEN o_orderkey % 4 = 0 THEN 0.5 ELSE 0.9 END AS t FROM orders),
+m AS (SELECT *, coalesce(kind = 'list' AND lag(kind) OVER w = 'list' AND lag(b) OVER w < 0.22 AND t > 0.78, false) AS m, lag(ord) OVER w AS up FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+r AS (SELECT *, page - max(CASE WHEN NOT m THEN page END) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM m) SELECT ord, CASE WHEN m AND run % 2 = 1 THEN up END AS "into" FROM r""")
+def lists_over_breaks(spark, sf_dir):
+    key = F.col("o_orderkey")
+    made = read(spark, sf_dir, "orders", "o_custkey", "o_orderkey").select(F.col("o_custkey").alias("doc_id"), key.alias("ord"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("page"), F.when(key % 5 == 0, "paragraph").otherwise("list").alias("kind"), F.lit(False).alias("ordered"), F.when(key % 7 == 0, 1.0).otherwise(0.1).alias("b"), F.when(key % 4 == 0, 0.5).otherwise(0.9).alias("t"), F.lit(1.0).alias("height"))
+    return pages.lists_over_breaks(made).select("ord", "into")

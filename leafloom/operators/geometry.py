@@ -40,26 +40,58 @@ def region_votes(blocks: DataFrame, regions: DataFrame, page: str, block: str, r
     return best.select(page, block, F.col("m")[role].alias(role), F.least(F.lit(1.0), F.col("_all") / F.col("_own")).alias("coverage"))
 
 
+def _valley(boxes: list[tuple], ids: list[int], lo: int, gap: float) -> tuple[list[int], list[int]] | None:
+    """The two sides of the widest empty band across one axis, if it is at least `gap` wide."""
+    ranked = sorted(ids, key=lambda k: (boxes[k][lo], k))
+    reach, widest, at = boxes[ranked[0]][lo + 2], -1.0, 0
+    for n, k in enumerate(ranked[1:], 1):
+        width = boxes[k][lo] - reach
+        if width >= gap and width > widest:
+            widest, at = width, n
+        reach = max(reach, boxes[k][lo + 2])
+    return (ranked[:at], ranked[at:]) if at else None
+
+
+def _side_by_side(boxes: list[tuple], left: list[int], right: list[int]) -> bool:
+    """Whether two sides stand next to each other: they share half the height of the lower one."""
+    span = [(min(boxes[k][1] for k in side), max(boxes[k][3] for k in side)) for side in (left, right)]
+    shared = min(span[0][1], span[1][1]) - max(span[0][0], span[1][0])
+    return shared >= 0.5 * max(1.0, min(hi - lo for lo, hi in span))
+
+
 def cut(boxes: list[tuple], gap: float) -> list[int]:
-    """Reading order by recursive XY-cut: split at the widest empty band, columns left to right, rows top to bottom. boxes: (l, b, r, t)."""
+    """Reading order by recursive cuts. boxes: (l, b, r, t).
+
+    Columns first: a gutter between sides that stand next to each other is cut
+    before any band, left side first; else the widest band, upper side first. Where
+    neither is free, the uppermost box that alone closes a gutter is read between
+    what lies above and below its middle; else by tops, then left edges.
+    """
     order: list[int] = []
     todo = [list(range(len(boxes)))]
     while todo:
         ids = todo.pop()
-        best = None
-        for lo, hi, vertical in ((0, 2, True), (1, 3, False)):
-            ranked = sorted(ids, key=lambda k: (boxes[k][lo], k))
-            reach = boxes[ranked[0]][hi]
-            for n, k in enumerate(ranked[1:], 1):
-                width = boxes[k][lo] - reach
-                if width >= gap and (best is None or width > best[0]):
-                    best = (width, vertical, ranked[:n], ranked[n:])
-                reach = max(reach, boxes[k][hi])
-        if best is None:
-            order += sorted(ids, key=lambda k: (-boxes[k][3], boxes[k][0], k))
+        if len(ids) < 2:
+            order += ids
+            continue
+        columns = _valley(boxes, ids, 0, gap)
+        if columns and _side_by_side(boxes, *columns):
+            todo += [columns[1], columns[0]]  # the last is taken first
+            continue
+        bands = _valley(boxes, ids, 1, gap)
+        if bands:
+            todo += [bands[0], bands[1]]
+            continue
+        for k in sorted(ids, key=lambda k: (-boxes[k][3], boxes[k][0], k)):
+            others = [j for j in ids if j != k]
+            free = _valley(boxes, others, 0, gap) if len(others) > 1 else None
+            if free and _side_by_side(boxes, *free):
+                middle = boxes[k][1] + boxes[k][3]
+                above = [j for j in others if boxes[j][1] + boxes[j][3] > middle]
+                todo += [[j for j in others if j not in set(above)], [k], above]
+                break
         else:
-            _, vertical, low, high = best
-            todo += [high, low] if vertical else [low, high]  # the last is taken first
+            order += sorted(ids, key=lambda k: (-boxes[k][3], boxes[k][0], k))
     return order
 
 
