@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and the SQL that says the same."""
 
-from . import byte_bpe, exact_dedup, fingerprint, language_id, line_dedup, packing, runs, simhash, substring_dedup, topk_search, toxicity, warc
+from . import byte_bpe, exact_dedup, fingerprint, language_id, line_dedup, packing, prefix_trie, runs, simhash, substring_dedup, topk_search, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_topk_search": topk_search.op11_topk_search,
     "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op11_topk_search": topk_search.OP11_SQL,
     "op12_periodic_runs": runs.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }

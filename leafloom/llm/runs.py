@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer, slices, table
+from .common import CRC32_SQL, buffer, slices, table
 from .words import Words, words, xxh64
 
 #: A run has at least so many words and so many periods.
@@ -220,9 +220,6 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), rebuild=rebuilt)
 
 
-#: crc32 of an ASCII text column, in SQL.
-CRC32_SQL = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda s, k: xor(s >> 1, 3988292384 * (s & 1)))), 4294967295)"
-
 OP12_SQL = f"""
 WITH t AS (
   SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, {CRC32_SQL.format("CAST(doc_id AS VARCHAR)")} AS h
