@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,18 +53,17 @@ def quantised(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, vectors = [], []
-            for k, v in enumerate(batch.column("v").to_pylist()):
-                if v is None or any(x is None for x in v):
-                    continue
-                x = np.asarray(v, np.float64)
-                if np.isfinite(x).all():
-                    with np.errstate(over="ignore"):
-                        y = x * 256
-                    kept.append(k)
-                    vectors.append(np.where(np.isfinite(y), np.floor(y), np.copysign(np.finfo(np.float64).max, x)).tolist())
-            take = batch.take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([take.column("rid"), take.column("id"), take.column("query"), pa.array(vectors, pa.list_(pa.float64()))], names=["rid", "id", "query", "v"])
+            batch = batch.filter(batch.column("v").is_valid())
+            ends = np.r_[0, np.cumsum(pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False), dtype=np.int64)]
+            x = pc.fill_null(batch.column("v").flatten(), np.nan).to_numpy(zero_copy_only=False)
+            unusable = np.r_[0, np.cumsum(~np.isfinite(x))]
+            ok = unusable[ends[1:]] == unusable[ends[:-1]]
+            with np.errstate(over="ignore", invalid="ignore"):
+                y = x * 256
+                whole = np.where(np.isinf(y), np.copysign(np.finfo(np.float64).max, y), np.floor(y))
+            vectors = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(whole))
+            columns = [*(batch.column(c) for c in ("rid", "id", "query")), vectors]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "id", "query", "v"]).filter(pa.array(ok))
 
     return rows.mapInArrow(run, QUANTISED)
 
@@ -198,7 +198,7 @@ def scan(state: DataFrame, rows: DataFrame, lanes: int, parts: int, shift: int |
         waiting: dict[int, list[tuple]] = {}
         held: dict[int, Lane] = {}
         for batch in batches:
-            n = pa.compute.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
+            n = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
             kind = batch.column("kind").to_numpy(zero_copy_only=False)
             for size in np.unique(n):
                 asked = batch.take(pa.array(np.flatnonzero((n == size) & (kind == 0))))
