@@ -879,4 +879,4 @@ def toc_reconcile(spark, sf_dir):
     return toc.reconcile(entries, headings, "doc_id")
 
 
-from . import catalogue_nodes  # noqa: E402, F401  registers its queries here
+from . import catalogue_layout, catalogue_nodes  # noqa: E402, F401  register their queries here

@@ -79,3 +79,12 @@ BENEFICIARIES = r"(?i)\b(?:for|to|among|serving|served|reached|touched|helped)\s
 FUNDING_PURPOSE = r"(?i)\b(?:to|for|supporting|toward)\s+(.+?)(?:[.;]|$)"
 RECIPIENT = r"(?i)\b(?:to|for|in|into|supporting)\s+(.+?)(?:[.;,]|$)"
 CREDENTIAL = r"^(?:[A-Z]\.){2,}$"
+
+# --- notes and contents lists (fixed values: results depend on them)
+
+#: A line that begins with a note's number, and with its letter.
+NOTE_START = r"^([0-9]{1,3})(?:[.)]\s*(?![0-9])|\s+)(?=\S)"
+LETTER_NOTE_START = r"^([a-z])(?:[.)]\s*|\s+)(?=\S)"
+#: What a citation has: an address or a year.
+CITATION = r"(https?://|www\.|\b(?:19|20)[0-9]{2}\b)"
+NOTES_HEADING = r"(?i)^(?:(?:end\s*)?notes?|references|sources)$"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -34,6 +34,13 @@ def top(spark: SparkSession) -> str:
     return f"{scratch(spark)}/leafloom/{spark.sparkContext.applicationId}"
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df as a Parquet table in scratch space, for a result that several branches of a plan read."""
+    path = new_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the scratch space; nothing that still reads from it may be used afterwards."""
     if not path.startswith(top(spark)):
