@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalogue import LEAVES, leaves, query, read
-from .operators import layout, notes
+from .operators import inline, layout, notes, vocabulary
 
 PLACED_SQL = f"""{LEAVES}, k AS (SELECT doc_id, ord, line, ord // 24 AS page, (ord % 24) // 12 AS half, ord % 12 AS j, 1 + (doc_id + ord // 24) % 3 AS n FROM leaves),
 placed AS (SELECT doc_id, page, ord, line, CASE WHEN j = 0 THEN half * 100 ELSE half * 100 + 1 + (j - 1) // (10 // n + 1) END AS block,
@@ -202,3 +202,63 @@ def resolved_anchors(spark, sf_dir):
     rows, o = leaves(spark, sf_dir), F.col("ord")
     said = F.when(o % 3 == 0, F.col("line")).when(o % 3 == 1, F.concat(F.substring("line", 1, 20), F.lit("."))).otherwise(F.substring("line", 1, 6))
     return notes.resolved_anchors(rows.select("doc_id", o.alias("anchor"), said.alias("text")), rows.where(o % 4 == 0).select("doc_id", o.alias("o"), "line"), "doc_id", "anchor", "text", "o", "line")
+
+
+# --- inline markup and flowing text
+
+
+def marked_lines(spark, sf_dir):
+    """Lines with runs that nest, cross and reach out of them."""
+    o, n = F.col("ord"), F.length("line")
+    run = lambda s, e, v: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), F.lit(v).alias("v"))
+    d = F.col("doc_id")
+    emphasis = F.array(run(o % 5, o % 5 + 4 + d % 11, "strong"), run(o % 7, o % 7 + 3 + d % 5, "em"), run(2 + d % 3, 9 + o % 4, "strong"), run(n - 3, n + 2, "em"), run(o % 3, o % 3, "em"), run(F.lit(1), n, "mark"))
+    links = F.array(run(o % 6, o % 6 + 5, "u/1"), run(o % 6 + 6, o % 6 + 9, "u/1"), run(4 + d % 4, n - d % 9, "u/2"))
+    return leaves(spark, sf_dir).select("doc_id", "ord", "line", emphasis.alias("emphasis"), links.alias("links"))
+
+
+@query()
+def woven_markup(spark, sf_dir):
+    """Every line with its marks as nested markup, in its lasting form: every fifth a heading."""
+    marked = inline.woven(marked_lines(spark, sf_dir), "line", "emphasis", "links", "marked")
+    kind = F.when(F.col("ord") % 5 == 0, "heading").otherwise("paragraph")
+    return marked.select("doc_id", "ord", inline.canonical(kind, 1 + F.col("ord") % 3, F.col("marked"), F.col("line")).alias("canonical"))
+
+
+BROKEN_SQL = f"""{LEAVES}, cut AS (SELECT doc_id, ord, line, 6 + ord % 9 AS k FROM leaves),
+parts AS (SELECT doc_id, ord, 2 * ord AS nth, CASE WHEN doc_id % 3 = 0 THEN replace(line, ' ', '-') ELSE line END AS text FROM cut
+UNION ALL SELECT doc_id, ord + 1000000, 2 * ord, substring(line, 1, k) || '-' FROM cut UNION ALL SELECT doc_id, ord + 1000000, 2 * ord + 1, CASE WHEN doc_id % 2 = 0 THEN translate(substring(line, k + 1), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN doc_id % 3 = 0 THEN replace(substring(line, k + 1), ' ', '-') ELSE substring(line, k + 1) END FROM cut)"""
+
+
+def broken_lines(spark, sf_dir):
+    """Every line whole (a block), and as two lines of another block, cut within a word or between."""
+    o, k, d = F.col("ord"), 6 + F.col("ord") % 9, F.col("doc_id")
+    rest = F.substring(F.col("line"), (k + 1).cast("int"), F.length("line"))
+    linked = lambda c: F.replace(c, F.lit(" "), F.lit("-"))
+    part = lambda block, nth, text: F.struct(block.alias("block"), nth.alias("nth"), text.alias("text"))
+    tail = F.when(d % 2 == 0, F.translate(rest, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(d % 3 == 0, linked(rest)).otherwise(rest)
+    parts = F.array(part(o.cast("long"), 2 * o, F.when(d % 3 == 0, linked(F.col("line"))).otherwise(F.col("line"))), part(o + 1_000_000, 2 * o, F.concat(F.substring(F.col("line"), F.lit(1), k.cast("int")), F.lit("-"))), part(o + 1_000_000, 2 * o + 1, tail))
+    return leaves(spark, sf_dir).select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.block", "p.nth", "p.text")
+
+
+@query(f"""WITH {BROKEN_SQL}, w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z-]*[a-z]')) AS word FROM parts),
+b AS (SELECT doc_id, ord, nth, text AS t, lag(text) OVER (PARTITION BY doc_id, ord ORDER BY nth) AS p FROM parts),
+c AS (SELECT *, lower(regexp_extract(p, '([A-Za-z]+)-$', 1)) AS a, lower(regexp_extract(t, '^([A-Za-z]+)', 1)) AS z, lower(regexp_extract(t, '^([A-Za-z]+(?:-[A-Za-z]+)+)', 1)) AS zz, regexp_matches(t, '^\\p{{Ll}}') AS small, regexp_matches(t, '^\\p{{Lu}}') AS capital
+  FROM b WHERE p LIKE '%-' AND regexp_matches(t, '^\\p{{L}}')),
+g AS (SELECT *, CASE WHEN a <> '' AND small AND zz <> '' THEN a || '-' || zz WHEN a <> '' AND NOT small AND z <> '' THEN a || '-' || z END AS whole, CASE WHEN a <> '' AND NOT small AND z <> '' THEN a || z END AS joined FROM c),
+f AS (SELECT g.*, w1.word IS NOT NULL AS has_whole, w2.word IS NOT NULL AS has_joined FROM g LEFT JOIN w w1 ON w1.doc_id = g.doc_id AND w1.word = whole LEFT JOIN w w2 ON w2.doc_id = g.doc_id AND w2.word = joined)
+SELECT CASE WHEN small THEN CASE WHEN has_whole THEN 'keep' ELSE 'join' END WHEN capital AND has_joined AND NOT has_whole THEN 'join' ELSE 'space' END AS glue, doc_id, ord AS block, nth FROM f""")
+def line_glue(spark, sf_dir):
+    """How every line that follows a hyphen goes on, by the document's own words."""
+    return vocabulary.line_glue(broken_lines(spark, sf_dir), "doc_id", "block", "nth", "text")
+
+
+@query()
+def flowed_text(spark, sf_dir):
+    """Every broken line as flowing text with a run for each line, hyphens joined or kept by the document's own words."""
+    lines = broken_lines(spark, sf_dir)
+    held = lines.where("block >= 1000000").join(vocabulary.line_glue(lines, "doc_id", "block", "nth", "text"), ["doc_id", "block", "nth"], "left")
+    run = F.array(F.struct(F.lit(0).alias("s"), F.length("text").alias("e"), F.when(F.col("doc_id") % 4 == 0, "strong").otherwise(F.when(F.col("nth") % 2 == 0, "em").otherwise("strong")).alias("v")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("nth", "text", run.alias("runs"), "glue"))), lambda x: F.struct(x["text"].alias("text"), x["runs"].alias("runs"), x["glue"].alias("glue")))
+    flow = held.groupBy("doc_id", "block").agg(inline.flowed(parts).alias("f"))
+    return flow.select("doc_id", "block", "f.text", F.transform("f.runs", lambda r: F.concat_ws(" ", r["s"].cast("string"), r["e"].cast("string"), r["v"])).cast("string").alias("runs"))

@@ -52,8 +52,8 @@ def bands(blocks: DataFrame, page: list[str]) -> tuple[DataFrame, DataFrame]:
         .withColumn("_span", F.greatest(0.6 * (F.col("right") - F.col("left")), 1.3 * F.col("_m")))
     )
     sized = held.join(stats, page)
-    cuts = sized.where(width >= F.col("_span")).select(*page, "_low", "_high", F.explode(F.array(F.round("b", 1), F.round("t", 1))).alias("y")).where("_low < y AND y < _high").select(*page, "y")
-    edges = cuts.unionByName(stats.select(*page, F.explode(F.array("_low", "_high")).alias("y"))).distinct()
+    inner = F.when(width >= F.col("_span"), F.filter(F.array(F.round("b", 1), F.round("t", 1)), lambda y: (F.col("_low") < y) & (y < F.col("_high"))))
+    edges = sized.select(*page, F.explode(F.array_distinct(F.concat(F.coalesce(inner, F.array().cast("array<double>")), F.array("_low", "_high")))).alias("y")).distinct()
     down = Window.partitionBy(*page).orderBy(F.desc("y"))
     pairs = edges.select(*page, F.col("y").alias("y1"), F.lead("y").over(down).alias("y0")).where(F.col("y1") - F.col("y0") >= LEAST_BAND)
     found = pairs.withColumn("band", F.row_number().over(Window.partitionBy(*page).orderBy(F.desc("y1"))) - 1).join(stats.select(*page, "left", "right"), page)
@@ -68,10 +68,11 @@ def profile(lines: DataFrame, band: list[str]) -> DataFrame:
     """
     ends = lines.groupBy(*band).agg(F.min("l").alias("lo"), F.max("r").alias("hi"), F.count(F.lit(1)).alias("n")).withColumn("_last", F.ceil((F.col("hi") - STEP - F.col("lo")) / STEP) - 1)
     first, last = F.floor((F.col("l") - F.col("lo")) / STEP) + 1, F.ceil((F.col("r") - F.col("lo")) / STEP) - 1
-    spans = lines.join(ends, band).select(*band, F.greatest(F.lit(1), first).alias("a"), F.least(F.col("_last"), last).alias("z")).where("a <= z")
-    steps = spans.select(*band, F.explode(F.array(F.struct(F.col("a").alias("k"), F.lit(1).alias("d")), F.struct((F.col("z") + 1).alias("k"), F.lit(-1).alias("d")))).alias("e")).select(*band, "e.k", "e.d")
-    zero = ends.select(*band, F.explode(F.array(F.lit(1).cast("long"), F.col("_last") + 1)).alias("k"), F.lit(0).alias("d"))
-    summed = steps.unionByName(zero).groupBy(*band, "k").agg(F.sum("d").alias("d"))
+    step = lambda k, d: F.struct(k.cast("long").alias("k"), F.lit(d).alias("d"))
+    spans = lines.join(ends, band).select(*band, "_last", F.greatest(F.lit(1), first).alias("a"), F.least(F.col("_last"), last).alias("z"))
+    edges = F.array(step(F.lit(1), 0), step(F.col("_last") + 1, 0))  # a band is covered from end to end, whatever its lines cover
+    steps = F.when(F.col("a") <= F.col("z"), F.concat(F.array(step(F.col("a"), 1), step(F.col("z") + 1, -1)), edges)).otherwise(edges)
+    summed = spans.select(*band, F.explode(steps).alias("e")).groupBy(*band, F.col("e.k").alias("k")).agg(F.sum("e.d").alias("d"))
     along = Window.partitionBy(*band).orderBy("k")
     runs = summed.select(*band, F.col("k").alias("k0"), (F.lead("k").over(along) - 1).alias("k1"), F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("crossing"))
     return ends.join(runs.where("k1 IS NOT NULL"), band).where("k0 <= _last").select(*band, "lo", "hi", "n", "k0", "k1", "crossing")

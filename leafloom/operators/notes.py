@@ -127,28 +127,25 @@ def sequenced(frags: list[tuple]) -> tuple[list[tuple], list[tuple[int | None, s
 def note_records(lines: DataFrame, key: str, order: str, page: str, block: str, text: str, lead: str | None = None) -> DataFrame:
     """One row per note: key, note (place, from 0), n, marker, page, how, n_lines, text.
 
-    lines: the lines of the blocks that hold notes. Only numbers pass through the
-    fold; a note's text is put together by grouping its lines.
+    lines: the lines of the blocks that hold notes; equal places in order of their
+    text. Text is shuffled once, and a document's lines are what a task holds.
     """
-    placed = lines.where(F.col(key).isNotNull() & F.col(order).isNotNull()).withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(order, F.asc_nulls_first(text))))
-    marked = placed.withColumn("_m", line_marker(F.col(text), None if lead is None else F.col(lead)))
+    marked = lines.where(F.col(key).isNotNull() & F.col(order).isNotNull()).withColumn("_m", line_marker(F.col(text), None if lead is None else F.col(lead)))
     rest = F.coalesce("_m.rest", text, F.lit(""))
-    held = marked.select(key, "_place", F.coalesce(F.col(page), F.lit(0)).alias("_page"), F.col(block).alias("_block"), F.col("_m.n").alias("_n"), F.col("_m.raw").alias("_raw"), rest.alias("_rest"))
-    small = held.select(key, "_place", "_page", "_block", "_n", "_raw", F.col("_rest").rlike(r"[^.)\s]").alias("_solid"))
-    kinds = [T.StructField("note", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("marker", T.StringType()), T.StructField("page", small.schema["_page"].dataType), T.StructField("how", T.StringType()), T.StructField("_part", T.StringType())]
-    schema = T.StructType([*small.schema.fields[:2], *kinds])
+    rows = marked.select(key, order, F.coalesce(F.col(page), F.lit(0)).alias("_page"), F.col(block).alias("_block"), F.col("_m.n").alias("_n"), F.col("_m.raw").alias("_raw"), rest.alias("_rest"))
+    kinds = [("note", T.IntegerType()), ("n", T.IntegerType()), ("marker", T.StringType()), ("page", rows.schema["_page"].dataType), ("how", T.StringType()), ("n_lines", T.LongType()), ("text", T.StringType())]
+    schema = T.StructType([rows.schema[key], *[T.StructField(*k) for k in kinds]])
 
     def work(group: list[tuple]) -> list[tuple]:
-        notes, own = sequenced([g[2:] for g in group])
-        return [(*g[:2], o, *notes[o], part) for g, (o, part) in zip(group, own) if o is not None]
-
-    owned = grouped(small, [key], ["_place"], work, schema)
-    piece = F.when(F.col("_part") == "refused", F.concat_ws(" ", "_raw", "_rest")).otherwise(F.col("_rest"))
-    parts = owned.join(held.select(key, "_place", "_raw", "_rest"), [key, "_place"]).withColumn("_piece", piece)
-    listed = F.array_sort(F.collect_list(F.struct("_place", "_piece")))
-    said = F.array_join(F.transform(listed, lambda x: x["_piece"]), " ")
-    clean = F.when(F.col("how") == "inferred", said).otherwise(F.regexp_replace(said, r"^[.) ]+", ""))
-    return parts.groupBy(key, "note", "n", "marker", "page", "how").agg(F.count(F.lit(1)).alias("n_lines"), F.regexp_replace(clean, r"^\s+|\s+$", "").alias("text"))
+        found, own = sequenced([(*g[2:6], g[6].strip(".) \t\r\n") != "") for g in group])
+        pieces: list[list[str]] = [[] for _ in found]
+        for g, (at, part) in zip(group, own):
+            if at is not None:
+                pieces[at].append(f"{g[5]} {g[6]}" if part == "refused" else g[6])
+        said = (" ".join(p) for p in pieces)
+        return [(group[0][0], at, *n, len(pieces[at]), (t if n[3] == "inferred" else t.lstrip(".) ")).strip()) for at, (n, t) in enumerate(zip(found, said))]
+
+    return grouped(rows, [key], [order, "_rest"], work, schema)
 
 
 def counted(block: tuple, expected: int | None) -> tuple[int, int | None]:
