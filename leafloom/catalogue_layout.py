@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalogue import LEAVES, leaves, query, read
-from .operators import inline, layout, notes, vocabulary
+from .operators import edits, inline, layout, notes, vocabulary
 
 PLACED_SQL = f"""{LEAVES}, k AS (SELECT doc_id, ord, line, ord // 24 AS page, (ord % 24) // 12 AS half, ord % 12 AS j, 1 + (doc_id + ord // 24) % 3 AS n FROM leaves),
 placed AS (SELECT doc_id, page, ord, line, CASE WHEN j = 0 THEN half * 100 ELSE half * 100 + 1 + (j - 1) // (10 // n + 1) END AS block,
@@ -262,3 +262,47 @@ def flowed_text(spark, sf_dir):
     parts = F.transform(F.array_sort(F.collect_list(F.struct("nth", "text", run.alias("runs"), "glue"))), lambda x: F.struct(x["text"].alias("text"), x["runs"].alias("runs"), x["glue"].alias("glue")))
     flow = held.groupBy("doc_id", "block").agg(inline.flowed(parts).alias("f"))
     return flow.select("doc_id", "block", "f.text", F.transform("f.runs", lambda r: F.concat_ws(" ", r["s"].cast("string"), r["e"].cast("string"), r["v"])).cast("string").alias("runs"))
+
+
+# --- edits
+
+
+def edited_documents(spark, sf_dir):
+    """Sections of ten lines as nodes, and an edit for every third line: texts, levels, deletions, notes, references, merges, some of nodes that don't exist; orders of documents and pages."""
+    o, d = F.col("ord"), F.col("doc_id")
+    name = lambda k: F.concat(F.lit("n"), k.cast("string"))
+    none = F.lit(None).cast("string")
+    rows = leaves(spark, sf_dir).select("doc_id", "ord", "line")
+    lone = d % 3 == 0  # no sections: every line stands at the top
+    section = F.concat(F.lit("s"), F.floor(o / 10).cast("string"))
+    lines = rows.select(d.alias("doc"), name(o).alias("nid"), F.when(~lone, section).alias("parent"), o.cast("long").alias("place"), F.floor(o / 20).alias("page"), F.when(o % 4 == 0, "heading").otherwise("paragraph").alias("kind"), F.when(o % 4 == 0, 2).alias("level"), F.when(o % 13 != 5, F.col("line")).alias("text"), F.when(o % 6 == 1, F.array((o % 9).cast("int"))).otherwise(F.array().cast("array<int>")).alias("refs"))
+    heads = rows.where(~lone).groupBy("doc_id", F.floor(o / 10).alias("k")).agg(F.min(F.floor(o / 20)).alias("page"))
+    sections = heads.select(d.alias("doc"), F.concat(F.lit("s"), F.col("k").cast("string")).alias("nid"), none.alias("parent"), F.col("k").cast("long").alias("place"), "page", F.lit("section").alias("kind"), F.lit(None).cast("int").alias("level"), none.alias("text"), F.array().cast("array<int>").alias("refs"))
+    j = (d + o) % 21
+    kind = F.when(j == 0, "delete").when(j == 3, "set-text").when(j == 6, "set-level").when(j == 9, "note").when(j == 12, "ref").when(j == 15, "merge").when(j == 18, "split")
+    value = F.when(j == 3, F.concat(F.lit("new "), o.cast("string"))).when(j == 6, (o % 4 - 1).cast("string")).when(j == 9, (o % 12).cast("string")).when(j == 12, (o % 9).cast("string"))
+    empty = F.lit(None).cast("array<string>")
+    long = F.lit(None).cast("long")
+    log = rows.where(kind.isNotNull()).select(d.alias("doc"), ((o * 37) % 1009 * 10_000 + o).cast("long").alias("seq"), kind.alias("kind"), F.when(o % 8 == 7, name(o + 5000)).when((j == 0) & (o % 5 == 0) & ~lone, section).otherwise(name(o)).alias("nid"), value.alias("value"), F.when(j == 15, name(o + 1)).alias("other"), long.alias("page"), empty.alias("order"))
+    tops = F.when(d % 3 == 0, name(F.col("_o"))).otherwise(F.concat(F.lit("s"), F.col("_o").cast("string")))
+    wholes = rows.groupBy("doc_id").agg(F.max(F.when(lone, o).otherwise(F.floor(o / 10))).alias("_m")).where(d % 2 == 0)
+    order = wholes.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m").cast("long"))).alias("_o")).where("_o % 5 <> 3")
+    saved = order.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(((F.col("_o") * 7) % 11).alias("a"), F.col("_o").alias("b"), tops.alias("n")))), lambda x: x["n"]).alias("order"))
+    whole = saved.select(d.alias("doc"), F.lit(20_000_000).cast("long").alias("seq"), F.lit("reorder").alias("kind"), none.alias("nid"), none.alias("value"), none.alias("other"), long.alias("page"), F.concat("order", F.array(F.lit("gone"))).alias("order"))
+    pages = rows.where(d % 6 == 3).groupBy("doc_id", F.floor(o / 20).alias("_p")).agg(F.reverse(F.array_sort(F.collect_list(o))).alias("_o"))
+    paged = pages.select(d.alias("doc"), (20_000_001 + F.col("_p")).cast("long").alias("seq"), F.lit("reorder").alias("kind"), none.alias("nid"), none.alias("value"), none.alias("other"), F.col("_p").cast("long").alias("page"), F.transform("_o", lambda x: F.concat(F.lit("n"), x.cast("string"))).alias("order"))
+    return lines.unionByName(sections), log.unionByName(whole).unionByName(paged)
+
+
+@query()
+def replayed_nodes(spark, sf_dir):
+    """Every document's nodes after its edits."""
+    return edits.replayed(*edited_documents(spark, sf_dir))[0].withColumn("refs", F.col("refs").cast("string"))
+
+
+@query()
+def edit_conflicts(spark, sf_dir):
+    """Every edit that could not be applied, and why; and the notes that edits made, as 'note' rows."""
+    _, records, conflicts = edits.replayed(*edited_documents(spark, sf_dir))
+    made = records.select("doc", F.col("n").cast("long").alias("seq"), F.lit("note").alias("kind"), F.lit(None).cast("string").alias("nid"), F.col("text").alias("reason"))
+    return conflicts.unionByName(made)
