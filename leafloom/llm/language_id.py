@@ -12,12 +12,13 @@ Learned: word and n-gram counts per language, over a sample of at most
 `max_train_docs` rows taken by hash from those that may be learned from. Each
 language has an equal share of the sample (what a rare one leaves goes to the
 others), so that every language with a row to learn from is learned, however
-rare. Words and n-grams are counted, and totals taken, in tasks and over the
-whole sample; then each language keeps its most frequent ones, up to its share
-of `max_words` and `max_grams`, and the rest is scored as unseen. The sample's
-bound, not the corpus, sets the model's size, so it can go to every task.
+rare. All words and n-grams of the sample are learned, once seen or often: counts
+are added up in tasks and reach every task as sorted arrays of 64-bit hashes with
+an entry for each language that has the part. The sample's bound, not the corpus,
+sets the model's size.
 
-Null text, or text without letters: `und`, score 0. With nothing to learn from,
+Letters are the characters of Unicode's category L: digits, number signs (½, Ⅷ)
+and marks are none. Null text, or text without letters: `und`, score 0. With nothing to learn from,
 every text is `und`. Ties go to the language that sorts first. Input columns
 other than id, text and language are ignored by the model.
 """
@@ -28,19 +29,17 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, learn, slices, table, texts, written
 
-#: Bounds of what is learned from and of what is learned.
+#: Bound of what is learned from.
 MAX_TRAIN_DOCS = 8000
-MAX_WORDS = 120_000
-MAX_GRAMS = 60_000
 LONGEST_GRAM = 4
 #: Distinct words whose parts a worker keeps.
 CACHE = 100_000
@@ -48,11 +47,15 @@ UNKNOWN = "und"
 #: Log score of a character that no text learned from has.
 FLOOR = -12.0
 
-LETTERS = re.compile(r"[^\W\d_]+")
+RUNS = re.compile(r"[^\W\d_]+")
 
 
 def letter_runs(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    runs = RUNS.findall(text.lower())
+    if "".join(runs).isalpha() or not runs:
+        return runs
+    # a run may hold number signs, which are no letters
+    return [w for run in runs for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -62,27 +65,57 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
+    """What the sample says of words (size 0) and n-grams (their size), by the hash of the part."""
+
     langs: list[str]
-    rows: dict[str, int]  # a word's row of `logs`; n-grams have theirs under "\0" + n-gram
-    logs: np.ndarray  # log relative frequency by language; the last row is the floor
-
-    def parts(self, word: str) -> tuple[int, ...]:
-        """The rows that a word's score is the sum of."""
-        known = self.rows.get(word)
-        if known is not None:
-            return (known,)
-        marked, found, at = f"<{word}>", [], 0
-        while at < len(marked):
-            for n in range(min(LONGEST_GRAM, len(marked) - at), 0, -1):
-                row = self.rows.get("\0" + marked[at : at + n])
-                if row is not None:
-                    found.append(row)
-                    at += n
-                    break
-            else:
-                found.append(len(self.logs) - 1)
-                at += 1
-        return tuple(found)
+    keys: np.ndarray  # ascending
+    size: np.ndarray  # of each key
+    first: np.ndarray  # n + 1: the entries of key k
+    lang: np.ndarray  # of each entry
+    gain: np.ndarray  # of each entry: log relative frequency above `absent`
+    absent: np.ndarray  # by size and language: log relative frequency of what the language hasn't
+
+    def rows(self, parts: list[bytes]) -> np.ndarray:
+        """The keys' places, -1 where the model doesn't know the part."""
+        h = np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64, len(parts))
+        at = np.searchsorted(self.keys, h)
+        known = np.zeros(len(h), bool) if not len(self.keys) else self.keys[np.minimum(at, len(self.keys) - 1)] == h
+        return np.where(known, at, -1)
+
+    def parts(self, words: list[str], grams: dict[str, int]) -> list[list[int]]:
+        """For each word the rows that its score is the sum of: its own, or those of the longest n-grams that are known, from place to place. grams: rows of n-grams looked up before."""
+        out = []
+        for word, own in zip(words, self.rows([w.encode() for w in words]).tolist()):
+            if own >= 0:
+                out.append([own])
+                continue
+            marked, rows, at = f"<{word}>", [], 0
+            while at < len(marked):
+                for n in range(min(LONGEST_GRAM, len(marked) - at), 0, -1):
+                    gram = marked[at : at + n]
+                    row = grams.get(gram)
+                    if row is None:
+                        if len(grams) > CACHE:
+                            grams.clear()
+                        row = grams[gram] = int(self.rows([b"\0" + gram.encode()])[0])
+                    if row >= 0:
+                        break
+                rows.append(row)
+                at += n
+            out.append(rows)
+        return out
+
+    def sums(self, of: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+        """Log scores (n x languages) of rows, of[i] being whose score row i belongs to."""
+        width = len(self.langs)
+        floor = rows < 0
+        out = np.repeat((FLOOR * np.bincount(of[floor], minlength=n))[:, None], width, axis=1)
+        of, rows = of[~floor], rows[~floor]
+        sizes = len(self.absent)
+        out += np.bincount(of * sizes + self.size[rows], minlength=n * sizes).reshape(n, sizes) @ self.absent
+        many = self.first[rows + 1] - self.first[rows]
+        entry = np.arange(many.sum()) + np.repeat(self.first[rows] - np.r_[0, np.cumsum(many)[:-1]], many)
+        return out + np.bincount(np.repeat(of, many) * width + self.lang[entry], weights=self.gain[entry], minlength=n * width).reshape(n, width)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,48 +170,47 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     totals = {(r["lang"], r["size"]): float(r["n"]) for r in counted.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({name for name, _ in totals})
     if not langs:
-        return Model([], {}, np.zeros((1, 0)))
-    at = {x: k for k, x in enumerate(langs)}
-    per = Window.partitionBy("lang", F.col("size") == 0).orderBy(F.desc("n"), "size", "part")
-    most = F.when(F.col("size") == 0, MAX_WORDS // len(langs)).otherwise(MAX_GRAMS // len(langs))
-    often = counted.where("size = 1 OR n > IF(size = 0, 1, 2)").withColumn("k", F.row_number().over(per)).where(F.col("k") <= most)
-    kept = counted.join(often.select("size", "part").distinct(), ["size", "part"], "left_semi")
-    names: dict[tuple[int, str], int] = {}
-    rows: list[tuple[int, int, int]] = []
-    for lang_, size, part, n in kept.select("lang", "size", "part", "n").toLocalIterator():  # bounded by MAX_WORDS and MAX_GRAMS
-        rows.append((names.setdefault((size, part), len(names)), at[lang_], n))
-    counts = np.zeros((len(names) + 1, len(langs)))
-    for row, k, n in rows:
-        counts[row, k] = n
-    size_of = np.array([size for size, _ in names] + [0])
-    all_of = np.array([[totals.get((name, size), 0.0) for name in langs] for size in range(LONGEST_GRAM + 1)])
-    logs = np.log((counts + 0.1) / (all_of[size_of] + 1))
-    logs[-1] = FLOOR
-    return Model(langs, {part if size == 0 else "\0" + part: row for (size, part), row in names.items()}, logs)
+        none = np.zeros(0, np.int64)
+        return Model([], none.view(np.uint64), none, np.zeros(1, np.int64), none, np.zeros(0), np.zeros((LONGEST_GRAM + 1, 0)))
+    at = F.create_map(*[x for k, name in enumerate(langs) for x in (F.lit(name), F.lit(k))])
+    part = F.when(F.col("size") == 0, F.col("part")).otherwise(F.concat(F.lit("\0"), "part"))
+    held = counted.select(F.xxhash64(part).alias("key"), at[F.col("lang")].alias("lang"), "size", "n").toArrow()  # bounded by the sample
+    key, lang_, size, n = (held.column(c).to_numpy() for c in ("key", "lang", "size", "n"))
+    key = key.view(np.uint64)
+    order = np.lexsort([lang_, key])
+    key, lang_, size, n = key[order], lang_[order], size[order], n[order]
+    heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    all_of = np.array([[totals.get((name, k), 0.0) for name in langs] for k in range(LONGEST_GRAM + 1)])
+    absent = np.log(0.1 / (all_of + 1))
+    gain = np.log((n + 0.1) / (all_of[size, lang_] + 1)) - absent[size, lang_]
+    return Model(langs, key[heads], size[heads], np.r_[heads, len(key)], lang_.astype(np.int32), gain, absent)
 
 
 def _predict(shared, text: str, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        n_langs = max(1, len(model.langs))
-        logs = model.logs if model.langs else np.zeros((1, 1))
-        parts: dict[str, tuple[int, ...]] = {}
+        parts: dict[str, list[int]] = {}
+        grams: dict[str, int] = {}
         for whole in batches:
             for batch in slices(whole, whole.schema.get_field_index(text)):
-                sums, none = np.zeros((batch.num_rows, n_langs)), np.ones(batch.num_rows, bool)
-                n_words = np.ones(batch.num_rows)
-                for d, body in enumerate(texts(batch.column(text))):
+                n, column = batch.num_rows, texts(batch.column(text))
+                sums, counts = np.zeros((n, max(1, len(model.langs)))), np.zeros(n, np.int64)
+                for d, body in enumerate(column):
                     ws = letter_runs(body) if model.langs else []
-                    n_words[d] = max(1, len(ws))
-                    for part in (ws[a : a + CACHE] for a in range(0, len(ws), CACHE)):
-                        none[d] = False
+                    counts[d] = len(ws)
+                    for some in (ws[a : a + CACHE] for a in range(0, len(ws), CACHE)):
+                        often = Counter(some)
                         if len(parts) > CACHE:
                             parts.clear()
-                        for w in set(part).difference(parts):
-                            parts[w] = model.parts(w)
-                        sums[d] += logs[np.fromiter(chain.from_iterable(map(parts.__getitem__, part)), np.int64)].sum(axis=0)
+                        new = [w for w in often if w not in parts]
+                        parts.update(zip(new, model.parts(new, grams)))
+                        held = [parts[w] for w in often]
+                        which = np.repeat(np.arange(len(held)), np.fromiter(map(len, held), np.int64, len(held)))
+                        by_word = model.sums(which, np.array([r for h in held for r in h], np.int64), len(held))
+                        sums[d] += np.fromiter(often.values(), np.float64, len(often)) @ by_word
+                none = counts == 0
                 best = sums.argmax(axis=1)
-                share = 1 / np.exp((sums - sums.max(axis=1, keepdims=True)) / n_words[:, None]).sum(axis=1)
+                share = 1 / np.exp((sums - sums.max(axis=1, keepdims=True)) / np.maximum(1, counts)[:, None]).sum(axis=1)
                 langs = [UNKNOWN if e else model.langs[b] for e, b in zip(none.tolist(), best.tolist())]
                 rest = [x for x in batch.schema.names if keep_text or x != text]
                 yield pa.RecordBatch.from_arrays([*map(batch.column, rest), pa.array(langs, pa.string()), pa.array(np.where(none, 0.0, share))], names=[*rest, "lang_pred", "score"])
