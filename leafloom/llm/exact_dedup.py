@@ -4,8 +4,8 @@ Texts are equal when they are the same after white space is deleted. Of equal
 texts the row with the most code points in its original text stays, then the
 smallest id; a null id loses to any other. Null text counts as empty. Rows that
 repeat an id are rows of their own; rows equal in id and text can't be told
-apart and are kept or dropped together. Null ids are not compared by bytes. An
-empty table gives an empty result.
+apart and are kept or dropped together. Rows without an id are compared by bytes
+like any other. An empty table gives an empty result.
 
 Only 16-byte hashes are shuffled for all rows. Text moves only for rows whose
 hash occurs twice or more, and each of them is compared with its group's first
@@ -47,17 +47,21 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ha
     )
     several = written(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep")).where("copies > 1").select("h", "rep"), "exact-several")
     n = wide_shuffle(docs.sparkSession)  # rows are told apart where they lie by id, not by hash
-    members = hashed.join(several, "h").select("doc_id", "h", "rep").repartition(n, "doc_id").distinct()
+    members = hashed.where("doc_id IS NOT NULL").join(several, "h").select("doc_id", "h", "rep").repartition(n, "doc_id").distinct()
     # text is fetched once, for these rows alone
-    fetched = written(rows.join(members, "doc_id").where(hash_of(F.col("norm")) == F.col("h")).select("doc_id", "h", "rep", "norm"), "exact-fetched")
+    named = rows.join(members, "doc_id").where(hash_of(F.col("norm")) == F.col("h")).select("doc_id", "h", "rep", "norm")
+    nameless = rows.where("doc_id IS NULL").withColumn("h", hash_of(F.col("norm"))).join(several, "h").select("doc_id", "h", "rep", "norm")
+    fetched = written(named.unionByName(nameless), "exact-fetched")
     # a repeated id may have several texts of one hash: then the least of them stands for the group
-    first = written(fetched.where("doc_id = rep").groupBy("h").agg(F.min("norm").alias("first")), "exact-first")
+    first = written(fetched.where("doc_id <=> rep").groupBy("h").agg(F.min("norm").alias("first")), "exact-first")
     unlike = written(
-        fetched.join(first, "h").where(F.col("norm") != F.col("first")).select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256"), F.col("norm").alias("bytes")).repartition(n, "doc_id").distinct(), "exact-unlike"
+        fetched.join(first, "h").where(F.col("norm") != F.col("first")).select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256"), F.col("norm").alias("bytes")).repartition(n, "doc_id", "text_sha256").distinct(), "exact-unlike"
     )
     # rows of hashes that occur twice, each with the bytes that tell it from others of its hash
     shared = hashed.join(several.select("h"), "h")
-    own = written(shared.join(unlike, ["doc_id", "h", "text_sha256"], "left").withColumns({"other": F.col("bytes").isNotNull(), "bytes": F.coalesce("bytes", F.lit(""))}), "exact-own")
+    other = unlike.toDF("_id", "_h", "_sha", "bytes")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")) & (F.col("text_sha256") == F.col("_sha"))
+    own = written(shared.join(other, same, "left").drop("_id", "_h", "_sha").withColumns({"other": F.col("bytes").isNotNull(), "bytes": F.coalesce("bytes", F.lit(""))}), "exact-own")
     best = written(own.groupBy("h", "other", "bytes").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("n", (-F.col("doc_id")).alias("back"))).alias("top")), "exact-best")
     kept = (F.col("n") == F.col("top.n")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     copies = own.join(best, ["h", "other", "bytes"]).withColumn("keep_id", -F.col("top.back")).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")

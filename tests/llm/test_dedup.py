@@ -35,6 +35,14 @@ def test_exact_compares_bytes_where_hashes_collide(spark):
     assert got == {1: (1, 2), 3: (1, 2), 2: (2, 1), 4: (4, 1)}
 
 
+def test_exact_compares_bytes_of_rows_without_ids(spark):
+    first = lambda c: F.unhex(F.md5(F.substring(c, 1, 1)))
+    sizes = lambda rows: sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), hash_of=first).collect())
+    assert sizes([(1, "aa"), (None, "ab"), (None, "ac")]) == [("1", "1", 1, True), ("None", "None", 1, True), ("None", "None", 1, True)]
+    assert sizes([(None, "aa"), (None, "ab"), (None, "ab")]) == [("None", "None", 1, True), ("None", "None", 2, True), ("None", "None", 2, True)]
+    assert sizes([(2, "ab"), (None, "aa"), (None, "ab"), (3, "aa")]) == [("2", "2", 2, True), ("3", "3", 2, True), ("None", "2", 2, False), ("None", "3", 2, False)]
+
+
 def test_exact_empty_table(spark):
     out = exact_dedup.exact_groups(documents(spark, []))
     assert out.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"] and out.count() == 0
