@@ -1,44 +1,51 @@
 """What a document itself says about its words: whether a word that a line's end broke is joined.
 
-Nulls: lines without text have no words. Equal rows count once. An empty table
+Nulls: a line without text is empty. Equal rows count as they stand. An empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..plans.grouped import grouped
 
-TOKEN = r"([A-Za-z][A-Za-z-]*[A-Za-z])"
+TOKEN = re.compile(r"[A-Za-z][A-Za-z-]*[A-Za-z]")
+LAST, FIRST, CHAIN = re.compile(r"([A-Za-z]+)-$"), re.compile(r"[A-Za-z]+"), re.compile(r"[A-Za-z]+(?:-[A-Za-z]+)+")
 
 
-def document_words(lines: DataFrame, key: str, text: str) -> DataFrame:
-    """key, word (lower case), hyphenated, n: every word of two letters or more that a document has within a line. Counted in tasks before they are shuffled."""
-    words = lines.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN.replace("A-Z", "")), 1)).alias("word"))
-    return words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n")).select(key, "word", F.contains("word", F.lit("-")).alias("hyphenated"), "n")
+def glue(before: str, line: str, words: set[str]) -> str:
+    """How a line goes on with one that ends with a hyphen. words: those the document writes within its lines, in lower case."""
+    a = LAST.search(before)
+    if line[:1].islower():
+        chain = CHAIN.match(line)
+        return "keep" if a and chain and f"{a[1]}-{chain[0]}".lower() in words else "join"
+    b = FIRST.match(line)
+    if line[:1].isupper() and a and b and (a[1] + b[0]).lower() in words and f"{a[1]}-{b[0]}".lower() not in words:
+        return "join"
+    return "space"
 
 
-def line_glue(lines: DataFrame, key: str, block: str, order: str, text: str, words: DataFrame | None = None) -> DataFrame:
-    """key, block, order, glue of the lines that follow one that ends with a hyphen (see inline.flowed).
+def line_glue(lines: DataFrame, key: str, block: str, order: str, text: str) -> DataFrame:
+    """key, block, order, glue of the lines that begin with a letter and follow, in their block, one that ends with a hyphen (see inline.flowed).
 
     Before a small letter the hyphen goes ('join'), unless the line goes on with a
     hyphenated word and the document writes the whole of both with hyphens ('keep').
     Before a capital it goes only where the document has the joined word and not the
     hyphenated one; else the line goes on after a space ('space'). The word before
-    the break is that of the line before. Candidates meet the document's words by an
-    equality join of (document, word).
+    the break is that of the line before. Text is shuffled once; a task holds a
+    document's lines and its words.
     """
-    words = document_words(lines, key, text) if words is None else words
-    said = F.coalesce(text, F.lit(""))
-    before = F.lag(said).over(Window.partitionBy(key, block).orderBy(order))
-    broken = lines.select(key, block, order, said.alias("_t"), before.alias("_b")).where(F.col("_b").endswith("-") & F.col("_t").rlike(r"^\p{L}"))
-    a = F.lower(F.regexp_extract("_b", "([A-Za-z]+)-$", 1))
-    b, chain = F.lower(F.regexp_extract("_t", "^([A-Za-z]+)", 1)), F.lower(F.regexp_extract("_t", "^([A-Za-z]+(?:-[A-Za-z]+)+)", 1))
-    small = F.col("_t").rlike(r"^\p{Ll}")
-    whole = F.when(small & (a != "") & (chain != ""), F.concat(a, F.lit("-"), chain)).when(~small & (a != "") & (b != ""), F.concat(a, F.lit("-"), b))
-    joined = F.when(~small & (a != "") & (b != ""), F.concat(a, b))
-    asked = broken.select(key, block, order, small.alias("_small"), F.col("_t").rlike(r"^\p{Lu}").alias("_capital"), F.array_compact(F.array(F.struct(whole.alias("w"), F.lit(True).alias("h")), F.struct(joined.alias("w"), F.lit(False).alias("h")))).alias("_c"))
-    offers = asked.select(key, block, order, F.explode("_c").alias("c")).select(key, block, order, F.col("c.w").alias("word"), F.col("c.h").alias("_h")).where("word IS NOT NULL")
-    found = offers.join(words.select(key, "word"), [key, "word"]).groupBy(key, block, order).agg(F.max(F.when(F.col("_h"), 1)).alias("_whole"), F.max(F.when(~F.col("_h"), 1)).alias("_joined"))
-    glue = F.when(F.col("_small"), F.when(F.col("_whole") == 1, "keep").otherwise("join")).when(F.col("_capital") & (F.col("_joined") == 1) & F.col("_whole").isNull(), "join").otherwise("space")
-    return asked.join(found, [key, block, order], "left").select(key, block, order, glue.alias("glue"))
+    rows = lines.where(F.col(key).isNotNull()).select(key, block, order, F.coalesce(text, F.lit("")).alias("_t"))
+    schema = T.StructType([*rows.schema.fields[:3], T.StructField("glue", T.StringType())])
+
+    def work(group: list[tuple]) -> list[tuple]:
+        broken = [k for k in range(1, len(group)) if group[k][1] == group[k - 1][1] and group[k - 1][3].endswith("-") and group[k][3][:1].isalpha()]
+        words = {w.lower() for g in group for w in TOKEN.findall(g[3])} if broken else set()
+        return [(*group[k][:3], glue(group[k - 1][3], group[k][3], words)) for k in broken]
+
+    return grouped(rows, [key], [block, order, "_t"], work, schema)
