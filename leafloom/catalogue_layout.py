@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalogue import LEAVES, leaves, query, read
-from .operators import edits, inline, layout, notes, vocabulary
+from .operators import contents, edits, figures, inline, layout, lists, notes, settings, vocabulary
+from .plans.storage import stored
 
 PLACED_SQL = f"""{LEAVES}, k AS (SELECT doc_id, ord, line, ord // 24 AS page, (ord % 24) // 12 AS half, ord % 12 AS j, 1 + (doc_id + ord // 24) % 3 AS n FROM leaves),
 placed AS (SELECT doc_id, page, ord, line, CASE WHEN j = 0 THEN half * 100 ELSE half * 100 + 1 + (j - 1) // (10 // n + 1) END AS block,
@@ -306,3 +307,119 @@ def edit_conflicts(spark, sf_dir):
     _, records, conflicts = edits.replayed(*edited_documents(spark, sf_dir))
     made = records.select("doc", F.col("n").cast("long").alias("seq"), F.lit("note").alias("kind"), F.lit(None).cast("string").alias("nid"), F.col("text").alias("reason"))
     return conflicts.unionByName(made)
+
+
+# --- contents, lists, figures, settings
+
+
+def contents_lines(spark, sf_dir):
+    """Every line's beginning as a line of a contents list (doc_id, x, y, text): numbers before, behind and beside titles, dotted ones, chapters, wraps."""
+    o, d = F.col("ord"), F.col("doc_id")
+    title, n, k = F.substring("line", 1, 30), (2 + o).cast("string"), o % 6
+    text = (
+        F.when(k == 0, F.concat_ws(" ", F.concat((1 + o % 4).cast("string"), F.lit("."), (1 + o % 3).cast("string")), title, F.lit(" . . . ."), n))
+        .when(k == 1, F.concat_ws(" ", n, title))
+        .when(k == 2, title)
+        .when(k == 3, F.concat_ws(" ", F.lower(title), n))
+        .when(k == 4, F.concat_ws(" ", F.lit("Chapter"), (1 + o % 9).cast("string"), title, F.lit("...."), F.lit("xiv")))
+        .otherwise(F.concat_ws(" ", F.lit("—"), title))
+    )
+    x = F.when(d % 3 == 0, 72.0).otherwise(72.0 + 11.0 * (o % 3) + 3.0 * (o % 2))
+    y = 10_000.0 - 14.0 * o
+    line = lambda x_, y_, t: F.struct(x_.alias("x"), y_.alias("y"), t.alias("text"))
+    parts = F.when(k == 2, F.array(line(x, y, text), line(F.lit(500.0), y + 2.5, n))).otherwise(F.array(line(x, y, text)))
+    return leaves(spark, sf_dir).select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.x", "p.y", "p.text")
+
+
+@query()
+def contents_entries(spark, sf_dir):
+    """Titles, pages and levels of every contents list."""
+    return contents.parsed(contents_lines(spark, sf_dir), "doc_id", "x", "y", "text")
+
+
+def listed_nodes(spark, sf_dir):
+    """Lines as nodes: headings of glossaries with terms and definitions, numbered lists with what goes on behind them."""
+    o, d = F.col("ord"), F.col("doc_id")
+    k = o % 12
+    head = F.when(d % 3 == 0, "Key Terms").when(d % 3 == 1, "Glossary of terms").otherwise(F.substring("line", 1, 20))
+    more = F.concat(F.lit("3. "), F.substring("line", 1, 12), F.lit(" a) "), F.substring("line", 5, 9), F.lit(" 4) "), F.substring("line", 2, 11), F.lit(" b. no"))
+    kind = F.when(k == 0, "heading").when(k == 9, "list").otherwise("paragraph")
+    text = F.when(k == 0, head).when(k % 2 == 1, F.substring("line", 1, (20 + 10 * (o % 6)).cast("int"))).when((k == 10) & (d % 2 == 0), more).otherwise(F.col("line"))
+    return leaves(spark, sf_dir).select("doc_id", "ord", kind.alias("kind"), text.alias("text"), F.when((d + o) % 29 == 0, "bold").otherwise("plain").alias("style"), F.when(k == 9, F.lit(1)).alias("start"), F.when(k == 9, 1 + d % 3).cast("int").alias("items"), F.when(k == 9, o % 2).cast("int").alias("subs"))
+
+
+@query()
+def definition_lists(spark, sf_dir):
+    """Every pair of term and definition behind a glossary's heading."""
+    return lists.definition_lists(listed_nodes(spark, sf_dir), "doc_id", "ord")
+
+
+@query()
+def list_continuations(spark, sf_dir):
+    """What the paragraph behind every numbered list goes on with."""
+    return lists.list_continuations(listed_nodes(spark, sf_dir), "doc_id", "ord")
+
+
+def gutter_lists(spark, sf_dir):
+    """Blocks of every page as nodes in modelled order (a list in two of three), and the model."""
+    lines, blocks = placed(spark, sf_dir)
+    model = stored(layout.column_model(blocks, lines, PAGE, "block"), "gutter-model")
+    order = layout.modelled_order(blocks, model, PAGE, "block")
+    k = F.col("block") + F.col("doc_id")
+    return blocks.join(order, [*PAGE, "block"]).withColumns({"kind": F.when((F.col("block") % 100 == 0) | (k % 7 == 0), "heading").otherwise("list"), "ordered": F.when(k % 5 == 0, "1")}), model
+
+
+@query()
+def lists_over_columns(spark, sf_dir):
+    """Lists that go on in the next column of their band."""
+    nodes, model = gutter_lists(spark, sf_dir)
+    return lists.lists_over_columns(nodes, model, PAGE, "block", "place")
+
+
+def charted_pages(spark, sf_dir):
+    """Lines of every page as blocks that may be labels, and its full-width lines as regions of drawn paths."""
+    lines, _ = placed(spark, sf_dir)
+    d, o = F.col("doc_id"), F.col("ord")
+    regions = lines.where("block % 100 = 0").select(*PAGE, o.alias("region"), "l", (F.col("b") - 20.0 * (d % 4)).alias("b"), (F.col("l") + 40.0 + 30 * (d % 5)).alias("r"), "t", (6 + (d + o) % 5).alias("paths"))
+    text = F.when(o % 3 == 0, F.substring("line", 1, 18)).otherwise(F.col("line"))
+    label = figures.label_shaped(text, F.array(text), F.when((d + o) % 4 == 0, 8.0).when((d + o) % 9 == 0, 14.0).otherwise(10.0), F.lit(10.0), o % 11 == 3)
+    return regions, lines.where("block % 100 <> 0").select(*PAGE, o.alias("block"), "l", "b", "r", "t", label.alias("label"))
+
+
+@query()
+def grown_figures(spark, sf_dir):
+    """Every chart's box after it has grown over its labels, with how many it took."""
+    regions, blocks = charted_pages(spark, sf_dir)
+    boxes, taken = figures.grown(regions, blocks, PAGE, "region", "block")
+    return boxes.join(taken.groupBy(*PAGE, "region").agg(F.count(F.lit(1)).alias("n_labels")), [*PAGE, "region"], "left").withColumn("n_labels", F.coalesce("n_labels", F.lit(0).cast("long")))
+
+
+def setting_layers(spark, sf_dir):
+    """Three layers of settings for every customer, as JSON: objects over values, values over objects, empty ones, some that are broken."""
+    k = F.col("c_custkey")
+    c = read(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
+    low = F.to_json(F.struct(F.struct(F.lit("a").alias("font"), F.col("c_nationkey").alias("size"), F.struct(F.lit(True).alias("on")).alias("embed")).alias("output"), F.col("c_mktsegment").alias("name"), F.array(F.lit(1), F.lit(2)).alias("list")))
+    mid = F.when(k % 5 == 0, '{"output": 7}').when(k % 5 == 1, '{"output": {"embed": {}}, "name": {"short": "x"}}').when(k % 5 == 2, "{}").when(k % 5 == 3, '{"output": {"size": null, "embed": {"on": false, "all": 1}}}').otherwise("{broken")
+    high = F.when(k % 7 == 0, '{"output": {"font": "z"}, "name": {}}').when(k % 7 == 1, '{"list": {"a": []}}').when(k % 7 == 2, '{"output": {"embed": 0}}').when(k % 7 == 3, "[1]").otherwise('{"extra": {"deep": {"er": 1}}}')
+    return c.select("c_custkey", F.posexplode(F.array(low, mid, high)).alias("layer", "text"))
+
+
+@query()
+def layered_settings(spark, sf_dir):
+    """Every customer's settings after their layers are laid over each other; layers that are no object as rows without value."""
+    kept, bad = settings.layered(setting_layers(spark, sf_dir), "c_custkey", "layer", "text")
+    return kept.unionByName(bad.select("c_custkey", F.lit("").alias("path"), F.lit(None).cast("string").alias("value"), "layer"))
+
+
+@query("""WITH s AS (SELECT p_partkey AS k, p_name AS n, p_size AS z FROM part)
+SELECT k, CASE k % 4 WHEN 0 THEN 'a: ' || n || '; b: ' || z || 'px solid' WHEN 1 THEN 'x: none; y: ' || n || ' ' || z || 'px' WHEN 2 THEN 'loop: var(--loop)' ELSE '' END AS style,
+  CASE k % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 0 ELSE 1 END AS rounds_, k % 4 = 2 AS open_, 'part ' || k || ' of {unknown}, ' || CASE WHEN k % 3 = 0 THEN '{size}' ELSE CAST(z AS VARCHAR) END AS label FROM s""")
+def named_values(spark, sf_dir):
+    """Styles with names in them, through chains, fallbacks and circles, and labels with tokens."""
+    k = F.col("p_partkey")
+    style = F.when(k % 4 == 0, "a: var(--name); b: var(--edge, 1px)").when(k % 4 == 1, "x: var(--missing, none); y: var(--long)").when(k % 4 == 2, "loop: var(--loop)").otherwise("var(--missing)")
+    size = F.col("p_size").cast("string")
+    values = F.create_map(F.lit("--name"), F.col("p_name"), F.lit("--edge"), F.lit("var(--width) solid"), F.lit("--width"), F.concat(size, F.lit("px")), F.lit("--long"), F.lit("var(--pair)"), F.lit("--pair"), F.lit("var(--name) var(--width, 3px)"), F.lit("--loop"), F.lit("var(--loop)"))
+    tokens = F.when(k % 3 == 0, F.create_map(F.lit("id"), k.cast("string"), F.lit("seen"), F.lit("{size}"))).otherwise(F.create_map(F.lit("id"), k.cast("string"), F.lit("seen"), size))
+    parts = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_size").select(k.alias("k"), style.alias("text"), values.alias("values"), settings.interpolated(F.lit("part {id} of {unknown}, {seen}"), tokens).alias("label"))
+    return settings.with_values(parts, "text", "values", "style").select("k", "style", "rounds_", "open_", "label")

@@ -88,3 +88,19 @@ LETTER_NOTE_START = r"^([a-z])(?:[.)]\s*|\s+)(?=\S)"
 #: What a citation has: an address or a year.
 CITATION = r"(https?://|www\.|\b(?:19|20)[0-9]{2}\b)"
 NOTES_HEADING = r"(?i)^(?:(?:end\s*)?notes?|references|sources)$"
+
+#: Contents lists: their titles, a page number behind a title, before it, alone; leaders; numbered sections; chapters.
+CONTENTS_TITLES = ("contents", "table of contents")
+PAGE_TAIL = r"(?i)(?:[\s.·•…\-—_]*\b([0-9]{1,4})|[.·•…]{2,}\s*\b([ivxlcdm]{1,7}))\s*$"
+PAGE_LEAD = r"^\s*(0?[0-9]{1,3})\s+(\p{Lu}.*)$"
+PAGE_ALONE = r"^0?[0-9]{1,3}$"
+LEADERS = r"(?:\s*[.·•…]){2,}\s*$"
+DASHES = r"^[\s.·•…\-–—_]+"
+SECTION_NUMBER = r"^((?:[0-9]+\.)*[0-9]+)\.?\s+"
+CHAPTER = r"(?i)^(chapter|part|section|appendix)\s+[0-9ivxlc]+\b[:.]?\s*"
+GLOSSARY = r"(?i)\b(key terms|glossary|definitions)\b"
+#: What a chart's label is not: a caption's beginning, a note's.
+CAPTION_START = r"(?i)^(?:(?:figure|fig\.|table|chart|exhibit|box)\b|(?:source|note)s?\s*[:.])"
+#: A value named in a style, with what stands in for it.
+NAMED_VALUE = r"var\(\s*(--[\w-]+)\s*(?:,\s*([^()]*(?:\([^()]*\)[^()]*)*))?\)"
+TOKEN_NAME = r"\{(\w+)\}"
