@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalogue import LEAVES, leaves, query, read
-from .operators import contents, edits, figures, inline, layout, lists, notes, settings, vocabulary
+from .operators import contents, edits, figures, inline, layout, lists, notes, scan, settings, vocabulary
 from .plans.storage import stored
 
 PLACED_SQL = f"""{LEAVES}, k AS (SELECT doc_id, ord, line, ord // 24 AS page, (ord % 24) // 12 AS half, ord % 12 AS j, 1 + (doc_id + ord // 24) % 3 AS n FROM leaves),
@@ -423,3 +423,44 @@ def named_values(spark, sf_dir):
     tokens = F.when(k % 3 == 0, F.create_map(F.lit("id"), k.cast("string"), F.lit("seen"), F.lit("{size}"))).otherwise(F.create_map(F.lit("id"), k.cast("string"), F.lit("seen"), size))
     parts = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_size").select(k.alias("k"), style.alias("text"), values.alias("values"), settings.interpolated(F.lit("part {id} of {unknown}, {seen}"), tokens).alias("label"))
     return settings.with_values(parts, "text", "values", "style").select("k", "style", "rounds_", "open_", "label")
+
+
+# --- candidates of all families
+
+
+def mixed_leaves(spark, sf_dir):
+    """Every supplier's document: a sentence that mixes money, law, dates, places, shares and names, a second leaf of another family, a heading; and an aside, a list or a table."""
+    k = F.col("s_suppkey")
+    name = F.element_at(F.array(F.lit("Green Valley"), F.lit("North River"), F.lit("Red Hill")), (1 + k % 3).cast("int"))
+    said = F.concat(F.lit("In "), (1990 + k % 30).cast("string"), F.lit(", the "), name, F.lit(" Health Foundation awarded $"), (2 + k % 70).cast("string"), F.lit(" million to the "), name, F.lit(" School Project, and "), (11 + k % 80).cast("string"), F.lit("% of households in Ohio took part for many years of steady work under HB "), (100 + k).cast("string"), F.lit("."))
+    other = F.element_at(F.array(F.lit("Does the plan that we made work? It does."), F.lit("She said “we must go on building homes for everyone” today."), F.lit("Nearly two-thirds of students read every day."), F.lit("Equity means fairness for all people.")), (1 + k % 4).cast("int"))
+    leaf = lambda nid, page, ord_, kind, text: F.struct(F.lit(nid).alias("nid"), F.lit(page).alias("page"), F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), F.lit(2).alias("level"), text.alias("text"))
+    rows = read(spark, sf_dir, "supplier", "s_suppkey")
+    parts = F.array(leaf("a", 1, 1, "paragraph", said), leaf("b", 2, 2, "paragraph", other), leaf("h", 3, 3, "heading", F.when(k % 2 == 0, "Stories of Impact").otherwise("Board Members")))
+    found = rows.select(k.alias("document_id"), F.explode(parts).alias("p")).select("document_id", "p.*").withColumns({"lead": F.lit(None).cast("int"), "quote_open": F.lit(False), "refs": F.when(F.col("nid") == "a", F.array(F.struct(F.lit(0).alias("s"), F.lit(2).alias("e"), F.lit("7").alias("v"))))})
+    texts = F.when(k % 3 == 0, F.array(F.lit("We did it together."), F.concat(F.lit("Jane Smith, Director, "), name, F.lit(" Foundation")))).when(k % 3 == 1, F.array(F.lit("What is it that you do?"), F.lit("Why do you do it this way?"))).otherwise(F.array(F.concat(F.lit("Jobs: "), k.cast("string")), F.lit("Homes: 35 units")))
+    held = rows.select(k.alias("document_id"), F.lit("c").alias("nid"), F.lit(4).alias("page"), F.when(k % 3 == 0, "aside").when(k % 3 == 1, "list").otherwise("table").alias("kind"), (k % 3 == 0).alias("quote"), F.lit(False).alias("header"), F.lit(False).alias("ordered"), texts.alias("texts"), F.lit(0).alias("open"))
+    return found, held
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, ['Green Valley', 'North River', 'Red Hill'][1 + s_suppkey % 3] AS n FROM supplier)
+SELECT k AS document_id, x.t AS pattern_type, x.l AS layer, x.c AS confidence, x.v AS value FROM (SELECT k, unnest(list_concat([
+  {'t': 'legal_reference', 'l': 0, 'c': 0.82, 'v': 'HB ' || (100 + k)}, {'t': 'funding_event', 'l': 1, 'c': 0.76, 'v': '$' || (2 + k % 70) || ' million'}, {'t': 'entity_relationship', 'l': 2, 'c': 0.62, 'v': n || ' Health Foundation -> ' || n || ' School Project'},
+  {'t': 'date_time_period', 'l': 0, 'c': 0.78, 'v': CAST(1990 + k % 30 AS VARCHAR)}, {'t': 'geography_place', 'l': 0, 'c': 0.74, 'v': 'Ohio'}, {'t': 'statistic', 'l': 0, 'c': 0.72, 'v': (11 + k % 80) || '%'}, {'t': 'source_note_reference', 'l': 0, 'c': 0.92, 'v': '7'},
+  {'t': 'named_entity', 'l': 0, 'c': 0.66, 'v': n || ' Health Foundation'}, {'t': 'named_entity', 'l': 0, 'c': 0.66, 'v': n || ' School Project'}, {'t': 'resource', 'l': 1, 'c': 0.68, 'v': n || ' School Project'},
+  [{'t': 'question', 'l': 1, 'c': 0.82, 'v': 'Does the plan that we made work?'}, {'t': 'quotation', 'l': 0, 'c': 0.7, 'v': 'we must go on building homes for everyone'}, {'t': 'statistic', 'l': 0, 'c': 0.68, 'v': 'nearly two-thirds'}, {'t': 'definition', 'l': 1, 'c': 0.62, 'v': 'Equity'}][1 + k % 4]
+], list_concat(CASE WHEN k % 2 = 0 THEN [{'t': 'callout_label', 'l': 1, 'c': 0.72, 'v': 'Stories of Impact'}, {'t': 'key_finding', 'l': 1, 'c': 0.62, 'v': 'Stories of Impact'}] ELSE [] END,
+CASE k % 3 WHEN 0 THEN [{'t': 'callout', 'l': 1, 'c': 0.82, 'v': 'We did it together. Jane Smith, Director, ' || n || ' Foundation'}, {'t': 'quotation', 'l': 0, 'c': 0.84, 'v': 'We did it together.'}, {'t': 'named_entity', 'l': 0, 'c': 0.82, 'v': 'Jane Smith'}, {'t': 'named_entity', 'l': 0, 'c': 0.78, 'v': n || ' Foundation'}, {'t': 'entity_relationship', 'l': 2, 'c': 0.78, 'v': 'Jane Smith -> ' || n || ' Foundation'}]
+WHEN 1 THEN [{'t': 'question_list', 'l': 2, 'c': 0.84, 'v': 'What is it that you do?'}]
+ELSE [{'t': 'comparison_table', 'l': 2, 'c': 0.86, 'v': 'Jobs: ' || k || ' Homes: 35 units'}, {'t': 'metric_cluster', 'l': 2, 'c': 0.76, 'v': k || ', 35 units'}] END))) AS x FROM s)""")
+def all_candidates(spark, sf_dir):
+    """Every candidate of every family, of documents that mix them in one line."""
+    found = scan.candidates(*mixed_leaves(spark, sf_dir))
+    return found.select("document_id", "pattern_type", "layer", "confidence", "value")
+
+
+@query()
+def document_candidates(spark, sf_dir):
+    """How many candidates of every family every document's own lines have."""
+    rows = leaves(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("ord").cast("string").alias("nid"), F.floor(F.col("ord") / 20).cast("int").alias("page"), "ord", F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("level"), F.col("line").alias("text"), F.lit(None).cast("int").alias("lead"), F.lit(False).alias("quote_open"), F.lit(None).cast("array<struct<s:int,e:int,v:string>>").alias("refs"))
+    return scan.candidates(rows).groupBy("document_id", "pattern_type").agg(F.count(F.lit(1)).alias("n"))

@@ -1,4 +1,4 @@
-"""Typed candidates from leaves: one pass per family, one row per find, first find wins.
+"""Typed candidates of seven families from lines by plain patterns; `scan` has all families and their rules.
 
 A candidate has document, type, layer, confidence, detector, quote, value and a
 digest for an id. Confidences are fixed per family.
@@ -13,13 +13,13 @@ from . import text as t
 
 # Type -> (layer, confidence).
 KINDS = {
-    "legal_reference": (1, 0.82),
-    "funding_event": (3, 0.76),
-    "statistic": (1, 0.72),
-    "date_time_period": (1, 0.78),
-    "question": (2, 0.82),
-    "named_entity": (1, 0.66),
-    "label_value": (1, 0.72),
+    "legal_reference": (0, 0.82),
+    "funding_event": (1, 0.76),
+    "statistic": (0, 0.72),
+    "date_time_period": (0, 0.78),
+    "question": (1, 0.82),
+    "named_entity": (0, 0.66),
+    "label_value": (0, 0.72),
 }
 
 LEGAL = r"((?:H\.R\.|S\.) ?[0-9]+|[0-9]+ U\.S\.C\. [0-9]+|Section [0-9]+(?:\([a-z0-9]\))*)"
