@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
 from . import evidence as e
 from . import patterns as p
 from .text import clean_quote, collapsed
@@ -123,7 +124,7 @@ def leaf_finds(leaves: DataFrame) -> DataFrame:
     around = e.sentence_around(text, F.col("start"), F.col("end"))
     each = each.withColumn("quote", F.when(F.col("family").isin("legal", "money", "number", "worded", "date", "place"), around))
     quote, v, family = F.col("quote"), F.col("v"), F.col("family")
-    said = e.is_evidence(quote, heading)
+    said = F.col("said")
     amount, stat = collapsed(v), F.trim(v)
     parties = e.funding_parties(quote, amount)
     each = each.withColumns({"amount": F.when(family == "money", amount), "event": (family == "money") & e.is_funding_event(quote), "parties": F.when((family == "money") & e.is_funding_event(quote), parties)})
@@ -133,13 +134,16 @@ def leaf_finds(leaves: DataFrame) -> DataFrame:
     date = F.regexp_extract(quote, p.DATE, 1)
     when = F.when(date != "", date)
     aggregate_actor = F.try_element_at(e.entities(F.substring(text, F.greatest(F.lit(1), F.col("start") - 159), F.least(F.lit(320), F.col("start") + 160))), F.lit(1))
-    ref = e.clean_legal(v)
-    report, impact, resource, definition = e.report_metadata(text), e.impact_statement(text), e.resource(text), e.definition(text)
-    worded = F.lower(collapsed(v))
-    first = e.first_sentence(text)
-    inner = F.trim(F.regexp_extract(v, p.QUOTE, 1))
-    question = F.trim(F.regexp_extract(v, QUESTION, 1))
-    prompt = e.prompt(text, F.col("lead"))
+    # what several fields are taken from is a column of its own, worked out once and for its family alone
+    of = lambda name, c: F.when(family == name, c)
+    each = each.withColumns(
+        {
+            "reference": of("legal", e.clean_legal(v)), "report": of("report", e.report_metadata(text)), "impact": of("impact", e.impact_statement(text)), "resource": of("resource", e.resource(text)), "definition": of("definition", e.definition(text)), "worded": of("worded", F.lower(collapsed(v))),
+            "first": of("finding", e.first_sentence(text)), "inner": of("quote", F.trim(F.regexp_extract(v, p.QUOTE, 1))), "asked": F.when(family == "question", F.trim(F.regexp_extract(v, QUESTION, 1))).when(family == "prompt", e.prompt(text, F.col("lead"))), "near": of("ref", e.reference_context(text, F.col("start"), F.col("end"), v)), "label": F.when(family.isin("number", "worded"), e.label_before(text, F.col("start"))), "time": F.when(family == "money", when), "said": F.when(family.isin("number", "worded"), e.is_evidence(quote, heading)),
+        }
+    )
+    ref, report, impact, resource, definition, worded, first, inner, question, prompt = (F.col(c) for c in ("reference", "report", "impact", "resource", "definition", "worded", "first", "inner", "asked", "asked"))
+    when, label, near = F.col("time"), F.col("label"), F.col("near")
     means = F.instr(text, definition["definition"])
     found = (
         F.when(family == "legal", _found("legal_reference", 0.82, ref, quote, reference_text=ref, reference_type=e.legal_kind(ref), context=quote))
@@ -149,11 +153,11 @@ def leaf_finds(leaves: DataFrame) -> DataFrame:
         .when(family == "purpose", _found("purpose_statement", 0.66, F.col("purpose.statement_text"), F.col("purpose.statement_text"), **{c: F.col(f"purpose.{c}") for c in ("statement_text", "problem", "audience", "stakes")}))
         .when((family == "impact") & impact.isNotNull(), _found("impact_statement", 0.64, impact["statement_text"], impact["statement_text"], **{c: impact[c] for c in ("statement_text", "impact_type", "actor", "value", "time_period", "beneficiaries")}))
         .when((family == "resource") & resource.isNotNull(), _found("resource", 0.68, resource["resource_name"], F.coalesce(F.nullif(resource["description"], F.lit("")), resource["resource_name"]), **{c: resource[c] for c in ("resource_name", "resource_type", "description")}))
-        .when((family == "number") & said & ~e.skips_number(stat, text, F.col("start")), _found("statistic", 0.72, stat, quote, value=stat, unit=e.unit_behind(text, F.col("end")), label=e.label_before(text, F.col("start")), surrounding_claim=quote))
-        .when((family == "worded") & said & (F.size(e.word_stats(quote)) > 0), _found("statistic", 0.68, worded, quote, value=worded, unit=F.lit("proportion"), label=e.label_before(text, F.col("start")), surrounding_claim=quote))
+        .when((family == "number") & said & ~e.skips_number(stat, text, F.col("start")), _found("statistic", 0.72, stat, quote, value=stat, unit=e.unit_behind(text, F.col("end")), label=label, surrounding_claim=quote))
+        .when((family == "worded") & said & (F.size(e.word_stats(quote)) > 0), _found("statistic", 0.68, worded, quote, value=worded, unit=F.lit("proportion"), label=label, surrounding_claim=quote))
         .when(family == "date", _found("date_time_period", 0.78, v, quote, value=v, context=quote))
         .when(family == "place", _found("geography_place", 0.74, v, quote, place=v, context=quote))
-        .when(family == "ref", _found("source_note_reference", 0.92, v, e.reference_context(text, F.col("start"), F.col("end"), v), marker=v, context=e.reference_context(text, F.col("start"), F.col("end"), v)))
+        .when(family == "ref", _found("source_note_reference", 0.92, v, near, marker=v, context=near))
         .when((family == "quote") & ~e.skips_quote(inner, text), _found("quotation", 0.7, inner, v, quote_text=inner, speaker_name=F.lit(None)))
         .when(family == "open", _found("quotation", 0.68, F.trim(text), text, quote_text=F.trim(text), speaker_name=F.lit(None)))
         .when(family == "question", _found("question", 0.82, question, question, question_text=question, answer_context=e.answer_behind(text, question)))
@@ -169,8 +173,8 @@ def leaf_finds(leaves: DataFrame) -> DataFrame:
 def heading_finds(nodes: DataFrame) -> DataFrame:
     """What headings name: labels of modules, resources, organisations, findings."""
     one = F.col("one")
-    rows = nodes.where((F.col("kind") == "heading") & F.col("document_id").isNotNull() & F.col("nid").isNotNull()).withColumn("one", e.clean_entity(F.col("text")))
-    resource = e.resource(one)
+    rows = nodes.where((F.col("kind") == "heading") & F.col("document_id").isNotNull() & F.col("nid").isNotNull()).withColumn("one", e.clean_entity(F.col("text"))).withColumn("resource", e.resource(one))
+    resource = F.col("resource")
     parts = [
         F.when(e.is_callout_label(one) & (one != ""), _found("callout_label", 0.72, one, one, label_text=one, module_type=e.callout_kind(one), sample_content=F.lit(None))),
         F.when(resource.isNotNull(), _found("resource", 0.7, resource["resource_name"], one, **{c: resource[c] for c in ("resource_name", "resource_type", "description")})),
@@ -282,11 +286,11 @@ def first_finds(found: DataFrame) -> DataFrame:
 
 def candidates(leaves: DataFrame, containers: DataFrame | None = None, notes: DataFrame | None = None) -> DataFrame:
     """All candidates of a corpus. leaves: document_id, nid, page, ord, kind, level, text, lead, quote_open, refs; containers and notes as their finds take them."""
-    own = leaf_finds(leaves)
+    own = stored(leaf_finds(leaves), "leaf-finds")
     places = leaves.groupBy("document_id", "nid").agg(F.min("ord").alias("ord"))
     found = own.unionByName(heading_finds(leaves)).unionByName(entity_finds(leaves)).unionByName(cluster_finds(own.where("f.type = 'statistic'").join(places, ["document_id", "nid"])))
     if containers is not None:
         found = found.unionByName(container_finds(containers))
     if notes is not None:
         found = found.unionByName(note_finds(notes))
-    return first_finds(found)
+    return first_finds(stored(found, "finds"))
