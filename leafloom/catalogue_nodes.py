@@ -58,7 +58,7 @@ def resolved_slugs(spark, sf_dir):
 # --- outlines
 
 
-_HEADS = r"heads AS (SELECT doc_id, ord, level, trim(text) AS text FROM nodes WHERE kind = 'heading' AND NOT regexp_matches(text, '(?i)^\s*(contents|table of contents|references|endnotes|notes|appendix|acknowledge?ments|bibliography|about the authors?)\b'))"
+_HEADS = r"heads AS (SELECT doc_id, ord, level, trim(text) AS text FROM nodes WHERE kind = 'heading' AND NOT regexp_matches(text, '(?i)^\s*(figure|table|appendix|references|bibliography|acknowledg|notes?\b|endnotes|index)'))"
 
 
 @query(f"""WITH {NODES_SQL}, {_HEADS}, lv AS (SELECT doc_id, level, count(*) AS n, min(ord) AS f FROM heads GROUP BY 1, 2),
@@ -75,16 +75,21 @@ def outline_highlights(spark, sf_dir):
     return outline.highlights(nodes(spark, sf_dir)).withColumn("highlights", F.array_join("highlights", "|"))
 
 
-@query(f"""WITH {NODES_SQL}, u AS (SELECT *, last_value(CASE WHEN kind = 'heading' THEN regexp_matches(text, '(?i)\\b(executive summary|summary|overview|introduction|foreword)\\b') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS under FROM nodes),
-r AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN coalesce(under, false) AND length(text) > 80 THEN 0 WHEN length(text) >= 120 THEN 1 ELSE 2 END, ord) AS k FROM u WHERE kind = 'paragraph' AND text <> '')
-SELECT doc_id, text AS summary FROM r WHERE k = 1""")
+@query(f"""WITH {NODES_SQL}, u AS (SELECT *, last_value(CASE WHEN kind = 'heading' THEN regexp_matches(text, '(?i)\\b(abstract|executive\\s+summary|summary|overview|introduction)\\b') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS under FROM nodes),
+r AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN coalesce(under, false) AND length(text) > 80 THEN 0 WHEN length(text) >= 120 THEN 1 ELSE 2 END, ord) AS k FROM u WHERE kind = 'paragraph' AND text <> ''),
+o AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM r WHERE k = 1), c AS (SELECT *, left(t, 400) AS c FROM o)
+SELECT doc_id, CASE WHEN length(t) <= 400 THEN t WHEN regexp_matches(c, '[.!?]\\s') THEN regexp_extract(c, '(?s)^(.*[.!?])\\s', 1) ELSE rtrim(regexp_replace(c, ' [^ ]*$', '')) || '…' END AS summary FROM c""")
 def outline_summary(spark, sf_dir):
     return outline.summary(nodes(spark, sf_dir))
 
 
-@query(f"WITH {NODES_SQL} SELECT doc_id, CAST(sum(len(regexp_extract_all(text, '[A-Za-z][A-Za-z''’-]*'))) AS BIGINT) AS words, count(*) FILTER (WHERE kind = 'heading') AS headings, count(DISTINCT page) AS pages FROM nodes GROUP BY doc_id")
+@query(f"""WITH {NODES_SQL}, w AS (SELECT *, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) END AS w FROM nodes),
+i AS (SELECT doc_id, min(ord) AS o, arg_min(level, ord) AS lv FROM w WHERE kind = 'heading' AND w > 0 AND regexp_matches(text, '(?i)executive summary|abstract|overview|introduction') GROUP BY doc_id),
+s AS (SELECT i.doc_id, o, min(CASE WHEN w.kind = 'heading' AND w.level <= lv THEN w.ord END) AS stop FROM i LEFT JOIN w ON w.doc_id = i.doc_id AND w.ord > o GROUP BY 1, 2)
+SELECT w.doc_id, CAST(sum(w) AS BIGINT) AS words, count(*) FILTER (WHERE kind = 'heading' AND w > 0) AS headings, CASE WHEN max(page) > 0 THEN max(page) ELSE greatest(1, CAST(round_even(sum(w) / 450, 0) AS BIGINT)) END AS pages,
+  CASE WHEN s.doc_id IS NOT NULL THEN coalesce(CAST(sum(CASE WHEN w.ord > o AND (stop IS NULL OR w.ord < stop) THEN w END) AS BIGINT), 0) END AS intro_words FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id, s.doc_id""")
 def outline_profile(spark, sf_dir):
-    return outline.profile(nodes(spark, sf_dir)).select("doc_id", "words", "headings", "pages")
+    return outline.profile(nodes(spark, sf_dir)).select("doc_id", "words", "headings", "pages", "intro_words")
 
 
 @query(f"""WITH {NODES_SQL}, e AS (SELECT user_id AS doc_id, CAST(event_id % 5 AS INTEGER) AS page, event_type, CAST(event_id % 4 AS INTEGER) AS ncols, value FROM events),
@@ -111,13 +116,13 @@ def running_heads_removed(spark, sf_dir):
     return outline.without_running_heads(leaves(spark, sf_dir).select("doc_id", "ord", text.alias("text")))
 
 
-@query("""WITH s AS (SELECT l_suppkey AS doc_id, l_orderkey % 10 AS page, floor(l_quantity / 10) * 10 AS l, floor(l_linenumber * 10.0 / 10) * 10 AS b FROM lineitem)
-SELECT doc_id, l, b, count(DISTINCT page) AS n_pages FROM s GROUP BY 1, 2, 3 HAVING count(DISTINCT page) >= 4""")
+@query("""WITH s AS (SELECT l_suppkey AS doc_id, round_even(l_quantity / 3.0, 0) AS l, round_even(l_linenumber / 2.0, 0) AS b FROM lineitem)
+SELECT doc_id, l, b, count(*) AS n FROM s GROUP BY 1, 2, 3 HAVING count(*) >= 4""")
 def images_repeated(spark, sf_dir):
-    x, y = F.col("l_quantity").cast("double"), F.col("l_linenumber") * 10.0
-    images = read(spark, sf_dir, "lineitem", "l_suppkey", "l_orderkey", "l_quantity", "l_linenumber").select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") % 10).alias("page"), x.alias("l"), y.alias("b"), x.alias("r"), y.alias("t"))
-    pages = images.select("doc_id").distinct().withColumn("n_pages", F.lit(10))
-    return outline.repeated_images(images, pages).select("doc_id", F.col("l").cast("double").alias("l"), F.col("b").cast("double").alias("b"), "n_pages")
+    x, y = F.col("l_quantity") / 3.0, F.col("l_linenumber") / 2.0
+    images = read(spark, sf_dir, "lineitem", "l_suppkey", "l_orderkey", "l_quantity", "l_linenumber").select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") % 11).alias("page"), x.alias("l"), y.alias("b"), x.alias("r"), y.alias("t"))
+    pages = images.select("doc_id").distinct().withColumn("n_pages", F.lit(11))  # 0.4 of 11 rounds to 4
+    return outline.repeated_images(images, pages).select("doc_id", "l", "b", "n")
 
 
 @query("""WITH s AS (SELECT l_suppkey, l_linenumber, l_returnflag, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY w DESC, l_returnflag) AS k, sum(w) OVER (PARTITION BY l_suppkey, l_linenumber) AS total FROM s)

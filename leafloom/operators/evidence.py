@@ -74,7 +74,7 @@ def sentence_before(text: Column, offset: Column) -> Column:
 
 
 def marker_context(text: Column) -> Column:
-    return F.regexp_replace(_text(text), r"\W+", "")
+    return F.regexp_replace(_text(text), r"[^\p{L}\p{N}_]+", "")
 
 
 def reference_context(text: Column, start: Column, end: Column, marker: Column) -> Column:
@@ -545,21 +545,21 @@ def _parts(text: Column) -> Column:
 def role_may_follow(text: Column) -> Column:
     """No comma, or nothing but credentials behind it."""
     parts = _parts(text)
-    return ~F.contains(text, F.lit(",")) | ((F.size(parts) >= 2) & F.forall(F.slice(parts, 2, 1000), is_credential))
+    return ~F.contains(text, F.lit(",")) | ((F.size(parts) >= 2) & F.forall(F.slice(parts, 2, F.greatest(F.lit(1), F.size(parts))), is_credential))
 
 
 def attribution(text: Column, role: Column) -> Column:
     """speaker_name, speaker_title, speaker_affiliation of a speaker's line and, if there is one, the line with the role."""
     parts, roles = _parts(text), _parts(role)
     with_role = _text(role) != ""
-    said = F.when(with_role, F.try_element_at(roles, F.lit(1))).otherwise(F.array_join(F.slice(parts, 2, 1000), ", "))
+    said = F.when(with_role, F.try_element_at(roles, F.lit(1))).otherwise(F.array_join(F.slice(parts, 2, F.greatest(F.lit(1), F.size(parts))), ", "))
     split = r"(?i)\b(.+?)\s+(?:of|at|for|with)\s+(.+)$"
     two, of = F.when(with_role, F.size(roles) >= 2).otherwise(F.lit(False)), _text(said).rlike(split)
     three = ~with_role & (F.size(parts) >= 3)
     last = F.when(with_role, said).otherwise(F.try_element_at(parts, F.lit(2)))
     hinted = _text(last).rlike(p.ROLE_HINT)
     title = F.when(two, said).when(of, F.regexp_extract(said, split, 1)).when(three, F.try_element_at(parts, F.lit(2))).when(hinted, last)
-    where = F.when(two, F.array_join(F.slice(roles, 2, 1000), ", ")).when(of, F.regexp_extract(said, split, 2)).when(three, F.array_join(F.slice(parts, 3, 1000), ", ")).when(~hinted, last)
+    where = F.when(two, F.array_join(F.slice(roles, 2, F.greatest(F.lit(1), F.size(roles))), ", ")).when(of, F.regexp_extract(said, split, 2)).when(three, F.array_join(F.slice(parts, 3, F.greatest(F.lit(1), F.size(parts))), ", ")).when(~hinted, last)
     some = (_text(text) != "") & (with_role | (F.size(parts) >= 2))
     name = F.try_element_at(parts, F.lit(1))
     return F.struct(

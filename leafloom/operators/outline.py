@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import markers
+from .text import collapsed
 
-_BACK_MATTER = r"(?i)^\s*(contents|table of contents|references|endnotes|notes|appendix|acknowledge?ments|bibliography|about the authors?)\b"
-_SUMMARY = r"(?i)\b(executive summary|summary|overview|introduction|foreword)\b"
+# What begins like a caption or back matter; what a summary stands under; what an introduction is called.
+_BACK_MATTER = r"(?i)^\s*(figure|table|appendix|references|bibliography|acknowledg|notes?\b|endnotes|index)"
+_SUMMARY = r"(?i)\b(abstract|executive\s+summary|summary|overview|introduction)\b"
+_INTRODUCTION = "(?i)executive summary|abstract|overview|introduction"
 
 
 def highlights(nodes: DataFrame, most: int = 6) -> DataFrame:
@@ -44,20 +47,40 @@ def contents(nodes: DataFrame, titles: DataFrame | None = None, most: int = 8, l
     return out.select("doc_id", "level", "n", F.transform("_l", lambda x: x["text"]).alias("entries"))
 
 
-def summary(nodes: DataFrame, near: int = 80, far: int = 120) -> DataFrame:
-    """doc_id, summary: the first paragraph over `near` characters behind a summary-like heading and before the next heading; else the first of `far`; else the first. Whole text: cutting it is the caller's choice."""
+def trimmed(text: Column, most: int = 400) -> Column:
+    """Text with single spaces, cut behind the last end of a sentence within `most` characters; where there is none, behind the last whole word, with a mark of the cut."""
+    one = collapsed(text)
+    cut = F.substring(one, 1, most)
+    whole = F.regexp_extract(cut, r"(?s)^(.*[.!?])\s", 1)
+    return F.when(F.length(one) <= most, one).when(whole != "", whole).otherwise(F.concat(F.rtrim(F.regexp_replace(cut, " [^ ]*$", "")), F.lit("…")))
+
+
+def summary(nodes: DataFrame, near: int = 80, far: int = 120, most: int = 400) -> DataFrame:
+    """doc_id, summary: the first paragraph over `near` characters behind a summary-like heading and before the next heading; else the first of `far`; else the first; trimmed to `most`."""
     w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     under = nodes.select("doc_id", "ord", "kind", "text", F.last(F.when(F.col("kind") == "heading", F.coalesce(F.col("text").rlike(_SUMMARY), F.lit(False))), ignorenulls=True).over(w).alias("_under"))
     paras = under.where("kind = 'paragraph' AND text <> ''")
     rank = F.when(F.coalesce("_under", F.lit(False)) & (F.length("text") > near), 0).when(F.length("text") >= far, 1).otherwise(2)
-    return paras.groupBy("doc_id").agg(F.min_by("text", F.struct(rank.alias("r"), F.col("ord"))).alias("summary"))
+    return paras.groupBy("doc_id").agg(F.min_by("text", F.struct(rank.alias("r"), F.col("ord"))).alias("_t")).select("doc_id", trimmed(F.col("_t"), most).alias("summary"))
 
 
 def profile(nodes: DataFrame) -> DataFrame:
-    """doc_id, words, headings, pages, kinds (map of counts)."""
-    by_kind = nodes.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.size(markers.words(F.coalesce("text", F.lit(""))))).alias("_w"))
-    kinds = by_kind.groupBy("doc_id").agg(F.sum("_w").alias("words"), F.sum(F.when(F.col("kind") == "heading", F.col("_n")).otherwise(0)).alias("headings"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "_n")))).alias("kinds"))
-    return kinds.join(nodes.groupBy("doc_id").agg(F.count_distinct("page").alias("pages")), "doc_id")
+    """doc_id, words (between white space), headings (with text), pages (the last page's number, else words / 450), intro_words, kinds (map of counts).
+
+    intro_words: of what stands behind the first heading of an introduction, up to the next heading as high; null where there is none.
+    """
+    said = F.trim(collapsed(F.coalesce("text", F.lit(""))))
+    sized = nodes.select("doc_id", "ord", "page", "kind", "level", F.col("text").rlike(_INTRODUCTION).alias("_i"), F.when(said == "", 0).otherwise(F.size(F.split(said, " "))).alias("_w"))
+    head = F.col("kind") == "heading"
+    by_kind = sized.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_w"), F.count_if(head & (F.col("_w") > 0)).alias("_h"), F.max("page").alias("_p"))
+    whole = by_kind.groupBy("doc_id").agg(F.sum("_w").alias("words"), F.sum("_h").alias("headings"), F.max("_p").alias("_p"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "_n")))).alias("kinds"))
+    intro = sized.where(head & F.col("_i") & (F.col("_w") > 0)).groupBy("doc_id").agg(F.min(F.struct("ord", F.coalesce("level", F.lit(1)).alias("level"))).alias("_f"))
+    behind = sized.join(intro, "doc_id").where(F.col("ord") > F.col("_f.ord"))
+    stop = behind.where(head & (F.coalesce("level", F.lit(9)) <= F.col("_f.level"))).groupBy("doc_id").agg(F.min("ord").alias("_stop"))
+    counted = behind.join(stop, "doc_id", "left").where(F.col("_stop").isNull() | (F.col("ord") < F.col("_stop"))).groupBy("doc_id").agg(F.sum("_w").alias("_iw"))
+    found = intro.join(counted, "doc_id", "left").select("doc_id", F.coalesce("_iw", F.lit(0).cast("long")).alias("intro_words"))
+    pages = F.coalesce(F.nullif(F.col("_p"), F.lit(0)).cast("long"), F.greatest(F.lit(1).cast("long"), F.rint(F.col("words") / 450).cast("long")))
+    return whole.join(found, "doc_id", "left").select("doc_id", "words", "headings", pages.alias("pages"), "intro_words", "kinds")
 
 
 def page_signals(nodes: DataFrame, events: DataFrame, kinds: tuple[str, ...], reasons: tuple[str, ...]) -> DataFrame:
@@ -90,11 +113,11 @@ def without_running_heads(blocks: DataFrame, least: int = 3) -> DataFrame:
     return cut.select("doc_id", *rest, F.when(F.col("_cut").isNull(), F.col("text")).otherwise(tail).alias("text")).where("text <> ''")
 
 
-def repeated_images(images: DataFrame, pages: DataFrame, grid: float = 10.0, share: float = 0.4, least: int = 3) -> DataFrame:
-    """doc_id, l, b, r, t (snapped to a grid), n_pages: boxes that recur on at least max(least, share of the document's pages) pages, as logos do. pages: doc_id, n_pages."""
-    snapped = images.select("doc_id", "page", *[(F.floor(F.col(c) / grid) * grid).alias(c) for c in "lbrt"])
-    seen = snapped.groupBy("doc_id", "l", "b", "r", "t").agg(F.count_distinct("page").alias("n_pages"))
-    return seen.join(pages.select("doc_id", F.col("n_pages").alias("_all")), "doc_id").where(F.col("n_pages") >= F.greatest(F.lit(least), F.ceil(F.col("_all") * share))).drop("_all")
+def repeated_images(images: DataFrame, pages: DataFrame, share: float = 0.4, least: int = 3) -> DataFrame:
+    """doc_id, l, b, r, t (whole points), n: boxes that occur at least max(least, share of the document's pages) times, as logos do. pages: doc_id, n_pages."""
+    snapped = images.select("doc_id", *[F.rint(c).alias(c) for c in "lbrt"])
+    seen = snapped.groupBy("doc_id", "l", "b", "r", "t").agg(F.count(F.lit(1)).alias("n"))
+    return seen.join(pages.select("doc_id", F.col("n_pages").alias("_all")), "doc_id").where(F.col("n") >= F.greatest(F.lit(least), F.rint(F.col("_all") * share))).drop("_all")
 
 
 def main_styles(spans: DataFrame, keys: list[str], style: str, weight: str) -> DataFrame:

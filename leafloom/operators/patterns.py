@@ -78,7 +78,6 @@ PURPOSE_STAKES = r"(?i)\b(?:because|so that|in order to)\s+(.+?)(?:[.;]|$)"
 BENEFICIARIES = r"(?i)\b(?:for|to|among|serving|served|reached|touched|helped)\s+(.+?)(?:[.;,]|$)"
 FUNDING_PURPOSE = r"(?i)\b(?:to|for|supporting|toward)\s+(.+?)(?:[.;]|$)"
 RECIPIENT = r"(?i)\b(?:to|for|in|into|supporting)\s+(.+?)(?:[.;,]|$)"
-CREDENTIAL = r"^(?:[A-Z]\.){2,}$"
 
 # --- notes and contents lists (fixed values: results depend on them)
 

@@ -19,8 +19,8 @@ CAPITALISED = r"([A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)+)"
 
 
 def collapsed(text: Column) -> Column:
-    """White space runs become one space, ends trimmed."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """White space runs, in any script, become one space, ends trimmed."""
+    return F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " "))
 
 
 def clean_quote(text: Column, limit: int = 240) -> Column:
@@ -57,8 +57,10 @@ def first_of(value: Column, *cases: tuple[str, str], default: str) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """Sorts numbers inside text by value: each is padded to 12 digits (longer ones keep their length)."""
-    return F.regexp_replace(F.regexp_replace(text, "([0-9]+)", "000000000000$1"), "0*([0-9]{12,})", "$1")
+    """Sorts numbers inside text by value, however long: each is led by how many digits it has."""
+    parts = F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)"), 1)
+    bare = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(bare(x)).cast("string"), 10, "0"), bare(x))).otherwise(x)), "")
 
 
 PROPER_NAME = r"([A-Z][a-z]+(?: (?:(?:of|the|and|for) )?[A-Z][a-z]+)+)"

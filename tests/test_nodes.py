@@ -182,3 +182,19 @@ def test_fuzzy_remap_brute(spark):
             want[i] = (-max(best)[1], round(max(best)[0], 6))
     got = match.fuzzy_remap(spark.createDataFrame(old, "o long, b long, t string"), spark.createDataFrame(new, "n long, b long, t string"), ["b"], "o", "n", "t")
     assert {r.o: (r.n, r.ratio) for r in got.collect()} == want and len(want) > 20
+
+
+def test_outline_rules(spark):
+    rows = [
+        (1, 0, 1, "heading", 2, "Contents"), (1, 1, 1, "heading", 2, "Figure 3 shows"), (1, 2, 1, "heading", 2, "Acknowledgments"), (1, 3, 1, "heading", 2, "Noteworthy"), (1, 4, 1, "heading", 2, "Notes on method"), (1, 5, 1, "heading", 2, "About the authors"), (1, 6, 1, "heading", 2, " "),
+        (1, 7, 2, "heading", 2, "Introduction"), (1, 8, 2, "paragraph", None, "one two-three  four five"), (1, 9, 2, "heading", 3, "Deeper in"), (1, 10, 7, "paragraph", None, "six"), (1, 11, 7, "heading", 2, "Next"), (1, 12, 7, "paragraph", None, "seven"),
+        (2, 0, None, "heading", 1, "Foreword"), (2, 1, None, "paragraph", None, "f" * 90), (2, 2, None, "heading", 1, "Abstract"), (2, 3, None, "paragraph", None, ("Word. " * 30 + "x" * 300).strip()),
+        (3, 0, 0, "heading", None, "Overview"), (3, 1, 0, "paragraph", None, "w" * 30 + " " + "y" * 500),
+    ]
+    df = spark.createDataFrame(rows, NODES)
+    assert {r.doc_id: tuple(r.entries) for r in outline.contents(df).collect()}[1] == ("Contents", "Noteworthy", "About the authors", "Introduction", "Next")
+    assert {r.doc_id: r.summary for r in outline.summary(df).where("doc_id > 1").collect()} == {2: ("Word. " * 30).strip(), 3: "w" * 30 + "…"}
+    assert {r.doc_id: (r.words, r.headings, r.pages, r.intro_words) for r in outline.profile(df).collect()} == {1: (22, 9, 7, 7), 2: (34, 2, 1, 31), 3: (3, 1, 1, 2)}
+    images = spark.createDataFrame([(1, p, 0.5, 1.5, 2.4, 3.0) for p in (1, 1, 1, 2)] + [(1, 1, 9.0, 9.0, 9.0, 9.0)] * 3 + [(2, 1, None, 1.0, 1.0, 1.0)] * 2, "doc_id long, page int, l double, b double, r double, t double")
+    pages = spark.createDataFrame([(1, 11), (2, 1)], "doc_id long, n_pages int")
+    assert [tuple(r) for r in outline.repeated_images(images, pages).collect()] == [(1, 0.0, 2.0, 2.0, 3.0, 4)]
