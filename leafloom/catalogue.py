@@ -703,20 +703,20 @@ def joined_paragraphs(spark, sf_dir):
     return sequence.joined(lines, "doc_id", "ord", "line", F.col("before").isNotNull() & F.col("line").rlike("^[a-z]")).select("doc_id", "ord", "n", F.length("text").alias("n_chars"))
 
 
-BOX_SQL = "boxes AS (SELECT l_orderkey AS page, l_partkey * 10 + l_linenumber AS block, l_quantity AS l, l_partkey % 97 AS b, l_quantity + 5 + l_suppkey % 20 AS r, l_partkey % 97 + 12 AS t FROM lineitem WHERE l_linenumber <= 4), regions AS (SELECT l_orderkey AS page, l_returnflag AS role, l_quantity - 5 AS r_l, l_partkey % 89 AS r_b, l_quantity + 25 AS r_r, l_partkey % 89 + 40 AS r_t FROM lineitem WHERE l_linenumber > 4)"
+BOX_SQL = "boxes AS (SELECT l_orderkey AS page, l_partkey * 10 + l_linenumber AS block, l_quantity AS l, l_partkey % 97 AS b, l_quantity + 5 + l_suppkey % 20 AS r, l_partkey % 97 + 12 AS t FROM lineitem), regions AS (SELECT l_orderkey AS page, l_returnflag AS role, l_quantity - 5 AS r_l, l_partkey % 89 AS r_b, l_quantity + 25 AS r_r, l_partkey % 89 + 40 AS r_t FROM lineitem)"
 
 
 def boxes(spark, sf_dir):
     d = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey", "l_returnflag")
     x, y = F.col("l_quantity"), F.col("l_partkey") % 97
-    held = d.where("l_linenumber <= 4").select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("block"), x.alias("l"), y.cast("double").alias("b"), (x + 5 + F.col("l_suppkey") % 20).alias("r"), (y + 12).cast("double").alias("t"))
+    held = d.select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("block"), x.alias("l"), y.cast("double").alias("b"), (x + 5 + F.col("l_suppkey") % 20).alias("r"), (y + 12).cast("double").alias("t"))
     y = F.col("l_partkey") % 89
-    over = d.where("l_linenumber > 4").select(F.col("l_orderkey").alias("page"), F.col("l_returnflag").alias("role"), (x - 5).alias("r_l"), y.cast("double").alias("r_b"), (x + 25).alias("r_r"), (y + 40).cast("double").alias("r_t"))
+    over = d.select(F.col("l_orderkey").alias("page"), F.col("l_returnflag").alias("role"), (x - 5).alias("r_l"), y.cast("double").alias("r_b"), (x + 25).alias("r_r"), (y + 40).cast("double").alias("r_t"))
     return held, over
 
 
 @query(f"""WITH {BOX_SQL}, v AS (SELECT page, block, role, sum(greatest(0, least(r, r_r) - greatest(l, r_l)) * greatest(0, least(t, r_t) - greatest(b, r_b))) AS a, min((r - l) * (t - b)) AS own FROM (SELECT DISTINCT * FROM boxes) JOIN regions USING (page) WHERE greatest(0, least(r, r_r) - greatest(l, r_l)) * greatest(0, least(t, r_t) - greatest(b, r_b)) > 0 GROUP BY page, block, role)
-SELECT page, block, arg_max(role, (a, -ascii(role))) AS role, round(least(1.0, sum(a) / any_value(own)), 6) AS coverage FROM v GROUP BY page, block""")
+SELECT page, block, arg_max(role, (a, -ascii(role))) AS role, round(least(1.0, sum(a) / min(own)), 6) AS coverage FROM v GROUP BY page, block""")
 def block_roles(spark, sf_dir):
     held, over = boxes(spark, sf_dir)
     unique = held.distinct()
@@ -873,7 +873,7 @@ def box_clusters(spark, sf_dir):
 
 @query()
 def toc_reconcile(spark, sf_dir):
-    docs = leaves(spark, sf_dir).where(F.length("line") < 60)
+    docs = leaves(spark, sf_dir)
     headings = docs.select("doc_id", "ord", F.col("line").alias("title"), (F.col("ord") + 3).alias("page"), F.lit(1).alias("level"))
     entries = docs.where("ord % 3 <> 1").select("doc_id", "ord", F.concat_ws(" ", (F.col("ord") + 1).cast("string"), "line", F.col("ord").cast("string")).alias("title"), F.col("ord").alias("page"), F.lit(1).alias("level"))
     return toc.reconcile(entries, headings, "doc_id")
