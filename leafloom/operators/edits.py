@@ -11,7 +11,7 @@ a row of its own with its reason, not a failure.
 
 Nulls: edits without document, kind or seq are conflicts ('incomplete'); nodes
 without document or id are left out. Edits of equal seq follow by node, kind and
-value. Nodes that repeat an id are one (the first by place). An empty log leaves
+value. Nodes that repeat an id are one (the first by place, parent, then a hash of the text). An empty log leaves
 the nodes as they are; an empty table of nodes makes every edit a conflict.
 """
 
@@ -25,7 +25,7 @@ from ..plans.grouped import grouped
 from ..plans.storage import stored
 from . import markers
 
-NODE = "kind string, level int, text string, gone string, touched string, refs array<int>"
+NODE = "kind string, level int, has boolean, gone string, touched string, refs array<int>"
 ON_NODES = ("set-text", "set-level", "delete", "note", "ref")
 
 
@@ -36,10 +36,10 @@ def note_value(raw: Column) -> Column:
 
 
 def applied(state: Column, op: Column) -> Column:
-    """A node after one more edit; a node that is gone stays as it is."""
-    text, level = state["text"], op["value"].try_cast("int")
+    """A node, but for its text, after one more edit; a node that is gone stays as it is."""
+    level = op["value"].try_cast("int")
     into = lambda **new: F.struct(*[(new[c].cast(t) if c in new else state[c]).alias(c) for c, t in (x.strip().split(" ", 1) for x in NODE.split(", "))])
-    has_text = text.isNotNull()
+    has_text = state["has"]
     value = note_value(op["value"])
     kind = state["kind"]
     levelled = into(
@@ -51,13 +51,26 @@ def applied(state: Column, op: Column) -> Column:
         F.when(state["gone"].isNotNull(), state)
         .when(op["kind"] == "delete", into(gone=F.lit("deleted")))
         .when((op["kind"] == "note") & has_text & value.isNotNull(), into(gone=F.lit("note"), touched=op["value"]))
-        .when((op["kind"] == "ref") & has_text & value.isNotNull() & op["fresh"], into(text=F.concat(text, F.trim(op["value"])), refs=F.concat(state["refs"], F.array(value))))
-        .when((op["kind"] == "set-text") & has_text, into(text=F.coalesce(op["value"], F.lit("")), touched=F.lit("set-text"), refs=F.array().cast("array<int>")))
+        .when((op["kind"] == "ref") & has_text & value.isNotNull() & op["fresh"], into(refs=F.concat(state["refs"], F.array(value))))
+        .when((op["kind"] == "set-text") & has_text, into(touched=F.lit("set-text"), refs=F.array().cast("array<int>")))
         .when((op["kind"] == "set-level") & level.isNotNull(), levelled)
         .otherwise(state)
     )
 
 
+def spoken(state: Column, op: Column) -> Column:
+    """A node's text (struct<text, over>) after one more edit; over: the node is gone, and its text stays as it was."""
+    value = note_value(op["value"])
+    as_ = lambda text, over: F.struct(text.alias("text"), over.alias("over"))
+    return (
+        F.when(state["over"] | state["text"].isNull(), state)
+        .when((op["kind"] == "delete") | ((op["kind"] == "note") & value.isNotNull()), as_(state["text"], F.lit(True)))
+        .when((op["kind"] == "ref") & value.isNotNull() & op["fresh"], as_(F.concat(state["text"], F.trim(op["value"])), F.lit(False)))
+        .when(op["kind"] == "set-text", as_(F.coalesce(op["value"], F.lit("")), F.lit(False)))
+        .otherwise(state)
+    )
+
+
 def merged(nodes: list[tuple], ops: list[tuple]) -> tuple[dict[str, list[str]], list[tuple]]:
     """Which nodes' texts each remaining node is made of, in order, and why merges were passed over. nodes: (nid, has text); ops: (seq, into, from)."""
     parts = {nid: [nid] for nid, text in nodes}
@@ -88,9 +101,13 @@ def replayed(nodes: DataFrame, edits: DataFrame, doc: str = "doc", parent: str =
     reorder. Out: (doc, nid, parent, place, page, kind, level, text, refs, edited),
     (doc, page, n, marker, text), (doc, seq, kind, nid, reason).
     """
-    held = nodes.where(F.col(doc).isNotNull() & F.col("nid").isNotNull()).select(F.col(doc).alias("doc"), "nid", F.col(parent).alias("parent"), F.col(place).cast("long").alias("place"), "page", "kind", F.col("level").cast("int").alias("level"), "text", F.coalesce(F.col("refs"), F.array()).cast("array<int>").alias("refs"))
-    rank = Window.partitionBy("doc", "nid").orderBy("place", F.asc_nulls_first("parent"), "text")
-    held = stored(held.withColumn("_r", F.row_number().over(rank)).where("_r = 1").drop("_r"), "edit-nodes")
+    # nodes without their texts take all the steps; texts come in where they are changed, and at the end
+    named = nodes.where(F.col(doc).isNotNull() & F.col("nid").isNotNull()).withColumn("_h", F.xxhash64("text"))
+    first = F.row_number().over(Window.partitionBy(doc, "nid").orderBy(F.col(place).cast("long"), F.asc_nulls_first(parent), "_h"))
+    one = lambda *columns: named.select(doc, "nid", parent, place, "_h", *columns).withColumn("_r", first).where("_r = 1")
+    structure = one("page", "kind", "level", F.col("text").isNotNull().alias("has"), "refs")
+    held = stored(structure.select(F.col(doc).alias("doc"), "nid", F.col(parent).alias("parent"), F.col(place).cast("long").alias("place"), "page", "kind", F.col("level").cast("int").alias("level"), "has", F.coalesce(F.col("refs"), F.array()).cast("array<int>").alias("refs")), "edit-nodes")
+    texts = one("text").select(F.col(doc).alias("doc"), "nid", "text")
     log = edits.select(F.col(doc).alias("doc"), "seq", "kind", "nid", "value", "other", F.col("page").alias("_page"), "order")
     whole = F.col("doc").isNotNull() & F.col("kind").isNotNull() & F.col("seq").isNotNull()
     faults = [log.where(~whole | ((F.col("kind") != "reorder") & F.col("nid").isNull())).select("doc", "seq", "kind", "nid", F.lit("incomplete").alias("reason"))]
@@ -103,16 +120,19 @@ def replayed(nodes: DataFrame, edits: DataFrame, doc: str = "doc", parent: str =
     # a reference is added only where the document has none to that note yet, and once
     cited = held.select("doc", F.explode("refs").alias("_n")).distinct()
     added = single.where("kind = 'ref'").withColumn("_n", note_value(F.col("value")))
-    with_text = held.where("text IS NOT NULL").select("doc", "nid")
-    first = added.where("_n IS NOT NULL").join(with_text, ["doc", "nid"]).join(cited, ["doc", "_n"], "left_anti").groupBy("doc", "_n").agg(F.min(F.struct("seq", "nid")).alias("_first"))
-    fresh = first.select("doc", F.col("_first.seq").alias("seq"), F.col("_first.nid").alias("nid"), "_n", F.lit(True).alias("fresh"))
+    with_text = held.where("has").select("doc", "nid")
+    fresh = added.where("_n IS NOT NULL").join(with_text, ["doc", "nid"]).join(cited, ["doc", "_n"], "left_anti").groupBy("doc", "_n").agg(F.min(F.struct("seq", "nid")).alias("_first"))
+    fresh = fresh.select("doc", F.col("_first.seq").alias("seq"), F.col("_first.nid").alias("nid"), "_n", F.lit(True).alias("fresh"))
     told = single.withColumn("_n", F.when(F.col("kind") == "ref", note_value(F.col("value")))).join(fresh, ["doc", "seq", "nid", "_n"], "left")
     ops = told.groupBy("doc", "nid").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "value", F.coalesce("fresh", F.lit(False)).alias("fresh")))).alias("_ops"))
-    start = F.struct("kind", "level", "text", F.lit(None).cast("string").alias("gone"), F.lit(None).cast("string").alias("touched"), "refs")
-    folded = held.join(ops, ["doc", "nid"], "left").withColumn("_s", F.when(F.col("_ops").isNull(), start.cast(f"struct<{NODE.replace(' ', ':').replace(',:', ',')}>")).otherwise(F.aggregate("_ops", start.cast(f"struct<{NODE.replace(' ', ':').replace(',:', ',')}>"), applied)))
+    node = f"struct<{','.join(c.replace(' ', ':', 1) for c in NODE.split(', '))}>"
+    start = F.struct("kind", "level", "has", F.lit(None).cast("string").alias("gone"), F.lit(None).cast("string").alias("touched"), "refs").cast(node)
+    folded = held.join(ops, ["doc", "nid"], "left").withColumn("_s", F.when(F.col("_ops").isNull(), start).otherwise(F.aggregate("_ops", start, applied)))
     state = stored(folded.select("doc", "nid", "parent", "place", "page", "_s.*"), "edit-state")
+    said = F.aggregate("_ops", F.struct("text", F.lit(False).alias("over")), spoken, lambda x: x["text"])
+    changed = stored(texts.join(ops, ["doc", "nid"]).select("doc", "nid", said.alias("_new")), "edit-texts")
     faults.append(single.join(held.select("doc", "nid"), ["doc", "nid"], "left_anti").select("doc", "seq", "kind", "nid", F.lit("node not found").alias("reason")))
-    records = state.where("gone = 'note'").select("doc", "page", note_value(F.col("touched")).alias("n"), F.col("touched").alias("marker"), "text")
+    records = state.where("gone = 'note'").join(changed, ["doc", "nid"]).select("doc", "page", note_value(F.col("touched")).alias("n"), F.col("touched").alias("marker"), F.col("_new").alias("text"))
 
     # -- what lies below a node that is gone goes with it: each round takes the next level
     lost = state.where("gone IS NOT NULL").select("doc", "nid")
@@ -140,7 +160,7 @@ def replayed(nodes: DataFrame, edits: DataFrame, doc: str = "doc", parent: str =
     own, new = Window.partitionBy("doc", "page").orderBy("place"), Window.partitionBy("doc", "page").orderBy(F.coalesce("_seat", F.lit(2**31 - 1)), "place")
     slots = top.select("doc", "page", "place", F.row_number().over(own).alias("_k"))
     seated = top.select("doc", "page", "nid", F.row_number().over(new).alias("_k")).join(slots, ["doc", "page", "_k"]).select("doc", "nid", F.col("place").alias("_slot"))
-    ordered = placed.join(seated, ["doc", "nid"], "left").withColumn("place", F.coalesce("_slot", "place")).withColumn("edited", F.coalesce("touched", F.when(F.col("_moved"), "reorder"))).select("doc", "nid", "parent", "place", "page", "kind", "level", "text", "refs", "edited")
+    ordered = placed.join(seated, ["doc", "nid"], "left").withColumn("place", F.coalesce("_slot", "place")).withColumn("edited", F.coalesce("touched", F.when(F.col("_moved"), "reorder"))).select("doc", "nid", "parent", "place", "page", "kind", "level", "has", "refs", "edited")
     ordered = stored(ordered, "edit-ordered")
     named = orders.select("doc", "seq", "kind", F.explode("order").alias("nid")).join(ordered.select("doc", "nid"), ["doc", "nid"], "left_anti")
     faults.append(named.select("doc", "seq", "kind", "nid", F.lit("node not found").alias("reason")))
@@ -148,7 +168,7 @@ def replayed(nodes: DataFrame, edits: DataFrame, doc: str = "doc", parent: str =
     # -- merges: which texts join is decided on ids alone, by document; only those that a merge names take part
     asked = log.where("kind = 'merge' AND nid IS NOT NULL").select("doc", "seq", F.col("nid").alias("into"), F.col("other").alias("frm"))
     concerned = asked.select("doc", F.explode(F.array("into", "frm")).alias("nid")).where("nid IS NOT NULL").distinct()
-    present = ordered.join(concerned, ["doc", "nid"]).select("doc", F.lit(None).cast("long").alias("seq"), F.col("nid").alias("a"), F.lit(None).cast("string").alias("b"), F.col("text").isNotNull().alias("has"))
+    present = ordered.join(concerned, ["doc", "nid"]).select("doc", F.lit(None).cast("long").alias("seq"), F.col("nid").alias("a"), F.lit(None).cast("string").alias("b"), "has")
     rows = present.unionByName(asked.select("doc", F.col("seq").cast("long").alias("seq"), F.col("into").alias("a"), F.col("frm").alias("b"), F.lit(None).cast("boolean").alias("has")))
     schema = T.StructType([rows.schema["doc"], *[T.StructField(n, t) for n, t in (("seq", T.LongType()), ("nid", T.StringType()), ("part", T.StringType()), ("k", T.LongType()), ("reason", T.StringType()))]])
 
@@ -159,13 +179,16 @@ def replayed(nodes: DataFrame, edits: DataFrame, doc: str = "doc", parent: str =
 
     joined = stored(grouped(rows, ["doc"], ["seq", "a", "b"], work, schema), "edit-merges")
     faults.append(joined.where("reason IS NOT NULL").select("doc", "seq", F.lit("merge").alias("kind"), "nid", "reason"))
-    pieces = joined.where("reason IS NULL").join(ordered.select("doc", F.col("nid").alias("part"), "text", "refs"), ["doc", "part"])
-    listed = F.array_sort(F.collect_list(F.struct("k", "text", "refs")))
-    glue = lambda held_, x: F.concat(held_, F.when((held_ == "") | held_.endswith("-") | held_.endswith(" "), "").otherwise(" "), x["text"])
-    texts = pieces.groupBy("doc", "nid").agg(listed.alias("_p")).select("doc", "nid", F.aggregate(F.slice("_p", 2, F.size("_p")), F.get("_p", F.lit(0))["text"], glue).alias("_text"), F.flatten(F.transform("_p", lambda x: x["refs"])).alias("_refs"))
-    consumed = joined.where("reason IS NULL AND k > 0").select("doc", F.col("part").alias("nid"))
-    final = ordered.join(consumed, ["doc", "nid"], "left_anti").join(texts, ["doc", "nid"], "left")
-    out = final.select("doc", "nid", "parent", "place", "page", "kind", "level", F.coalesce("_text", "text").alias("text"), F.coalesce("_refs", "refs").alias("refs"), F.when(F.col("_text").isNotNull(), "merge").otherwise(F.col("edited")).alias("edited"))
+    # every node's text with those merged into it, by the node that stays
+    parts = joined.where("reason IS NULL").select("doc", F.col("part").alias("nid"), F.col("nid").alias("_root"), "k")
+    whole = ordered.join(texts, ["doc", "nid"]).join(changed, ["doc", "nid"], "left").join(parts, ["doc", "nid"], "left")
+    own = whole.select("*", F.coalesce("_root", "nid").alias("_into"), F.coalesce("k", F.lit(0).cast("long")).alias("_k"), F.coalesce("_new", "text").alias("_said"))
+    listed = F.array_sort(F.collect_list(F.struct("_k", "_said", "refs")))
+    stays = F.max(F.when(F.col("_k") == 0, F.struct("parent", "place", "page", "kind", "level", "edited")))
+    glue = lambda held_, x: F.concat(held_, F.when((held_ == "") | held_.endswith("-") | held_.endswith(" "), "").otherwise(" "), x["_said"])
+    grouped_ = own.groupBy("doc", F.col("_into").alias("nid")).agg(listed.alias("_p"), stays.alias("_n"))
+    text = F.aggregate(F.slice("_p", 2, F.size("_p")), F.get("_p", F.lit(0))["_said"], glue)
+    out = grouped_.select("doc", "nid", *[F.col(f"_n.{c}").alias(c) for c in ("parent", "place", "page", "kind", "level")], text.alias("text"), F.flatten(F.transform("_p", lambda x: x["refs"])).alias("refs"), F.when(F.size("_p") > 1, "merge").otherwise(F.col("_n.edited")).alias("edited"))
     conflicts = faults[0].select("doc", F.col("seq").cast("long").alias("seq"), "kind", "nid", "reason")
     for f in faults[1:]:
         conflicts = conflicts.unionByName(f.select("doc", F.col("seq").cast("long").alias("seq"), "kind", "nid", "reason"))
