@@ -45,18 +45,18 @@ def woven(df: DataFrame, text: str, emphasis: str, links: str, into: str) -> Dat
     tags = lambda held, of: F.array_join(F.transform(held, lambda w: w[of]), "")
     from_ = lambda held, n: F.slice(held, n + 1, F.greatest(F.lit(0), F.size(held) - n))
 
-    def piece(p: Column, k: Column) -> Column:
-        before, now = F.coalesce(F.get("_sets", k - 1), F.array().cast(WRAP)), F.get("_sets", k)
-        zipped = F.zip_with(F.transform(before, lambda w: F.struct(w["rank"], w["i"])), F.transform(now, lambda w: F.struct(w["rank"], w["i"])), lambda a, b: a.eqNullSafe(b))
-        first = F.array_position(zipped, False)
-        same = F.when(first > 0, first - 1).otherwise(F.size(zipped)).cast("int")
-        return F.concat(tags(F.reverse(from_(before, same)), "close"), tags(from_(now, same), "open"), F.substring(F.col("_said"), p["a"] + 1, p["b"] - p["a"]))
+    # each step is a column of its own, so that nothing is worked out twice for a piece
+    pairs = F.transform("_pieces", lambda p, k: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.coalesce(F.get("_sets", k - 1), F.array().cast(WRAP)).alias("before"), F.get("_sets", k).alias("now")))
+    kept = F.transform("_pairs", lambda x: F.array_position(F.zip_with(x["before"], x["now"], lambda v, w: v["i"].eqNullSafe(w["i"]) & v["rank"].eqNullSafe(w["rank"])), False))
+    same = F.zip_with("_pairs", "_kept", lambda x, f: F.when(f > 0, f - 1).otherwise(F.size(x["now"])).cast("int"))
+    piece = F.zip_with("_pairs", "_same", lambda x, n: F.concat(tags(F.reverse(from_(x["before"], n)), "close"), tags(from_(x["now"], n), "open"), F.substring(F.col("_said"), x["a"] + 1, x["b"] - x["a"])))
 
     steps = df.withColumns({"_said": said, "_wraps": F.array_sort(F.concat(joined, marks).cast(WRAP))})
     steps = steps.withColumn("_points", points).withColumn("_pieces", pieces).withColumn("_sets", sets)
-    body = F.array_join(F.transform("_pieces", piece), "")
+    steps = steps.withColumn("_pairs", pairs).withColumn("_kept", kept).withColumn("_same", same)
+    body = F.array_join(piece, "")
     last = tags(F.reverse(F.element_at("_sets", -1)), "close")
-    return steps.withColumn(into, plain(F.when(F.col("_pieces").isNull(), "").otherwise(F.concat(body, last)))).drop("_said", "_wraps", "_points", "_pieces", "_sets")
+    return steps.withColumn(into, plain(F.when(F.col("_pieces").isNull(), "").otherwise(F.concat(body, last)))).drop("_said", "_wraps", "_points", "_pieces", "_sets", "_pairs", "_kept", "_same")
 
 
 def canonical(kind: Column, level: Column, marked: Column, text: Column) -> Column:
