@@ -84,7 +84,12 @@ def leaf_finds(leaves: DataFrame) -> DataFrame:
     heading = F.col("kind") == "heading"
     rows = leaves.where(F.col("document_id").isNotNull() & F.col("nid").isNotNull()).select("document_id", "nid", "page", "kind", F.coalesce("text", F.lit("")).alias("text"), "lead", F.coalesce("quote_open", F.lit(False)).alias("quote_open"), "refs")
     rows = rows.where((text != "") & ~e.is_citation_like(text) & ~e.is_chart_or_methodology(text)).withColumn("ev", e.is_evidence(text, heading))
-    rows = rows.withColumns({"legal": spans(text, p.LEGAL), "money": F.when(F.col("ev") & text.rlike(p.FUNDING_CONTEXT), spans(text, p.MONEY)).otherwise(F.array().cast(SPANS)), "dates": spans(text, p.DATE)})
+    # a cheap look at what every match must have comes first
+    none = F.array().cast(SPANS)
+    where = lambda has, pattern: F.when(has, spans(text, pattern)).otherwise(none)
+    digits = text.rlike("[0-9]")
+    rows = rows.withColumn("digits", digits)
+    rows = rows.withColumns({"legal": where(F.col("digits") | text.contains("§"), p.LEGAL), "money": where(F.col("digits") & F.col("ev") & text.rlike(p.FUNDING_CONTEXT), p.MONEY), "dates": where(F.col("digits"), p.DATE)})
     legal = F.filter("legal", lambda m: (e.clean_legal(m["v"]) != "") & ~e.skips_legal(e.clean_legal(m["v"]), text))
 
     def funded(m: Column) -> Column:
@@ -93,8 +98,8 @@ def leaf_finds(leaves: DataFrame) -> DataFrame:
 
     rows = rows.withColumns({"legal": legal, "money": F.filter("money", funded)})
     taken = F.concat("legal", "money", "dates")
-    rows = rows.withColumn("numbers", F.when(F.col("ev"), F.filter(spans(text, p.NUMBER), lambda m: ~e.overlaps(m["start"], m["end"], taken))).otherwise(F.array().cast(SPANS)))
-    rows = rows.withColumns({"worded": F.when(F.col("ev"), spans(text, p.WORD_STAT)).otherwise(F.array().cast(SPANS)), "purpose": F.when(F.col("ev"), e.purpose_statement(text))})
+    rows = rows.withColumn("numbers", F.when(F.col("ev") & F.col("digits"), F.filter(spans(text, p.NUMBER), lambda m: ~e.overlaps(m["start"], m["end"], taken))).otherwise(F.array().cast(SPANS)))
+    rows = rows.withColumns({"worded": where(F.col("ev") & text.rlike("(?i)third|quarter|fourth|half"), p.WORD_STAT), "purpose": F.when(F.col("ev") & text.rlike(p.PURPOSE), e.purpose_statement(text))})
     quoted = F.col("quote_open") | text.contains("“") | text.contains('"')
     quotes = F.when(quoted, spans(text, p.QUOTE)).otherwise(F.array().cast(SPANS))
     questions = F.when(text.contains("?"), F.filter(spans(text, QUESTION), lambda m: ~e.skips_question(F.trim(F.regexp_extract(m["v"], QUESTION, 1)), text))).otherwise(F.array().cast(SPANS))
@@ -116,7 +121,7 @@ def leaf_finds(leaves: DataFrame) -> DataFrame:
         _tagged("quote", 11, F.col("quotes")),
         _once("open", 12, F.col("quote_open") & (F.size("quotes") == 0)),
         _tagged("question", 13, F.col("questions")),
-        _once("prompt", 14, F.size("questions") == 0),
+        _once("prompt", 14, (F.size("questions") == 0) & text.rlike(r"(?i)^[\s:]*(what|who|when|where|why|how|which)\b")),
         _once("definition", 15, text.rlike(p.DEFINITION) | text.rlike(p.WHICH_MEANS)),
         _once("finding", 16, e.is_key_finding(text)),
     )
