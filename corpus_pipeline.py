@@ -36,7 +36,10 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents alike in at least 0.8 of their five-word shingles the smallest id stays; rows that repeat an id share its fate, rows without one stay."""
+    """Of documents alike in at least 0.8 of their five-word shingles the smallest id stays; rows that repeat an id share its fate, rows without one stay.
+
+    Pairs come from BK-trees over SimHash fingerprints of those shingles; what the trees find is checked, near the threshold by the shingles themselves.
+    """
     prepare(spark)
     gone = written(simhash.similar_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")), "near-copies")
     return docs.join(gone, docs.doc_id == gone.gone, "left_anti")
