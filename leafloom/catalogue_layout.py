@@ -407,8 +407,7 @@ def setting_layers(spark, sf_dir):
 @query()
 def layered_settings(spark, sf_dir):
     """Every customer's settings after their layers are laid over each other; layers that are no object as rows without value."""
-    kept, bad = settings.layered(setting_layers(spark, sf_dir), "c_custkey", "layer", "text")
-    return kept.unionByName(bad.select("c_custkey", F.lit("").alias("path"), F.lit(None).cast("string").alias("value"), "layer"))
+    return settings.laid_over(setting_layers(spark, sf_dir), "c_custkey", "layer", "text")
 
 
 @query("""WITH s AS (SELECT p_partkey AS k, p_name AS n, p_size AS z FROM part)

@@ -9,9 +9,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import patterns
 
@@ -46,55 +48,78 @@ def with_values(df: DataFrame, text: str, values: str, into: str, rounds: int =
     return out.withColumns({into: last, "rounds_": changes, "open_": F.coalesce(last.rlike(patterns.NAMED_VALUE), F.lit(False))}).drop("_k", *[f"_t{r}" for r in range(rounds + 1)])
 
 
-def _leaves(value, path: tuple = ()) -> Iterator[tuple]:
-    """(path, value as JSON, is an empty object) of everything that isn't an object with members."""
-    if isinstance(value, dict) and value:
-        for k, v in value.items():
-            yield from _leaves(v, (*path, k))
-    else:
-        yield list(path), json.dumps(value, ensure_ascii=False, sort_keys=True), value == {} and isinstance(value, dict)
-
-
-LEAF = "array<struct<path:array<string>,value:string,hollow:boolean>>"
+def _laid(node, value, layer):
+    """node after value of a layer is laid over it: an object as a dict of nodes with a member at least, anything else as (its JSON, its layer)."""
+    if not isinstance(value, dict) or not (value or isinstance(node, dict)):
+        return json.dumps(value, ensure_ascii=False, sort_keys=True), layer
+    node = node if isinstance(node, dict) else {}
+    for k, v in value.items():
+        node[k] = _laid(node.get(k), v, layer)
+    return node
 
 
-def json_leaves(text: Column) -> Column:
-    """The leaves of JSON objects; null for what is no JSON object."""
-
-    def read(t):
-        try:
-            value = json.loads(t)
-        except (TypeError, ValueError):
-            return None
-        return [dict(zip(("path", "value", "hollow"), leaf)) for leaf in _leaves(value)] if isinstance(value, dict) else None
+def _leaves(node, path: tuple = ()) -> Iterator[tuple]:
+    """(path, JSON, layer) of everything below a node."""
+    if isinstance(node, dict):
+        for k, v in node.items():
+            yield from _leaves(v, (*path, k))
+    elif node:
+        yield "/".join(path), *node
 
-    @F.pandas_udf(LEAF)
-    def every(texts: pd.Series) -> pd.Series:
-        return pd.Series([read(t) for t in texts])
 
-    return every(text)
+def _object(text):
+    try:
+        value = json.loads(text)
+    except (TypeError, ValueError):
+        return None
+    return value if isinstance(value, dict) else None
 
 
-def layered(layers: DataFrame, key: str, layer: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Settings (key, path, value, layer) of JSON objects laid over each other, higher layers over lower ones, and layers that are no JSON object (key, layer).
+def laid_over(layers: DataFrame, key: str, layer: str, text: str) -> DataFrame:
+    """Settings (key, path, value, layer) of JSON objects laid over each other, higher layers over lower ones; a layer that is no JSON object is a row without value, its path empty.
 
     Objects are merged member by member; anything else replaces what lies at its
     place and below, and an object replaces what is none. An empty object is a
-    setting where nothing lies below it. Each leaf is held against the leaves at its
-    own places above and below, found by equal paths. Equal layers follow by text.
+    setting where nothing lies below it. Equal layers follow by text.
+
+    One shuffle by key and one sort: a task lays a key's layers over each other as
+    they come, and holds that key's settings and one batch.
     """
-    held = layers.where(F.col(key).isNotNull() & F.col(layer).isNotNull()).select(F.col(key).alias("_key"), F.col(layer).alias("_layer"), F.dense_rank().over(Window.partitionBy(key).orderBy(layer, F.asc_nulls_first(text))).alias("_r"), json_leaves(F.col(text)).alias("_l"))
-    bad = held.where("_l IS NULL").select(F.col("_key").alias(key), F.col("_layer").alias(layer)).distinct()
-    leaves = held.select("_key", "_layer", "_r", F.explode("_l").alias("l")).select("_key", "_layer", "_r", "l.path", "l.value", "l.hollow").distinct()
-    places = F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", 1, n))
-    # at each place: the highest layer that ends there with a value, that ends there at all, and that has something below
-    here = F.size("place") == F.size("path")
-    at = leaves.select("_key", "_r", "path", "hollow", F.explode(places).alias("place"))
-    tops = at.groupBy("_key", "place").agg(F.max(F.when(here & ~F.col("hollow"), F.col("_r"))).alias("_value"), F.max(F.when(here, F.col("_r"))).alias("_end"), F.max(F.when(~here, F.col("_r"))).alias("_below"))
-    seen = leaves.select("_key", "_layer", "_r", "path", "value", "hollow", F.explode(places).alias("place")).join(tops, ["_key", "place"])
-    # a leaf is hidden by a later value at its place or above, by a later end at its own, or by something later below; an empty object by anything below it that stays
-    hidden = (F.col("_value") > F.col("_r")) | ((F.size("place") == F.size("path")) & ((F.col("_end") > F.col("_r")) | (F.col("_below") > F.col("_r"))))
-    left = seen.groupBy("_key", "_layer", "_r", "path", "value", "hollow").agg(F.max(hidden).alias("_hidden")).where("NOT coalesce(_hidden, false)")
-    under = left.where("NOT hollow OR size(path) > 0").select("_key", F.explode(F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda n: F.slice("path", 1, n))).alias("path")).distinct().withColumn("_under", F.lit(True))
-    kept = left.join(under, ["_key", "path"], "left").where("NOT (hollow AND coalesce(_under, false))")
-    return kept.select(F.col("_key").alias(key), F.array_join("path", "/").alias("path"), "value", F.col("_layer").alias(layer)), bad
+    rows = layers.where(F.col(key).isNotNull() & F.col(layer).isNotNull()).select(F.col(key).alias(key), F.col(text).cast("string").alias("_text"), F.col(layer).alias(layer))
+    fields = rows.schema
+    out = T.StructType([fields[0], T.StructField("path", T.StringType()), T.StructField("value", T.StringType()), fields[2]])
+    schema = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+
+        def ready():
+            columns = list(zip(*found)) if found else [()] * len(schema)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        last, root, bad, begun = None, None, None, False
+        for batch in batches:
+            for k, t, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if not begun or (k != last and (k == k or last == last)):  # a key that isn't equal to itself is no number
+                    found += [(last, *leaf) for leaf in _leaves(root)]
+                    last, root, bad, begun = k, None, None, True
+                value = _object(t)
+                if value is not None:
+                    root = _laid(root, value, n)
+                elif bad is None or bad[0] != n:
+                    bad = (n,)
+                    found.append((k, "", None, n))
+                if len(found) > 10_000:
+                    yield ready()
+                    found.clear()
+        found += [(last, *leaf) for leaf in _leaves(root)]
+        yield ready()
+
+    parts = int(layers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, F.col(key)).sortWithinPartitions(F.col(key), F.col(layer), F.asc_nulls_first("_text")).mapInArrow(run, out)
+
+
+def layered(layers: DataFrame, key: str, layer: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Settings as `laid_over` has them, and apart from them the layers that are no JSON object (key, layer)."""
+    laid = laid_over(layers, key, layer, text)
+    return laid.where("value IS NOT NULL"), laid.where("value IS NULL").select(key, layer)

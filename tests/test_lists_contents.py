@@ -294,6 +294,16 @@ def test_settings_of_random_objects(spark):
     assert settings.layered(kept.select(F.lit(1).alias("k"), F.lit(1).alias("n"), F.lit("{}").alias("t")).limit(0), "k", "n", "t")[0].count() == 0
 
 
+def test_settings_are_laid_in_one_pass(spark):
+    rows = [(1, 2, '{"a": {}, "b": 1}'), (1, 1, '{"a": {"x": 1}, "b": {"y": 2}}'), (1, 3, "[1]"), (1, 3, "nothing"), (1, 4, '{"b": {}, "c": {}}'), (1, 5, '{"c": {}}'), (2, 1, "{}"), (2, 2, "{}"), (3, 1, None)]
+    df = spark.createDataFrame(rows, "k int, n int, t string")
+    laid = settings.laid_over(df, "k", "n", "t")
+    assert rows_of(laid) == [(1, "", None, 3), (1, "a/x", "1", 1), (1, "b", "{}", 4), (1, "c", "{}", 5), (2, "", "{}", 2), (3, "", None, 1)]
+    # every layer is dealt out once: nothing is joined to itself, however many layers there are
+    plan = catalogue.QUERIES["layered_settings"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+
+
 @pytest.mark.parametrize("text, values, want", [("a var(--x) b", {"--x": "1"}, ("a 1 b", 1, False)), ("var( --x , var(--y, 2) )", {}, ("2", 2, False)), ("var(--x)", {"--x": "var(--x) "}, ("var(--x)     ", 5, True)), ("var(--x)", {"--x": ""}, ("", 1, False)), (None, {"--x": "1"}, (None, 0, False)), ("none", None, ("none", 0, False)), ("var(--a)var(--b)", {"--a": "var(--b)", "--b": "v"}, ("vv", 2, False))])
 def test_named_values(spark, text, values, want):
     df = spark.createDataFrame([(text, values)], "t string, v map<string,string>")
