@@ -12,6 +12,10 @@ or level is unknown. Rows that repeat are one. An empty table gives an empty res
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +77,25 @@ def _once(family: str, order: int, when: Column) -> Column:
     return F.when(F.coalesce(when, F.lit(False)), one).otherwise(none)
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly: a file of few bytes, which one task reads, may hold texts that are dear to work out."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def looked(leaves: DataFrame) -> DataFrame:
+    """Leaves that may have a candidate, dealt out evenly: headings, those that open a quote or hold references, and texts that have what every match must have."""
+
+    look = p.LOOK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = pc.or_(pc.fill_null(pc.match_substring_regex(b.column("text"), look), False), pc.or_(pc.fill_null(b.column("quote_open"), False), pc.is_valid(b.column("refs"))))
+            yield b.filter(pc.or_(some, pc.fill_null(pc.equal(b.column("kind"), "heading"), False)))
+
+    rows = leaves.where(F.col("document_id").isNotNull() & F.col("nid").isNotNull()).withColumns({"text": F.col("text").cast("string"), "kind": F.col("kind").cast("string"), "quote_open": F.col("quote_open").cast("boolean")})
+    return _dealt(rows.mapInArrow(run, rows.schema))
+
+
 def leaf_finds(leaves: DataFrame) -> DataFrame:
     """document_id, nid, page, seq, f (what was found) of leaves: document_id, nid, page, kind, text, lead, quote_open, refs (array of s, e, v).
 
@@ -291,11 +314,12 @@ def first_finds(found: DataFrame) -> DataFrame:
 
 def candidates(leaves: DataFrame, containers: DataFrame | None = None, notes: DataFrame | None = None) -> DataFrame:
     """All candidates of a corpus. leaves: document_id, nid, page, ord, kind, level, text, lead, quote_open, refs; containers and notes as their finds take them."""
-    own = stored(leaf_finds(leaves), "leaf-finds")
     places = leaves.groupBy("document_id", "nid").agg(F.min("ord").alias("ord"))
-    found = own.unionByName(heading_finds(leaves)).unionByName(entity_finds(leaves)).unionByName(cluster_finds(own.where("f.type = 'statistic'").join(places, ["document_id", "nid"])))
+    some = stored(looked(leaves), "looked")
+    own = stored(leaf_finds(some), "leaf-finds")
+    found = own.unionByName(heading_finds(some)).unionByName(entity_finds(some)).unionByName(cluster_finds(own.where("f.type = 'statistic'").join(places, ["document_id", "nid"])))
     if containers is not None:
-        found = found.unionByName(container_finds(containers))
+        found = found.unionByName(container_finds(_dealt(containers)))
     if notes is not None:
         found = found.unionByName(note_finds(notes))
     return first_finds(stored(found, "finds"))

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from leafloom.operators import patterns, scan
+from leafloom.operators import evidence, patterns, scan
 
 LEAVES = "document_id string, nid string, page int, ord int, kind string, level int, text string, lead int, quote_open boolean, refs array<struct<s:int,e:int,v:string>>"
 CONTAINERS = "document_id string, nid string, page int, kind string, quote boolean, header boolean, ordered boolean, texts array<string>, open int"
@@ -79,3 +79,19 @@ def test_notes_and_nothing(spark):
     assert [(r.nid, r.value) for r in scan.first_finds(scan.note_finds(notes)).collect()] == [("f:note:3", "3")]
     empty = spark.createDataFrame([], LEAVES)
     assert scan.candidates(empty, spark.createDataFrame([], CONTAINERS), notes.limit(0)).count() == 0
+
+
+NEEDS = ["HB 12", "42 U.S.C. § 3", "§ a", "12 (b)", "The report was made possible by us", "Core Operating Support of all is provided by us", "GENEROUS data sharing", "writer: me", "graphics and layout by us", "$5 million", "Urgent", "why it matters", "a problem to solve", "our mission is to be", "Improved", "needs", "a Toolkit", "indices", "one-half", "three-quarters", "May 2019", "West Virginia", "“so", '"so', "why?", " \x0b: Which of them", "A means b", "A is known as b", "this shows it", "We find", "Green Valley Clinic", "\u00e9t\u00e9 2019"]
+
+
+def test_look_lets_through_what_a_candidate_needs(spark):
+    rows = [leaf(f"n{k}", t) for k, t in enumerate(NEEDS)] + [leaf("h", "plain", kind="heading"), leaf("q", "plain", quote=True), leaf("r", None, refs=[(0, 1, "1")])]
+    rows += [leaf(f"x{k}", t) for k, t in enumerate(["Plain words beside the text", "", None, "ohio", "anyhow, somewhere"])] + [(None, "n", 1, 0, "heading", None, "2019", None, None, None)]
+    got = scan.looked(spark.createDataFrame(rows, LEAVES))
+    assert sorted(r.nid for r in got.collect()) == sorted([f"n{k}" for k in range(len(NEEDS))] + ["h", "q", "r"])
+    # every word that a family begins with is in the look
+    for asked in (patterns.IMPACT, patterns.RESOURCE_HINT, patterns.KEY_FINDING):
+        for w in asked[asked.index(r"\b(") + 3 : asked.rindex(")")].replace("s?", "").split("|"):
+            assert re.search(patterns.LOOK, w)
+    for w in [*patterns.STATES, *patterns.ENTITY_SUFFIXES]:
+        assert re.search(patterns.LOOK, w)
