@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as p
-from .text import clean_quote, collapsed, first_of
+from .text import clean_quote, collapsed, first_of, let
 
 ENDS = r"[.!?]"
 
@@ -27,12 +27,12 @@ def _low(c: Column) -> Column:
 
 
 def _or_null(c: Column) -> Column:
-    return F.when(c != "", c)
+    return let(c, lambda c: F.when(c != "", c))
 
 
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
     """What the pattern's first match holds in the group, else null."""
-    return F.when(_text(text).rlike(pattern), F.regexp_extract(text, pattern, group))
+    return let(text, lambda t: F.when(_text(t).rlike(pattern), F.regexp_extract(t, pattern, group)))
 
 
 def _any(word_lists: list[str], text: Column) -> Column:
@@ -44,8 +44,7 @@ def _any(word_lists: list[str], text: Column) -> Column:
 
 def first_sentence(text: Column) -> Column:
     """Up to the first end of a sentence that white space or the end of the text follows, 220 characters at the most."""
-    one = collapsed(_text(text))
-    return clean_quote(F.when(one == "", "").otherwise(F.regexp_extract(one, rf"^(.+?(?:{ENDS}(?:\s|$)|$))", 1)), 220)
+    return let(collapsed(_text(text)), lambda one: clean_quote(F.when(one == "", "").otherwise(F.regexp_extract(one, rf"^(.+?(?:{ENDS}(?:\s|$)|$))", 1)), 220))
 
 
 def _last_end(before: Column) -> Column:
@@ -55,22 +54,23 @@ def _last_end(before: Column) -> Column:
 
 def sentence_around(text: Column, start: Column, end: Column) -> Column:
     """The sentence that holds the span [start, end): from the end of the one before, to its own end or 120 characters on."""
-    left = _last_end(F.substring(text, F.lit(1), start))
     rest = F.regexp_extract(F.substring(text, end + 1, F.length(text)), rf"(?s)^(.*?{ENDS})", 1)
-    right = F.when(rest != "", end + F.length(rest)).otherwise(F.least(F.length(text), end + 120))
-    return clean_quote(F.substring(text, left + 1, right - left), 240)
+    right = let(rest, lambda rest: F.when(rest != "", end + F.length(rest)).otherwise(F.least(F.length(text), end + 120)))
+    return let(_last_end(F.substring(text, F.lit(1), start)), lambda left: clean_quote(F.substring(text, left + 1, right - left), 240))
 
 
 def sentence_containing(text: Column, needle: Column) -> Column:
-    at = F.instr(text, needle)
-    return F.when(at == 0, clean_quote(text, 240)).otherwise(sentence_around(text, at - 1, at - 1 + F.length(needle)))
+    return let(F.instr(text, needle), lambda at: F.when(at == 0, clean_quote(text, 240)).otherwise(sentence_around(text, at - 1, at - 1 + F.length(needle))))
 
 
 def sentence_before(text: Column, offset: Column) -> Column:
     """The last sentence that ends before the offset; null where nothing does."""
-    prefix = F.rtrim(F.substring(text, F.lit(1), offset))
-    left = _last_end(F.substring(prefix, F.lit(1), F.greatest(F.lit(0), F.length(prefix) - 1)))
-    return F.when(prefix != "", clean_quote(F.substring(prefix, left + 1, F.length(prefix)), 240))
+
+    def of(prefix: Column) -> Column:
+        left = _last_end(F.substring(prefix, F.lit(1), F.greatest(F.lit(0), F.length(prefix) - 1)))
+        return F.when(prefix != "", clean_quote(F.substring(prefix, left + 1, F.length(prefix)), 240))
+
+    return let(F.rtrim(F.substring(text, F.lit(1), offset)), of)
 
 
 def marker_context(text: Column) -> Column:
@@ -79,8 +79,7 @@ def marker_context(text: Column) -> Column:
 
 def reference_context(text: Column, start: Column, end: Column, marker: Column) -> Column:
     """The sentence around a reference; where that is the marker alone, the one before it."""
-    around = sentence_around(text, start, end)
-    return F.when(marker_context(around) == marker_context(marker), F.coalesce(sentence_before(text, start), around)).otherwise(around)
+    return let(sentence_around(text, start, end), lambda around: F.when(marker_context(around) == marker_context(marker), F.coalesce(sentence_before(text, start), around)).otherwise(around))
 
 
 # --- gates
@@ -91,19 +90,19 @@ def is_url_like(text: Column) -> Column:
 
 
 def is_question(text: Column) -> Column:
-    return F.contains(_text(text), F.lit("?")) | _low(text).rlike(p.QUESTION_LEADS) | _low(text).rlike(p.QUESTION_PHRASES)
+    return F.contains(_text(text), F.lit("?")) | let(_low(text), lambda low: low.rlike(p.QUESTION_LEADS) | low.rlike(p.QUESTION_PHRASES))
 
 
 def is_example(text: Column) -> Column:
-    return _low(text).rlike(p.EXAMPLE_LEADS) | _low(text).rlike(p.EXAMPLE_PHRASES)
+    return let(_low(text), lambda low: low.rlike(p.EXAMPLE_LEADS) | low.rlike(p.EXAMPLE_PHRASES))
 
 
 def is_rule_or_threshold(text: Column) -> Column:
-    return _low(text).rlike(p.DEFINITIONAL) | _low(text).rlike(p.THRESHOLDS)
+    return let(_low(text), lambda low: low.rlike(p.DEFINITIONAL) | low.rlike(p.THRESHOLDS))
 
 
 def is_survey_admin(text: Column) -> Column:
-    return _low(text).rlike(p.SURVEY_SUBJECTS) | _low(text).rlike(p.SURVEY_METHODS)
+    return let(_low(text), lambda low: low.rlike(p.SURVEY_SUBJECTS) | low.rlike(p.SURVEY_METHODS))
 
 
 def is_title_case(text: Column) -> Column:
@@ -116,18 +115,21 @@ def clean_entity(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.when(collapsed(text) == "", 0).otherwise(F.size(F.split(collapsed(text), " ")))
+    return let(collapsed(text), lambda one: F.when(one == "", 0).otherwise(F.size(F.split(one, " "))))
 
 
 def is_publication_title(text: Column) -> Column:
-    one = clean_entity(text)
-    named = F.lower(one).rlike(p.PUBLICATIONS) & ~F.lower(one).rlike(p.PUBLICATION_VERBS)
-    titled = (n_words(one) <= 8) & is_title_case(one) & ~one.rlike(ENDS) & one.rlike(p.RESOURCE_HINT)
-    return (one != "") & (F.length(one) <= 120) & (named | titled)
+
+    def of(one: Column) -> Column:
+        named = let(F.lower(one), lambda low: low.rlike(p.PUBLICATIONS) & ~low.rlike(p.PUBLICATION_VERBS))
+        titled = (n_words(one) <= 8) & is_title_case(one) & ~one.rlike(ENDS) & one.rlike(p.RESOURCE_HINT)
+        return (one != "") & (F.length(one) <= 120) & (named | titled)
+
+    return let(clean_entity(text), of)
 
 
 def is_chart_or_methodology(text: Column) -> Column:
-    return _low(text).rlike(p.CHART_LEADS) | _low(text).rlike(p.METHODOLOGY)
+    return let(_low(text), lambda low: low.rlike(p.CHART_LEADS) | low.rlike(p.METHODOLOGY))
 
 
 def is_definition_like_impact(text: Column) -> Column:
@@ -135,21 +137,18 @@ def is_definition_like_impact(text: Column) -> Column:
 
 
 def is_citation_like(text: Column) -> Column:
-    low = F.lower(_text(text))
-    return low.rlike(p.CITATION_WORDS) | _text(text).rlike(p.CITATION_VOLUME) | (low.rlike(p.CITATION_PAGE) & F.contains(low, F.lit("/")))
+    return _text(text).rlike(p.CITATION_VOLUME) | let(F.lower(_text(text)), lambda low: low.rlike(p.CITATION_WORDS) | (low.rlike(p.CITATION_PAGE) & F.contains(low, F.lit("/"))))
 
 
 def is_evidence(text: Column, is_heading: Column | None = None) -> Column:
     """Neither a heading nor empty, cited, an address, about charts or method, asked, an example, a rule, or a title."""
-    one = clean_quote(_text(text), 320)
     no = [is_citation_like, is_url_like, is_chart_or_methodology, is_survey_admin, is_question, is_example, is_rule_or_threshold, is_publication_title]
     heading = F.lit(False) if is_heading is None else F.coalesce(is_heading, F.lit(False))
-    return (one != "") & ~heading & ~reduce(lambda a, b: a | b, [f(one) for f in no])
+    return ~heading & let(clean_quote(_text(text), 320), lambda one: (one != "") & ~reduce(lambda a, b: a | b, [f(one) for f in no]))
 
 
 def is_recommendation(text: Column) -> Column:
-    first = first_sentence(text)
-    return ~F.contains(first, F.lit("?")) & first.rlike(p.RECOMMENDATION)
+    return let(first_sentence(text), lambda first: ~F.contains(first, F.lit("?")) & first.rlike(p.RECOMMENDATION))
 
 
 def is_action_item(text: Column) -> Column:
@@ -161,8 +160,7 @@ def is_key_finding(text: Column) -> Column:
 
 
 def is_callout_label(text: Column) -> Column:
-    low = F.lower(clean_entity(text))
-    return low.isin(p.CALLOUT_LABELS) | ((n_words(low) <= 5) & low.rlike(p.CALLOUT_CUES))
+    return let(F.lower(clean_entity(text)), lambda low: low.isin(p.CALLOUT_LABELS) | ((n_words(low) <= 5) & low.rlike(p.CALLOUT_CUES)))
 
 
 def callout_kind(text: Column) -> Column:
@@ -174,12 +172,14 @@ def callout_kind(text: Column) -> Column:
 
 def is_entity(text: Column) -> Column:
     """4 to 90 characters with a word that organisations' names end in; no stock phrase, no short one in capitals."""
-    words = F.split(text, r"\s+")
     suffixes = F.array(*[F.lit(w) for w in p.ENTITY_SUFFIXES])
-    shouted = (F.upper(text) == text) & (F.size(words) <= 3)
-    suffixed = F.exists(words, lambda w: F.array_contains(suffixes, F.regexp_replace(w, "^[.,]+|[.,]+$", "")))
-    alone = F.array_contains(suffixes, words[0])
-    return F.length(text).between(4, 90) & ~text.isin(p.ENTITY_STOPS) & ~shouted & F.when(F.size(words) == 1, alone).otherwise(suffixed)
+
+    def named(words: Column) -> Column:
+        shouted = (F.upper(text) == text) & (F.size(words) <= 3)
+        suffixed = F.exists(words, lambda w: F.array_contains(suffixes, F.regexp_replace(w, "^[.,]+|[.,]+$", "")))
+        return ~shouted & F.when(F.size(words) == 1, F.array_contains(suffixes, words[0])).otherwise(suffixed)
+
+    return F.length(text).between(4, 90) & ~text.isin(p.ENTITY_STOPS) & let(F.split(text, r"\s+"), named)
 
 
 def entities(text: Column, most: int = 6) -> Column:
@@ -213,22 +213,24 @@ def is_funding_context(text: Column) -> Column:
 
 def report_metadata(text: Column) -> Column:
     """Who a report thanks: metadata_type, value, entities, role, applies_to."""
-    quote = clean_quote(_text(text), 400)
-    low = F.lower(quote)
-    kind = first_of(low, (r"writer:|contributors include|graphics and layout by", "production_credit"), (r"data sharing|data collected by", "data_or_research_support"), (r"support|supported by|made possible by", "supporter"), default="report_context")
-    role = first_of(
-        low,
-        ("pro bono support", "pro_bono_supporter"),
-        ("data sharing|data collected by", "data_provider"),
-        ("graphics and layout", "designer"),
-        ("writer:", "writer"),
-        ("contributors include", "contributor"),
-        ("support|made possible", "supporter"),
-        default=None,
-    )
-    about = first_of(low, ("project", "project"), ("work", "work"), default="report")
-    found = (F.length(quote) >= 20) & ~is_citation_like(quote) & ~is_url_like(quote) & ~is_question(quote) & quote.rlike(p.REPORT_METADATA)
-    return F.when(found, F.struct(kind.alias("metadata_type"), quote.alias("value"), entities(quote).alias("entities"), role.alias("role"), about.alias("applies_to")))
+
+    def of(quote: Column, low: Column) -> Column:
+        kind = first_of(low, (r"writer:|contributors include|graphics and layout by", "production_credit"), (r"data sharing|data collected by", "data_or_research_support"), (r"support|supported by|made possible by", "supporter"), default="report_context")
+        role = first_of(
+            low,
+            ("pro bono support", "pro_bono_supporter"),
+            ("data sharing|data collected by", "data_provider"),
+            ("graphics and layout", "designer"),
+            ("writer:", "writer"),
+            ("contributors include", "contributor"),
+            ("support|made possible", "supporter"),
+            default=None,
+        )
+        about = first_of(low, ("project", "project"), ("work", "work"), default="report")
+        found = (F.length(quote) >= 20) & quote.rlike(p.REPORT_METADATA) & ~is_citation_like(quote) & ~is_url_like(quote) & ~is_question(quote)
+        return F.when(found, F.struct(kind.alias("metadata_type"), quote.alias("value"), entities(quote).alias("entities"), role.alias("role"), about.alias("applies_to")))
+
+    return let(clean_quote(_text(text), 400), lambda quote: let(F.lower(quote), lambda low: of(quote, low)))
 
 
 def is_funding_event(text: Column) -> Column:
@@ -255,20 +257,22 @@ def funding_parties(quote: Column, amount: Column) -> Column:
 
     The amount is put in the text as one mark, so that patterns needn't hold it.
     """
-    text = F.replace(_text(quote), amount, F.lit("\x01"))
     has = (_text(quote) != "") & (_text(amount) != "")
     back = lambda c: F.replace(c, F.lit("\x01"), amount)
     one = lambda c, at: F.try_element_at(entities(back(c)), F.lit(at))
-    program = _first(text, "(?i)\\blaunched\\s+(.+?),\\s+a\\s+\x01\\s+program\\b")
+    named = lambda c, at: F.coalesce(one(c, at), clean_entity(back(c)))
     received = "(?i)^(.+?)\\s+received\\s+\x01.*?\\bfrom\\s+(.+?)(?:[.;,]|$)"
-    giver = _first(text, received, 2)
-    by = _first(text, r"(?i)\b(?:pledge|grant|investment|award).*?\b(?:made|provided|funded|awarded)\s+by\s+(.+?)(?:[.;,]|$)")
-    to = _first(text, "(?i)\x01.*?\\b(?:to|for|supporting)\\s+(.+?)(?:[.;,]|$)")
-    got = giver.isNotNull()
-    who = F.when(got, F.coalesce(one(giver, 1), clean_entity(back(giver)))).when(by.isNotNull(), F.coalesce(one(by, 1), clean_entity(back(by))))
-    whom = F.when(got, one(_first(text, received, 1), -1)).otherwise(one(to, 1))
-    what = F.when(program.isNotNull(), F.coalesce(one(program, -1), clean_entity(back(program))))
-    return F.struct(F.when(has, who).alias("funder"), F.when(has, what).alias("program"), F.when(has, whom).alias("recipient"))
+
+    def of(text: Column) -> Column:
+        program = _first(text, "(?i)\\blaunched\\s+(.+?),\\s+a\\s+\x01\\s+program\\b")
+        by = _first(text, r"(?i)\b(?:pledge|grant|investment|award).*?\b(?:made|provided|funded|awarded)\s+by\s+(.+?)(?:[.;,]|$)")
+        to = _first(text, "(?i)\x01.*?\\b(?:to|for|supporting)\\s+(.+?)(?:[.;,]|$)")
+        who = let(_first(text, received, 2), lambda giver: F.when(giver.isNotNull(), named(giver, 1)).otherwise(let(by, lambda by: F.when(by.isNotNull(), named(by, 1)))))
+        whom = F.when(_text(text).rlike(received), one(_first(text, received, 1), -1)).otherwise(one(to, 1))
+        what = let(program, lambda program: F.when(program.isNotNull(), named(program, -1)))
+        return F.struct(F.when(has, who).alias("funder"), F.when(has, what).alias("program"), F.when(has, whom).alias("recipient"))
+
+    return let(F.replace(_text(quote), amount, F.lit("\x01")), of)
 
 
 def legal_kind(reference: Column) -> Column:
@@ -284,11 +288,14 @@ def legal_kind(reference: Column) -> Column:
 
 def clean_legal(reference: Column) -> Column:
     """Without marks behind it, and without closing brackets that nothing opens."""
-    ref = F.regexp_replace(F.trim(_text(reference)), "[.,;]+$", "")
-    count = lambda x: F.length(ref) - F.length(F.replace(ref, F.lit(x), F.lit("")))
-    extra = F.greatest(F.lit(0), F.least(count(")") - count("("), F.length(F.regexp_extract(ref, r"((?:\)\s*)*)$", 1))))
-    # one bracket a time, as many as are too many; references have four at the most
-    return reduce(lambda r, k: F.when(extra > k, F.rtrim(F.regexp_replace(r, r"\)$", ""))).otherwise(r), range(5), ref)
+
+    def of(ref: Column) -> Column:
+        count = lambda x: F.length(ref) - F.length(F.replace(ref, F.lit(x), F.lit("")))
+        extra = F.greatest(F.lit(0), F.least(count(")") - count("("), F.length(F.regexp_extract(ref, r"((?:\)\s*)*)$", 1))))
+        # one bracket a time, as many as are too many; references have four at the most
+        return let(extra, lambda extra: reduce(lambda r, k: let(r, lambda r: F.when(extra > k, F.rtrim(F.regexp_replace(r, r"\)$", ""))).otherwise(r)), range(5), ref))
+
+    return let(F.regexp_replace(F.trim(_text(reference)), "[.,;]+$", ""), of)
 
 
 def skips_legal(reference: Column, text: Column) -> Column:
@@ -299,17 +306,20 @@ def skips_legal(reference: Column, text: Column) -> Column:
 
 
 def purpose_statement(text: Column) -> Column:
-    quote = first_sentence(text)
-    found = (F.length(quote) >= 40) & ~is_chart_or_methodology(quote) & ~is_citation_like(quote) & quote.rlike(p.PURPOSE) & ~quote.rlike(p.ADVICE)
-    return F.when(
-        found,
-        F.struct(
-            quote.alias("statement_text"),
-            clean_quote(_first(quote, p.PURPOSE_PROBLEM), 140).alias("problem"),
-            beneficiaries(quote).alias("audience"),
-            clean_quote(_first(quote, p.PURPOSE_STAKES), 140).alias("stakes"),
-        ),
-    )
+
+    def of(quote: Column) -> Column:
+        found = (F.length(quote) >= 40) & quote.rlike(p.PURPOSE) & ~quote.rlike(p.ADVICE) & ~is_chart_or_methodology(quote) & ~is_citation_like(quote)
+        return F.when(
+            found,
+            F.struct(
+                quote.alias("statement_text"),
+                clean_quote(_first(quote, p.PURPOSE_PROBLEM), 140).alias("problem"),
+                beneficiaries(quote).alias("audience"),
+                clean_quote(_first(quote, p.PURPOSE_STAKES), 140).alias("stakes"),
+            ),
+        )
+
+    return let(first_sentence(text), of)
 
 
 def beneficiaries(text: Column) -> Column:
@@ -332,15 +342,18 @@ def impact_value(text: Column) -> Column:
 
 
 def impact_statement(text: Column) -> Column:
-    quote = first_sentence(text)
-    valued = quote.rlike(p.NUMBER) | quote.rlike(p.MONEY) | quote.rlike(p.MAGNITUDE)
-    credited = F.contains(quote, F.lit(",")) & quote.rlike(p.ROLE_HINT)
-    found = (F.length(quote) >= 30) & ~is_chart_or_methodology(quote) & ~is_definition_like_impact(quote) & quote.rlike(p.IMPACT) & (valued | (~credited & quote.rlike(p.IMPACT_NEED)))
     actor = F.try_element_at(entities(F.substring(_text(text), 1, 160)), F.lit(1))
-    return F.when(
-        found,
-        F.struct(quote.alias("statement_text"), impact_kind(quote).alias("impact_type"), actor.alias("actor"), impact_value(quote).alias("value"), _first(quote, p.DATE).alias("time_period"), beneficiaries(quote).alias("beneficiaries")),
-    )
+
+    def of(quote: Column) -> Column:
+        valued = quote.rlike(p.NUMBER) | quote.rlike(p.MONEY) | quote.rlike(p.MAGNITUDE)
+        credited = F.contains(quote, F.lit(",")) & quote.rlike(p.ROLE_HINT)
+        found = (F.length(quote) >= 30) & quote.rlike(p.IMPACT) & ~is_chart_or_methodology(quote) & ~is_definition_like_impact(quote) & (valued | (~credited & quote.rlike(p.IMPACT_NEED)))
+        return F.when(
+            found,
+            F.struct(quote.alias("statement_text"), impact_kind(quote).alias("impact_type"), actor.alias("actor"), impact_value(quote).alias("value"), _first(quote, p.DATE).alias("time_period"), beneficiaries(quote).alias("beneficiaries")),
+        )
+
+    return let(first_sentence(text), of)
 
 
 # --- resources
@@ -359,19 +372,26 @@ def resource_kind(name: Column) -> Column:
 
 
 def is_plausible_resource(name: Column) -> Column:
-    low = F.lower(_text(name))
-    return F.length(low).between(5, 120) & ~low.rlike(p.RESOURCE_LEADS) & ~low.rlike(p.RESOURCE_PEOPLE) & is_resource_name(name)
+    return is_resource_name(name) & let(F.lower(_text(name)), lambda low: F.length(low).between(5, 120) & ~low.rlike(p.RESOURCE_LEADS) & ~low.rlike(p.RESOURCE_PEOPLE))
 
 
 def resource(text: Column) -> Column:
     """A resource named as a label or, else, as a phrase: resource_name, resource_type, description."""
-    one = clean_quote(_text(text), 260)
-    label, phrase = clean_entity(_first(one, p.LABEL_VALUE)), clean_entity(_first(one, p.RESOURCE_PHRASE))
-    labelled = F.coalesce(_first(one, p.LABEL_VALUE).rlike(p.RESOURCE_HINT), F.lit(False))
-    named = (phrase != "") & ~F.lower(phrase).isin(p.CALLOUT_LABELS) & is_plausible_resource(phrase)
     as_ = lambda name, about: F.struct(name.alias("resource_name"), resource_kind(name).alias("resource_type"), about.alias("description"))
-    usable = (F.length(one) >= 5) & ~is_citation_like(one)
-    return F.when(usable & labelled & is_plausible_resource(label), as_(label, clean_quote(one, 220))).when(usable & ~labelled & named, as_(phrase, sentence_containing(one, phrase)))
+
+    def by_label(one: Column, label: Column) -> Column:
+        return F.when(is_plausible_resource(label), as_(label, clean_quote(one, 220)))
+
+    def by_phrase(one: Column, phrase: Column) -> Column:
+        named = (phrase != "") & ~F.lower(phrase).isin(p.CALLOUT_LABELS) & is_plausible_resource(phrase)
+        return F.when(named, as_(phrase, sentence_containing(one, phrase)))
+
+    def of(one: Column) -> Column:
+        usable = (F.length(one) >= 5) & ~is_citation_like(one)
+        found = let(_first(one, p.LABEL_VALUE), lambda said: F.when(F.coalesce(said.rlike(p.RESOURCE_HINT), F.lit(False)), let(clean_entity(said), lambda label: by_label(one, label))).otherwise(let(clean_entity(_first(one, p.RESOURCE_PHRASE)), lambda phrase: by_phrase(one, phrase))))
+        return F.when(usable, found)
+
+    return let(clean_quote(_text(text), 260), of)
 
 
 # --- definitions
@@ -385,19 +405,25 @@ def definition_term(term: Column) -> Column:
 
 
 def is_definition_term(term: Column) -> Column:
-    low, n = F.lower(term), n_words(term)
-    upper = term.rlike("[A-Z]")
-    capitals = (F.upper(term) == term) & term.rlike("[A-Za-z]")
-    pronoun = low.isin(p.TERM_PRONOUNS + p.TERM_GENERIC) | F.split(low, r"\s+")[0].isin(p.TERM_PRONOUNS)
-    return (term != "") & ~pronoun & (n <= 8) & ~(~upper & ((n > 3) | low.rlike(p.TERM_VERBS))) & ~(~capitals & low.rlike(p.TERM_VERBS_CASED))
+
+    def of(low: Column, n: Column) -> Column:
+        upper = term.rlike("[A-Z]")
+        capitals = (F.upper(term) == term) & term.rlike("[A-Za-z]")
+        pronoun = low.isin(p.TERM_PRONOUNS + p.TERM_GENERIC) | F.split(low, r"\s+")[0].isin(p.TERM_PRONOUNS)
+        return (term != "") & ~pronoun & (n <= 8) & ~(~upper & ((n > 3) | low.rlike(p.TERM_VERBS))) & ~(~capitals & low.rlike(p.TERM_VERBS_CASED))
+
+    return let(F.lower(term), lambda low: let(n_words(term), lambda n: of(low, n)))
 
 
 def definition(text: Column) -> Column:
     """term and definition: of `which means` where the text has it, else of the other forms."""
-    which = _text(text).rlike(p.WHICH_MEANS)
-    take = lambda g: F.when(which, F.regexp_extract(text, p.WHICH_MEANS, g)).otherwise(F.regexp_extract(_text(text), p.DEFINITION, g))
-    term, means = definition_term(take(1)), F.trim(take(2))
-    return F.when((take(2) != "") & is_definition_term(term) & ~F.lower(means).rlike(p.DEFINITION_SKIPS), F.struct(term.alias("term"), means.alias("definition")))
+    parts = lambda pattern: F.struct(F.regexp_extract(_text(text), pattern, 1).alias("term"), F.regexp_extract(_text(text), pattern, 2).alias("means"))
+    take = F.when(_text(text).rlike(p.WHICH_MEANS), parts(p.WHICH_MEANS)).otherwise(parts(p.DEFINITION))
+
+    def of(term: Column, means: Column) -> Column:
+        return F.when((means != "") & is_definition_term(term) & ~F.lower(F.trim(means)).rlike(p.DEFINITION_SKIPS), F.struct(term.alias("term"), F.trim(means).alias("definition")))
+
+    return let(take, lambda said: let(definition_term(said["term"]), lambda term: of(term, said["means"])))
 
 
 # --- numbers
@@ -421,7 +447,7 @@ def label_before(text: Column, start: Column) -> Column:
     """What stands before a value, back to the last full stop, 80 characters at the most."""
     from_ = F.greatest(F.lit(0), start - 80)
     prefix = F.regexp_replace(F.substring(text, from_ + 1, start - from_), r"^[ :\-,;]+|[ :\-,;]+$", "")
-    return F.when(prefix != "", clean_quote(F.trim(F.substring_index(prefix, ".", -1)), 80))
+    return let(prefix, lambda prefix: F.when(prefix != "", clean_quote(F.trim(F.substring_index(prefix, ".", -1)), 80)))
 
 
 def before(text: Column, start: Column, n: int) -> Column:
@@ -477,16 +503,17 @@ def overlaps(start: Column, end: Column, spans: Column) -> Column:
 
 def prompt(text: Column, lead: Column) -> Column:
     """A question without its mark, as the styled lead of a text or the text itself."""
-    one = clean_quote(_text(text), 220)
-    said = F.when(lead > 8, F.substring(one, F.lit(1), lead)).otherwise(one)
-    said = F.regexp_replace(said, "^[ :]+|[ :]+$", "")
-    ok = ~F.endswith(one, F.lit(":")) & (said != "") & ~F.contains(said, F.lit("?")) & (F.length(said) <= 150) & ~F.endswith(said, F.lit(".")) & said.rlike(p.QUESTION_PROMPT)
-    return F.when(ok, said)
+
+    def of(one: Column, said: Column) -> Column:
+        ok = ~F.endswith(one, F.lit(":")) & (said != "") & ~F.contains(said, F.lit("?")) & (F.length(said) <= 150) & ~F.endswith(said, F.lit(".")) & said.rlike(p.QUESTION_PROMPT)
+        return F.when(ok, said)
+
+    bare = lambda one: F.regexp_replace(F.when(lead > 8, F.substring(one, F.lit(1), lead)).otherwise(one), "^[ :]+|[ :]+$", "")
+    return let(clean_quote(_text(text), 220), lambda one: let(bare(one), lambda said: of(one, said)))
 
 
 def answer_behind(text: Column, question: Column) -> Column:
-    at = F.instr(text, question)
-    return F.when(at > 0, _or_null(clean_quote(F.trim(F.substring(text, at + F.length(question), F.length(text))), 180)))
+    return let(F.instr(text, question), lambda at: F.when(at > 0, _or_null(clean_quote(F.trim(F.substring(text, at + F.length(question), F.length(text))), 180))))
 
 
 def skips_question(question: Column, text: Column) -> Column:

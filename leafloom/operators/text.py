@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,10 +25,14 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " "))
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), the value worked out once, however often `of` names it: an expression is else written out, and evaluated, at each place, and rules upon rules multiply."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def clean_quote(text: Column, limit: int = 240) -> Column:
     """Collapsed text, cut behind limit - 1 characters with a mark of the cut."""
-    one = collapsed(text)
-    return F.when(F.length(one) > limit, F.concat(F.rtrim(F.substring(one, 1, limit - 1)), F.lit("..."))).otherwise(one)
+    return let(collapsed(text), lambda one: F.when(F.length(one) > limit, F.concat(F.rtrim(F.substring(one, 1, limit - 1)), F.lit("..."))).otherwise(one))
 
 
 def tokens(text: Column) -> Column:
@@ -50,10 +56,14 @@ def entities(text: Column, most: int = 6) -> Column:
 
 def first_of(value: Column, *cases: tuple[str, str], default: str) -> Column:
     """The name of the first pattern that matches."""
-    out = None
-    for pattern, name in cases:
-        out = F.when(value.rlike(pattern), name) if out is None else out.when(value.rlike(pattern), name)
-    return out.otherwise(default)
+
+    def of(value: Column) -> Column:
+        out = None
+        for pattern, name in cases:
+            out = F.when(value.rlike(pattern), name) if out is None else out.when(value.rlike(pattern), name)
+        return out.otherwise(default)
+
+    return let(value, of)
 
 
 def natural_key(text: Column) -> Column:

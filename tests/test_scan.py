@@ -95,3 +95,14 @@ def test_look_lets_through_what_a_candidate_needs(spark):
             assert re.search(patterns.LOOK, w)
     for w in [*patterns.STATES, *patterns.ENTITY_SUFFIXES]:
         assert re.search(patterns.LOOK, w)
+
+
+def test_rules_upon_rules_are_written_out_once(spark):
+    df = spark.createDataFrame([("We gave $5 million to it. Then not.", 8)], "t string, s int")
+    rule = evidence.is_evidence(evidence.sentence_around(F.col("t"), F.col("s"), F.col("s") + 2))
+    plan = df.select(rule.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") < 20  # more than a thousand where each rule repeats its text
+    assert df.select(rule.alias("x")).first().x
+    # few bytes of leaves and containers are still work for all tasks
+    few = spark.createDataFrame([leaf(str(k), "In 2019") for k in range(40)], LEAVES).coalesce(1)
+    assert scan.looked(few).rdd.getNumPartitions() == 4
